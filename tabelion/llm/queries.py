@@ -17,8 +17,24 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+#: The contract's rules: host and path -> what to do.
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+def op5_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabelion.llm import url_filter
+
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("purity")
+
+
+def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabelion.llm import warc
+
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe,)}
+    return {f.__name__: f for f in (op2_byte_bpe, op5_url_template_tree, op7_warc_bundles)}
 
 
 def oracle_sql() -> dict[str, str]:
