@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabelion.llm.common import table
 
@@ -27,6 +28,22 @@ def op5_url_template_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES).drop("purity")
 
 
+def op6_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabelion.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabelion.llm import pii
+
+    found = pii.spans(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in pii.KINDS}
+    return found.withColumns(counts | {"base_sha256": F.sha2(joined("base"), 256), "spans": joined("spans")}).drop("base")
+
+
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabelion.llm import warc
 
@@ -34,7 +51,7 @@ def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op5_url_template_tree, op7_warc_bundles)}
+    return {f.__name__: f for f in (op2_byte_bpe, op5_url_template_tree, op6_ordinal_toxicity, op7_warc_bundles, op10_boosted_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
