@@ -1,11 +1,15 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Grades are ordered: 0 clean, 1 toxic, 2 heavily toxic. The labels tell only toxic from clean, so toxic texts are
-graded by the density of marked words, at or above the median of the toxic sample being 2. One weight vector serves
+graded by how many distinct marked words they have, at or above the median of the toxic sample being 2. One weight vector serves
 all thresholds: P(grade <= k) = sigmoid(cut_k - w.x). The expected severity is the sum over k of P(grade >= k).
 
+Features are the words that a text has. Those that part toxic from clean rows with a z of MIN_Z or
+more are kept, MAX_FEATURES at most.
+
 The classifier is fitted on at most max_labelled labelled rows (half of them toxic, where there are as many), chosen
-by hash; everything else covers all rows. Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased.
+by hash; of sampled rows with the same two first words in hash order (copies and most near copies) one counts. Everything
+else covers all rows. Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased.
 
 Null and empty texts have no words and get the intercept's severity. Null labels count as unlabelled. Without labels
 of both kinds the model is flat: severity 0, nothing rejected. Repeated rows are scored each.
@@ -14,18 +18,20 @@ of both kinds the model is flat: severity 0, nothing rejected. Repeated rows are
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabelion.llm.common import ASCII_LOWER, arrow_limits
 
-MAX_LABELLED, MIN_DF, MIN_Z, HELD_OUT = 20_000, 5, 4.5, 5
+MAX_LABELLED, MAX_FEATURES, MIN_DF, MIN_Z, HELD_OUT = 8_000, 2_000, 5, 4.5, 5
+#: Below this expected severity a text is likelier clean, whatever few held-out rows say.
+LEAST_THRESHOLD = 0.5
 #: ASCII punctuation and blanks part words.
 _SPLIT = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in ASCII_LOWER)
 
@@ -34,27 +40,33 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_SPLIT).split()
 
 
+def distinct(text: str | None) -> list[bytes]:
+    """A text's distinct words in the order of their hashes, so that copies and near copies mostly begin alike."""
+    return sorted(set(words(text)), key=xxhash.xxh64_intdigest)
+
+
 @dataclass
 class Model:
-    vocabulary: dict[bytes, int]
+    places: dict[bytes, int]
     weights: np.ndarray
     cuts: np.ndarray
     threshold: float
 
-    def features(self, text: str | None) -> tuple[int, ...]:
-        return tuple({self.vocabulary[w] for w in self.vocabulary.keys() & set(words(text))}) if self.vocabulary else ()
-
     def at_least(self, texts: list[str | None]) -> np.ndarray:
         """P(grade >= k) for k = 1, 2 of each text."""
-        z = np.array([self.weights[list(f)].sum() if (f := self.features(t)) else 0.0 for t in texts])
-        return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - z[:, None], -60, 60)))
+        known = self.places.keys()
+        return above(self.cuts, np.array([sum(self.weights[self.places[w]] for w in known & set(words(t))) if known else 0.0 for t in texts], float))
+
+
+def above(cuts: np.ndarray, z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(cuts[None, :] - z[:, None], -60, 60)))
 
 
 FLAT = Model({}, np.zeros(0), np.array([60.0, 61.0]), math.inf)
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int) -> list:
-    """At most max_labelled rows (words, toxic), toxic and clean ones by hash."""
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int) -> pa.Table:
+    """At most max_labelled rows with their features, toxic and clean ones by hash, one of each group of copies."""
     chosen = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("__toxic"))
     half = [chosen.where(F.col("__toxic") == k).orderBy(F.xxhash64("__id"), "__id").limit(max_labelled // 2) for k in (0, 1)]
     few = F.broadcast(half[0].unionByName(half[1]))  # at most max_labelled rows of 12 bytes
@@ -62,10 +74,14 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            each = [b" ".join(sorted(set(words(t)))) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(each, pa.binary())], names=["id", "toxic", "words"])
+            texts = b.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(distinct, texts), pa.list_(pa.binary()))], names=["id", "toxic", "words"])
 
-    return found.mapInArrow(run, "id long, toxic int, words binary").toArrow().sort_by("id")
+    rows = found.mapInArrow(run, "id long, toxic int, words array<binary>").toArrow().sort_by("id")
+    first: dict = {}
+    for i, own in enumerate(rows["words"]):
+        first.setdefault(tuple(own.values[:2].to_pylist()), i)
+    return rows.take(list(first.values()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
@@ -74,41 +90,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     toxic = rows["toxic"].to_numpy().astype(bool)
     if not len(toxic) or toxic.all() or not toxic.any():
         return FLAT
-    df = (Counter(), Counter())
-    for text, t in zip(rows["words"], toxic, strict=True):
-        df[int(t)].update(text.as_py().split())
-    n = (int((~toxic).sum()), int(toxic.sum()))
-    score = {}
-    for w, k in df[1].items():
-        both = k + df[0][w]
-        if both >= MIN_DF or len(toxic) < 1000 and both > 1:
-            p = both / len(toxic)
-            score[w] = (k / n[1] - df[0][w] / n[0]) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n[0] + 1 / n[1]))
-    for w, k in df[0].items():
-        if w not in df[1] and k >= MIN_DF:
-            p = k / len(toxic)
-            score[w] = -(k / n[0]) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / n[0] + 1 / n[1]))
-    kept = sorted((w for w, z in score.items() if abs(z) >= MIN_Z), key=lambda w: (-abs(score[w]), w)) or sorted(score, key=lambda w: (-abs(score[w]), w))[:50]
-    marked = {w for w in kept if score[w] > 0}
-    vocabulary = {w: i for i, w in enumerate(kept)}
+    coded = rows["words"].combine_chunks()
+    of = np.repeat(np.arange(len(toxic)), np.diff(coded.offsets.to_numpy()))
+    coded = coded.flatten().dictionary_encode()
+    every, place = coded.dictionary, coded.indices.to_numpy()
+    both = np.bincount(place, minlength=len(every))
+    bad = np.bincount(place, toxic[of], len(every))
+    n0, n1 = int((~toxic).sum()), int(toxic.sum())
+    p = both / len(toxic)
+    z = (bad / n1 - (both - bad) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1))
+    z[both < (MIN_DF if len(toxic) >= 1000 else 3)] = 0
+    kept = np.argsort(-z, kind="stable")[: min(MAX_FEATURES, max(int((z >= MIN_Z).sum()), 20))]
+    column = np.full(len(every), -1)
+    column[kept] = np.arange(len(kept))
+    own = column[place] >= 0
     x = np.zeros((len(toxic), len(kept)), np.float32)
-    density = np.zeros(len(toxic))
-    for i, text in enumerate(rows["words"]):
-        own = text.as_py().split()
-        for w in own:
-            if (j := vocabulary.get(w)) is not None:
-                x[i, j] = 1
-        density[i] = sum(w in marked for w in own) / max(1, len(own))
-    grade = np.where(toxic, 1 + (density >= np.median(density[toxic])), 0)
+    x[of[own], column[place[own]]] = 1
+    marked = x.sum(1)
+    grade = np.where(toxic, 1 + (marked >= max(1, np.median(marked[toxic]))), 0)
     held = np.arange(len(toxic)) % HELD_OUT == 0
     weights, cuts = ordinal(x[~held], grade[~held])
-    model = Model(vocabulary, weights, cuts, math.inf)
-    severity = (1 / (1 + np.exp(np.clip(cuts[None, :] - (x[held] @ weights)[:, None], -60, 60)))).sum(1)
-    model.threshold = best_threshold(severity, toxic[held])
-    return model
+    severity = above(cuts, x[held] @ weights).sum(1)
+    seen = {r["toxic"]: r["n"] for r in labels.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    return Model({w: i for i, w in enumerate(every.take(kept).to_pylist())}, weights, cuts, max(LEAST_THRESHOLD, best_threshold(severity, toxic[held], seen[0] / seen[1] * n1 / n0)))
 
 
-def ordinal(x: np.ndarray, grade: np.ndarray, l2: float = 1e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def ordinal(x: np.ndarray, grade: np.ndarray, l2: float = 2e-5, steps: int = 600, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
     """Weights and two rising cuts of least penalised negative log likelihood, by Adam on the full sample."""
     p = np.concatenate([np.zeros(x.shape[1]), [0.5, 0.0]])  # weights, first cut, log of the gap
     m, v = np.zeros_like(p), np.zeros_like(p)
@@ -123,16 +130,17 @@ def ordinal(x: np.ndarray, grade: np.ndarray, l2: float = 1e-3, steps: int = 400
         grad = -np.concatenate([-(x.T @ (g0 + g1)) / len(z) - l2 * p[:-2], [(g0 + g1).mean(), (g1 * gap).mean()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        p[:-2] = p[:-2].clip(0)  # kept features mark toxic texts
     return p[:-2], np.array([p[-2], p[-2] + np.exp(np.clip(p[-1], -6, 6))])
 
 
-def best_threshold(severity: np.ndarray, toxic: np.ndarray) -> float:
-    """The cut of greatest F1 on held-out rows, midway in its widest run of equal F1."""
+def best_threshold(severity: np.ndarray, toxic: np.ndarray, clean_weight: float = 1.0) -> float:
+    """The cut of greatest F1 on held-out rows, midway to the next lower severity; a clean row stands for clean_weight of them."""
     if not toxic.any():
         return 0.5
     order = np.argsort(-severity, kind="stable")
     s, hits = severity[order], np.cumsum(toxic[order])
-    f1 = 2 * hits / (np.arange(1, len(s) + 1) + toxic.sum())
+    f1 = 2 * hits / (hits + clean_weight * (np.arange(1, len(s) + 1) - hits) + toxic.sum())
     f1[:-1][s[:-1] == s[1:]] = -1
     k = int(np.argmax(f1))
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
