@@ -10,6 +10,18 @@ from pyspark.sql import functions as F
 from tabelion.llm.common import table
 
 
+def op1_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabelion.llm import permutation_index
+
+    return permutation_index.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabelion.llm import quotes
+
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,7 +64,7 @@ def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op5_url_template_tree, op6_ordinal_toxicity, op7_warc_bundles, op10_boosted_pii)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_byte_bpe, op3_quotation_linking, op5_url_template_tree, op6_ordinal_toxicity, op7_warc_bundles, op10_boosted_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
