@@ -178,6 +178,27 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str
     return source.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, decoded binary")
 
 
+def encode_checked(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_tokens, ids, decoded_sha256; the decoded bytes are compared with the text's, and a difference is an error."""
+    arrow_limits(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec.of(ranks_path)
+        for batch in batches:
+            at, begin = codec.lists(batch.column(2))
+            rows, digests = [], []
+            for text, a, b in zip(batch.column(1).to_pylist(), begin, begin[1:], strict=False):
+                rows.append(np.concatenate([codec.ids[i] for i in at[a:b]]) if b > a else np.empty(0, np.int32))
+                decoded = b"".join([codec.decoded[i] for i in at[a:b]])
+                if decoded != (text or "").encode():
+                    raise ValueError("a text is not what its ids decode to")
+                digests.append(hashlib.sha256(decoded).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, pa.list_(pa.int32())), pa.array(digests)], names=[id_col, "n_tokens", "ids", "decoded_sha256"])
+
+    source = pieces(df, text_col, pattern, id_col, text_col)
+    return source.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>, decoded_sha256 string")
+
+
 def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, ids_sha256, decoded_sha256: digests of encode()'s ids and of what they decode to.
 

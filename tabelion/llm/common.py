@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,6 +42,8 @@ class Stages:
         self.n += 1
         path = f"{self.root}/{self.n}-{label}"
         df.write.parquet(path)
+        gc.collect()  # plans of earlier stages go, and with them, at the JVM's next collection, their shuffle files
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, label: str) -> str:

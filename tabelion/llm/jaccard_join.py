@@ -212,3 +212,15 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     nodes = classes if labels is None else classes.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
     found = rows.drop("heads").join(nodes, "digest", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """df with the least id of each component, all columns as they are; rows without n-grams or without an id stay, repeated rows go."""
+    stages = Stages(df.sparkSession, "one-of-each")
+    ids = stages.keep(join(df, id_col, text_col, k, percent), "components")
+    others = ids.where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    others = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
+    left = df.join(others, df[id_col].cast("long") == F.col("__id"), "left_anti")
+    if ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        left = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
+    return left

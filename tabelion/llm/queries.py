@@ -59,6 +59,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabelion.llm import katz
+
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tabelion.llm import pii
 
@@ -76,7 +82,7 @@ def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_permutation_index, op2_byte_bpe, op3_quotation_linking, op4_cgk_decontamination, op5_url_template_tree, op6_ordinal_toxicity, op7_warc_bundles, op8_jaccard_join, op10_boosted_pii)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_byte_bpe, op3_quotation_linking, op4_cgk_decontamination, op5_url_template_tree, op6_ordinal_toxicity, op7_warc_bundles, op8_jaccard_join, op9_katz_backoff, op10_boosted_pii)}
 
 
 #: op8: sets of five-word shingles, every pair that shares one, and the least id reachable.
