@@ -19,7 +19,7 @@ def wilson(hits: Column, n: Column, z: float = Z) -> tuple[Column, Column, Colum
     scale = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / scale
     margin = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / scale
-    return p, F.greatest(F.lit(0.0), centre - margin), F.least(F.lit(1.0), centre + margin)
+    return p, F.when(p.isNotNull(), F.greatest(F.lit(0.0), centre - margin)), F.when(p.isNotNull(), F.least(F.lit(1.0), centre + margin))
 
 
 def quartiles(value: Column) -> Column:
