@@ -51,3 +51,48 @@ def katz(rows, cut=5):
     for i, w in texts:
         out[i] = (zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(c1[x] > 0 for x in w), sum(math.log10((c1[x] + 1) / (n + v + 1)) for x in w), sum(math.log10(p2(h, x)) for h, x in zip([0, *w], w, strict=False)))
     return out, n
+
+
+def components(rows, k=5):
+    """doc_id -> (set size, least id reachable), by all pairs."""
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        sets[i] = {tuple(w[j : j + k]) for j in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+    least = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            m = min(least[a], least[b])
+            moved |= (least[a], least[b]) != (m, m)
+            least[a] = least[b] = m
+    return {i: (len(sets[i]), least[i]) for i in sets}
+
+
+EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(digits[::-1])) % 10 == 0
+
+
+def personal(text):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    found = [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    found += [(m.start(), 2, m.end()) for m in CARD.finditer(text) if 14 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    found += [(m.start(), 3, m.end()) for m in PHONE.finditer(text) if 10 <= len(digits(m)) <= 15]
+    return sorted(found)
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
