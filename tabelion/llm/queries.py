@@ -102,5 +102,44 @@ JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) USING (d
 """
 
 
+#: op7: the digest's 40 hexadecimal digits in eight groups of 20 bits, each four letters of base32.
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT h, min(page_id) AS m FROM p GROUP BY h),
+d AS (SELECT page_id, m, strlen(h) AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  ((('0x' || substr(sha1(h), 1 + 5 * (i // 4)::BIGINT, 5))::BIGINT >> (15 - 5 * (i % 4))::BIGINT) & 31)::BIGINT + 1, 1)), '') AS payload_digest FROM p JOIN f USING (h))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN m < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN m < page_id THEN m END AS refers_to FROM d
+"""
+
+
+def op5_sql() -> str:
+    """The template tree, level by level, in SQL."""
+    from tabelion.llm import url_filter as u
+
+    fits = {r: f"(host = '{r.split('/', 1)[0]}' OR ends_with(host, '.{r.split('/', 1)[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}')" for r in URL_RULES}
+    longest = sorted(URL_RULES, key=lambda r: (-len(r), r))
+    rule = " ".join(f"WHEN {fits[r]} THEN '{r}'" for r in longest)
+    action = " ".join(f"WHEN rule = '{r}' THEN '{a}'" for r, a in URL_RULES.items())
+    shape = " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{n}'" for n, p in u.SHAPES)
+    parts = [f"""WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+p0 AS (SELECT *, CASE {rule} END AS rule, list_transform(string_split(path, '/')[2:], lambda x: CASE {shape} ELSE x END) AS every FROM h),
+p AS (SELECT page_id, host, path, rule, CASE {action} END AS action, CASE WHEN len(every) > {u.MAX_DEPTH} THEN list_concat(every[1:{u.MAX_DEPTH}], ['{{rest}}']) ELSE every END AS shapes FROM p0),
+t0 AS (SELECT host, shapes, count(*) AS n, count(action) AS l, count_if(action = 'block') AS b, '' AS template FROM p GROUP BY host, shapes)"""]
+    for d in range(u.MAX_DEPTH + 1):
+        parts.append(f"""s{d} AS (SELECT *, shapes[{d + 1}] AS seg, coalesce(CASE WHEN starts_with(shapes[{d + 2}], '{{') THEN shapes[{d + 2}] WHEN shapes[{d + 2}] IS NULL THEN '{{none}}' ELSE '{{literal}}' END, '{{none}}') AS below FROM t{d}),
+q{d} AS (SELECT host, template, seg, below, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM s{d} WHERE seg IS NOT NULL AND NOT starts_with(seg, '{{') GROUP BY ALL),
+v{d} AS (SELECT *, sum(n) OVER w AS tn, sum(l) OVER w AS tl, sum(b) OVER w AS tb FROM q{d} WINDOW w AS (PARTITION BY host, template, seg)),
+a{d} AS (SELECT host, template, seg, string_agg(below || floor(n * 4 / tn + 0.5)::BIGINT::VARCHAR, ',' ORDER BY below) || '|' || CASE WHEN any_value(tl) = 0 THEN 'u' ELSE floor(any_value(tb) * 4 / greatest(any_value(tl), 1) + 0.5)::BIGINT::VARCHAR END AS look FROM v{d} GROUP BY host, template, seg),
+m{d} AS (SELECT *, min(seg) OVER (PARTITION BY host, template, look) AS least, count(*) OVER (PARTITION BY host, template, look) AS kids, count_if(ends_with(look, '|u')) OVER (PARTITION BY host, template) AS literals FROM a{d}),
+t{d + 1} AS (SELECT host, shapes, n, l, b, CASE WHEN s.seg IS NULL THEN template ELSE template || '/' || CASE WHEN m.seg IS NULL THEN s.seg WHEN ends_with(look, '|u') AND literals > {u.MAX_CHILDREN} THEN '{{*}}' WHEN kids > 1 THEN least || '~' ELSE s.seg END END AS template
+ FROM s{d} s LEFT JOIN m{d} m USING (host, template, seg))""")
+    last = f"t{u.MAX_DEPTH + 1}"
+    parts.append(f"""hp AS (SELECT host, (sum(b) + {u.SMOOTHING} * {u.PRIOR}) / (sum(l) + {u.SMOOTHING}) AS hp FROM t0 GROUP BY host),
+tp AS (SELECT host, template, sum(l) AS l, (sum(b) + {u.SMOOTHING} * any_value(hp)) / (sum(l) + {u.SMOOTHING}) AS purity FROM {last} JOIN hp USING (host) GROUP BY host, template)""")
+    return ",\n".join(parts) + f"""
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN tp.purity >= {u.THRESHOLD} AND tp.l >= {u.MIN_LABELLED} THEN 'block' ELSE 'allow' END) AS verdict, template
+FROM p JOIN {last} USING (host, shapes) JOIN tp USING (host, template)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_jaccard_join": OP8_SQL}
+    return {"op5_url_template_tree": op5_sql(), "op7_warc_bundles": OP7_SQL, "op8_jaccard_join": OP8_SQL}
