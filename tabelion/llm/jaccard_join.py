@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabelion.llm.common import ASCII_LOWER, Stages, arrow_limits
 
@@ -36,6 +37,8 @@ CELLS, PARTS = 1 << 22, 64
 STEPS = 2.0
 #: Identifiers that are sent to all tasks (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: All pairs of components are spelled out once their columns hold at most so many pairs a cell.
+SPELLED_OUT = 8
 #: Rounds in which a column's rows are linked to one of them before pairs of components are spelled out.
 ROUNDS = 4
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -129,17 +132,35 @@ def whole_sets(df: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ngrams(t, k).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "grams"])
 
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    return df.select(F.col(id_col).cast("long").alias("node"), text_col).join(few, "node", "left_semi").mapInArrow(run, "node long, grams array<long>").dropDuplicates(["node"])
+    # repeated rows hold one set; without a shuffle they would be joined twice, which only repeats an edge
+    return df.select(F.col(id_col).cast("long").alias("node"), text_col).join(few, "node", "left_semi").mapInArrow(run, "node long, grams array<long>")
 
 
 def sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
 
-def places_allow(na: Column, nb: Column, pa_: Column, pb: Column, percent: int) -> Column:
-    """Whether a common column at these places leaves room for the needed overlap, percent / (100 + percent) of both sizes."""
-    most = F.least(pa_, pb) + 1 + F.least(na - pa_, nb - pb) - 1
-    return most * (100 + percent) >= percent * (na + nb)
+def places_allow(left: dict[str, Column], right: dict[str, Column], percent: int) -> Column:
+    """Whether a common column leaves room for the needed overlap, percent / (100 + percent) of both sizes.
+
+    Before it at most `met` columns are common (those that other rows have too), from it on at most n - place.
+    """
+    most = F.least(left["met"], right["met"]) + F.least(left["n"] - left["place"], right["n"] - right["place"])
+    return most * (100 + percent) >= percent * (left["n"] + right["n"])
+
+
+def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """df but for rows whose key is in ids (one column of that name), which are sent to all tasks only if they are few."""
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti")
+
+
+def verified(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, pairs: DataFrame, stages: Stages) -> DataFrame:
+    """The pairs (a, b) whose whole sets overlap enough."""
+    nodes = stages.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+    sets = stages.keep(whole_sets(df, id_col, text_col, k, nodes), "sets")
+    a, b = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"grams_{c}")) for c in ("a", "b"))
+    overlap = F.size(F.array_intersect("grams_a", "grams_b"))
+    return pairs.join(a, "a").join(b, "b").where(overlap * (100 + percent) >= percent * (F.size("grams_a") + F.size("grams_b"))).select("a", "b")
 
 
 def components(edges: DataFrame, stages: Stages) -> DataFrame:
@@ -166,48 +187,50 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     stages = Stages(spark, "jaccard")
     rows = stages.keep(incidence(df, id_col, text_col, k, percent, sketch(df, text_col, k)), "incidence")
     classes = stages.keep(rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    kept = rows.join(classes, [rows["digest"] == classes["digest"], rows["doc_id"] == classes["node"]], "left_semi").dropDuplicates(["doc_id"])
+    ids = rows.where("n > 0 and doc_id is not null").select("digest", "doc_id")
+    others = stages.keep(ids.join(classes, "digest").where("doc_id <> node").select("doc_id").distinct(), "others")
+    kept = without(rows.where("n > 0 and doc_id is not null"), others, "doc_id")
+    if ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id"])
     cells = kept.select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), F.posexplode("heads").alias("place", "gram"))
     # columns with one row meet nothing
-    met = stages.keep(cells.groupBy("gram").agg(F.count("*").alias("d")).where("d > 1").select("gram"), "columns")
-    cells = stages.keep(cells.join(met, "gram", "left_semi"), "cells")
-    stages.drop(met)
+    shared = stages.keep(cells.groupBy("gram").agg(F.count("*").alias("d")).where("d > 1").select("gram"), "columns")
+    cells = cells.join(shared, "gram", "left_semi").withColumn("met", F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1)
+    cells = stages.keep(cells, "cells")
+    stages.drop(shared)
     tested, edges, labels = None, None, None
     for round_ in range(ROUNDS + 1):
-        here = cells
+        last = round_ == ROUNDS
+        here = cells.withColumn("component", F.col("node"))
         if labels is not None:
             here = cells.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed_ = here.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
-            here = stages.keep(here.join(mixed_, "gram", "left_semi"), "mixed")
-        else:
-            here = here.withColumn("component", F.col("node"))
-        left = here.select("gram", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("component").alias("cx"))
-        if round_ < ROUNDS:
-            order = F.xxhash64("node", F.lit(round_))
-            heads = here.groupBy("gram").agg(F.min_by(F.struct("node", "n", "place", "component"), order).alias("h")).select("gram", "h.*")
-        else:
+            columns = here.groupBy("gram").agg(F.count("*").alias("d"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+            columns = stages.keep(columns.select("gram", "d"), "columns")
+            here = stages.keep(here.join(columns, "gram", "left_semi"), "mixed")
+            size = columns.agg(F.count("*").alias("columns"), F.sum("d").alias("cells"), F.sum(F.col("d") * (F.col("d") - 1) / 2).alias("pairs")).first()
+            if not size["columns"]:
+                break
+            last = last or size["pairs"] <= SPELLED_OUT * size["cells"]
+        if last:
             heads = here
-        right = heads.select("gram", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("component").alias("cy"))
-        allowed = (F.col("x") != F.col("y") if round_ < ROUNDS else F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy"))
-        allowed &= sizes_allow(F.col("nx"), F.col("ny"), percent) & places_allow(F.col("nx"), F.col("ny"), F.col("px"), F.col("py"), percent)
-        pairs = left.join(right, "gram").where(allowed).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        else:
+            heads = here.groupBy("gram").agg(F.min_by(F.struct(*(c for c in here.columns if c != "gram")), F.xxhash64("node", F.lit(round_))).alias("h")).select("gram", "h.*")
+        x, y = here.select("gram", F.struct("*").alias("x")), heads.select("gram", F.struct("*").alias("y"))
+        left, right = ({c: F.col(f"{side}.{c}") for c in ("node", "n", "place", "met", "component")} for side in "xy")
+        allowed = (left["node"] < right["node"] if last else left["node"] != right["node"]) & (left["component"] != right["component"])
+        allowed &= sizes_allow(left["n"], right["n"], percent) & places_allow(left, right, percent)
+        pairs = x.join(y, "gram").where(allowed).select(F.least(left["node"], right["node"]).alias("a"), F.greatest(left["node"], right["node"]).alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stages.keep(pairs, "pairs")
         if pairs.limit(1).count():
             tested = pairs if tested is None else tested.unionByName(pairs)
-            nodes = stages.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
-            sets = stages.keep(whole_sets(df, id_col, text_col, k, nodes), "sets")
-            a, b = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"grams_{c}")) for c in ("a", "b"))
-            shared = F.size(F.array_intersect("grams_a", "grams_b"))
-            linked = pairs.join(a, "a").join(b, "b").where(shared * (100 + percent) >= percent * (F.size("grams_a") + F.size("grams_b"))).select("a", "b")
-            linked = stages.keep(linked, "links")
-            stages.drop(sets)
+            linked = stages.keep(verified(df, id_col, text_col, k, percent, pairs, stages), "links")
             edges = linked if edges is None else edges.unionByName(linked)
             labels = components(edges, stages)
         elif labels is None:
             break
-        elif round_ < ROUNDS and not here.limit(1).count():
+        if last:
             break
     nodes = classes if labels is None else classes.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
     found = rows.drop("heads").join(nodes, "digest", "left")
