@@ -34,7 +34,7 @@ class Stages:
     """Tables written in the shared folder, so that lost executors cost only the stage they ran in."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.n = spark, 0
+        self.spark, self.n, self.tables = spark, 0, []
         self.root = f"{shared_dir(spark)}/tabelion/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
@@ -46,6 +46,20 @@ class Stages:
         self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_bucketed(self, df: DataFrame, label: str, n: int, column: str) -> DataFrame:
+        """df written in n buckets of a column, so that joins on it move the other side only. The table lives until forget()."""
+        name = f"tabelion_{uuid.uuid4().hex}"
+        df.write.option("path", self.path(label)).bucketBy(n, column).saveAsTable(name)
+        self.tables.append(name)
+        return self.spark.table(name)
+
+    def forget(self) -> None:
+        """Takes bucketed tables off the catalog and deletes their files."""
+        for name in self.tables:
+            self.drop(self.spark.table(name))
+            self.spark.sql(f"DROP TABLE {name}")
+        self.tables = []
+
     def path(self, label: str) -> str:
         self.n += 1
         return f"{self.root}/{self.n}-{label}"

@@ -12,8 +12,8 @@ The counts are tables partitioned by hash, held as packed arrays so that they st
 
 1. chunks: each task turns its texts into numbers of its own word list and writes them;
 2. word table: word counts meet by word hash; each word gets a global number, its count goes back to the chunks;
-3. pair table: each chunk's pairs meet by their history, next to c(w) of their words; counts, c(h), alpha(h) and the
-   counts each chunk asked for go back to it;
+3. pair table: each chunk's pairs meet by their history, next to c(w) of their words; the counts each chunk asked for, c(h)
+   and what alpha(h) needs go back to it;
 4. scoring: each chunk evaluates the recursion per token.
 
 A task holds one chunk (CHUNK_TOKENS) or one partition of a table, whose number grows with the corpus; nothing but the
@@ -26,6 +26,7 @@ token is the unseen word, with probability 1.
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -71,7 +72,7 @@ def unpack_planes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(unpack(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-CHUNK = "chunk string, docs binary, held binary, lengths binary, tokens binary, hashes binary, counts binary"
+CHUNK = "chunk string, start int, docs binary, held binary, lengths binary, tokens binary, hashes binary, counts binary"
 
 
 def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -84,9 +85,9 @@ def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         tokens, n = number[np.concatenate(flat)], np.array(lengths, np.int32)
         train = np.repeat(~np.array(held, bool), n)
         counts = np.bincount(tokens[train], minlength=len(order)).astype(np.int64)
-        name = f"{docs[0]}-{xxhash.xxh3_128_hexdigest(tokens.tobytes())}-{xxhash.xxh3_64_hexdigest(repr(docs).encode())}"
-        row = [name, pack(np.array(docs, np.int64)), pack(np.array(held, bool)), pack(n), pack(tokens), pack_rising(hashes[order]), pack(counts)]
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.string() if i == 0 else pa.binary()) for i, x in enumerate(row)], names=[c.split()[0] for c in CHUNK.split(", ")])
+        name = uuid.uuid4().hex  # equal chunks are apart; the table is written before any step reads it
+        row = [name, int(number[0]), pack(np.array(docs, np.int64)), pack(np.array(held, bool)), pack(n), pack_planes(tokens), pack_rising(hashes[order]), pack(counts)]
+        return pa.RecordBatch.from_arrays([pa.array([x], (pa.string(), pa.int32())[i] if i < 2 else pa.binary()) for i, x in enumerate(row)], names=[c.split()[0] for c in CHUNK.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, held, lengths, flat, size = [], [], [], [], 0
@@ -141,7 +142,7 @@ def word_table(requests: DataFrame) -> DataFrame:
         for chunk, own in zip(pdf["chunk"], asked, strict=True):
             at = place[begin : begin + len(own)]
             begin += len(own)
-            rows.append((pdf["part"][0], chunk, pack(total[at]), pack(at.astype(np.int32)), 0, 0, []))
+            rows.append((pdf["part"][0], chunk, pack_planes(total[at]), pack_rising(at.astype(np.int32)), 0, 0, []))
         return pd.DataFrame(rows, columns=["part", "chunk", "counts", "places", "tokens", "types", "low"])
 
     return requests.groupBy("part").applyInPandas(add, "part int, chunk string, counts binary, places binary, tokens long, types long, low array<long>")
@@ -192,34 +193,22 @@ def pair_requests(table: DataFrame, parts: int) -> DataFrame:
 def chunk_words(row: dict, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a chunk's words: total counts, global numbers (part, then place), and where each part begins."""
     found = sorted(row["words"], key=lambda x: x["part"])
-    counts = [unpack(x["counts"], np.int64) for x in found]
-    places = [unpack(x["places"], np.int32).astype(np.int64) | x["part"] << 32 for x in found]
+    counts = [unpack_planes(x["counts"], np.int64) for x in found]
+    places = [unpack_rising(x["places"], np.int32).astype(np.int64) | x["part"] << 32 for x in found]
     return np.concatenate(counts), np.concatenate(places), np.concatenate([[0], np.cumsum([len(c) for c in counts])])
 
 
 def chunk_pairs(row: dict, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs (history * n_words + word, rising), their training counts, and which pair each token is."""
-    hashes = unpack_rising(row["hashes"], np.uint64)
-    start = int(np.searchsorted(hashes, np.uint64(xxhash.xxh64_intdigest(START))))
-    tokens, lengths = unpack(row["tokens"], np.int32).astype(np.int64), unpack(row["lengths"], np.int32)
+    tokens, lengths = unpack_planes(row["tokens"], np.int32).astype(np.int64), unpack(row["lengths"], np.int32)
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
-    before[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = start
+    before[np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)] = row["start"]
     code, which = np.unique(before * n_words + tokens, return_inverse=True)
     train = np.repeat(~unpack(row["held"], bool), lengths)
     return code, np.bincount(which[train], minlength=len(code)), which
 
 
-def pair_counts(requests: DataFrame) -> DataFrame:
-    """Counts of counts of the pairs, part by part."""
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = merged(pdf)[1]
-        low = np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3)
-        return pd.DataFrame([(pdf["part"][0], [int(x) for x in low[1 : CUT + 2]])], columns=["part", "low"])
-
-    return requests.groupBy("part").applyInPandas(add, "part int, low array<long>")
-
-
 def merged(pdf: pd.DataFrame) -> tuple:
     """The part's distinct pairs: histories, total counts, c(w), and which of them each request is."""
     h = np.concatenate([unpack_rising(x, np.int64) for x in pdf["h"]])
@@ -237,28 +226,35 @@ def merged(pdf: pd.DataFrame) -> tuple:
     return hs[new], total, totals[order][new], which
 
 
-def pair_table(requests: DataFrame, d1: np.ndarray, d2: np.ndarray, of: float, unseen: float) -> DataFrame:
-    """For each chunk's pairs of a part: total counts; and for its histories c(h) and alpha(h)."""
+def pair_table(requests: DataFrame, d1: np.ndarray, of: float, unseen: float) -> DataFrame:
+    """For each chunk's pairs of a part: total counts; for its histories c(h), how many words were met once, twice, ... CUT times after h, and
+    the sum of P(w) over the words met. A row with chunk '' holds the part's counts of counts."""
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         hs, total, word_total, which = merged(pdf)
         every, at = np.unique(hs, return_inverse=True)
-        c_h = np.bincount(at, total, len(every))
+        c_h = np.bincount(at, total, len(every)).astype(np.int64)
         met = total > 0
-        kept = np.bincount(at, discounted(total, d2), len(every))
-        c_h = c_h + (kept > c_h - 1e-9) * (c_h > 0)  # nothing discounted after h: one count more makes room for the rest
-        share = kept / np.maximum(c_h, 1)
+        rare = np.stack([np.bincount(at[total == r], minlength=len(every)) for r in range(1, CUT + 1)], 1).astype(np.int32)
         lower = np.bincount(at[met], unigram(word_total[met], of, d1, unseen), len(every))
-        alpha = np.where(c_h > 0, (1 - share) / np.maximum(1 - lower, 1e-300), 1.0)
-        rows, begin = [], 0
+        low = np.bincount(np.minimum(total, CUT + 2), minlength=CUT + 3)
+        rows, begin = [(pdf["part"][0], "", b"", b"", b"", b"", [int(x) for x in low[1 : CUT + 2]])], 0
         for chunk, packed in zip(pdf["chunk"], pdf["h"], strict=True):
             own_h = unpack_rising(packed, np.int64)
             own = which[begin : begin + len(own_h)]
             begin += len(own_h)
-            first = np.flatnonzero(np.diff(own_h, prepend=-1))
-            rows.append((pdf["part"][0], chunk, pack(total[own].astype(np.int32)), pack(c_h[at[own[first]]].astype(np.float64)), pack(alpha[at[own[first]]])))
-        return pd.DataFrame(rows, columns=["part", "chunk", "counts", "c_h", "alpha"])
+            first = at[own[np.flatnonzero(np.diff(own_h, prepend=-1))]]
+            rows.append((pdf["part"][0], chunk, pack_planes(total[own].astype(np.int32)), pack_planes(c_h[first]), pack_planes(rare[first].ravel()), pack(lower[first]), []))
+        return pd.DataFrame(rows, columns=["part", "chunk", "counts", "c_h", "rare", "lower", "low"])
+
+    return requests.groupBy("part").applyInPandas(add, "part int, chunk string, counts binary, c_h binary, rare binary, lower binary, low array<long>")
+
 
-    return requests.groupBy("part").applyInPandas(add, "part int, chunk string, counts binary, c_h binary, alpha binary")
+def backoff(c_h: np.ndarray, rare: np.ndarray, lower: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The count that P(w | h) is out of, and alpha(h), for each history."""
+    cut_off = (rare * np.arange(1, CUT + 1) * (1 - d[1:-1])).sum(1)
+    of = c_h + ((cut_off < 1e-9) & (c_h > 0))  # nothing discounted after h: one count more makes room for the rest
+    left = cut_off + (of - c_h)
+    return of.astype(float), np.where(c_h > 0, left / np.maximum(of, 1) / np.maximum(1 - lower, 1e-300), 1.0)
 
 
 def scored(table: DataFrame, parts: int, d1: np.ndarray, d2: np.ndarray, tokens: int, types: int, of: float, unseen: float) -> DataFrame:
@@ -268,15 +264,16 @@ def scored(table: DataFrame, parts: int, d1: np.ndarray, d2: np.ndarray, tokens:
                 totals, _, _ = chunk_words(row, parts)
                 code, _, which = chunk_pairs(row, len(totals))
                 found = sorted(row["pairs"], key=lambda x: x["part"])
-                count = np.concatenate([unpack(x["counts"], np.int32) for x in found]).astype(np.int64)
+                count = np.concatenate([unpack_planes(x["counts"], np.int32) for x in found]).astype(np.int64)
                 history = np.cumsum(np.diff(code // len(totals), prepend=-1) != 0) - 1
-                c_h = np.concatenate([unpack(x["c_h"], np.float64) for x in found])[history]
-                alpha = np.concatenate([unpack(x["alpha"], np.float64) for x in found])[history]
+                rare = np.concatenate([unpack_planes(x["rare"], np.int32) for x in found]).reshape(-1, CUT)
+                c_h, alpha = backoff(np.concatenate([unpack_planes(x["c_h"], np.int64) for x in found]), rare, np.concatenate([unpack(x["lower"], np.float64) for x in found]), d2)
+                c_h, alpha = c_h[history], alpha[history]
                 lower = unigram(totals[code % len(totals)], of, d1, unseen)
                 p = np.where(count > 0, discounted(count, d2) / np.maximum(c_h, 1), alpha * lower)
                 lengths = unpack(row["lengths"], np.int32)
                 doc = np.repeat(np.arange(len(lengths)), lengths)
-                words = totals[unpack(row["tokens"], np.int32)]
+                words = totals[unpack_planes(row["tokens"], np.int32)]
                 sums = lambda x, doc=doc, n=len(lengths): np.bincount(doc, x, n)
                 n = len(lengths)
                 yield pa.RecordBatch.from_arrays(
@@ -287,32 +284,38 @@ def scored(table: DataFrame, parts: int, d1: np.ndarray, d2: np.ndarray, tokens:
     return table.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+def low_counts(table: DataFrame) -> list[int]:
+    """Summed counts of counts of a table's own rows."""
+    sums = table.where("chunk = ''").agg(*(F.sum(F.get("low", F.lit(i))).alias(f"n{i}") for i in range(CUT + 1))).first()
+    return [sums[f"n{i}"] or 0 for i in range(CUT + 1)]
+
+
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text."""
     spark = df.sparkSession
     arrow_limits(spark)
     stages = Stages(spark, "katz")
-    table = stages.keep(chunks(df, id_col, text_col), "chunks")
+    # bucketed by chunk, so that answers travel to the chunks and the chunks stay where they are
+    buckets = max(1, df.select(text_col).rdd.getNumPartitions())
+    table = stages.keep_bucketed(chunks(df, id_col, text_col), "chunks", buckets, "chunk")
     arrow_limits(spark, 1)  # a row is a whole chunk from here on
     try:
-        n = table.count()
-        parts = max(1, math.ceil(n * CHUNK_TOKENS / PARTITION_TOKENS))
+        parts = max(1, math.ceil(table.count() * CHUNK_TOKENS / PARTITION_TOKENS))
         words = stages.keep(word_table(word_requests(table, parts)), "words")
-        sums = words.where("chunk = ''").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"), *(F.sum(F.get("low", F.lit(i))).alias(f"n{i + 1}") for i in range(CUT + 1))).first()
-        tokens, types = sums["n"] or 0, sums["v"] or 0
-        low = [sums[f"n{i + 1}"] or 0 for i in range(CUT + 1)]
+        sums = words.where("chunk = ''").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
+        tokens, types, low = sums["n"] or 0, sums["v"] or 0, low_counts(words)
         d1 = discounts(low)
         cut_off = sum((1 - d1[r]) * r * low[r - 1] for r in range(1, CUT + 1))
         of = tokens if cut_off > 0 else tokens + 1  # as after a history: room for the unseen word
         unseen = (cut_off if cut_off > 0 else 1) / max(of, 1)
         back = words.where("chunk <> ''").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "places")).alias("words"))
-        table = table.join(back, "chunk")
-        asked = stages.keep(pair_requests(table, parts), "pairs")
-        lows = pair_counts(asked).agg(*(F.sum(F.get("low", F.lit(i))).alias(f"n{i + 1}") for i in range(CUT + 1))).first()
-        d2 = discounts([lows[f"n{i + 1}"] or 0 for i in range(CUT + 1)])
-        pairs = stages.keep(pair_table(asked, d1, d2, of, unseen), "answers")
-        stages.drop(asked)
-        back = pairs.groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "c_h", "alpha")).alias("pairs"))
-        return stages.keep(scored(table.join(back, "chunk"), parts, d1, d2, tokens, types, of, unseen), "scores")
+        known = table.drop("hashes", "counts").join(back, "chunk")
+        pairs = stages.keep(pair_table(pair_requests(known, parts), d1, of, unseen), "pairs")
+        d2 = discounts(low_counts(pairs))
+        answers = pairs.where("chunk <> ''").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "c_h", "rare", "lower")).alias("pairs"))
+        found = stages.keep(scored(known.join(answers, "chunk"), parts, d1, d2, tokens, types, of, unseen), "scores")
+        stages.drop(words, pairs)
+        stages.forget()
+        return found
     finally:
         arrow_limits(spark)
