@@ -81,7 +81,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_l
     first: dict = {}
     for i, own in enumerate(rows["words"]):
         first.setdefault(tuple(own.values[:2].to_pylist()), i)
-    return rows.take(list(first.values()))
+    return rows.take(pa.array(first.values(), pa.int64()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
