@@ -46,31 +46,36 @@ class Stages:
         self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def keep_bucketed(self, df: DataFrame, label: str, n: int, column: str) -> DataFrame:
-        """df written in n buckets of a column, so that joins on it move the other side only. The table lives until forget()."""
-        name = f"tabelion_{uuid.uuid4().hex}"
-        df.write.option("path", self.path(label)).bucketBy(n, column).saveAsTable(name)
-        self.tables.append(name)
-        return self.spark.table(name)
+    def keep_bucketed(self, df: DataFrame, label: str, n: int, column: str, part: str) -> tuple[DataFrame, str]:
+        """df written in partitions of one column and n buckets of another, so that joins on it move the other side only.
+
+        Returns the table and its folder. The table lives until forget().
+        """
+        name, path = f"tabelion_{uuid.uuid4().hex}", self.path(label)
+        df.write.option("path", path).partitionBy(part).bucketBy(n, column).saveAsTable(name)
+        self.tables.append((name, path))
+        return self.spark.table(name), path
 
     def forget(self) -> None:
         """Takes bucketed tables off the catalog and deletes their files."""
-        for name in self.tables:
-            self.drop(self.spark.table(name))
+        for name, path in self.tables:
             self.spark.sql(f"DROP TABLE {name}")
+            self.delete(path)
         self.tables = []
 
+    def delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def path(self, label: str) -> str:
         self.n += 1
         return f"{self.root}/{self.n}-{label}"
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes kept tables that no later step reads."""
-        jvm = self.spark._jvm
         for table in tables:
             for root in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-                path = jvm.org.apache.hadoop.fs.Path(root)
-                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+                self.delete(root)
 
 
 def arrow_limits(spark: SparkSession, rows: int = 512) -> None:

@@ -41,13 +41,15 @@ from pyspark.sql import functions as F
 from tabelion.llm.common import ASCII_LOWER, Stages, arrow_limits
 
 CHUNK_TOKENS, CUT = 2_000_000, 5
+#: Sums of P(w) travel in units of 2**-42, which is finer than what their rounding adds to a score.
+UNIT = 2.0**-42
 #: Tokens of the corpus for each partition of a table.
 PARTITION_TOKENS = 1_500_000
 END, START = b"\x20e", b"\x20s"  # no word holds a space
 
 
 def pack(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes())
 
 
 def unpack(data: bytes, kind: type) -> np.ndarray:
@@ -72,11 +74,12 @@ def unpack_planes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(unpack(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-CHUNK = "chunk string, start int, docs binary, held binary, lengths binary, tokens binary, hashes binary, counts binary"
+CHUNK = "kind string, chunk string, start int, docs binary, held binary, lengths binary, tokens binary, hashes binary, counts binary"
 
 
 def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Texts as numbers of their chunk's words, ordered by word hash; counts are those of the chunk's training texts."""
+    """A row of kind texts for each chunk, with its texts as numbers of the chunk's words, which are ordered by hash, and one of
+    kind words, with their hashes and counts in the chunk's training texts."""
     def write(docs: list, held: list, lengths: list, flat: list, place: dict) -> pa.RecordBatch:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in place), np.uint64, len(place))
         order = np.argsort(hashes, kind="stable")
@@ -86,8 +89,10 @@ def chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         train = np.repeat(~np.array(held, bool), n)
         counts = np.bincount(tokens[train], minlength=len(order)).astype(np.int64)
         name = uuid.uuid4().hex  # equal chunks are apart; the table is written before any step reads it
-        row = [name, int(number[0]), pack(np.array(docs, np.int64)), pack(np.array(held, bool)), pack(n), pack_planes(tokens), pack_rising(hashes[order]), pack(counts)]
-        return pa.RecordBatch.from_arrays([pa.array([x], (pa.string(), pa.int32())[i] if i < 2 else pa.binary()) for i, x in enumerate(row)], names=[c.split()[0] for c in CHUNK.split(", ")])
+        texts = ["texts", name, int(number[0]), pack(np.array(docs, np.int64)), pack(np.array(held, bool)), pack(n), pack_planes(tokens), None, None]
+        words = ["words", name, None, None, None, None, None, pack_rising(hashes[order]), pack(counts)]
+        types = [pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 6]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(texts, words, strict=True), types, strict=True)], names=[c.split()[0] for c in CHUNK.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, held, lengths, flat, size = [], [], [], [], 0
@@ -243,7 +248,7 @@ def pair_table(requests: DataFrame, d1: np.ndarray, of: float, unseen: float) ->
             own = which[begin : begin + len(own_h)]
             begin += len(own_h)
             first = at[own[np.flatnonzero(np.diff(own_h, prepend=-1))]]
-            rows.append((pdf["part"][0], chunk, pack_planes(total[own].astype(np.int32)), pack_planes(c_h[first]), pack_planes(rare[first].ravel()), pack(lower[first]), []))
+            rows.append((pdf["part"][0], chunk, pack_planes(total[own].astype(np.int32)), pack_planes(c_h[first]), pack_planes(rare[first].ravel()), pack_planes(np.rint(lower[first] / UNIT).astype(np.int64)), []))
         return pd.DataFrame(rows, columns=["part", "chunk", "counts", "c_h", "rare", "lower", "low"])
 
     return requests.groupBy("part").applyInPandas(add, "part int, chunk string, counts binary, c_h binary, rare binary, lower binary, low array<long>")
@@ -267,7 +272,7 @@ def scored(table: DataFrame, parts: int, d1: np.ndarray, d2: np.ndarray, tokens:
                 count = np.concatenate([unpack_planes(x["counts"], np.int32) for x in found]).astype(np.int64)
                 history = np.cumsum(np.diff(code // len(totals), prepend=-1) != 0) - 1
                 rare = np.concatenate([unpack_planes(x["rare"], np.int32) for x in found]).reshape(-1, CUT)
-                c_h, alpha = backoff(np.concatenate([unpack_planes(x["c_h"], np.int64) for x in found]), rare, np.concatenate([unpack(x["lower"], np.float64) for x in found]), d2)
+                c_h, alpha = backoff(np.concatenate([unpack_planes(x["c_h"], np.int64) for x in found]), rare, UNIT * np.concatenate([unpack_planes(x["lower"], np.int64) for x in found]), d2)
                 c_h, alpha = c_h[history], alpha[history]
                 lower = unigram(totals[code % len(totals)], of, d1, unseen)
                 p = np.where(count > 0, discounted(count, d2) / np.maximum(c_h, 1), alpha * lower)
@@ -297,11 +302,13 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     stages = Stages(spark, "katz")
     # bucketed by chunk, so that answers travel to the chunks and the chunks stay where they are
     buckets = max(1, df.select(text_col).rdd.getNumPartitions())
-    table = stages.keep_bucketed(chunks(df, id_col, text_col), "chunks", buckets, "chunk")
+    table, folder = stages.keep_bucketed(chunks(df, id_col, text_col), "chunks", buckets, "chunk", "kind")
+    texts = table.where("kind = 'texts'").drop("kind", "hashes", "counts")
     arrow_limits(spark, 1)  # a row is a whole chunk from here on
     try:
-        parts = max(1, math.ceil(table.count() * CHUNK_TOKENS / PARTITION_TOKENS))
-        words = stages.keep(word_table(word_requests(table, parts)), "words")
+        parts = max(1, math.ceil(texts.count() * CHUNK_TOKENS / PARTITION_TOKENS))
+        words = stages.keep(word_table(word_requests(table.where("kind = 'words'"), parts)), "words")
+        stages.delete(f"{folder}/kind=words")
         sums = words.where("chunk = ''").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
         tokens, types, low = sums["n"] or 0, sums["v"] or 0, low_counts(words)
         d1 = discounts(low)
@@ -309,7 +316,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         of = tokens if cut_off > 0 else tokens + 1  # as after a history: room for the unseen word
         unseen = (cut_off if cut_off > 0 else 1) / max(of, 1)
         back = words.where("chunk <> ''").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "places")).alias("words"))
-        known = table.drop("hashes", "counts").join(back, "chunk")
+        known = texts.join(back, "chunk")
         pairs = stages.keep(pair_table(pair_requests(known, parts), d1, of, unseen), "pairs")
         d2 = discounts(low_counts(pairs))
         answers = pairs.where("chunk <> ''").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "c_h", "rare", "lower")).alias("pairs"))
