@@ -5,8 +5,8 @@ columns by block of columns (a block is a shuffle partition of n-grams), in two
 
 * Leading columns. All rows order their n-grams alike, by how often a fixed-size count sketch over all documents has
   met them, then by hash. Two sets of similarity s or more share one of their first n - ceil(s n) + 1 n-grams, so the
-  product over these columns meets every linked pair; products of rows whose sizes or column places rule out the
-  needed overlap are dropped.
+  product over these columns meets every linked pair; products of rows whose sizes, column places or parity bitmaps
+  rule out the needed overlap are dropped.
 * All columns, for the pairs that are left: overlap counts of the whole sets, compared with the bound.
 
 Pairs within a group are not spelled out: each leading column first links its rows to one of its rows; verified links
@@ -35,6 +35,8 @@ from tabelion.llm.common import ASCII_LOWER, Stages, arrow_limits
 CELLS, PARTS = 1 << 22, 64
 #: Columns are ordered by these classes of estimated counts.
 STEPS = 2.0
+#: Bits of a set's parity bitmap.
+BITS = 512
 #: Identifiers that are sent to all tasks (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: All pairs of components are spelled out once their columns hold at most so many pairs a cell.
@@ -102,27 +104,37 @@ def sketch(df: DataFrame, text_col: str, k: int, cells: int = CELLS) -> np.ndarr
     return found
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """For each of BITS classes of n-grams, whether the set holds an odd number of them: 64 classes a word.
+
+    Where two sets' words differ, so do the sets; the differing bits never outnumber the differing n-grams.
+    """
+    odd = np.bincount((grams >> np.uint64(32)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def leading(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
 def incidence(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, digest of the set and its leading columns in order."""
+    """doc_id, n, digest of the set, its parity bitmap and its leading columns in order."""
     packed, cells = zlib.compress(levels.tobytes(), 1), len(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = np.frombuffer(zlib.decompress(packed), np.uint8)
         for b in batches:
-            n, digests, heads = [], [], []
+            n, digests, bits, heads = [], [], [], []
             for text in b.column(1).to_pylist():
                 own = ngrams(text, k)
                 n.append(len(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                bits.append(parity(own))
                 order = np.argsort(level[(own % np.uint64(cells)).astype(np.int64)], kind="stable")
                 heads.append(own[order[: leading(len(own), percent)]].view(np.int64) if len(own) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "heads"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "bits", "heads"])
 
-    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n long, digest binary, heads array<long>")
+    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n long, digest binary, bits array<long>, heads array<long>")
 
 
 def whole_sets(df: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
@@ -149,6 +161,12 @@ def places_allow(left: dict[str, Column], right: dict[str, Column], percent: int
     return most * (100 + percent) >= percent * (left["n"] + right["n"])
 
 
+def bits_allow(left: dict[str, Column], right: dict[str, Column], percent: int) -> Column:
+    """Whether the bitmaps differ in no more bits than linked sets may differ in n-grams."""
+    apart = sum((F.bit_count(F.get(left["bits"], F.lit(i)).bitwiseXOR(F.get(right["bits"], F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    return apart * (100 + percent) <= (100 - percent) * (left["n"] + right["n"])
+
+
 def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """df but for rows whose key is in ids (one column of that name), which are sent to all tasks only if they are few."""
     return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti")
@@ -196,7 +214,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     # columns with one row meet nothing
     shared = stages.keep(cells.groupBy("gram").agg(F.count("*").alias("d")).where("d > 1").select("gram"), "columns")
     cells = cells.join(shared, "gram", "left_semi").withColumn("met", F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1)
-    cells = stages.keep(cells, "cells")
+    cells = stages.keep(cells.join(kept.select(F.col("doc_id").alias("node"), "bits"), "node"), "cells")
     stages.drop(shared)
     tested, edges, labels = None, None, None
     for round_ in range(ROUNDS + 1):
@@ -216,9 +234,9 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
         else:
             heads = here.groupBy("gram").agg(F.min_by(F.struct(*(c for c in here.columns if c != "gram")), F.xxhash64("node", F.lit(round_))).alias("h")).select("gram", "h.*")
         x, y = here.select("gram", F.struct("*").alias("x")), heads.select("gram", F.struct("*").alias("y"))
-        left, right = ({c: F.col(f"{side}.{c}") for c in ("node", "n", "place", "met", "component")} for side in "xy")
+        left, right = ({c: F.col(f"{side}.{c}") for c in ("node", "n", "place", "met", "component", "bits")} for side in "xy")
         allowed = (left["node"] < right["node"] if last else left["node"] != right["node"]) & (left["component"] != right["component"])
-        allowed &= sizes_allow(left["n"], right["n"], percent) & places_allow(left, right, percent)
+        allowed &= sizes_allow(left["n"], right["n"], percent) & places_allow(left, right, percent) & bits_allow(left, right, percent)
         pairs = x.join(y, "gram").where(allowed).select(F.least(left["node"], right["node"]).alias("a"), F.greatest(left["node"], right["node"]).alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -233,7 +251,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
         if last:
             break
     nodes = classes if labels is None else classes.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
-    found = rows.drop("heads").join(nodes, "digest", "left")
+    found = rows.drop("heads", "bits").join(nodes, "digest", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("component_id"))
 
 
