@@ -4,8 +4,10 @@ An item of n words leaks into a text if some stretch of the text is within toler
 by default. A walk copies a word sequence into 3n slots: at each slot it writes the current word and goes on to the
 next one if a random bit of (slot, word) says so, which keeps sequences of small edit distance at a small Hamming
 distance. Each table of the LSH samples a few slots of one walk; a window and an item are compared if all sampled
-slots of some table agree. Tables are added until items with tolerance(n) random edits are found again with the target
-recall. Compared windows are verified by an exact alignment.
+slots of some of TABLES tables agree. For each class of item lengths, the slots are chosen so that items of that class with
+tolerance(n) random edits, put into a text, are found again with the target recall (lower bound of 95 %). Walks of long
+items drift apart, so classes of CGK_WORDS words and more, and any for which no choice reaches the recall, have no
+tables: all their windows are compared. Compared windows are verified by an exact alignment.
 
 Windows are as long as the item. A stretch within tolerance(n) edits shares, by the pigeonhole principle, a run of
 floor(n / (tolerance(n) + 1)) words with the item, so windows are laid only where a run of at most GRAM words of
@@ -30,6 +32,10 @@ from pyspark.sql import functions as F
 from tabelion.llm.common import ASCII_LOWER, arrow_limits
 
 TOLERANCE, RECALL, GRAM, SAMPLED, WALKS, BLOCK_BYTES = 0.2, 0.98, 3, 6, 6, 16 << 20
+#: Slots a table samples, the first number that reaches the recall; trials of each length class.
+CHOICES, TABLES, TRIALS, CGK_WORDS = (SAMPLED, 4, 3, 2), 40 * WALKS, 400, 64
+#: Symbols embedded at once.
+CELLS = 4 << 20
 _SPLIT = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in ASCII_LOWER)
 LEAKS = "item_id long, distance int, n_words int, start_word int"
 #: Slots past the end of a sequence.
@@ -61,16 +67,31 @@ def walk(rows: np.ndarray, lengths: np.ndarray, seed: int) -> np.ndarray:
 
 
 def distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int]:
-    """Least number of word edits between the item and any stretch of the region, and where such a stretch ends."""
-    row = np.zeros(len(region) + 1, np.int64)
-    steps = np.arange(len(region) + 1)
-    for k, word in enumerate(item):
-        new = np.empty_like(row)
-        new[0] = k + 1
-        new[1:] = np.minimum(row[:-1] + (region != word), row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps
-    end = int(row.argmin())
-    return int(row[end]), end
+    """Least number of word edits between the item and any stretch of the region, and where such a stretch ends.
+
+    Bit-parallel (Myers): bit i of up and down says whether the column rises or falls at the item's word i.
+    """
+    places: dict[int, int] = {}
+    for i, word in enumerate(item.tolist()):
+        places[word] = places.get(word, 0) | 1 << i
+    every, last = (1 << len(item)) - 1, 1 << len(item) - 1
+    up, down, edits = every, 0, len(item)
+    best = (edits, 0)
+    for end, word in enumerate(region.tolist(), 1):
+        same = places.get(word, 0)
+        across = ((same & up) + up ^ up) | same
+        rise, fall = down | every & ~(across | up), up & across
+        edits += bool(rise & last) - bool(fall & last)
+        rise, fall, stay = rise << 1, fall << 1, same | down
+        up, down = (fall | ~(stay | rise)) & every, rise & stay & every
+        if edits < best[0]:
+            best = (edits, end)
+    return best
+
+
+def length_class(n: int) -> int:
+    """Lengths that differ by less than half share a class."""
+    return int(2 * math.log2(n))
 
 
 class Items:
@@ -90,7 +111,9 @@ class Items:
                 self.runs[n][int(code)].append((k, o))
         self.runs = {n: dict(r) for n, r in self.runs.items()}
         self.sorted = {n: np.array(sorted(r), np.int64) for n, r in self.runs.items()}
-        self.tables = self.choose(recall) if self.items else []
+        self.classes = [length_class(len(x)) for x in self.items]
+        #: Of each length class: slots sampled, or None where all windows are compared.
+        self.tables = {c: self.choose(c, recall) for c in sorted(set(self.classes))}
 
     def codes(self, x: np.ndarray, n: int) -> np.ndarray:
         """One number for each run of n words; negative where a word is not the benchmark's."""
@@ -111,43 +134,61 @@ class Items:
             r[: len(x)] = x
         return out, lengths
 
-    def slots(self, table: int, lengths: np.ndarray) -> np.ndarray:
+    def slots(self, table: int, lengths: np.ndarray, sampled: int) -> np.ndarray:
         """The slots a table samples for items of these lengths."""
-        share = np.random.default_rng(table).random(SAMPLED)
+        share = np.random.default_rng(table).random(sampled)
         return (share[None, :] * (2 * lengths[:, None])).astype(np.int64)
 
-    def agree(self, windows: list[np.ndarray], which: list[int], tables: list[int]) -> np.ndarray:
+    def agree(self, windows: list[np.ndarray], which: list[int], tables: range, sampled: int) -> np.ndarray:
         """Whether a window shares a bucket of some table with its item."""
-        rows, lengths = self.block([*windows, *(self.items[k] for k in which)])
-        n = np.array([len(self.items[k]) for k in which])
         found = np.zeros(len(windows), bool)
-        for seed in sorted({t % WALKS for t in tables}):
-            embedded = walk(rows, lengths, seed)
-            a, b = embedded[: len(windows)], embedded[len(windows) :]
-            for t in tables:
-                if t % WALKS == seed:
-                    at = self.slots(t, n)
-                    found |= (np.take_along_axis(a, at, 1) == np.take_along_axis(b, at, 1)).all(1)
+        step = max(1, CELLS // (6 * max((len(self.items[k]) for k in which), default=1)))
+        for i in range(0, len(windows), step):
+            part, own = windows[i : i + step], which[i : i + step]
+            rows, lengths = self.block([*part, *(self.items[k] for k in own)])
+            n = np.array([len(self.items[k]) for k in own])
+            for seed in sorted({t % WALKS for t in tables}):
+                embedded = walk(rows, lengths, seed)
+                a, b = embedded[: len(part)], embedded[len(part) :]
+                for t in tables:
+                    if t % WALKS == seed:
+                        at = self.slots(t, n, sampled)
+                        found[i : i + step] |= (np.take_along_axis(a, at, 1) == np.take_along_axis(b, at, 1)).all(1)
         return found
 
-    def choose(self, recall: float) -> list[int]:
-        """As many tables as find the items again after tolerance(n) random edits with this recall."""
+    def window(self, x: np.ndarray, k: int, start: int) -> np.ndarray:
+        return x[max(0, start) : max(0, start + len(self.items[k]))]
+
+    def edited(self, k: int, rng: np.random.Generator) -> np.ndarray:
+        """A text that holds item k after tolerance(n) random edits."""
+        x = list(self.items[k])
+        for _ in range(self.allowed[k]):
+            at, kind = rng.integers(len(x)), rng.integers(3)
+            x[at : at + (kind != 1)] = [] if kind == 2 and len(x) > 1 else [-1]
+        around = [-1] * len(self.items[k])
+        return np.array([*around, *x, *around], np.int64)
+
+    def choose(self, length: int, recall: float) -> int | None:
+        """The most slots with which the tables find edited items of this class with this recall; None if none do."""
+        if length >= length_class(CGK_WORDS):
+            return None
         rng = np.random.default_rng(11)
-        trials = rng.choice(len(self.items), 400)
-        edited = []
-        for k in trials:
-            x = list(self.items[k])
-            for _ in range(self.allowed[k]):
-                at, kind = rng.integers(len(x)), rng.integers(3)
-                x[at : at + (kind != 1)] = [] if kind == 2 and len(x) > 1 else [-1]
-            edited.append(np.array(x[: len(self.items[k])], np.int64))
-        tables: list[int] = []
-        found = np.zeros(len(trials), bool)
-        while found.mean() < recall and len(tables) < 40 * WALKS:
-            more = list(range(len(tables), len(tables) + 4 * WALKS))
-            found |= self.agree(edited, list(trials), more)
-            tables += more
-        return tables
+        trials = rng.choice([k for k, c in enumerate(self.classes) if c == length], TRIALS)
+        pairs = []
+        for t, k in enumerate(trials):
+            x = self.edited(int(k), rng)
+            pairs += [(t, self.window(x, j, s), j) for j, s in self.candidates(x) if j == k]
+        of = np.array([t for t, *_ in pairs], np.int64)
+        for sampled in CHOICES:
+            found = np.zeros(len(trials), bool)
+            for first in range(0, TABLES, 4 * WALKS):
+                left = [i for i in range(len(pairs)) if not found[of[i]]]
+                ok = self.agree([pairs[i][1] for i in left], [pairs[i][2] for i in left], range(first, first + 4 * WALKS), sampled)
+                found[of[left][ok]] = True
+                p = found.mean()
+                if p - 1.64 * math.sqrt(p * (1 - p) / len(trials)) >= recall:
+                    return sampled
+        return None
 
     def candidates(self, x: np.ndarray) -> set[tuple[int, int]]:
         """(item, window start) in line with the runs that a text shares with items."""
@@ -165,15 +206,16 @@ class Items:
         numbers = [np.fromiter((known(w, -1) for w in words(t)), np.int64) for t in texts]
         pairs = [(d, k, s) for d, x in enumerate(numbers) for k, s in sorted(self.candidates(x))] if self.items else []
         out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        for i in range(0, len(pairs), 4096):
-            part = pairs[i : i + 4096]
-            windows = [numbers[d][max(0, s) : max(0, s + len(self.items[k]))] for d, k, s in part]
-            for (d, k, s), ok in zip(part, self.agree(windows, [k for _, k, _ in part], self.tables), strict=True):
-                if ok:
-                    begin = max(0, s - self.allowed[k])
-                    edits, _ = distance(self.items[k], numbers[d][begin : s + len(self.items[k]) + self.allowed[k]])
-                    if edits <= self.allowed[k]:
-                        out[d][k] = min(out[d].get(k, (edits, max(0, s))), (edits, max(0, s)))
+        for c, sampled in self.tables.items():
+            own = [p for p in pairs if self.classes[p[1]] == c]
+            if sampled:
+                ok = self.agree([self.window(numbers[d], k, s) for d, k, s in own], [k for _, k, _ in own], range(TABLES), sampled)
+                own = [own[i] for i in np.flatnonzero(ok)]
+            for d, k, s in own:
+                begin = max(0, s - self.allowed[k])
+                edits, _ = distance(self.items[k], numbers[d][begin : s + len(self.items[k]) + self.allowed[k]])
+                if edits <= self.allowed[k]:
+                    out[d][k] = min(out[d].get(k, (edits, max(0, s))), (edits, max(0, s)))
         return out
 
 

@@ -119,6 +119,25 @@ def test_items_are_found_again_with_the_target_recall():
     assert 0 < len(items.tables) <= 40 * decontaminate.WALKS
 
 
+def test_recall_of_each_length():
+    """Items with as many edits as the tolerance allows, in texts of their own: fresh trials, 10 to 300 words."""
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    lengths = [n for n in (10, 20, 30, 45, 60, 100, 150, 300) for _ in range(3)]
+    texts = [[word() for _ in range(n)] for n in lengths]
+    items = decontaminate.Items([(i, " ".join(t)) for i, t in enumerate(texts)])
+    leaking = []
+    for k, n in list(enumerate(lengths)) * 30:
+        x = list(texts[k])
+        for _ in range(n // 5):
+            at, kind = rng.randrange(len(x)), rng.randrange(3)
+            x[at : at + (kind != 1)] = [] if kind == 2 else ["new" + word()]
+        leaking.append((k, " ".join([*(word() for _ in range(20)), *x, *(word() for _ in range(20))])))
+    found = [(lengths[k], k in f) for (k, _), f in zip(leaking, items.leaks([t for _, t in leaking]), strict=True)]
+    share = {n: sum(f for m, f in found if m == n) / 90 for n in lengths}
+    assert all(s >= (1 if n >= 100 else 0.95) for n, s in share.items()), share
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab.@-+ (1)2 34é5٣%0"), max_size=60))
 def test_base_spans(text):
