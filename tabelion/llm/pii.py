@@ -40,7 +40,14 @@ LOOSE = (
     ("phone", re.compile(r"(?<![0-9A-Za-z.+])(?:00[1-9][0-9 .-]{8,20}[0-9]|\(?[0-9]{2,5}\)?(?:[ .\-/][0-9]{2,5}){1,5})(?![0-9A-Za-z])")),
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[ ./_-]{1,3}[0-9]{4}){3}(?:[ ./_-]{1,3}[0-9]{1,3})?(?![0-9A-Za-z])")),
 )
+#: What any match of the e-mail generator holds.
+_AT = re.compile(r"\[at\]|\(at\)|\{at\}| at ", re.I)
+#: Where a sentence may end within a match.
+_STOP = re.compile(r"\.(?= )| (?=\.)")
 _BEFORE = re.compile(r"\b(phone|tel|call|fax|mobile|reach|mail|e-mail|email|contact|write|card|visa|pay|version|v|isbn|order|date|page|no|id|ref|art|lei|release)\b", re.I)
+#: Words that stand before "at" in sentences, and last labels of hosts.
+PLAIN = frozenset("a all and are arrived available be but by call click contact find for found from go hosted in is it live located look looked me meet more not of on online or out page read see shop site start stay the them there this to up us visit was watch we were with you".split())
+ENDINGS = frozenset("com org net edu gov mil int info biz io co ai app dev me tv eu de fr es it nl br pt uk us ca au ch at be se no dk fi pl cz ru cn jp in kr mx ar".split())
 GOOD = frozenset("phone tel call fax mobile reach mail e-mail email contact write card visa pay".split())
 
 
@@ -83,12 +90,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def proposals(text: str) -> list[tuple[int, int, int]]:
-    """What the looser generators find; a card that Luhn's sum contradicts and a phone of too few digits are proposed all the same."""
+    """What the looser generators find, and of an address that a full stop may follow also the part before; a card that Luhn's sum contradicts and a phone of too few digits are proposed all the same."""
     digits = bool(_DIGIT.search(text))
     found = []
     for kind, pattern in LOOSE:
-        if digits if kind != "email" else "[at]" in text or "(at)" in text or "{at}" in text or (" at " in text and " dot " in text):
+        if digits if kind != "email" else _AT.search(text):
             found += [(m.start(), KINDS.index(kind), m.end()) for m in pattern.finditer(text)]
+        if kind == "email":
+            found += [(a, k, cut.start()) for a, k, b in found if KINDS[k] == kind for cut in _STOP.finditer(text, a, b) if pattern.fullmatch(text, a, cut.start())]
     return sorted(set(found))
 
 
@@ -98,11 +107,13 @@ def features(text: str, span: tuple[int, int, int]) -> list[float]:
     digits = re.sub(r"[^0-9]", "", s)
     groups = re.findall(r"[0-9]+", s)
     near = [w.lower() for w in _BEFORE.findall(before)]
+    local = _AT.split(s)[0].strip().lower() if KINDS[kind] == "email" else ""
     return [
         kind, end - start, len(digits), len(digits) / (end - start), len(groups), min(map(len, groups), default=0), max(map(len, groups), default=0),
         luhn(digits) if len(digits) >= 13 else -1, s.count(" "), s.count("."), s.count("-"), s.count("/"), "(" in s, "[" in s or "{" in s or "(at)" in s.lower(), " dot " in s.lower(),
         any(w in GOOD for w in near), any(w not in GOOD for w in near), before[-1:].isalnum() or before[-1:] in "/$#=", after[:1].isalnum() or after[:1] in "/%",
         len(set(digits)), digits[:1] == "0", digits[:2] in ("19", "20"), len(re.findall(r"[A-Za-z]+", s)),
+        bool(_STOP.search(s)), re.split(r"[^a-z]", s.lower().rstrip())[-1] in ENDINGS, local in PLAIN, not local.isalpha(),
     ]
 
 
@@ -154,8 +165,8 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate:
     return Trees(np.array(fs), np.array(cs), np.array(ls), bias)
 
 
-def make(n: int, seed: int) -> Iterator[tuple[str, tuple[int, int, int], bool]]:
-    """n invented texts with the proposals in them and whether each is personal data."""
+def written(n: int, seed: int) -> Iterator[tuple[str, int, int, bool, str]]:
+    """n invented texts: where the span of each begins and ends, whether it is personal data, and its kind or an empty string."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("an", "er", "th", "on", "ti", "re", "do", "la", "es", "ch")) for _ in range(r.randint(1, 4)))
     num = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -167,25 +178,37 @@ def make(n: int, seed: int) -> Iterator[tuple[str, tuple[int, int, int], bool]]:
     for _ in range(n):
         yes = r.random() < 0.5
         if yes:
-            dot = r.choice((" dot ", "[dot]", "."))
-            lead, s = r.choice((
-                (r.choice(("tel", "phone", "call", "mobile", word())), r.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"00{r.randint(1, 9)}{num(1)} {num(3)} {num(3)} {num(3)}"))),
-                (r.choice(("mail", "contact", "write", word())), f"{word()}{r.choice(('.', '_', ''))}{word()}{r.choice((' at ', '[at]', ' (at) '))}{word()}{dot}{r.choice(('com', 'org', 'net', 'de'))}"),
-                (r.choice(("card", "pay", "visa", word())), (lambda c, sep: sep.join(c[i : i + 4] for i in range(0, 16, 4)))(card(), r.choice((".", "/", "  ", "_")))),
+            dot = r.choice((" dot ", "[dot]", "(dot)", ".", "."))
+            kind, lead, s = r.choice((
+                ("phone", r.choice(("tel", "phone", "call", "mobile", word())), r.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"00{r.randint(1, 9)}{num(1)} {num(3)} {num(3)} {num(3)}"))),
+                ("email", r.choice(("mail", "contact", "write", word())), f"{word()}{r.choice(('.', '_', ''))}{word()}{r.choice((' at ', ' at ', '[at]', ' (at) ', '{at}', ' [at] '))}{word()}{dot}{r.choice(('com', 'org', 'net', 'de'))}"),
+                ("card", r.choice(("card", "pay", "visa", word())), (lambda c, sep: sep.join(c[i : i + 4] for i in range(0, 16, 4)))(card(), r.choice((".", "/", "  ", "_")))),
             ))
+            s = s.upper() if kind == "email" and r.random() < 0.2 else s
         else:
-            lead, s = r.choice((
+            kind, (lead, s) = "", r.choice((
                 (r.choice(("date", word())), r.choice((f"20{num(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{r.randint(10, 28)}.0{r.randint(1, 9)}.20{num(2)}", f"{r.randint(10, 28)}/{r.randint(10, 12)}/19{num(2)}"))),
                 (r.choice(("version", "release", word())), f"{num(2)}.{num(2)}.{num(2)}"),
                 (r.choice(("order", "ref", "no", word())), r.choice((f"{num(4)}-{num(4)}-{num(4)}-{num(4)}", f"{num(4)} {num(4)}.{num(4)} {num(4)}", f"{num(5)}-{num(2)}", f"{num(2)} {num(3)} {num(2)}"))),
                 (r.choice(("page", word())), r.choice((f"{num(2)} {num(3)}", f"{num(3)} {num(4)} {num(2)}", f"{num(2)}-{num(2)}"))),
                 (word(), f"{word()} at {word()} dot {word()}{word()}"), (word(), f"{word()} at {word()}. {word().title()} dot {word()}"),
+                (word(), f"{r.choice((word(), word(), *sorted(PLAIN)))} at {word()}. {word().title()}"), (word(), f"{r.choice(sorted(PLAIN))} at {word()}.{r.choice(('com', 'org', 'net', 'de'))}"),
             ))
-        text = " ".join([*(word() for _ in range(r.randint(2, 9))), lead, s, *(word() for _ in range(r.randint(0, 9)))])
-        at = text.index(s)
+        before = " ".join([*(word() for _ in range(r.randint(2, 9))), lead, ""])
+        stop = [". " + word().title()] if r.random() < 0.3 else []
+        after = " ".join(["", *(word() for _ in range(r.randint(0, 9)))])
+        yield before + s + "".join(stop) + after, len(before), len(before) + len(s), yes, kind
+
+
+def make(n: int, seed: int) -> Iterator[tuple[str, tuple[int, int, int], bool]]:
+    """Of n invented texts the proposals that meet the written span, and whether each is personal data."""
+    for text, begin, end, yes, kind in written(n, seed):
         for span in proposals(text):
-            if span[0] < at + len(s) and span[2] > at:
-                yield text, span, yes and span[2] - span[0] >= 0.8 * len(s) and not (KINDS[span[1]] == "phone" and len(re.sub("[^0-9]", "", s)) == 16)
+            if span[0] < end and span[2] > begin:
+                if kind == "email":
+                    yield text, span, span == (begin, KINDS.index(kind), end)
+                else:
+                    yield text, span, yes and span[2] - span[0] >= 0.8 * (end - begin) and not (KINDS[span[1]] == "phone" and kind == "card")
 
 
 @dataclass

@@ -159,6 +159,19 @@ def test_personal_data(spark):
     assert [s["kind"] for s in spans[1]["base"]] == ["email"] and len(spans[1]["spans"]) == 2 and spans[2]["spans"] == []
 
 
+def test_every_written_address_counts():
+    """Recall over all spans that are written, proposed or not; cases and separators that stand alone; sentences stay."""
+    model = pii.fit()
+    rows = [r for r in pii.written(3000, 98) if r[4] == "email"]
+    hits = [any(k == 0 and min(b, end) - max(a, begin) >= 0.8 * (end - begin) for a, k, b in found) for (_, begin, end, _, _), (_, found) in zip(rows, pii.find([r[0] for r in rows], model), strict=True)]
+    assert len(rows) > 300 and sum(hits) / len(hits) > 0.95
+    for s in ("jane.doe at example.com", "jane at example[dot]com", "JANE [AT] EXAMPLE [DOT] COM", "bob (AT) site.org", "bob at site.com"):
+        text = f"please write {s}. Thanks a lot"
+        assert [text[a:b] for a, k, b in pii.find([text], model)[0][1] if k == 0] == [s]
+    for text in ("We arrived at noon. The sun was high.", "Look at example.com for more", "they were at it. Then they left"):
+        assert pii.find([text], model)[0][1] == []
+
+
 def test_personal_data_query(spark, small):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     for r in Q.op10_boosted_pii(spark, small).collect():
