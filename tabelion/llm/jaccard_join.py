@@ -247,7 +247,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
             edges = linked if edges is None else edges.unionByName(linked)
             labels = components(edges, stages)
         elif labels is None:
-            break
+            labels = spark.createDataFrame([], "node long, component long")  # no head pair was possible; pairs of other rows may be
         if last:
             break
     nodes = classes if labels is None else classes.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")

@@ -128,6 +128,18 @@ def test_jaccard_join(spark):
     assert jaccard_join.join(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("first", [0, 500])
+def test_jaccard_join_goes_on_without_head_pairs(spark, first):
+    """Two near copies whose shared columns are headed by a text that neither of them can be linked with."""
+    run = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    shared, licence = run("s", 99), run("l", 104)
+    texts = [f"{shared} {run('b', 5)} {licence}", f"{shared} {run('b', 5)}", f"{shared} {run('c', 5)}", *(f"{licence} {run(f'o{k}x', 100)}" for k in range(4))]
+    ids = [r["id"] for r in spark.range(first, first + len(texts)).orderBy(F.xxhash64("id", F.lit(0))).collect()]  # the first heads round 0
+    rows = list(zip(ids, texts, strict=True))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.components(rows) and got[ids[1]][1] == got[ids[2]][1]
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_language_model(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()] + [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "never seen")]
