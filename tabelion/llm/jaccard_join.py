@@ -1,25 +1,30 @@
 """N-gram Jaccard join: the blocked product of the document by n-gram incidence matrix with its transpose.
 
 Rows of the matrix are classes of documents with equal n-gram sets, columns are n-grams. The product is taken block of
-columns by block of columns (a block is a shuffle partition of n-grams), in two phases, both exact:
-
-* Leading columns. All rows order their n-grams alike, by how often a fixed-size count sketch over all documents has
-  met them, then by hash. Two sets of similarity s or more share one of their first n - ceil(s n) + 1 n-grams, so the
-  product over these columns meets every linked pair; products of rows whose sizes, column places or parity bitmaps
-  rule out the needed overlap are dropped.
-* All columns, for the pairs that are left: overlap counts of the whole sets, compared with the bound.
-
-Pairs within a group are not spelled out: each leading column first links its rows to one of its rows; verified links
-make components, and only columns that still hold several components go on, to other rows in further rounds and at
-last to all pairs of different components. That loses no link between components, and so no component.
+columns by block of columns (a block is a shuffle partition of n-grams), and overlap counts are added up along rows:
+
+* First product, over a part of the columns. All rows order their n-grams by hash. Two sets of similarity s or more
+  have at least s n n-grams in common, so their first n - s n + l n-grams hold the first l common ones of both. A row
+  whose first columns meet fewer than l of other rows' (l for the smallest partner its size allows) is discarded: most
+  rows are, as their texts are alike to no other.
+* Second product, over all columns of the rows left: how many rows each column has, exactly. A row with fewer than s n
+  columns in other rows is discarded. The columns of the rest are ordered by that count, then by hash, and the first
+  n - s n + 1 are its leading columns: linked rows have one in common, and what many rows share comes last.
+* Pairs. Each leading column links its rows to the one whose columns have the most rows on average, which is what the
+  copies in a group were made from. Overlap counts of whole rows verify the pairs, links make components, and in
+  leading columns that still hold several components all pairs of these are formed whose sizes, column places and
+  parity bitmaps leave room for the needed overlap.
+
+No step loses a link between components. Pairs within a group are not spelled out.
 
 Null and empty texts have no n-grams: n_shingles 0, linked with nothing. Texts of fewer than k words are one n-gram.
-Repeated rows with one id count as one document; rows with a null id get their counts and a null component.
+Rows that repeat an id count as one document; if their texts differ, the set of least digest stands for it. Rows with a
+null id get their counts and a null component.
 """
 
 from __future__ import annotations
 
-import zlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,22 +32,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tabelion.llm.common import ASCII_LOWER, Stages, arrow_limits
 
-#: Counters of the sketch, each one byte when it is sent out, and the parts it is summed in.
-CELLS, PARTS = 1 << 22, 64
-#: Columns are ordered by these classes of estimated counts.
-STEPS = 2.0
 #: Bits of a set's parity bitmap.
 BITS = 512
-#: Identifiers that are sent to all tasks (8 bytes each); more are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
-#: All pairs of components are spelled out once their columns hold at most so many pairs a cell.
-SPELLED_OUT = 8
-#: Rounds in which a column's rows are linked to one of them before pairs of components are spelled out.
-ROUNDS = 4
+#: The first product demands one common column for each so many n-grams of a set.
+COMMON_PER = 10
+#: Rows of identifiers that are sent to all tasks; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Words a worker remembers the hashes of.
+REMEMBERED = 1 << 17
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,7 +50,7 @@ class Hashes(dict):
     """Word -> hash, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found
@@ -78,30 +78,8 @@ def ngrams(text: str | None, k: int = 5) -> np.ndarray:
     return np.unique(code)
 
 
-def sketch(df: DataFrame, text_col: str, k: int, cells: int = CELLS) -> np.ndarray:
-    """log2 classes of how often each cell's n-grams were met, over all documents: cells bytes, whatever the input's size."""
-    width = cells // PARTS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int32)
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                np.add.at(total, (ngrams(text, k) % np.uint64(cells)).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([zlib.compress(total[p * width : (p + 1) * width].tobytes(), 1) for p in range(PARTS)], pa.binary())], names=["part", "counts"])
-
-    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.int64)
-        for b in batches:
-            for counts in b.column(1):
-                total += np.frombuffer(zlib.decompress(counts.as_py()), np.int32)
-        level = np.floor(np.log2(np.maximum(total, 1)) * STEPS).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], names=["part", "levels"])
-
-    rows = df.select(text_col).mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, levels binary").collect()
-    found = np.zeros(cells, np.uint8)
-    for r in rows:
-        found[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["levels"], np.uint8)
-    return found
+def digest(grams: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
@@ -113,43 +91,73 @@ def parity(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def leading(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+def share_of(n: int | Column, percent: int) -> int | Column:
+    """percent of n, rounded up: what a set of n has in common with any linked set."""
+    return -(-percent * n // 100) if isinstance(n, int) else F.ceil(n * percent / 100)
+
 
+def demanded(n: int) -> int:
+    """Common columns that the first product's columns of a set of n are laid out for."""
+    return max(1, n // COMMON_PER)
 
-def incidence(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """doc_id, n, digest of the set, its parity bitmap and its leading columns in order."""
-    packed, cells = zlib.compress(levels.tobytes(), 1), len(levels)
 
+def incidence(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """doc_id, n, digest of the set, its first columns by hash and how many of them other rows must have."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = np.frombuffer(zlib.decompress(packed), np.uint8)
         for b in batches:
-            n, digests, bits, heads = [], [], [], []
+            n, digests, heads, needed = [], [], [], []
             for text in b.column(1).to_pylist():
                 own = ngrams(text, k)
+                least = share_of(len(own), percent)
                 n.append(len(own))
-                digests.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-                bits.append(parity(own))
-                order = np.argsort(level[(own % np.uint64(cells)).astype(np.int64)], kind="stable")
-                heads.append(own[order[: leading(len(own), percent)]].view(np.int64) if len(own) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "bits", "heads"])
+                digests.append(digest(own))
+                heads.append(own[: len(own) - least + demanded(len(own))].view(np.int64))
+                needed.append(demanded(least))  # a partner may be as small as that, and lays out fewer columns
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(heads, pa.list_(pa.int64())), pa.array(needed, pa.int32())], names=["doc_id", "n", "digest", "heads", "needed"])
 
-    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n long, digest binary, bits array<long>, heads array<long>")
+    return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n long, digest binary, heads array<long>, needed int")
+
+
+def sent(ids: DataFrame) -> DataFrame:
+    """ids, sent to all tasks if they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def whole_sets(df: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
-    """node and its whole n-gram set, for the wanted nodes."""
+    """node, n, grams and parity bitmap of the wanted (node, digest)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([ngrams(t, k).view(np.int64) for t in b.column(1).to_pylist()], pa.list_(pa.int64()))], names=["node", "grams"])
+            sets = [(i, own) for i, (text, d) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)) if digest(own := ngrams(text, k)) == d]
+            grams = [own.view(np.int64) for _, own in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array([i for i, _ in sets], pa.int64())), pa.array(list(map(len, grams)), pa.int32()), pa.array(grams, pa.list_(pa.int64())), pa.array([parity(own) for _, own in sets], pa.list_(pa.int64()))],
+                names=["node", "n", "grams", "bits"],
+            )
+
+    texts = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).join(sent(wanted), "node").select("node", "text", "digest")
+    return texts.mapInArrow(run, "node long, n int, grams array<long>, bits array<long>")
+
 
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    # repeated rows hold one set; without a shuffle they would be joined twice, which only repeats an edge
-    return df.select(F.col(id_col).cast("long").alias("node"), text_col).join(few, "node", "left_semi").mapInArrow(run, "node long, grams array<long>")
+def met_elsewhere(rows: DataFrame, stages: Stages) -> DataFrame:
+    """node, digest of the rows whose first columns meet as many of other rows' as a link needs."""
+    cells = rows.select(F.col("doc_id").alias("node"), F.explode("heads").alias("gram"))
+    common = cells.groupBy("gram").agg(F.count("*").alias("d")).where("d > 1").select("gram")
+    met = cells.join(common, "gram", "left_semi").groupBy("node").agg(F.count("*").alias("met"))
+    return stages.keep(rows.select(F.col("doc_id").alias("node"), "digest", "needed").join(met, "node").where("met >= needed").select("node", "digest"), "met")
+
+
+def leading(sets: DataFrame, percent: int) -> DataFrame:
+    """gram, node, n, place, met (shared columns before it), weight (rows of the node's columns, on average) of each shared leading column."""
+    cells = sets.select("node", "n", F.explode("grams").alias("gram"))
+    common = cells.groupBy("gram").agg(F.count("*").cast("int").alias("d")).where("d > 1")
+    rows = cells.join(common, "gram").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("d", "gram"))).alias("shared"), F.sum("d").alias("total"))
+    first = F.size("shared") - share_of(F.col("n"), percent) + 1  # the others of n - s n + 1 are in no other row
+    rows = rows.where(first > 0).select("node", "n", (F.col("total") / F.col("n")).alias("weight"), (F.col("n") - F.size("shared")).alias("alone"), F.posexplode(F.slice("shared", 1, first.cast("int"))).alias("met", "c"))
+    return rows.select(F.col("c.gram").alias("gram"), "node", "n", (F.col("alone") + F.col("met")).alias("place"), "met", "weight")
 
 
 def sizes_allow(a: Column, b: Column, percent: int) -> Column:
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 def places_allow(left: dict[str, Column], right: dict[str, Column], percent: int) -> Column:
@@ -167,15 +175,33 @@ def bits_allow(left: dict[str, Column], right: dict[str, Column], percent: int)
     return apart * (100 + percent) <= (100 - percent) * (left["n"] + right["n"])
 
 
-def without(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """df but for rows whose key is in ids (one column of that name), which are sent to all tasks only if they are few."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti")
+def to_heads(cells: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each leading column's rows with its heaviest."""
+    heads = cells.groupBy("gram").agg(F.count("*").alias("d"), F.min_by(F.struct("node", "n"), F.struct(-F.col("weight"), "node")).alias("h")).where("d > 1").select("gram", "h")
+    pairs = cells.join(heads, "gram").where((F.col("node") != F.col("h.node")) & sizes_allow(F.col("n"), F.col("h.n"), percent))
+    return pairs.select(F.col("node").alias("a"), F.col("h.node").alias("b")).distinct()
 
 
-def verified(df: DataFrame, id_col: str, text_col: str, k: int, percent: int, pairs: DataFrame, stages: Stages) -> DataFrame:
-    """The pairs (a, b) whose whole sets overlap enough."""
-    nodes = stages.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
-    sets = stages.keep(whole_sets(df, id_col, text_col, k, nodes), "sets")
+def between_components(cells: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, stages: Stages) -> DataFrame:
+    """Pairs (a, b) of different components in a common leading column that no bound rules out.
+
+    Rows of a column meet by classes of sizes, so that only sizes in reach of one another do, in several tasks.
+    """
+    here = cells.drop("weight").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    columns = here.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
+    reach = F.floor(F.log(F.col("n").cast("double")) / math.log(101 / percent)).cast("int")  # linked sizes are one class apart at most
+    here = stages.keep(here.join(columns, "gram", "left_semi").join(sets.select("node", "bits"), "node").withColumn("reach", reach), "several")
+    names = ("node", "n", "place", "met", "component", "bits")
+    x = here.select("gram", F.explode(F.array("reach", F.col("reach") + 1)).alias("reach"), F.struct(*names).alias("x"))
+    y = here.select("gram", "reach", F.struct(*names).alias("y"))
+    left, right = ({c: F.col(f"{side}.{c}") for c in names} for side in "xy")
+    smaller = (left["n"] < right["n"]) | ((left["n"] == right["n"]) & (left["node"] < right["node"]))
+    allowed = smaller & (left["component"] != right["component"]) & sizes_allow(left["n"], right["n"], percent) & places_allow(left, right, percent) & bits_allow(left, right, percent)
+    return x.join(y, ["gram", "reach"]).where(allowed).select(left["node"].alias("a"), right["node"].alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole rows overlap enough."""
     a, b = (sets.select(F.col("node").alias(c), F.col("grams").alias(f"grams_{c}")) for c in ("a", "b"))
     overlap = F.size(F.array_intersect("grams_a", "grams_b"))
     return pairs.join(a, "a").join(b, "b").where(overlap * (100 + percent) >= percent * (F.size("grams_a") + F.size("grams_b"))).select("a", "b")
@@ -203,65 +229,38 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int =
     spark = df.sparkSession
     arrow_limits(spark)
     stages = Stages(spark, "jaccard")
-    rows = stages.keep(incidence(df, id_col, text_col, k, percent, sketch(df, text_col, k)), "incidence")
-    classes = stages.keep(rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")), "classes")
-    ids = rows.where("n > 0 and doc_id is not null").select("digest", "doc_id")
-    others = stages.keep(ids.join(classes, "digest").where("doc_id <> node").select("doc_id").distinct(), "others")
-    kept = without(rows.where("n > 0 and doc_id is not null"), others, "doc_id")
-    if ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    cells = kept.select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), F.posexplode("heads").alias("place", "gram"))
-    # columns with one row meet nothing
-    shared = stages.keep(cells.groupBy("gram").agg(F.count("*").alias("d")).where("d > 1").select("gram"), "columns")
-    cells = cells.join(shared, "gram", "left_semi").withColumn("met", F.row_number().over(Window.partitionBy("node").orderBy("place")) - 1)
-    cells = stages.keep(cells.join(kept.select(F.col("doc_id").alias("node"), "bits"), "node"), "cells")
-    stages.drop(shared)
-    tested, edges, labels = None, None, None
-    for round_ in range(ROUNDS + 1):
-        last = round_ == ROUNDS
-        here = cells.withColumn("component", F.col("node"))
-        if labels is not None:
-            here = cells.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            columns = here.groupBy("gram").agg(F.count("*").alias("d"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-            columns = stages.keep(columns.select("gram", "d"), "columns")
-            here = stages.keep(here.join(columns, "gram", "left_semi"), "mixed")
-            size = columns.agg(F.count("*").alias("columns"), F.sum("d").alias("cells"), F.sum(F.col("d") * (F.col("d") - 1) / 2).alias("pairs")).first()
-            if not size["columns"]:
-                break
-            last = last or size["pairs"] <= SPELLED_OUT * size["cells"]
-        if last:
-            heads = here
-        else:
-            heads = here.groupBy("gram").agg(F.min_by(F.struct(*(c for c in here.columns if c != "gram")), F.xxhash64("node", F.lit(round_))).alias("h")).select("gram", "h.*")
-        x, y = here.select("gram", F.struct("*").alias("x")), heads.select("gram", F.struct("*").alias("y"))
-        left, right = ({c: F.col(f"{side}.{c}") for c in ("node", "n", "place", "met", "component", "bits")} for side in "xy")
-        allowed = (left["node"] < right["node"] if last else left["node"] != right["node"]) & (left["component"] != right["component"])
-        allowed &= sizes_allow(left["n"], right["n"], percent) & places_allow(left, right, percent) & bits_allow(left, right, percent)
-        pairs = x.join(y, "gram").where(allowed).select(F.least(left["node"], right["node"]).alias("a"), F.greatest(left["node"], right["node"]).alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stages.keep(pairs, "pairs")
-        if pairs.limit(1).count():
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            linked = stages.keep(verified(df, id_col, text_col, k, percent, pairs, stages), "links")
-            edges = linked if edges is None else edges.unionByName(linked)
-            labels = components(edges, stages)
-        elif labels is None:
-            labels = spark.createDataFrame([], "node long, component long")  # no head pair was possible; pairs of other rows may be
-        if last:
-            break
-    nodes = classes if labels is None else classes.join(labels, "node", "left").withColumn("node", F.coalesce("component", "node")).drop("component")
-    found = rows.drop("heads", "bits").join(nodes, "digest", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("component_id"))
+    every = stages.keep(incidence(df, id_col, text_col, k, percent), "incidence")
+    rows = every.where("n > 0 and doc_id is not null")
+    ids = rows.select("doc_id", "digest")
+    repeated = ids.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    if repeated:
+        ids = stages.keep(ids.groupBy("doc_id").agg(F.min("digest").alias("digest")), "ids")
+        rows = rows.join(ids, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
+    classes = ids.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")).where("copies > 1").select("digest", "node")
+    classes = sent(stages.keep(classes, "classes"))
+    kept = rows.join(classes, "digest", "left").where("node is null or node = doc_id")
+    sets = whole_sets(df, id_col, text_col, k, met_elsewhere(kept, stages))
+    sets = stages.keep(sets.dropDuplicates(["node"]) if repeated else sets, "sets")
+    cells = stages.keep(leading(sets, percent), "cells")
+    edges = stages.keep(verified(stages.keep(to_heads(cells, percent), "heads"), sets, percent), "links")
+    others = stages.keep(between_components(cells, sets, components(edges, stages), percent, stages), "pairs")
+    edges = edges.unionByName(stages.keep(verified(others, sets, percent), "links"))
+    labels = sent(components(edges, stages))
+    found = every.select("doc_id", F.col("n").alias("n_shingles"), "digest")
+    if repeated:
+        found = found.drop("digest").join(ids, "doc_id", "left")
+    node = F.coalesce("node", "doc_id")
+    found = found.join(classes, "digest", "left").select("doc_id", "n_shingles", node.alias("node"))
+    return found.join(labels, "node", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node")).alias("component_id"))
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """df with the least id of each component, all columns as they are; rows without n-grams or without an id stay, repeated rows go."""
+    """df with the least id of each component, all columns as they are; rows without n-grams or without an id stay. Of rows that repeat an id, the one of least text stays."""
     stages = Stages(df.sparkSession, "one-of-each")
     ids = stages.keep(join(df, id_col, text_col, k, percent), "components")
     others = ids.where("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
-    others = F.broadcast(others) if others.count() <= BROADCAST_IDS else others
-    left = df.join(others, df[id_col].cast("long") == F.col("__id"), "left_anti")
+    left = df.join(sent(others), df[id_col].cast("long") == F.col("__id"), "left_anti")
     if ids.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
+        first = left.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.min_by(F.struct("*"), F.coalesce(text_col, F.lit(""))).alias("__row")).select("__row.*")
+        left = first.unionByName(left.where(F.col(id_col).isNull()))
     return left
