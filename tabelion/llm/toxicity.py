@@ -1,15 +1,17 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Grades are ordered: 0 clean, 1 toxic, 2 heavily toxic. The labels tell only toxic from clean, so toxic texts are
-graded by how many distinct marked words they have, at or above the median of the toxic sample being 2. One weight vector serves
-all thresholds: P(grade <= k) = sigmoid(cut_k - w.x). The expected severity is the sum over k of P(grade >= k).
+Grades are ordered: 0 clean, 1 toxic, 2 heavily toxic. The labels tell only toxic from clean, so toxic training rows are
+graded by how many words they have that mark toxic rows in the other half of the training rows (2 from the median up). One
+weight vector serves all thresholds: P(grade <= k) = sigmoid(cut_k - w.x). The expected severity is the sum over k of
+P(grade >= k).
 
-Features are the words that a text has. Those that part toxic from clean rows with a z of MIN_Z or
-more are kept, MAX_FEATURES at most.
+Features are the words that a text has. Those that part toxic from clean training rows with a z of MIN_Z or more are
+kept (20 at least, MAX_FEATURES at most); they are counted by Spark, and only they reach the driver. The threshold is
+chosen on a fold that neither features nor weights have seen.
 
-The classifier is fitted on at most max_labelled labelled rows (half of them toxic, where there are as many), chosen
-by hash; of sampled rows with the same two first words in hash order (copies and most near copies) one counts. Everything
-else covers all rows. Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased.
+The classifier is fitted on at most max_labelled labelled rows (half of them toxic, where there are as many), chosen by hash;
+of rows with the same words one counts. Everything else covers all rows. Words are runs of letters, digits and non-ASCII
+bytes, A-Z lower-cased.
 
 Null and empty texts have no words and get the intercept's severity. Null labels count as unlabelled. Without labels
 of both kinds the model is flat: severity 0, nothing rejected. Repeated rows are scored each.
@@ -24,12 +26,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabelion.llm.common import ASCII_LOWER, arrow_limits
+from tabelion.llm.common import ASCII_LOWER, Stages, arrow_limits
 
-MAX_LABELLED, MAX_FEATURES, MIN_DF, MIN_Z, HELD_OUT = 8_000, 2_000, 5, 4.5, 5
+MAX_LABELLED, MAX_FEATURES, MIN_DF, MIN_Z = 8_000, 2_000, 4, 4.5
+#: Fold 0 is held out; the others are the training rows, in two halves.
+FOLDS = 5
 #: Below this expected severity a text is likelier clean, whatever few held-out rows say.
 LEAST_THRESHOLD = 0.5
 #: ASCII punctuation and blanks part words.
@@ -65,54 +69,79 @@ def above(cuts: np.ndarray, z: np.ndarray) -> np.ndarray:
 FLAT = Model({}, np.zeros(0), np.array([60.0, 61.0]), math.inf)
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_labelled: int) -> pa.Table:
-    """At most max_labelled rows with their features, toxic and clean ones by hash, one of each group of copies."""
-    chosen = labels.where("toxic in (0, 1)").groupBy(F.col("doc_id").alias("__id")).agg(F.max("toxic").alias("__toxic"))
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, max_labelled: int, stages: Stages) -> DataFrame:
+    """toxic, fold and distinct words of at most max_labelled rows, toxic and clean ones by hash; of rows with the same words one counts.
+
+    The fold follows the least word hash, so that most near copies share one.
+    """
+    chosen = labels.where("toxic in (0, 1)").groupBy(F.col(label_id).alias("__id")).agg(F.max("toxic").cast("int").alias("__toxic"))
     half = [chosen.where(F.col("__toxic") == k).orderBy(F.xxhash64("__id"), "__id").limit(max_labelled // 2) for k in (0, 1)]
     few = F.broadcast(half[0].unionByName(half[1]))  # at most max_labelled rows of 12 bytes
-    found = docs.join(few, docs[id_col] == F.col("__id")).select("__id", "__toxic", F.col(text_col).alias("text"))
+    found = docs.join(few, docs[id_col] == F.col("__id")).select(F.col("__id").cast("string"), "__toxic", F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(distinct, texts), pa.list_(pa.binary()))], names=["id", "toxic", "words"])
-
-    rows = found.mapInArrow(run, "id long, toxic int, words array<binary>").toArrow().sort_by("id")
-    first: dict = {}
-    for i, own in enumerate(rows["words"]):
-        first.setdefault(tuple(own.values[:2].to_pylist()), i)
-    return rows.take(pa.array(first.values(), pa.int64()))
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
+            each = [distinct(t) for t in b.column(2).to_pylist()]
+            group = [xxhash.xxh3_64_intdigest(b" ".join(w)) - (1 << 63) for w in each]
+            fold = [xxhash.xxh64_intdigest(w[0]) % FOLDS if w else 0 for w in each]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(each, pa.list_(pa.binary())), pa.array(group, pa.int64()), pa.array(fold, pa.int32())], names=["id", "toxic", "words", "group", "fold"])
+
+    rows = stages.keep(found.mapInArrow(run, "id string, toxic int, words array<binary>, group long, fold int"), "sample")
+    first = F.min_by(F.struct("toxic", "fold", "words"), F.struct("id", "toxic"))
+    return stages.keep(rows.groupBy("group").agg(first.alias("r")).select("r.*"), "distinct")
+
+
+def features(rows: DataFrame) -> tuple[list[bytes], np.ndarray]:
+    """At most MAX_FEATURES words and their z in all training folds, in the lower ones and in the upper ones."""
+    lower = F.col("fold") <= FOLDS // 2
+    parts = (F.col("fold") > 0, (F.col("fold") > 0) & lower, ~lower)
+    counts = [c for i, own in enumerate(parts) for c in (F.count_if(own).alias(f"n{i}"), F.count_if(own & (F.col("toxic") == 1)).alias(f"bad{i}"))]
+    of = rows.agg(*counts).first()
+
+    def z(i: int) -> Column:
+        n, bad = of[f"n{i}"], of[f"bad{i}"]
+        if not 0 < bad < n:
+            return F.lit(0.0)
+        p = F.col(f"n{i}") / n
+        spread = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / bad + 1 / (n - bad)))
+        return F.when(F.col(f"n{i}") >= MIN_DF, (F.col(f"bad{i}") / bad - (F.col(f"n{i}") - F.col(f"bad{i}")) / (n - bad)) / spread).otherwise(0.0)
+
+    words = rows.select("toxic", "fold", F.explode("words").alias("word")).groupBy("word").agg(*counts)
+    best = words.select("word", *(z(i).alias(f"z{i}") for i in range(3))).orderBy(F.desc(F.greatest("z0", "z1", "z2")), "word").limit(MAX_FEATURES).collect()
+    found = np.array([[r["z0"], r["z1"], r["z2"]] for r in best], float).reshape(len(best), 3)
+    return [bytes(r["word"]) for r in best], found
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, label_id: str = "doc_id") -> Model:
     arrow_limits(docs.sparkSession)
-    rows = sample(docs, labels, id_col, text_col, max_labelled)
-    toxic = rows["toxic"].to_numpy().astype(bool)
-    if not len(toxic) or toxic.all() or not toxic.any():
+    rows = sample(docs, labels, id_col, text_col, label_id, max_labelled, Stages(docs.sparkSession, "toxicity"))
+    words, z = features(rows)
+    place = {w: i for i, w in enumerate(words)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [[place[w] for w in ws if w in place] for ws in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.list_(pa.int32()))], names=["toxic", "fold", "own"])
+
+    # at most max_labelled rows of numbers of at most MAX_FEATURES words
+    coded = rows.select("toxic", "fold", "words").mapInArrow(run, "toxic int, fold int, own array<int>").toArrow()
+    toxic, fold = coded["toxic"].to_numpy().astype(bool), coded["fold"].to_numpy()
+    held = fold == 0
+    if not words or not toxic[~held].any() or toxic[~held].all():
         return FLAT
-    coded = rows["words"].combine_chunks()
-    of = np.repeat(np.arange(len(toxic)), np.diff(coded.offsets.to_numpy()))
-    coded = coded.flatten().dictionary_encode()
-    every, place = coded.dictionary, coded.indices.to_numpy()
-    both = np.bincount(place, minlength=len(every))
-    bad = np.bincount(place, toxic[of], len(every))
-    n0, n1 = int((~toxic).sum()), int(toxic.sum())
-    p = both / len(toxic)
-    z = (bad / n1 - (both - bad) / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1))
-    z[both < (MIN_DF if len(toxic) >= 1000 else 3)] = 0
-    kept = np.argsort(-z, kind="stable")[: min(MAX_FEATURES, max(int((z >= MIN_Z).sum()), 20))]
-    column = np.full(len(every), -1)
-    column[kept] = np.arange(len(kept))
-    own = column[place] >= 0
-    x = np.zeros((len(toxic), len(kept)), np.float32)
-    x[of[own], column[place[own]]] = 1
-    marked = x.sum(1)
-    grade = np.where(toxic, 1 + (marked >= max(1, np.median(marked[toxic]))), 0)
-    held = np.arange(len(toxic)) % HELD_OUT == 0
-    weights, cuts = ordinal(x[~held], grade[~held])
-    severity = above(cuts, x[held] @ weights).sum(1)
+    x = np.zeros((len(toxic), len(words)), np.float32)
+    own = coded["own"].combine_chunks()
+    x[np.repeat(np.arange(len(toxic)), np.diff(own.offsets.to_numpy())), own.flatten().to_numpy()] = 1
+    # a toxic row is graded by words that the other half of the training rows marks
+    lower = fold <= FOLDS // 2
+    marked = np.where(lower, x @ (z[:, 2] >= MIN_Z), x @ (z[:, 1] >= MIN_Z))
+    grade = np.where(toxic, 1 + (marked >= max(1, np.median(marked[toxic & ~held]))), 0)
+    kept = np.flatnonzero(z[:, 0] >= min(MIN_Z, np.sort(z[:, 0])[-min(20, len(z))]))
+    weights, cuts = ordinal(x[~held][:, kept], grade[~held])
+    severity = above(cuts, x[held][:, kept] @ weights).sum(1)
     seen = {r["toxic"]: r["n"] for r in labels.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    return Model({w: i for i, w in enumerate(every.take(kept).to_pylist())}, weights, cuts, max(LEAST_THRESHOLD, best_threshold(severity, toxic[held], seen[0] / seen[1] * n1 / n0)))
+    weight = seen[0] / seen[1] * toxic.sum() / max(1, (~toxic).sum())
+    return Model({words[k]: i for i, k in enumerate(kept)}, weights, cuts, max(LEAST_THRESHOLD, best_threshold(severity, toxic[held], weight)))
 
 
 def ordinal(x: np.ndarray, grade: np.ndarray, l2: float = 2e-5, steps: int = 600, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +159,7 @@ def ordinal(x: np.ndarray, grade: np.ndarray, l2: float = 2e-5, steps: int = 600
         grad = -np.concatenate([-(x.T @ (g0 + g1)) / len(z) - l2 * p[:-2], [(g0 + g1).mean(), (g1 * gap).mean()]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        p[:-2] = p[:-2].clip(0)  # kept features mark toxic texts
+        p[:-2] = p[:-2].clip(0)  # every kept word marks toxic texts: no text becomes cleaner by one more of them
     return p[:-2], np.array([p[-2], p[-2] + np.exp(np.clip(p[-1], -6, 6))])
 
 
