@@ -26,29 +26,37 @@ from pyspark.sql import DataFrame
 
 from tabelion.llm.common import arrow_limits
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds of the base generators, and what only the method finds.
+BASE_KINDS = ("email", "ip", "card", "phone")
+KINDS = (*BASE_KINDS, "secret")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: Characters before the @ of an address.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match can begin nowhere but at the first digit of a run, and no shorter part of a run is followed by a dot.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: Looser proposals. Written-out addresses, national phones, cards with dots, slashes or wide gaps.
+#: Written-out addresses: what stands for the @, what may be before it and what follows.
+_AT = re.compile(r"\[at\]|\(at\)|\{at\}| at ", re.I)
+_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]{2,64} ?\Z")
+_HOST = re.compile(r" ?[A-Za-z0-9-]{2,63}(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot |\.) ?[A-Za-z]{2,24}){1,4}", re.I)
+#: Other looser proposals: national phones, cards with dots, slashes or wide gaps, defanged and long addresses of hosts, keys.
 LOOSE = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]{2,64} ?(?:\[at\]|\(at\)|\{at\}| at ) ?[A-Za-z0-9-]{2,63}(?: ?(?:\[dot\]|\(dot\)|\{dot\}| dot |\.) ?[A-Za-z]{2,24}){1,4}", re.I)),
     ("phone", re.compile(r"(?<![0-9A-Za-z.+])(?:00[1-9][0-9 .-]{8,20}[0-9]|\(?[0-9]{2,5}\)?(?:[ .\-/][0-9]{2,5}){1,5})(?![0-9A-Za-z])")),
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[ ./_-]{1,3}[0-9]{4}){3}(?:[ ./_-]{1,3}[0-9]{1,3})?(?![0-9A-Za-z])")),
+    ("ip", re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)| dot ) ?[0-9]{1,3}){3}(?![0-9A-Za-z])|(?<![0-9A-Za-z:])(?:[0-9a-f]{1,4}:){3,7}:?[0-9a-f]{1,4}(?![0-9A-Za-z:])", re.I)),
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,128}[0-9])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])")),
 )
-#: What any match of the e-mail generator holds.
-_AT = re.compile(r"\[at\]|\(at\)|\{at\}| at ", re.I)
+_HEX = re.compile(r"[0-9a-fA-F]+")
 #: Where a sentence may end within a match.
 _STOP = re.compile(r"\.(?= )| (?=\.)")
-_BEFORE = re.compile(r"\b(phone|tel|call|fax|mobile|reach|mail|e-mail|email|contact|write|card|visa|pay|version|v|isbn|order|date|page|no|id|ref|art|lei|release)\b", re.I)
+GOOD = frozenset("phone tel call fax mobile reach mail e-mail email contact write card visa pay token key secret password passwd pwd api auth bearer host address ip server".split())
+PLAINER = frozenset("version v isbn order date page no id ref art lei release commit sha hash digest checksum uuid etag build path time".split())
+_BEFORE = re.compile(r"(?<![A-Za-z])(?:" + "|".join(sorted(GOOD | PLAINER, key=lambda w: (-len(w), w))) + r")(?![A-Za-z])", re.I)
 #: Words that stand before "at" in sentences, and last labels of hosts.
 PLAIN = frozenset("a all and are arrived available be but by call click contact find for found from go hosted in is it live located look looked me meet more not of on online or out page read see shop site start stay the them there this to up us visit was watch we were with you".split())
 ENDINGS = frozenset("com org net edu gov mil int info biz io co ai app dev me tv eu de fr es it nl br pt uk us ca au ch at be se no dk fi pl cz ru cn jp in kr mx ar".split())
-GOOD = frozenset("phone tel call fax mobile reach mail e-mail email contact write card visa pay".split())
 
 
 def luhn(digits: str) -> bool:
@@ -89,16 +97,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def written_out(text: str) -> Iterator[tuple[int, int]]:
+    """Spans that read like an address with its signs written out; also the part of one before a full stop in it."""
+    for at in _AT.finditer(text):
+        local = _LOCAL_END.search(text, max(0, at.start() - 65), at.start())
+        host = local and _HOST.match(text, at.end())
+        if host:
+            yield local.start(), host.end()
+            for cut in _STOP.finditer(text, at.end(), host.end()):
+                if _HOST.fullmatch(text, at.end(), cut.start()):
+                    yield local.start(), cut.start()
+
+
 def proposals(text: str) -> list[tuple[int, int, int]]:
-    """What the looser generators find, and of an address that a full stop may follow also the part before; a card that Luhn's sum contradicts and a phone of too few digits are proposed all the same."""
-    digits = bool(_DIGIT.search(text))
-    found = []
-    for kind, pattern in LOOSE:
-        if digits if kind != "email" else _AT.search(text):
-            found += [(m.start(), KINDS.index(kind), m.end()) for m in pattern.finditer(text)]
-        if kind == "email":
-            found += [(a, k, cut.start()) for a, k, b in found if KINDS[k] == kind for cut in _STOP.finditer(text, a, b) if pattern.fullmatch(text, a, cut.start())]
-    return sorted(set(found))
+    """What the looser generators find; a card that Luhn's sum contradicts and a phone of too few digits are proposed all the same."""
+    found = {(a, 0, b) for a, b in written_out(text)}
+    if _DIGIT.search(text):
+        for kind, pattern in LOOSE:
+            found.update((m.start(), KINDS.index(kind), m.end()) for m in pattern.finditer(text))
+    return sorted(found)
 
 
 def features(text: str, span: tuple[int, int, int]) -> list[float]:
@@ -108,12 +125,14 @@ def features(text: str, span: tuple[int, int, int]) -> list[float]:
     groups = re.findall(r"[0-9]+", s)
     near = [w.lower() for w in _BEFORE.findall(before)]
     local = _AT.split(s)[0].strip().lower() if KINDS[kind] == "email" else ""
+    counts = np.unique(np.frombuffer(s.encode(), np.uint8), return_counts=True)[1] / len(s.encode())
     return [
         kind, end - start, len(digits), len(digits) / (end - start), len(groups), min(map(len, groups), default=0), max(map(len, groups), default=0),
         luhn(digits) if len(digits) >= 13 else -1, s.count(" "), s.count("."), s.count("-"), s.count("/"), "(" in s, "[" in s or "{" in s or "(at)" in s.lower(), " dot " in s.lower(),
         any(w in GOOD for w in near), any(w not in GOOD for w in near), before[-1:].isalnum() or before[-1:] in "/$#=", after[:1].isalnum() or after[:1] in "/%",
         len(set(digits)), digits[:1] == "0", digits[:2] in ("19", "20"), len(re.findall(r"[A-Za-z]+", s)),
         bool(_STOP.search(s)), re.split(r"[^a-z]", s.lower().rstrip())[-1] in ENDINGS, local in PLAIN, not local.isalpha(),
+        float(-(counts * np.log2(counts)).sum()), sum(c.isupper() for c in s) / (end - start), bool(_HEX.fullmatch(s)), before.rstrip()[-1:] in "=:\"'", before[-1:] in "\"'", s.count(":"), s.count("_") + s.count("+"),
     ]
 
 
@@ -175,16 +194,24 @@ def written(n: int, seed: int) -> Iterator[tuple[str, int, int, bool, str]]:
         body = r.choice("3456") + num(14)
         return next(body + d for d in "0123456789" if luhn(body + d))
 
+    among = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+    hexa = lambda k: among("0123456789abcdef", k)
+    base64 = lambda k: among("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k)
+    part = lambda: str(r.randint(1, 255))
+
     for _ in range(n):
-        yes = r.random() < 0.5
+        yes, quote = r.random() < 0.5, ""
         if yes:
             dot = r.choice((" dot ", "[dot]", "(dot)", ".", "."))
             kind, lead, s = r.choice((
                 ("phone", r.choice(("tel", "phone", "call", "mobile", word())), r.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"{num(3)}.{num(3)}.{num(4)}", f"0{num(3)} {num(3)} {num(4)}", f"00{r.randint(1, 9)}{num(1)} {num(3)} {num(3)} {num(3)}"))),
-                ("email", r.choice(("mail", "contact", "write", word())), f"{word()}{r.choice(('.', '_', ''))}{word()}{r.choice((' at ', ' at ', '[at]', ' (at) ', '{at}', ' [at] '))}{word()}{dot}{r.choice(('com', 'org', 'net', 'de'))}"),
+                ("email", r.choice(("mail", "contact", "write", word())), f"{r.choice((word(), word() + word(), f'{word()}.{word()}', f'{word()}_{word()}'))}{r.choice((' at ', ' at ', '[at]', ' (at) ', '{at}', ' [at] '))}{word()}{dot}{r.choice(('com', 'org', 'net', 'de'))}"),
                 ("card", r.choice(("card", "pay", "visa", word())), (lambda c, sep: sep.join(c[i : i + 4] for i in range(0, 16, 4)))(card(), r.choice((".", "/", "  ", "_")))),
+                ("ip", r.choice(("host", "address", "server", word())), r.choice((r.choice(("[.]", "(.)", "[dot]", " dot ")).join(part() for _ in range(4)), ":".join(hexa(4) for _ in range(8)), f"{hexa(4)}:{hexa(4)}:{hexa(3)}::{hexa(2)}"))),
+                ("secret", r.choice(("token", "api_key", "secret", "password", "auth", "key", word())) + r.choice((" =", "=", ":", " :")), r.choice((hexa(r.choice((32, 40, 64))), hexa(40), base64(r.randint(20, 48)), "ghp_" + base64(36), "AKIA" + among("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), "sk-" + base64(32)))),
             ))
             s = s.upper() if kind == "email" and r.random() < 0.2 else s
+            quote = r.choice(("\"", "'", "\"", "")) if kind == "secret" else ""
         else:
             kind, (lead, s) = "", r.choice((
                 (r.choice(("date", word())), r.choice((f"20{num(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{r.randint(10, 28)}.0{r.randint(1, 9)}.20{num(2)}", f"{r.randint(10, 28)}/{r.randint(10, 12)}/19{num(2)}"))),
@@ -193,11 +220,15 @@ def written(n: int, seed: int) -> Iterator[tuple[str, int, int, bool, str]]:
                 (r.choice(("page", word())), r.choice((f"{num(2)} {num(3)}", f"{num(3)} {num(4)} {num(2)}", f"{num(2)}-{num(2)}"))),
                 (word(), f"{word()} at {word()} dot {word()}{word()}"), (word(), f"{word()} at {word()}. {word().title()} dot {word()}"),
                 (word(), f"{r.choice((word(), word(), *sorted(PLAIN)))} at {word()}. {word().title()}"), (word(), f"{r.choice(sorted(PLAIN))} at {word()}.{r.choice(('com', 'org', 'net', 'de'))}"),
+                (r.choice(("time", "at", word())), r.choice((f"{num(2)}:{num(2)}:{num(2)}:{num(2)}", f"{num(2)}:{num(2)}:{num(2)}:{num(3)}:{num(2)}"))),
+                (r.choice(("commit", "sha", "checksum", "etag", "hash")), hexa(r.choice((32, 40, 64)))), (r.choice(("id", "uuid", word())), "-".join(map(hexa, (8, 4, 4, 4, 12)))),
+                (r.choice(("path", word())), r.choice((f"/{word()}/{word()}/{num(4)}/{word()}", f"{word()}-{word()}-{word()}-{num(4)}", f"{word()}_{word()}_{word()}{num(2)}", f"{word()}{word()}{word()}/{word()}-{num(1)}"))),
             ))
         before = " ".join([*(word() for _ in range(r.randint(2, 9))), lead, ""])
         stop = [". " + word().title()] if r.random() < 0.3 else []
         after = " ".join(["", *(word() for _ in range(r.randint(0, 9)))])
-        yield before + s + "".join(stop) + after, len(before), len(before) + len(s), yes, kind
+        before += quote
+        yield before + s + quote + "".join(stop) + after, len(before), len(before) + len(s), yes, kind
 
 
 def make(n: int, seed: int) -> Iterator[tuple[str, tuple[int, int, int], bool]]:

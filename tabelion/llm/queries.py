@@ -71,8 +71,8 @@ def op10_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    counts = {f"n_{k}": count(k) for k in pii.KINDS}
-    return found.withColumns(counts | {"base_sha256": F.sha2(joined("base"), 256), "spans": joined("spans")}).drop("base")
+    counts = {f"n_{k}": count(k) for k in pii.BASE_KINDS}
+    return found.withColumns(counts | {"base_sha256": F.sha2(joined("base"), 256), "n_spans": F.size("spans").cast("long"), "spans": joined("spans")}).drop("base")
 
 
 def op7_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
