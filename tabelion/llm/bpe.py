@@ -5,14 +5,18 @@ the merge table. Pieces that the worker hasn't seen go into it as token-position
 joins neighbours with the merge table and contracts the leftmost pair of least rank of each piece, until
 no piece has a pair left. Ordered aggregation over the rows gives ids and decoded text.
 
-Nulls are read as empty texts (no ids, empty text). Pieces of any length are contracted; what a worker
-remembers is bounded by MEMORY pieces, after which it starts anew. Other columns of the input are not read.
+The recursion makes a row for each token of each round, the square of a piece's length. Pieces of more than LONG bytes
+(a run of letters without blanks, a line of signs) are contracted in the same order from a queue of pairs, in n log n.
+
+Nulls are read as empty texts (no ids, empty text). What a worker remembers is bounded by MEMORY pieces and REMEMBERED
+bytes, after which it starts anew; DuckDB spills nothing. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +27,9 @@ from pyspark.sql import functions as F
 from tabelion.llm.common import arrow_limits
 
 #: Unicode's White_Space, which Java's \s doesn't cover.
-SPACE = r"\t-\r\x20\x85\xA0  -     　"
-#: Pieces that a worker remembers, and pieces of one recursive query.
-MEMORY, BLOCK = 400_000, 40_000
+SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: Pieces and bytes of pieces that a worker remembers; bytes of a long piece; pieces of one recursive query, and rows it makes at most.
+MEMORY, REMEMBERED, LONG, BLOCK, BLOCK_ROWS = 400_000, 32 << 20, 512, 40_000, 4_000_000
 
 _CONTRACT = """
 WITH RECURSIVE st(it, w, p, np, id, nid, rk) AS (
@@ -57,6 +61,27 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^{SPACE}\p{{L}}\p{{N}}]").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")
 
 
+def contract_long(ids: list[int], merges: dict[int, int]) -> list[int]:
+    """ids with the leftmost pair of least rank contracted until none is left; neighbours are linked, pairs wait in a heap."""
+    n = len(ids)
+    after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+    pair = lambda i: merges.get(ids[i] << 32 | ids[after[i]]) if after[i] >= 0 else None
+    waiting = [(rank, i, ids[i], ids[i + 1]) for i in range(n - 1) if (rank := pair(i)) is not None]
+    heapq.heapify(waiting)
+    while waiting:
+        rank, i, left, right = heapq.heappop(waiting)
+        j = after[i]
+        if ids[i] != left or j < 0 or ids[j] != right:
+            continue  # one of the two has gone into another token
+        ids[i], ids[j], after[i] = rank, -1, after[j]
+        if after[i] >= 0:
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k >= 0 and (low := pair(k)) is not None:
+                heapq.heappush(waiting, (low, k, ids[k], ids[after[k]]))
+    return [t for t in ids if t >= 0]
+
+
 class Codec:
     """Merge table and memory of one Python worker."""
 
@@ -71,14 +96,16 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int]):
         import duckdb
 
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
         left, right, merged = [], [], []
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 a, b = ranks.get(token[:i]), ranks.get(token[i:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), merged.append(rank)
-        self._fill("merges", {"pair": np.array(left, np.int64) << 32 | np.array(right, np.int64), "rank": np.array(merged, np.int32)})
+        pairs = np.array(left, np.int64) << 32 | np.array(right, np.int64)
+        self.merges = dict(zip(pairs.tolist(), merged, strict=True))
+        self._fill("merges", {"pair": pairs, "rank": np.array(merged, np.int32)})
         self._fill("vocabulary", {"id": np.array(list(ranks.values()), np.int32), "latin": [t.decode("latin-1") for t in ranks]})
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self._forget()
@@ -93,6 +120,19 @@ class Codec:
         self.ids: list[np.ndarray] = []
         self.decimal: list[bytes] = []
         self.decoded: list[bytes] = []
+        self.bytes = 0
+
+    def _remember(self, piece: str, ids: np.ndarray, text: list[str], decoded: bytes) -> None:
+        self.place[piece] = len(self.ids)
+        self.ids.append(ids)
+        self.decimal.append(" ".join(text).encode())
+        self.decoded.append(decoded)
+        self.bytes += len(decoded)
+
+    def _contract_long(self, piece: str) -> None:
+        ids = np.array(contract_long(self.byte_ids[np.frombuffer(piece.encode(), np.uint8)].tolist(), self.merges), np.int32)
+        row = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))
+        self._remember(piece, ids, list(map(str, ids.tolist())), self.decode(row)[0])
 
     def _contract(self, pieces: list[str]) -> None:
         raw = [p.encode() for p in pieces]
@@ -108,19 +148,26 @@ class Codec:
         values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
         text = list(map(str, values.tolist()))
         for k, (piece, latin) in enumerate(zip(pieces, out["latin"].to_pylist(), strict=True)):
-            self.place[piece] = len(self.ids)
             begin, ends = offsets[k], offsets[k + 1]
-            self.ids.append(values[begin:ends])
-            self.decimal.append(" ".join(text[begin:ends]).encode())
-            self.decoded.append(latin.encode("latin-1"))
+            self._remember(piece, values[begin:ends], text[begin:ends], latin.encode("latin-1"))
 
     def places(self, pieces: list[str]) -> np.ndarray:
         """Where the memory holds each of these distinct pieces, contracting those it doesn't hold."""
-        if len(self.place) + len(pieces) > MEMORY:
+        if len(self.place) + len(pieces) > MEMORY or self.bytes > REMEMBERED:
             self._forget()
-        new = [p for p in pieces if p not in self.place]
-        for i in range(0, len(new), BLOCK):
-            self._contract(new[i : i + BLOCK])
+        block, rows = [], 0
+        for piece in (p for p in pieces if p not in self.place):
+            size = len(piece.encode())
+            if size > LONG:
+                self._contract_long(piece)
+                continue
+            if len(block) == BLOCK or rows + size * size > BLOCK_ROWS:
+                self._contract(block)
+                block, rows = [], 0
+            block.append(piece)
+            rows += size * size
+        if block:
+            self._contract(block)
         return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
 
     def lists(self, pieces: pa.ListArray) -> tuple[list[int], np.ndarray]:
