@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import struct
 import uuid
 from collections.abc import Iterator
@@ -32,6 +33,10 @@ from tabelion.llm.common import Stages, arrow_limits
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 256 << 10, 256 << 20, 3
+#: Frames read together, and raw bytes read by a task.
+READ_FRAMES, READ_BYTES = 32, 32 << 20
+#: Repeated digests that are sent to all tasks (40 characters each); more are joined by a shuffle.
+BROADCAST_DIGESTS = 500_000
 INDEX = "record_id long, bundle string, frame int, at int, length int"
 
 
@@ -128,9 +133,10 @@ def frame(file: pa.NativeFile, at: tuple[int, int, int]) -> bytes:
 
 
 def mark_revisits(df: DataFrame, id_col: str, payload: str, min_bytes: int = 0) -> DataFrame:
-    """df with payload as binary and refers_to. Only digests that occur again are joined; the join may split hot ones."""
+    """df with payload as binary and refers_to. Only digests that occur again are joined; while these are few, payloads stay where they are."""
     df = df.withColumn(payload, F.encode(F.coalesce(F.col(payload), F.lit("")), "utf-8")).withColumn("__digest", F.sha1(payload))
     again = df.where(F.octet_length(payload) >= min_bytes).groupBy("__digest").agg(F.min(id_col).alias("__first"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    again = F.broadcast(again) if again.count() <= BROADCAST_DIGESTS else again
     refers = F.when((F.octet_length(payload) >= min_bytes) & (F.col("__first") < F.col(id_col)), F.col("__first"))
     return df.join(again, "__digest", "left").withColumn("refers_to", refers).drop("__digest", "__first")
 
@@ -190,7 +196,10 @@ def read(index: DataFrame, root: str, with_payload: bool = False) -> DataFrame:
                         rows = [(page_of(x["WARC-Record-ID"]), x["length"], x["digest"], x["WARC-Type"], page_of(x.get("WARC-Refers-To")), x["payload"])[: len(names)] for x in parse(memoryview(frame(file, table[k])))]
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=False)], names=names)
 
-    parts = index.groupBy("bundle", F.floor(F.col("frame") / 32).alias("part")).agg(F.collect_set("frame").alias("frames")).select("bundle", "frames")
+    parts = index.groupBy("bundle", F.floor(F.col("frame") / READ_FRAMES).alias("part")).agg(F.collect_set("frame").alias("frames"), F.sum("length").alias("bytes"))
+    size = parts.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    tasks = max(1, min(size["n"], math.ceil((size["bytes"] or 0) / READ_BYTES)))  # a stated number, as the index is too small to be split by its own size
+    parts = parts.select("bundle", "frames").repartition(tasks, "bundle", "frames")
     return parts.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload)
 
 
