@@ -1,14 +1,15 @@
 """Quotation linking: conversations in reply order, without quotes.
 
 A line's quote level is the number of > marks it begins with. Lines of one level that follow each other are a passage;
-attribution lines ("... wrote:") before a passage go with it. Passages and their lines are hashed after normalising
-(blanks collapsed, A-Z lower-cased) and joined to the messages of the same conversation that say them at level 0: the
-latest earlier one. A message's parent is the origin of its shallowest linked passage (the longest, then the latest); a
-passage that is no whole paragraph of an origin is linked by its lines. Messages are ordered by the turn of their thread's root, then by turn, so each
-follows what it replies to.
+attribution lines ("... wrote:") before a passage go with it. Passages are hashed after normalising (blanks collapsed, A-Z
+lower-cased) as a whole, and where they have several, by paragraphs, lines and sentences; so are the messages' bodies. The
+hashes are joined within a conversation: what was said at level 0, and last before the quoting message, is the origin. A
+message's parent is the origin of its shallowest linked passage; of these the coarsest match, the longest, the latest.
+Messages are ordered by the turn of their thread's root, then by turn, so each follows what it replies to.
 
 Null and empty texts have no quotes and an empty body; null turns sort first and link nothing. Of repeated (conversation,
 turn) rows each is returned, and one stands for them in links. Rows with a null conversation are one conversation.
+Positions are added up over stretches of at most BUCKET turns or roots, so no task sorts a whole conversation or thread.
 """
 
 from __future__ import annotations
@@ -26,9 +27,11 @@ from tabelion.llm.common import ASCII_LOWER, Stages, arrow_limits
 
 _MARKS = re.compile(r"(?:[ \t]*>)+")
 _ATTRIBUTION = re.compile(r"^(?:on\b.*\bwrote|.*\b(?:schrieb|a écrit|escribió|wrote))\s*:\s*$", re.I)
-#: Turns of one bucket when positions are counted, so that no task sorts a whole conversation.
+#: Turns, or roots, of one stretch when positions are counted.
 BUCKET = 1_024
-PASSAGE = pa.struct([("level", pa.int32()), ("hash", pa.int64()), ("size", pa.int32()), ("whole", pa.bool_())])
+#: What is hashed, from coarse to fine: the whole, paragraphs, lines, sentences.
+CUTS = (re.compile(r"\Z"), re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r"(?<=[.!?])\s+|\n\s*\n"))
+PASSAGE = pa.struct([("passage", pa.int32()), ("level", pa.int32()), ("hash", pa.int64()), ("size", pa.int32()), ("grain", pa.int32())])
 
 
 def key(text: str) -> tuple[int, int]:
@@ -37,6 +40,17 @@ def key(text: str) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(plain) - (1 << 63), len(plain)
 
 
+def grains(text: str) -> Iterator[tuple[int, int, int]]:
+    """Hash, length and grain (place in CUTS) of a text and of its parts; each hash once, by its coarsest grain."""
+    seen = set()
+    for grain, cut in enumerate(CUTS):
+        for part in cut.split(text):
+            found, size = key(part)
+            if size and found not in seen:
+                seen.add(found)
+                yield found, size, grain
+
+
 def levels(text: str | None) -> Iterator[tuple[int, str]]:
     for line in re.split(r"\r?\n", text or ""):
         marks = _MARKS.match(line)
@@ -65,7 +79,7 @@ def split(text: str | None) -> tuple[str, list[tuple[int, str]]]:
 
 
 def parse(df: DataFrame, conv_col: str, turn_col: str, text_col: str) -> DataFrame:
-    """df's rows with body, quoted (passages and, where a passage has several, its lines) and said (hashes of body, paragraphs and lines)."""
+    """df's rows with body, quoted (passages and their parts) and said (hashes of the body and its parts)."""
     arrow_limits(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,35 +87,31 @@ def parse(df: DataFrame, conv_col: str, turn_col: str, text_col: str) -> DataFra
             bodies, quoted, said, count = [], [], [], []
             for text in b.column(3).to_pylist():
                 body, passages = split(text)
-                own = {p for p in (body, *re.split(r"\n\s*\n", body), *body.split("\n")) if p.strip()}
-                rows = []
-                for level, p in passages:
-                    lines = [x for x in p.split("\n") if x.strip()]
-                    rows.append((level, *key(p), True))
-                    rows += [(level, *key(x), False) for x in lines] if len(lines) > 1 else []
+                rows = [(i, level, *own) for i, (level, p) in enumerate(passages) for own in grains(p)]
                 bodies.append(body)
                 count.append(len(passages))
-                quoted.append([dict(zip(("level", "hash", "size", "whole"), r, strict=True)) for r in rows])
-                said.append(sorted({key(p)[0] for p in own}))
+                quoted.append([dict(zip(("passage", "level", "hash", "size", "grain"), r, strict=True)) for r in rows])
+                said.append(sorted(h for h, *_ in grains(body)))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(bodies), pa.array(count, pa.int32()), pa.array(quoted, pa.list_(PASSAGE)), pa.array(said, pa.list_(pa.int64()))], names=["conv_id", "turn", "role", "body", "n_quotes", "quoted", "said"])
 
     return df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), "role", text_col).mapInArrow(
-        run, f"conv_id {df.schema[conv_col].dataType.simpleString()}, turn {df.schema[turn_col].dataType.simpleString()}, role {df.schema['role'].dataType.simpleString()}, body string, n_quotes int, quoted array<struct<level:int,hash:long,size:int,whole:boolean>>, said array<long>"
+        run, f"conv_id {df.schema[conv_col].dataType.simpleString()}, turn {df.schema[turn_col].dataType.simpleString()}, role {df.schema['role'].dataType.simpleString()}, body string, n_quotes int, quoted array<struct<passage:int,level:int,hash:long,size:int,grain:int>>, said array<long>"
     )
 
 
 def parents(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, parent_turn, n_linked of the messages that have linked passages."""
     # only what some message of the conversation quotes can be an origin: said hashes shrink by a semi join first
-    asked = parsed.where("n_quotes > 0 and turn is not null").select(F.coalesce("conv_id", F.lit(-1)).alias("conv"), "turn", F.explode("quoted").alias("p")).select("conv", "turn", "p.*").distinct()
-    said = parsed.where("turn is not null").select(F.coalesce("conv_id", F.lit(-1)).alias("conv"), "turn", F.explode("said").alias("hash")).distinct()
+    asked = parsed.where("n_quotes > 0 and turn is not null").select(F.struct("conv_id").alias("conv"), "turn", F.explode("quoted").alias("p")).select("conv", "turn", "p.*").distinct()
+    said = parsed.where("turn is not null").select(F.struct("conv_id").alias("conv"), "turn", F.explode("said").alias("hash")).distinct()
     said = said.join(asked.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
     # as-of join by one pass in turn order: what was said last before a passage is its origin
     both = asked.unionByName(said, allowMissingColumns=True)
     before = Window.partitionBy("conv", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     linked = both.withColumn("origin", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(before)).where("level is not null and origin is not null")
-    best = F.min_by("origin", F.struct("level", F.when(F.col("whole"), 0).otherwise(1), -F.col("size"), -F.col("origin")))
-    return linked.groupBy("conv", "turn").agg(best.alias("parent_turn"), F.count_if("whole").cast("int").alias("n_linked"))
+    best = F.min_by("origin", F.struct("level", "grain", -F.col("size"), -F.col("origin")))
+    passages = linked.groupBy("conv", "turn", "passage").agg(F.min_by(F.struct("level", "grain", "size", "origin"), F.struct("grain", -F.col("size"), -F.col("origin"))).alias("p")).select("conv", "turn", "p.*")
+    return passages.groupBy("conv", "turn").agg(best.alias("parent_turn"), F.count("*").cast("int").alias("n_linked"))
 
 
 def roots(links: DataFrame, stages: Stages) -> DataFrame:
@@ -121,14 +131,19 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_
     parsed = stages.keep(parse(df, conv_col, turn_col, text_col), "parsed")
     links = stages.keep(parents(parsed), "parents")
     found = links.join(roots(links, stages), ["conv", "turn"])
-    rows = parsed.select("conv_id", "turn", "role", "body", "n_quotes", F.coalesce("conv_id", F.lit(-1)).alias("conv")).join(found, ["conv", "turn"], "left")
+    rows = parsed.select("conv_id", "turn", "role", "body", "n_quotes", F.struct("conv_id").alias("conv")).join(found, ["conv", "turn"], "left")
     rows = rows.withColumns({"root_turn": F.coalesce("root_turn", "turn"), "depth": F.coalesce("depth", F.lit(0)), "n_linked": F.coalesce("n_linked", F.lit(0))})
-    # positions: rows of earlier buckets, plus the place in the own bucket
-    rows = rows.withColumn("bucket", F.floor(F.coalesce("root_turn", F.lit(-1)) / BUCKET))
-    sizes = rows.groupBy("conv", "bucket").agg(F.count("*").alias("n"))
-    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("conv").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("conv", "bucket").orderBy("root_turn", "turn", "role", "body")) - 1
-    return (
-        rows.withColumn("place", place).join(sizes.withColumn("earlier", earlier).drop("n"), ["conv", "bucket"])
-        .select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", (F.col("earlier") + F.col("place")).alias("position"), "n_quotes", "n_linked", "body")
-    )
+    # positions: rows of earlier stretches of roots, of earlier roots in the stretch, of earlier stretches of the thread, and in that;
+    # keys are structs, in which nulls are equal and come first
+    rows = rows.withColumns({"root": F.struct("root_turn"), "roots": F.struct(F.floor(F.col("root_turn") / BUCKET)), "turns": F.struct(F.floor(F.col("turn") / BUCKET))})
+    parts = stages.keep(rows.groupBy("conv", "roots", "root", "turns").agg(F.count("*").alias("n")), "stretches")
+    threads = parts.groupBy("conv", "roots", "root").agg(F.sum("n").alias("n"))
+    stretches = threads.groupBy("conv", "roots").agg(F.sum("n").alias("n"))
+    before = lambda order, *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stretches = stretches.select("conv", "roots", before("roots", "conv").alias("a"))
+    threads = threads.select("conv", "roots", "root", before("root", "conv", "roots").alias("b"))
+    parts = parts.select("conv", "roots", "root", "turns", before("turns", "conv", "root").alias("c"))
+    parts = parts.join(threads, ["conv", "roots", "root"]).join(stretches, ["conv", "roots"]).select("conv", "root", "turns", (F.col("a") + F.col("b") + F.col("c")).alias("earlier"))
+    place = F.row_number().over(Window.partitionBy("conv", "root", "turns").orderBy("turn", "role", "body")) - 1
+    placed = rows.withColumn("place", place).join(parts, ["conv", "root", "turns"])
+    return placed.select("conv_id", "turn", "role", "parent_turn", "root_turn", "depth", (F.col("earlier") + F.col("place")).alias("position"), "n_quotes", "n_linked", "body")
