@@ -8,16 +8,18 @@ no piece has a pair left. Ordered aggregation over the rows gives ids and decode
 The recursion makes a row for each token of each round, the square of a piece's length. Pieces of more than LONG bytes
 (a run of letters without blanks, a line of signs) are contracted in the same order from a queue of pairs, in n log n.
 
-Nulls are read as empty texts (no ids, empty text). What a worker remembers is bounded by MEMORY pieces and REMEMBERED
-bytes, after which it starts anew; DuckDB spills nothing. Other columns of the input are not read.
+Nulls are read as empty texts (no ids, empty text). A worker remembers contracted pieces in two
+bounded memories: when the young one is full, it becomes the old one, so what keeps occurring stays. DuckDB spills nothing. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import heapq
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,8 @@ from tabelion.llm.common import arrow_limits
 
 #: Unicode's White_Space, which Java's \s doesn't cover.
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-#: Pieces and bytes of pieces that a worker remembers; bytes of a long piece; pieces of one recursive query, and rows it makes at most.
-MEMORY, REMEMBERED, LONG, BLOCK, BLOCK_ROWS = 400_000, 32 << 20, 512, 40_000, 4_000_000
+#: Pieces and bytes of pieces that each of a worker's two memories holds; bytes of a long piece; pieces of one recursive query, and rows it makes at most.
+MEMORY, REMEMBERED, LONG, BLOCK, BLOCK_ROWS = 120_000, 8 << 20, 512, 10_000, 2_000_000
 
 _CONTRACT = """
 WITH RECURSIVE st(it, w, p, np, id, nid, rk) AS (
@@ -82,16 +84,30 @@ def contract_long(ids: list[int], merges: dict[int, int]) -> list[int]:
     return [t for t in ids if t >= 0]
 
 
+class Piece(NamedTuple):
+    """A piece's ids, the same in decimal, and the bytes that they decode to."""
+
+    ids: np.ndarray
+    decimal: bytes
+    decoded: bytes
+
+
 class Codec:
     """Merge table and memory of one Python worker."""
 
     _of: dict[str, Codec] = {}
 
     @classmethod
-    def of(cls, path: str) -> Codec:
+    @contextlib.contextmanager
+    def of(cls, path: str) -> Iterator[Codec]:
+        """The worker's codec for one task; after it only the merge table stays, as other stages need the memory."""
         if path not in cls._of:
             cls._of[path] = cls(read_ranks(path))
-        return cls._of[path]
+        try:
+            yield cls._of[path]
+        finally:
+            cls._of[path]._forget()
+            pa.default_memory_pool().release_unused()
 
     def __init__(self, ranks: dict[bytes, int]):
         import duckdb
@@ -116,25 +132,23 @@ class Codec:
         self.db.unregister("incoming")
 
     def _forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.decimal: list[bytes] = []
-        self.decoded: list[bytes] = []
+        self.young: dict[str, Piece] = {}
+        self.old: dict[str, Piece] = {}
         self.bytes = 0
 
-    def _remember(self, piece: str, ids: np.ndarray, text: list[str], decoded: bytes) -> None:
-        self.place[piece] = len(self.ids)
-        self.ids.append(ids)
-        self.decimal.append(" ".join(text).encode())
-        self.decoded.append(decoded)
-        self.bytes += len(decoded)
+    def _remember(self, piece: str, found: Piece) -> Piece:
+        if len(self.young) >= MEMORY or self.bytes > REMEMBERED:
+            self.old, self.young, self.bytes = self.young, {}, 0
+        self.young[piece] = found
+        self.bytes += len(found.decoded)
+        return found
 
-    def _contract_long(self, piece: str) -> None:
+    def _contract_long(self, piece: str) -> Piece:
         ids = np.array(contract_long(self.byte_ids[np.frombuffer(piece.encode(), np.uint8)].tolist(), self.merges), np.int32)
         row = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))
-        self._remember(piece, ids, list(map(str, ids.tolist())), self.decode(row)[0])
+        return Piece(ids, " ".join(map(str, ids.tolist())).encode(), self.decode(row)[0])
 
-    def _contract(self, pieces: list[str]) -> None:
+    def _contract(self, pieces: list[str]) -> Iterator[Piece]:
         raw = [p.encode() for p in pieces]
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
@@ -143,38 +157,47 @@ class Codec:
         self.db.register("start", pa.table({"w": np.repeat(np.arange(len(raw), dtype=np.int32), lengths), "p": np.arange(len(flat)), "id": flat, "nid": after}))
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE tokens AS {_CONTRACT}")
         out = self.db.sql(_GATHER).to_arrow_table()
+        self.db.execute("DROP TABLE tokens")
         self.db.unregister("start")
-        ids, ends = out["ids"].combine_chunks(), 0
+        ids = out["ids"].combine_chunks()
         values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
         text = list(map(str, values.tolist()))
-        for k, (piece, latin) in enumerate(zip(pieces, out["latin"].to_pylist(), strict=True)):
-            begin, ends = offsets[k], offsets[k + 1]
-            self._remember(piece, values[begin:ends], text[begin:ends], latin.encode("latin-1"))
-
-    def places(self, pieces: list[str]) -> np.ndarray:
-        """Where the memory holds each of these distinct pieces, contracting those it doesn't hold."""
-        if len(self.place) + len(pieces) > MEMORY or self.bytes > REMEMBERED:
-            self._forget()
+        for a, b, latin in zip(offsets, offsets[1:], out["latin"].to_pylist(), strict=False):
+            yield Piece(values[a:b].copy(), " ".join(text[a:b]).encode(), latin.encode("latin-1"))
+
+    def contracted(self, pieces: list[str]) -> list[Piece]:
+        """What these distinct pieces contract to, remembered or made now."""
+        found: dict[str, Piece] = {}
         block, rows = [], 0
-        for piece in (p for p in pieces if p not in self.place):
-            size = len(piece.encode())
-            if size > LONG:
-                self._contract_long(piece)
+
+        def make() -> None:
+            for piece, made in zip(block, self._contract(block), strict=True):
+                found[piece] = self._remember(piece, made)
+
+        for piece in pieces:
+            known = self.young.get(piece)
+            if known is None and (known := self.old.get(piece)) is not None:
+                self._remember(piece, known)
+            if known is None and (size := len(piece.encode())) > LONG:
+                known = self._contract_long(piece)
+            if known is not None:
+                found[piece] = known
                 continue
             if len(block) == BLOCK or rows + size * size > BLOCK_ROWS:
-                self._contract(block)
+                make()
                 block, rows = [], 0
             block.append(piece)
             rows += size * size
         if block:
-            self._contract(block)
-        return np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+            make()
+        return [found[p] for p in pieces]
 
-    def lists(self, pieces: pa.ListArray) -> tuple[list[int], np.ndarray]:
-        """For a batch of piece lists: places of all pieces in order, and where each row's begin."""
-        coded = pieces.values.slice(pieces.offsets[0].as_py(), pieces.offsets[-1].as_py() - pieces.offsets[0].as_py()).dictionary_encode()
-        at = self.places(coded.dictionary.to_pylist())
-        return at[coded.indices.to_numpy(zero_copy_only=False)].tolist() if len(coded) else [], pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+    def lists(self, pieces: pa.ListArray) -> tuple[list[Piece], np.ndarray]:
+        """For a batch of piece lists: all pieces in order, and where each row's begin."""
+        first = pieces.offsets[0].as_py()
+        coded = pieces.values.slice(first, pieces.offsets[-1].as_py() - first).dictionary_encode()
+        made = self.contracted(coded.dictionary.to_pylist())
+        return [made[i] for i in coded.indices.to_pylist()], pieces.offsets.to_numpy() - first
 
     def decode(self, ids: pa.ListArray) -> list[bytes]:
         """Decodes id lists by ordered aggregation; an id that the vocabulary lacks is an error."""
@@ -202,11 +225,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     arrow_limits(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(ranks_path)
-        for batch in batches:
-            at, begin = codec.lists(batch.column(1))
-            rows = [np.concatenate([codec.ids[i] for i in at[a:b]]) if b > a else np.empty(0, np.int32) for a, b in zip(begin, begin[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=[id_col, "ids"])
+        with Codec.of(ranks_path) as codec:
+            for batch in batches:
+                at, begin = codec.lists(batch.column(1))
+                rows = [np.concatenate([p.ids for p in at[a:b]]) if b > a else np.empty(0, np.int32) for a, b in zip(begin, begin[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     source = pieces(df, text_col, pattern, id_col)
     return source.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids array<int>")
@@ -217,9 +240,9 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str
     arrow_limits(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(ranks_path)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codec.decode(batch.column(1)), pa.binary())], names=[id_col, "decoded"])
+        with Codec.of(ranks_path) as codec:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codec.decode(batch.column(1)), pa.binary())], names=[id_col, "decoded"])
 
     source = df.select(id_col, F.coalesce(F.col(ids_col).cast("array<int>"), F.array().cast("array<int>")).alias("ids"))
     return source.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, decoded binary")
@@ -230,17 +253,17 @@ def encode_checked(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
     arrow_limits(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(ranks_path)
-        for batch in batches:
-            at, begin = codec.lists(batch.column(2))
-            rows, digests = [], []
-            for text, a, b in zip(batch.column(1).to_pylist(), begin, begin[1:], strict=False):
-                rows.append(np.concatenate([codec.ids[i] for i in at[a:b]]) if b > a else np.empty(0, np.int32))
-                decoded = b"".join([codec.decoded[i] for i in at[a:b]])
-                if decoded != (text or "").encode():
-                    raise ValueError("a text is not what its ids decode to")
-                digests.append(hashlib.sha256(decoded).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, pa.list_(pa.int32())), pa.array(digests)], names=[id_col, "n_tokens", "ids", "decoded_sha256"])
+        with Codec.of(ranks_path) as codec:
+            for batch in batches:
+                at, begin = codec.lists(batch.column(2))
+                rows, digests = [], []
+                for text, a, b in zip(batch.column(1).to_pylist(), begin, begin[1:], strict=False):
+                    rows.append(np.concatenate([p.ids for p in at[a:b]]) if b > a else np.empty(0, np.int32))
+                    decoded = b"".join([p.decoded for p in at[a:b]])
+                    if decoded != (text or "").encode():
+                        raise ValueError("a text is not what its ids decode to")
+                    digests.append(hashlib.sha256(decoded).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, pa.list_(pa.int32())), pa.array(digests)], names=[id_col, "n_tokens", "ids", "decoded_sha256"])
 
     source = pieces(df, text_col, pattern, id_col, text_col)
     return source.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>, decoded_sha256 string")
@@ -255,17 +278,17 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     arrow_limits(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(ranks_path)
-        for batch in batches:
-            at, begin = codec.lists(batch.column(1))
-            n, ids, decoded = [], [], []
-            for a, b in zip(begin, begin[1:], strict=False):
-                row = at[a:b]
-                joined = b" ".join([codec.decimal[i] for i in row])
-                n.append(joined.count(b" ") + 1 if row else 0)
-                ids.append(hashlib.sha256(joined).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([codec.decoded[i] for i in row])).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+        with Codec.of(ranks_path) as codec:
+            for batch in batches:
+                at, begin = codec.lists(batch.column(1))
+                n, ids, decoded = [], [], []
+                for a, b in zip(begin, begin[1:], strict=False):
+                    row = at[a:b]
+                    joined = b" ".join([p.decimal for p in row])
+                    n.append(joined.count(b" ") + 1 if row else 0)
+                    ids.append(hashlib.sha256(joined).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join([p.decoded for p in row])).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = pieces(df, text_col, pattern, id_col)
     return source.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -43,11 +43,25 @@ def test_bpe_equals_the_library_and_decodes(spark, encoding):
 @settings(max_examples=40, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab th'sé \n日1２"), max_size=60))
 def test_contraction(encoding_text):
-    codec = bpe.Codec.of(RANKS)
     enc = tiktoken.Encoding("own2", pat_str=r"[\s\S]+", mergeable_ranks=ALL, special_tokens={})
     if encoding_text:
-        at = codec.places([encoding_text])[0]
-        assert list(codec.ids[at]) == enc.encode_ordinary(encoding_text) and codec.decoded[at] == encoding_text.encode()
+        with bpe.Codec.of(RANKS) as codec:
+            made = codec.contracted([encoding_text])[0]
+        assert list(made.ids) == enc.encode_ordinary(encoding_text) and made.decoded == encoding_text.encode()
+
+
+def test_long_pieces_take_their_time_in_proportion():
+    """On both sides of the length from which a queue replaces the recursion; a megabyte without blanks ends."""
+    enc = tiktoken.Encoding("own3", pat_str=r"[\s\S]+", mergeable_ranks=ALL, special_tokens={})
+    r = random.Random(3)
+    texts = ["".join(r.choice(letters) for _ in range(n)) for n in (bpe.LONG - 1, bpe.LONG, bpe.LONG + 1, 3 * bpe.LONG) for letters in ("a", "ab", "abcdefghijklmnopqrstuvwxyz", "éü漢字", "0123456789=+/")]
+    texts.append("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)))
+    with bpe.Codec.of(RANKS) as codec:
+        made = codec.contracted(list(dict.fromkeys(texts)))
+    for text, piece in zip(dict.fromkeys(texts), made, strict=True):
+        assert piece.decoded == text.encode()
+        assert list(piece.ids) == enc._core_bpe.encode_single_piece(text.encode())
+    assert not codec.young and not codec.old
 
 
 def test_bpe_query(spark, small, encoding):
