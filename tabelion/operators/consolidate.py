@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tabelion.functions import movements as m
 from tabelion.functions.text import digits, first_given
@@ -75,6 +74,5 @@ def consolidate(cases: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], arrived: str) -> DataFrame:
-    """Last write wins for each key."""
-    newest = Window.partitionBy(*keys).orderBy(F.desc(arrived))
-    return df.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
+    """Last write wins for each key; the last is found before the shuffle, as in first_rows."""
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.col(arrived)).alias("__row")).select("__row.*")

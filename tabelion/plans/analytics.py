@@ -6,37 +6,13 @@ with labels for texts. Fractions are rounded to six places on both sides, as sum
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabelion.functions import courts, movements, policy, stats, text
-from tabelion.operators import amounts, citations, consolidate, decisions, measures, pseudonyms, validate
-
-Query = Callable[[SparkSession, str], DataFrame]
-_registry: dict[str, tuple[Query, str | None]] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _registry[f.__name__] = (f, sql)
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return {name: f for name, (f, _) in _registry.items()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _registry.items() if sql}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from tabelion.operators import consolidate, decisions, measures, pseudonyms, validate
+from tabelion.plans.registry import query, table
+from tabelion.sources import corpus
 
 def r6(*names: str) -> list[Column]:
     return [F.round(n, 6).alias(n) for n in names]
@@ -149,9 +125,9 @@ def parameter_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.shares_within(long).select("parametro", "valor", "n", *r6("proporcao"))
 
 
-@query("SELECT coalesce(nullif(event_type, ''), 'não identificado') AS motivo, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS proporcao FROM events WHERE value >= 0 GROUP BY 1")
+@query("SELECT coalesce(nullif(event_type, ''), 'não identificado') AS motivo, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS proporcao FROM events GROUP BY 1")
 def reason_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("value >= 0").select(F.lit("extinto_sem_merito").alias("resultado"), F.lit("texto").alias("fonte_resultado"), F.col("event_type").alias("motivo"))
+    e = table(spark, sf_dir, "events").select(F.lit("extinto_sem_merito").alias("resultado"), F.lit("texto").alias("fonte_resultado"), F.col("event_type").alias("motivo"))
     return measures.reasons(e).select("motivo", "n", *r6("proporcao"))
 
 
@@ -232,16 +208,13 @@ def multi_key_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.rates(table(spark, sf_dir, "orders").select(outcome(F.col("o_orderstatus")).alias("resultado"), listed.alias("assuntos")), "assunto").select("grupo", "total", "merito")
 
 
-_SUMMARY = "SELECT (SELECT count(*) FROM orders) AS processos, (SELECT count(*) FROM documents) AS documentos, (SELECT count(*) FROM (SELECT c_nationkey FROM customer UNION SELECT s_nationkey FROM supplier)) AS tribunais"
-
-
-@query(_SUMMARY)
+@query("""SELECT (SELECT count(*) FROM orders) AS processos, (SELECT count(*) FROM customer) AS documentos, (SELECT count(*) FROM (SELECT o_orderpriority FROM orders UNION SELECT c_mktsegment FROM customer)) AS tribunais,
+(SELECT sum(CASE WHEN c_acctbal > 0 THEN 2 ELSE 0 END + c_nationkey)::BIGINT FROM customer) AS substituicoes""")
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in ("orders", "documents", "customer", "supplier")}
-    sql = _SUMMARY
-    for t, path in views.items():
-        sql = sql.replace(f"FROM {t}", f"FROM {path}")
-    return spark.sql(sql)
+    """Orders as cases and customers as documents, of the courts named by priority and segment."""
+    cases = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("tribunal"))
+    replaced = F.create_map(F.lit("CPF"), F.when(F.col("c_acctbal") > 0, 2).otherwise(0), F.lit("PESSOA"), F.col("c_nationkey"))
+    return corpus.totals(cases, table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("tribunal"), replaced.alias("substituicoes")))
 
 
 @query("SELECT count(*) AS unidades, count_if(event_type = 'error')::BIGINT AS indeterminadas, count_if(event_id % 3 = 0)::BIGINT AS com_duas_fontes, count_if(event_id % 3 = 0 AND value > 50)::BIGINT AS divergentes FROM events")
@@ -277,10 +250,10 @@ def citation_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.shares_by_side(docs, "refs", least=2).select("citacao", "documentos", *r6("em_acolhidos", "em_rejeitados"))
 
 
-@query(f"SELECT doc_id, len(t)::BIGINT AS n, array_to_string(t[1:50], ' ') AS first_tokens FROM (SELECT doc_id, list_filter({_TOKENS}, lambda x: length(x) >= 3 AND NOT list_contains([{_STOPS}], x)) AS t FROM documents)")
+@query(f"SELECT doc_id, len(t)::BIGINT AS n, md5(array_to_string(t, ' ')) AS tokens FROM (SELECT doc_id, list_filter({_TOKENS}, lambda x: length(x) >= 3 AND NOT list_contains([{_STOPS}], x)) AS t FROM documents)")
 def telling_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").select("doc_id", text.telling_tokens(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 50), " ").alias("first_tokens"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ").cast("binary")).alias("tokens"))
 
 
 @query(f"SELECT word, count(*) AS n FROM (SELECT unnest({_TOKENS}) AS word FROM documents) WHERE length(word) >= 3 AND word NOT IN ({_STOPS}) GROUP BY 1 ORDER BY n DESC, word LIMIT 20")
@@ -292,9 +265,9 @@ def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = ("the", "of the", "license", "idiot", "être", "el que")
 
 
-@query("SELECT term, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS term, len(regexp_extract_all(regexp_replace(translate(lower(text), '{_ACCENTS[0]}', '{_ACCENTS[1]}'), '\\s+', ' ', 'g'), '\\b{t.translate(str.maketrans(*_ACCENTS))}\\b')) AS n FROM documents WHERE lang = 'en'" for t in _TERMS) + ") GROUP BY 1 HAVING sum(n) > 0")
+@query("SELECT term, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT '{t}' AS term, len(regexp_extract_all(regexp_replace(translate(lower(text), '{_ACCENTS[0]}', '{_ACCENTS[1]}'), '\\s+', ' ', 'g'), '\\b{t.translate(str.maketrans(*_ACCENTS))}\\b')) AS n FROM documents" for t in _TERMS) + ") GROUP BY 1 HAVING sum(n) > 0")
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     return d.select(F.explode(text.term_counts(F.col("text"), _TERMS)).alias("term", "k")).groupBy("term").agg(F.sum("k").cast("long").alias("n"))
 
 
@@ -306,10 +279,10 @@ def unaccent_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MARK = "chr(1)"
 
 
-@query(f"""SELECT conv_id, turn, len(s)::BIGINT AS n, s[1] AS first FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g'), '([.!?;])\\s+([A-ZÀ-Ý"“(])', '\\1' || {_MARK} || '\\2', 'g'), {_MARK}), lambda x: trim(x)), lambda x: x <> '') AS s FROM conversations)""")
+@query(f"""SELECT conv_id, turn, len(s)::BIGINT AS n, md5(array_to_string(s, chr(10))) AS frases FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '\\s*\\n\\s*', ' ', 'g'), '([.!?;])\\s+([A-ZÀ-Ý"“(])', '\\1' || {_MARK} || '\\2', 'g'), {_MARK}), lambda x: trim(x)), lambda x: x <> '') AS s FROM conversations)""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.sentences(F.col("text")).alias("s"))
-    return s.select("conv_id", "turn", F.size("s").cast("long").alias("n"), F.get("s", F.lit(0)).alias("first"))
+    return s.select("conv_id", "turn", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "\n").cast("binary")).alias("frases"))
 
 
 _DECODED = "regexp_replace(regexp_replace(html, '(?i)<br\\s*/?>|</p>|</div>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
@@ -328,10 +301,37 @@ def emails_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.regexp_replace("text", pattern, f"[{kind}]").cast("binary")).alias("masked"), F.regexp_count("text", F.lit(pattern)).cast("long").alias("n"))
 
 
-@query()
+#: The document patterns for an engine without look-around: what stands before and after a match is kept, and each is
+#: replaced twice, as a match may begin with what the one before it ended with.
+_MASKS = (
+    ("EMAIL", "", r"\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+\b", ""), ("CNPJ", r"[^0-9]", r"\d{2}\.?\d{3}\.?\d{3}/\d{4}-?\d{2}", r"[^0-9]"),
+    ("CPF", r"[^0-9.]", r"(?:\d{3}\.\d{3}\.\d{3}-\d{2})", r"[^0-9]"), ("CPF", "", r"\bCPF[^\d\n]{0,12}\d{11}\b", ""), ("RG", "", r"(?i)\bR\.?G\.?\s*(?:n[º°o.]*)?\s*[:\-]?\s*[\dA-Z][\d.\-xX]{4,}", ""),
+    ("OAB", "", r"(?i)\bOAB\s*/?\s*[A-Z]{2}\s*(?:n[º°o.]*)?\s*[:\-]?\s*\d[\d.]*[A-Z]?", ""),
+    ("OAB", r"[^\w/]", r"(?:AC|AL|AM|AP|BA|CE|DF|ES|GO|MA|MG|MS|MT|PA|PB|PE|PI|PR|RJ|RN|RO|RR|RS|SC|SE|SP|TO)\d{5,6}[A-Z]?\b", ""),
+    ("CEP", "", r"(?i)\bCEP\s*[:\-]?\s*\d{2}\.?\d{3}-?\d{3}\b", ""), ("CEP", r"[^0-9]", r"\d{5}-\d{3}", r"[^0-9]"), ("TELEFONE", r"[^0-9.]", r"(?:\(\d{2}\)\s*|\b\d{2}\s)?9?\d{4}-\d{4}", r"[^0-9.]"),
+    ("CONTA", "", r"(?i)\b(?:ag[êe]ncia|conta(?:\s+corrente|\s+poupan[çc]a)?|c/c)\s*(?:n[º°o.]*)?\s*[:\-]?\s*\d[\d.\-xX]{2,}", ""),
+    ("ENDERECO", "", r"\b(?:Rua|R\.|Avenida|Av\.|Travessa|Tv\.|Alameda|Al\.|Estrada|Rodovia|Pra[çc]a|Largo|Viela|Quadra|Setor)\s+[^,\n;]{2,60}?,?\s*(?:n[º°o.]*\s*)?\d+[A-Za-z]?(?:\s*,\s*(?:apto|apartamento|casa|bloco|sala|lote)\.?\s*\w+)*", ""),
+)
+
+
+def _masked() -> str:
+    found = "coalesce(text, '')"
+    for kind, before, pattern, after in _MASKS:
+        a, b = f"(^|{before})" if before else "()", f"($|{after})" if after else "()"
+        for _ in range(2 if before or after else 1):
+            found = f"regexp_replace({found}, '{'(?i)' * ('(?i)' in pattern)}{a}{pattern.replace('(?i)', '')}{b}', '\\1[{kind}]\\2', 'g')"
+    return found
+
+
+_KINDS = ("CEP", "CNPJ", "CONTA", "CPF", "EMAIL", "ENDERECO", "OAB", "RG", "TELEFONE")
+_TAGS = ", ".join(f"CASE WHEN contains(m, '[{k}]') THEN '{k}=' || ((length(m) - length(replace(m, '[{k}]', ''))) // {len(k) + 2}) END" for k in _KINDS)
+
+
+@query(f"SELECT doc_id, md5(m) AS masked, array_to_string(list_filter([{_TAGS}], lambda x: x IS NOT NULL), '|') AS counts FROM (SELECT doc_id, {_masked()} AS m FROM documents)")
 def documents_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(pseudonyms.masked(F.col("text")).cast("binary")).alias("masked"), F.to_json(pseudonyms.mask_counts(F.col("text"))).alias("counts"), F.size(pseudonyms.residue(pseudonyms.masked(F.col("text")))).alias("left_over"))
+    d = pseudonyms.mask(table(spark, sf_dir, "documents"), "text")
+    pairs = F.array_sort(F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    return d.select("doc_id", F.md5(F.col("masked").cast("binary")).alias("masked"), F.array_join(pairs, "|").alias("counts"))
 
 
 @query("SELECT doc_id, regexp_matches(strip_accents(lower(text[1:3000])), 'segredo de justica|tramita(?:m|ndo)? (?:sob|em) sigilo|processo sigiloso|sob sigilo') AS secreto FROM documents")
@@ -410,11 +410,6 @@ def case_number_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", number.alias("numero")).select("o_orderkey", first.alias("numero"), courts.valid_number(F.col("numero")).alias("valido"), courts.court_of_number(F.col("numero")).alias("tribunal"))
 
 
-@query("SELECT tribunal, ramo FROM (VALUES ('stj', 'superior'), ('trf6', 'federal'), ('tjdft', 'estadual'), ('trt24', 'trabalho'), ('tre-dft', 'eleitoral'), ('tjmsp', 'militar')) t(tribunal, ramo)")
-def court_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return courts.dimension(spark).where(F.col("tribunal").isin("stj", "trf6", "tjdft", "trt24", "tre-dft", "tjmsp")).select("tribunal", "ramo")
-
-
 _EVENT_NAMES = {"purchase": "Procedência", "error": "Extinção sem resolução de mérito", "signup": "Não-Provimento", "click": "Homologação de transação"}
 
 
@@ -425,16 +420,3 @@ def movement_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
         name = F.when(F.col("event_type") == kind, words).otherwise(name)
     e = table(spark, sf_dir, "events").withColumn("resultado", movements.of_movement(F.lit(0), name))
     return e.groupBy("resultado").agg(F.count("*").alias("n"))
-
-
-#: Rulings that the evaluator's query reads, one of each order status.
-RULINGS = {"F": "Ante o exposto, JULGO PROCEDENTE o pedido e condeno a ré a pagar R$ 5.000,00 por danos morais.", "P": "Julgo procedente em parte a ação, nos termos do art. 14 do CDC.", "O": "Nego provimento ao recurso. Honorários de 10% sobre o valor da causa."}
-
-
-@query(f"SELECT CASE o_orderstatus WHEN 'F' THEN 'procedente' WHEN 'P' THEN 'parcialmente_procedente' ELSE 'nao_provido' END AS resultado, CASE o_orderstatus WHEN 'O' THEN 'acordao' ELSE 'sentenca' END AS tipo_decisao, CASE o_orderstatus WHEN 'F' THEN 5000.0::DOUBLE END AS danos_morais, CASE o_orderstatus WHEN 'P' THEN 'art. 14 CDC' ELSE '' END AS citacoes, count(*) AS n FROM orders GROUP BY ALL")
-def rulings_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ruling = F.lit(RULINGS["O"])
-    for status in ("P", "F"):
-        ruling = F.when(F.col("o_orderstatus") == status, RULINGS[status]).otherwise(ruling)
-    read = table(spark, sf_dir, "orders").select(ruling.alias("t")).select(decisions.evaluation(F.col("t"), whole=False).alias("e"), amounts.calculation(F.col("t")).alias("c"), citations.cited(F.col("t")).alias("r"))
-    return read.groupBy("e.resultado", "e.tipo_decisao", amounts.first_amount(F.col("c"), "danos_morais").alias("danos_morais"), F.array_join(F.col("r")["referencia"], "; ").alias("citacoes")).agg(F.count("*").alias("n"))

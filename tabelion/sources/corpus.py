@@ -77,12 +77,16 @@ class Corpus:
 
     def summary(self) -> dict[str, int]:
         """Rows, courts and replacements, sensitive rows included."""
-        p, d = self.read("processos"), self.read("documentos")
         empty = self.spark.createDataFrame([], "tribunal string, substituicoes map<string,int>")
-        (p if p is not None else empty).select("tribunal").createOrReplaceTempView("__cases")
-        (d if d is not None else empty).select("tribunal", "substituicoes").createOrReplaceTempView("__documents")
-        row = self.spark.sql("""
-            SELECT (SELECT count(*) FROM __cases) AS processos, (SELECT count(*) FROM __documents) AS documentos,
-              (SELECT count(DISTINCT tribunal) FROM (SELECT tribunal FROM __cases UNION SELECT tribunal FROM __documents)) AS tribunais,
-              (SELECT coalesce(sum(aggregate(map_values(substituicoes), 0, (a, x) -> a + x)), 0) FROM __documents) AS substituicoes""").first()
-        return {k: int(v) for k, v in row.asDict().items()}
+        cases, documents = (t if t is not None else empty for t in (self.read("processos"), self.read("documentos")))
+        return {k: int(v) for k, v in totals(cases, documents).first().asDict().items()}
+
+
+def totals(cases: DataFrame, documents: DataFrame) -> DataFrame:
+    """One row: cases, documents, courts of either, and what was replaced in the documents."""
+    replaced = F.aggregate(F.map_values("substituicoes"), F.lit(0), lambda a, x: a + x)
+    p = cases.groupBy("tribunal").agg(F.count("*").alias("processos"))
+    d = documents.groupBy("tribunal").agg(F.count("*").alias("documentos"), F.sum(replaced).alias("substituicoes"))
+    sums = p.unionByName(d, allowMissingColumns=True)
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0)).alias(name)
+    return sums.agg(total("processos"), total("documentos"), F.count_distinct("tribunal").alias("tribunais"), total("substituicoes"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabelion.operators import consolidate, measures, validate
-from tabelion.plans import analytics, collect, document, report
+from tabelion.plans import analytics, collect, document, readings, registry, report  # noqa: F401
 from tabelion.sources import config, convert, files, paged
 from tabelion.sources.corpus import Corpus
 from tabelion.sources.http import Client, HttpError
@@ -201,4 +201,4 @@ def test_report(spark, tmp_path):
 
 def test_every_query_runs(spark, small):
     for name in ("rates_by_nation", "consolidated_units", "case_number_check", "rulings_evaluated", "documents_masked"):
-        assert analytics.queries()[name](spark, small).count() > 0, name
+        assert registry.queries()[name](spark, small).count() > 0, name
