@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from tabelion.sources import convert, files, paged
 from tabelion.sources.config import Job
 from tabelion.sources.corpus import Corpus
 
+#: Pages of a court, and days of all courts, that a round takes.
+PAGES, DAYS = 20, 7
+
 
 def _options(job: Job, query: object, transport: str | None, courts: list[str], cursors: dict) -> dict[str, str]:
     plain = {k: v.isoformat() if hasattr(v, "isoformat") else v for k, v in asdict(query).items() if v is not None}
@@ -23,40 +27,73 @@ def _options(job: Job, query: object, transport: str | None, courts: list[str],
 
 def _open(corpus: Corpus, source: str, job: Job) -> tuple[list[str], dict]:
     """Courts that aren't done, and where to go on."""
-    state = {c: corpus.cursor(source, job.nome, c) for c in select(job.tribunais)}
-    return [c for c, (_, done) in state.items() if not done], {c: cursor for c, (cursor, done) in state.items() if cursor is not None and not done}
+    state = corpus.cursors(source, job.nome)
+    courts = [c for c in select(job.tribunais) if not state.get(c, (None, False))[1]]
+    return courts, {c: state[c][0] for c in courts if c in state and state[c][0] is not None}
+
 
+def cases(spark: SparkSession, job: Job, corpus: Corpus, transport: str | None = None, pages: int = PAGES) -> int:
+    """Collects, classifies and stores case records; the number of rows stored.
 
-def cases(spark: SparkSession, job: Job, corpus: Corpus, transport: str | None = None) -> int:
-    """Collects, classifies and stores case records; the number of rows stored."""
+    A round takes at most so many pages of each court, stores them, then saves where each court goes on, in this order:
+    a job that dies goes on after its last whole round, and rows that are fetched again replace themselves.
+    """
     paged.register(spark)
-    courts, cursors = _open(corpus, "datajud", job)
-    if not courts:
+    every, _ = _open(corpus, "datajud", job)
+    if not every:
         return 0
-    raw = spark.read.format("court_cases").options(**_options(job, job.datajud, transport, courts, cursors)).load()
-    rows = convert.cases(raw, job.datajud).withColumn("__arrived", F.col("proveniencia.coletado_em")).drop("cursor")
-    corpus.upsert_cases(rows)
-    for court in courts:
-        corpus.save_cursor("datajud", job.nome, court, cursors.get(court), done=True)
-    return corpus.read("processos").where(F.col("tribunal").isin(*courts)).count()
-
-
-def notices(spark: SparkSession, job: Job, corpus: Corpus, transport: str | None = None) -> int:
-    """Collects notices day by day; at most limite_por_tribunal accepted documents a court. Sensitive ones only if the job says so."""
+    while True:
+        courts, cursors = _open(corpus, "datajud", job)
+        if not courts:
+            break
+        raw = spark.read.format("court_cases").options(**_options(job, job.datajud, transport, courts, cursors), pages=str(pages)).load().persist()
+        try:
+            corpus.upsert_cases(convert.cases(raw, job.datajud).withColumn("__arrived", F.col("proveniencia.coletado_em")).drop("cursor"))
+            at = F.from_json("cursor", "page int, seen long")
+            last = {r["tribunal"]: json.loads(r["cursor"]) for r in raw.groupBy("tribunal").agg(F.max_by("cursor", at["page"]).alias("cursor")).collect()}
+        finally:
+            raw.unpersist()
+        # a court that gave fewer pages than asked for has no more
+        corpus.save_cursors("datajud", job.nome, {c: (last.get(c, cursors.get(c)), c not in last or last[c]["page"] < pages) for c in courts})
+    return corpus.read("processos").where(F.col("tribunal").isin(*every)).count()
+
+
+def notices(spark: SparkSession, job: Job, corpus: Corpus, transport: str | None = None, days: int = DAYS) -> int:
+    """Collects notices; at most limite_por_tribunal accepted documents a court. Sensitive ones only if the job says so.
+
+    A round takes so many days of all courts; as with cases, cursors are saved after the documents.
+    """
     paged.register(spark)
-    courts, cursors = _open(corpus, "djen", job)
-    if not courts:
+    every, _ = _open(corpus, "djen", job)
+    if not every:
         return 0
-    raw = spark.read.format("court_notices").options(**_options(job, job.djen, transport, courts, cursors)).load()
-    rows = convert.notices(raw, job.djen)
-    rows = rows if job.incluir_sensiveis else rows.where(~F.col("sensivel"))
-    if job.djen.limite_por_tribunal is not None:
-        place = F.row_number().over(Window.partitionBy("tribunal").orderBy("data", "id"))
-        rows = rows.withColumn("__n", place).where(F.col("__n") <= job.djen.limite_por_tribunal).drop("__n")
-    corpus.upsert_documents(rows)
-    for court in courts:
-        corpus.save_cursor("djen", job.nome, court, str(job.djen.data_fim or job.djen.data_inicio), done=True)
-    return corpus.read("documentos").where(F.col("tribunal").isin(*courts)).count()
+    while True:
+        courts, cursors = _open(corpus, "djen", job)
+        if not courts:
+            break
+        ahead = {c: [d.isoformat() for d in paged.days(job.djen, date.fromisoformat(cursors[c]["day"]) if c in cursors else None)] for c in courts}
+        raw = spark.read.format("court_notices").options(**_options(job, job.djen, transport, courts, {c: d[:days] for c, d in ahead.items()})).load()
+        rows = convert.notices(raw, job.djen)
+        rows = rows if job.incluir_sensiveis else rows.where(~F.col("sensivel"))
+        accepted = {c: cursors.get(c, {}).get("accepted", 0) for c in courts}
+        rows = rows.persist()
+        try:
+            kept, most = rows.withColumn("__arrived", F.col("proveniencia.coletado_em")), job.djen.limite_por_tribunal
+            if most is not None:
+                left = F.create_map(*(F.lit(x) for c in courts for x in (c, most - accepted[c])))
+                place = F.row_number().over(Window.partitionBy("tribunal").orderBy("data", "id"))
+                kept = kept.withColumn("__n", place).where(F.col("__n") <= left[F.col("tribunal")]).drop("__n")
+            corpus.upsert_documents(kept)
+            found = {r["tribunal"]: r["n"] for r in rows.groupBy("tribunal").agg(F.count_distinct("id").alias("n")).collect()}
+        finally:
+            rows.unpersist()
+        after = {}
+        for c in courts:
+            n = accepted[c] + found.get(c, 0)
+            more = len(ahead[c]) > days and (most is None or n < most)
+            after[c] = ({"day": ahead[c][days] if len(ahead[c]) > days else ahead[c][-1], "accepted": n if most is None else min(n, most)}, not more)
+        corpus.save_cursors("djen", job.nome, after)
+    return corpus.read("documentos").where(F.col("tribunal").isin(*every)).count()
 
 
 def folder(spark: SparkSession, path: str, corpus: Corpus) -> tuple[int, DataFrame]:

@@ -1,7 +1,9 @@
 """The corpus: case and document tables as Parquet with last-write-wins upserts, and cursors of interrupted collections.
 
-A table is a folder of versions, each a whole Parquet table; the newest with a commit marker counts, so a write that dies
-leaves the one before in place. Upserts anti-join on keys only: unchanged rows are copied, never regrouped.
+A table is a folder of versions: a base, which is a whole table, and the deltas after it, each the rows of one upsert. A
+version counts once it has a commit marker, so a write that dies leaves nothing. An upsert writes its own rows and no
+others; reading takes the base without the keys of later deltas, and of these the latest row of each key. Every
+COMPACT_AFTER deltas are merged into a new base; the base before it stays until the next one, for those who still read it.
 """
 
 from __future__ import annotations
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 from tabelion.operators.consolidate import latest
 
 CASE_KEY, DOCUMENT_KEY, CURSOR_KEY = ["tribunal", "numero", "grau"], ["id"], ["fonte", "recorte", "tribunal"]
+KEYS = {"processos": CASE_KEY, "documentos": DOCUMENT_KEY, "progresso": CURSOR_KEY}
+#: Deltas on a base, at most.
+COMPACT_AFTER = 16
 CURSOR = "fonte string, recorte string, tribunal string, cursor string, concluido boolean, atualizado_em timestamp"
 
 
@@ -26,35 +31,59 @@ class Corpus:
     def _fs(self, path: str):
         return self._path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _version(self, table: str) -> str | None:
+    def _versions(self, table: str) -> list[str]:
+        """Committed versions from the last base on, in order."""
+        every = self._committed(table)
+        bases = [i for i, v in enumerate(every) if v.endswith("-base")]
+        return every[bases[-1] :] if bases else every
+
+    def _committed(self, table: str) -> list[str]:
         base = f"{self.root}/{table}"
         fs = self._fs(base)
         if not fs.exists(self._path(base)):
-            return None
-        done = [str(s.getPath()) for s in fs.listStatus(self._path(base)) if fs.exists(self._path(f"{s.getPath()}/_SUCCESS"))]
-        return max(done, default=None)
+            return []
+        return sorted(str(s.getPath()) for s in fs.listStatus(self._path(base)) if fs.exists(self._path(f"{s.getPath()}/_SUCCESS")))
 
     def read(self, table: str) -> DataFrame | None:
-        at = self._version(table)
-        return self.spark.read.parquet(at) if at else None
-
-    def upsert(self, table: str, rows: DataFrame, keys: list[str], partition: str | None = None) -> None:
-        """Rows replace those of the same key; of rows with one key the last (by __arrived, if there is one) counts; new columns are added."""
-        arrived = "__arrived" if "__arrived" in rows.columns else None
-        fresh = latest(rows, keys, arrived).drop("__arrived") if arrived else rows.dropDuplicates(keys)
-        old = self.read(table)
-        merged = fresh if old is None else old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
-        writer = merged.write.partitionBy(partition) if partition else merged.write
-        before = self._version(table)
-        writer.parquet(f"{self.root}/{table}/v{time.time_ns():020d}")
-        if before:
-            self._fs(before).delete(self._path(before), True)
+        versions, keys = self._versions(table), KEYS[table]
+        if not versions:
+            return None
+        frames = [self.spark.read.parquet(v) for v in versions]
+        if len(frames) == 1:
+            return frames[0]
+        base = frames.pop(0) if versions[0].endswith("-base") else None
+        deltas = None
+        for n, frame in enumerate(frames):
+            frame = frame.withColumn("__version", F.lit(n))
+            deltas = frame if deltas is None else deltas.unionByName(frame, allowMissingColumns=True)
+        fresh = latest(deltas, keys, "__version").drop("__version")
+        return fresh if base is None else base.join(deltas.select(*keys).distinct(), keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
+
+    def upsert(self, table: str, rows: DataFrame, partition: str | None = None) -> None:
+        """Rows replace those of the same key; of rows with one key the last (by __arrived, else by all columns) counts; new columns are added."""
+        keys = KEYS[table]
+        if "__arrived" in rows.columns:
+            fresh = latest(rows, keys, "__arrived").drop("__arrived")
+        else:
+            whole = F.to_json(F.struct(*rows.columns))  # an order that runs agree on
+            fresh = latest(rows.withColumn("__arrived", whole), keys, "__arrived").drop("__arrived")
+        self._write(table, fresh, "delta", partition)
+        if len(self._versions(table)) > COMPACT_AFTER:
+            old = self._committed(table)
+            self._write(table, self.read(table), "base", partition)
+            bases = [i for i, v in enumerate(old) if v.endswith("-base")]
+            for version in old[: bases[-1] if bases else 0]:
+                self._fs(version).delete(self._path(version), True)
+
+    def _write(self, table: str, rows: DataFrame, kind: str, partition: str | None) -> None:
+        writer = rows.write.partitionBy(partition) if partition else rows.write
+        writer.parquet(f"{self.root}/{table}/v{time.time_ns():020d}-{kind}")
 
     def upsert_cases(self, rows: DataFrame) -> None:
-        self.upsert("processos", rows.withColumn("grau", F.coalesce("grau", F.lit(""))), CASE_KEY)
+        self.upsert("processos", rows.withColumn("grau", F.coalesce("grau", F.lit(""))))
 
     def upsert_documents(self, rows: DataFrame) -> None:
-        self.upsert("documentos", rows, DOCUMENT_KEY)
+        self.upsert("documentos", rows)
 
     def cases(self, with_sensitive: bool = False) -> DataFrame | None:
         return self._public(self.read("processos"), with_sensitive)
@@ -66,14 +95,17 @@ class Corpus:
     def _public(df: DataFrame | None, with_sensitive: bool) -> DataFrame | None:
         return df if df is None or with_sensitive else df.where(~F.col("sensivel"))
 
-    def save_cursor(self, source: str, job: str, court: str, cursor: object, done: bool = False) -> None:
-        row = self.spark.createDataFrame([(source, job, court, json.dumps(cursor), done)], "fonte string, recorte string, tribunal string, cursor string, concluido boolean")
-        self.upsert("progresso", row.withColumn("atualizado_em", F.current_timestamp()), CURSOR_KEY)
+    def save_cursors(self, source: str, job: str, cursors: dict[str, tuple[object, bool]]) -> None:
+        """Of each court where to go on, and whether it is done: one write for all."""
+        rows = [(source, job, court, json.dumps(cursor), done) for court, (cursor, done) in cursors.items()]
+        if rows:
+            table = self.spark.createDataFrame(rows, "fonte string, recorte string, tribunal string, cursor string, concluido boolean")
+            self.upsert("progresso", table.coalesce(1).withColumn("atualizado_em", F.current_timestamp()))
 
-    def cursor(self, source: str, job: str, court: str) -> tuple[object, bool]:
+    def cursors(self, source: str, job: str) -> dict[str, tuple[object, bool]]:
         table = self.read("progresso")
-        row = table.where((F.col("fonte") == source) & (F.col("recorte") == job) & (F.col("tribunal") == court)).first() if table is not None else None
-        return (json.loads(row["cursor"]), row["concluido"]) if row else (None, False)
+        rows = table.where((F.col("fonte") == source) & (F.col("recorte") == job)).collect() if table is not None else []
+        return {r["tribunal"]: (json.loads(r["cursor"]), r["concluido"]) for r in rows}  # one row a court
 
     def summary(self) -> dict[str, int]:
         """Rows, courts and replacements, sensitive rows included."""

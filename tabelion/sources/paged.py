@@ -8,6 +8,7 @@ as "module:function", so tests and replays need no network.
 from __future__ import annotations
 
 import importlib
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -33,9 +34,9 @@ def case_query(q: CaseQuery, size: int, after: list | None = None) -> dict:
     return body | ({"search_after": after} if after else {})
 
 
-def case_pages(client: Client, court: str, q: CaseQuery, after: list | None = None) -> Iterator[tuple[list[dict], list | None, dict]]:
-    """(hits, cursor, provenance) page by page, until an empty or short page, no cursor, or the limit of raw hits."""
-    url, seen = f"{CASES_URL}/api_publica_{court}/_search", 0
+def case_pages(client: Client, court: str, q: CaseQuery, after: list | None = None, seen: int = 0) -> Iterator[tuple[list[dict], list | None, dict]]:
+    """(hits, cursor, provenance) page by page, until an empty or short page, no cursor, or the limit of raw hits, of which seen were met before."""
+    url = f"{CASES_URL}/api_publica_{court}/_search"
     while q.limite_por_tribunal is None or seen < q.limite_por_tribunal:
         size = q.tamanho_pagina if q.limite_por_tribunal is None else min(q.tamanho_pagina, q.limite_por_tribunal - seen)
         data, source = client.request("POST", url, body=case_query(q, size, after))
@@ -80,12 +81,13 @@ def _transport(name: str | None):
 
 
 class _Part(InputPartition):
-    def __init__(self, court: str, day: str | None = None, after: list | None = None):
-        self.court, self.day, self.after = court, day, after
+    def __init__(self, court: str, day: str | None = None, cursor: dict | None = None):
+        self.court, self.day, self.cursor = court, day, cursor or {}
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
+        self.options = options
         self.courts = select([c for c in options.get("courts", "todos").split(",") if c])
         self.query, self.transport = json.loads(options.get("query", "{}")), options.get("transport")
         self.cursors, self.interval = json.loads(options.get("cursors", "{}")), float(options.get("interval", "1"))
@@ -100,22 +102,24 @@ def _row(court: str, cursor: object, hit: dict, source: dict) -> tuple:
 
 class CaseReader(_Reader):
     def partitions(self) -> list[_Part]:
-        return [_Part(c, after=self.cursors.get(c)) for c in self.courts]
+        return [_Part(c, cursor=self.cursors.get(c)) for c in self.courts]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         q = CaseQuery(**self.query)
         key = os.environ.get("DATAJUD_API_KEY")
-        for hits, cursor, source in case_pages(self.client({"Authorization": f"APIKey {key}"} if key else {}), partition.court, q, partition.after):
+        seen, most = partition.cursor.get("seen", 0), int(self.options["pages"]) if self.options.get("pages") else None
+        pages = case_pages(self.client({"Authorization": f"APIKey {key}"} if key else {}), partition.court, q, partition.cursor.get("after"), seen)
+        for page, (hits, after, source) in enumerate(itertools.islice(pages, most), 1):
+            seen += len(hits)
             for hit in hits:
-                yield _row(partition.court, cursor, hit, source)
+                yield _row(partition.court, {"page": page, "seen": seen, "after": after}, hit, source)
 
 
 class NoticeReader(_Reader):
     def partitions(self) -> list[_Part]:
         q = dict(self.query)
         q = NoticeQuery(**q | {k: date.fromisoformat(q[k]) for k in ("data_inicio", "data_fim") if q.get(k)})
-        resume = lambda c: date.fromisoformat(self.cursors[c]) if c in self.cursors else None
-        return [_Part(c, d.isoformat()) for c in self.courts for d in days(q, resume(c))]
+        return [_Part(c, d) for c in self.courts for d in self.cursors.get(c, [d.isoformat() for d in days(q)])]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
         q = NoticeQuery(**{k: v for k, v in self.query.items() if k not in ("data_inicio", "data_fim")})

@@ -2,6 +2,8 @@
 
 import csv
 import json
+import os
+import tempfile
 import zipfile
 from pathlib import Path
 
@@ -122,7 +124,7 @@ def test_collection(spark, tmp_path):
     assert collect.cases(spark, job, corpus, name) == 6  # one of five is filed too early, one is secret
     row = corpus.cases().where("numero = '100'").first()
     assert (row["duracao_dias"], row["resultado"], [a["nome"] for a in row["assuntos"]]) == (365, "procedente", ["Cobrança", "Juros"])
-    assert corpus.cursor("datajud", "teste", "tjsp")[1] and corpus.cursor("datajud", "teste", "x") == (None, False)
+    assert corpus.cursors("datajud", "teste")["tjsp"][1] and "x" not in corpus.cursors("datajud", "teste")
     assert collect.cases(spark, job, corpus, name) == 0
     assert collect.notices(spark, job, corpus, name) == 2
     d = corpus.documents().first()
@@ -130,6 +132,51 @@ def test_collection(spark, tmp_path):
     assert corpus.summary() == {"processos": 6, "documentos": 2, "tribunais": 2, "substituicoes": 2}
 
 
+FAILING, ASKED = (Path(tempfile.gettempdir()) / f"tabelion-test-{name}-{os.getuid()}" for name in ("failing", "asked"))
+
+
+def failing_transport(method, url, headers, body):
+    """transport() with a log of what was asked for, that fails past the second page while a marker stands."""
+    after = json.loads(body).get("search_after", [0])[0]
+    if FAILING.exists() and after % 100 > 1:
+        raise RuntimeError("the collector dies here")
+    with ASKED.open("a") as f:
+        f.write(f"{'tjsp' if 'tjsp' in url else 'tjrj'}:{after}\n")
+    return transport(method, url, headers, body)
+
+
+def test_collection_goes_on_where_it_died(spark, tmp_path):
+    (tmp_path / "job.toml").write_text(JOB)
+    job, corpus, name = config.load(tmp_path / "job.toml"), Corpus(spark, f"file://{tmp_path}/corpus"), "tests.test_corpus:failing_transport"
+    ASKED.unlink(missing_ok=True)
+    FAILING.touch()
+    try:
+        with pytest.raises(Exception, match="dies here"):
+            collect.cases(spark, job, corpus, name, pages=1)
+            collect.cases(spark, job, corpus, name, pages=1)
+    finally:
+        FAILING.unlink()
+    assert {c: (at["after"], at["seen"], done) for c, (at, done) in corpus.cursors("datajud", "teste").items()} == {"tjsp": ([103], 4, False), "tjrj": ([203], 4, False)}
+    asked = ASKED.read_text().split()
+    assert collect.cases(spark, job, corpus, name, pages=1) == 6
+    later = ASKED.read_text().split()[len(asked) :]
+    assert "tjsp:0" not in later and "tjrj:0" not in later and all(done for _, done in corpus.cursors("datajud", "teste").values())
+    ASKED.unlink()
+
+
+def test_upserts_write_their_own_rows_only(spark, tmp_path):
+    corpus = Corpus(spark, f"file://{tmp_path}/corpus")
+    rows = lambda *r: spark.createDataFrame(r, "id string, n int, __arrived string")
+    corpus.upsert("documentos", rows(*((str(i), 0, "1") for i in range(50))))
+    for k in range(1, 40):
+        corpus.upsert("documentos", rows((str(k), k, "1"), (str(k), -1, "0"), (f"new{k}", k, "1")))
+    found = {r["id"]: r["n"] for r in corpus.read("documentos").collect()}
+    assert found == {str(i): i if i < 40 else 0 for i in range(50)} | {f"new{k}": k for k in range(1, 40)}
+    versions = corpus._versions("documentos")
+    assert versions[0].endswith("-base") and len(versions) <= 17
+    assert spark.read.parquet(versions[-1]).count() == 2
+
+
 def test_paging_and_query():
     q = config.CaseQuery(assuntos_nomes=["x"], graus=["G1", "JE"], tamanho_pagina=2, limite_por_tribunal=3)
     sizes = [len(h) for h, _, _ in paged.case_pages(Client(transport, interval=0), "tjsp", q)]
