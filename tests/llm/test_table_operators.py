@@ -47,6 +47,24 @@ def test_neighbours_of_the_given_table(spark):
     assert hits / len(got) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["few", "clusters", "longer"])
+def test_recall_does_not_rest_on_many_rows_nor_on_even_ones(spark, kind):
+    """A fifth of the rows is ranked however few there are; clustered vectors and rows that are far longer than most."""
+    rng = np.random.default_rng(4)
+    x = {"few": rng.normal(size=(300, 32)), "clusters": rng.normal(size=(20, 32))[rng.integers(20, size=1500)] + 0.3 * rng.normal(size=(1500, 32)), "longer": rng.normal(size=(1500, 32))}[kind]
+    if kind == "longer":
+        x[7, 3] = 1e200
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = permutation_index.neighbours(df).toPandas()
+    hits = 0
+    for q, own in found.groupby("query_id"):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20]) & set(own["vec_id"]))
+        assert kind != "longer" or x[q, 3] <= 0 or own.loc[own["rank"] == 1, "vec_id"].item() == 7
+    assert hits / len(found) >= 0.9
+
+
 def plain_rule(host, path):
     best = None
     for rule in Q.URL_RULES:
