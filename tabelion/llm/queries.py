@@ -111,8 +111,8 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN m < page_id THEN 'revis
 """
 
 
-def op5_sql() -> str:
-    """The template tree, level by level, in SQL."""
+def op5_sql(levels: int = 5) -> str:
+    """The template tree, level by level, in SQL: more levels than the given tables have segments."""
     from tabelion.llm import url_filter as u
 
     fits = {r: f"(host = '{r.split('/', 1)[0]}' OR ends_with(host, '.{r.split('/', 1)[0]}')) AND starts_with(path, '/{r.split('/', 1)[1]}')" for r in URL_RULES}
@@ -122,18 +122,25 @@ def op5_sql() -> str:
     shape = " ".join(f"WHEN regexp_matches(x, '{p}') THEN '{n}'" for n, p in u.SHAPES)
     parts = [f"""WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
-p0 AS (SELECT *, CASE {rule} END AS rule, list_transform(string_split(path, '/')[2:], lambda x: CASE {shape} ELSE x END) AS every FROM h),
-p AS (SELECT page_id, host, path, rule, CASE {action} END AS action, CASE WHEN len(every) > {u.MAX_DEPTH} THEN list_concat(every[1:{u.MAX_DEPTH}], ['{{rest}}']) ELSE every END AS shapes FROM p0),
-t0 AS (SELECT host, shapes, count(*) AS n, count(action) AS l, count_if(action = 'block') AS b, '' AS template FROM p GROUP BY host, shapes)"""]
-    for d in range(u.MAX_DEPTH + 1):
+p0 AS (SELECT *, CASE {rule} END AS rule, list_transform(string_split(path, '/')[2:], lambda x: CASE {shape} WHEN regexp_matches(x, '^[{{\\\\]') THEN chr(92) || x ELSE x END) AS shapes FROM h),
+p AS (SELECT page_id, host, path, rule, CASE {action} END AS action, shapes FROM p0),
+t0 AS (SELECT host, shapes, count(*) AS n, count(action) AS l, count(*) FILTER (action = 'block') AS b, '' AS template FROM p GROUP BY host, shapes)"""]
+    rate = "(all_b / greatest(all_l, 1))"
+    for d in range(levels):
         parts.append(f"""s{d} AS (SELECT *, shapes[{d + 1}] AS seg, coalesce(CASE WHEN starts_with(shapes[{d + 2}], '{{') THEN shapes[{d + 2}] WHEN shapes[{d + 2}] IS NULL THEN '{{none}}' ELSE '{{literal}}' END, '{{none}}') AS below FROM t{d}),
-q{d} AS (SELECT host, template, seg, below, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM s{d} WHERE seg IS NOT NULL AND NOT starts_with(seg, '{{') GROUP BY ALL),
-v{d} AS (SELECT *, sum(n) OVER w AS tn, sum(l) OVER w AS tl, sum(b) OVER w AS tb FROM q{d} WINDOW w AS (PARTITION BY host, template, seg)),
-a{d} AS (SELECT host, template, seg, string_agg(below || floor(n * 4 / tn + 0.5)::BIGINT::VARCHAR, ',' ORDER BY below) || '|' || CASE WHEN any_value(tl) = 0 THEN 'u' ELSE floor(any_value(tb) * 4 / greatest(any_value(tl), 1) + 0.5)::BIGINT::VARCHAR END AS look FROM v{d} GROUP BY host, template, seg),
-m{d} AS (SELECT *, min(seg) OVER (PARTITION BY host, template, look) AS least, count(*) OVER (PARTITION BY host, template, look) AS kids, count_if(ends_with(look, '|u')) OVER (PARTITION BY host, template) AS literals FROM a{d}),
-t{d + 1} AS (SELECT host, shapes, n, l, b, CASE WHEN s.seg IS NULL THEN template ELSE template || '/' || CASE WHEN m.seg IS NULL THEN s.seg WHEN ends_with(look, '|u') AND literals > {u.MAX_CHILDREN} THEN '{{*}}' WHEN kids > 1 THEN least || '~' ELSE s.seg END END AS template
+k{d} AS (SELECT host, template, seg, below, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM s{d} WHERE seg IS NOT NULL AND NOT starts_with(seg, '{{') GROUP BY ALL),
+c{d} AS (SELECT host, template, seg, sum(n) AS ofs, sum(l) AS l, sum(b) AS b, sum(l) > 0 AS labelled FROM k{d} GROUP BY host, template, seg),
+o{d} AS (SELECT host, template, labelled, below, sum(n) AS pool FROM k{d} JOIN c{d} USING (host, template, seg) GROUP BY host, template, labelled, below),
+f{d} AS (SELECT host, template, labelled, count(*) - 1 AS freedom FROM o{d} GROUP BY ALL),
+n{d} AS (SELECT host, template, labelled, sum(ofs) AS every, sum(l) AS all_l, sum(b) AS all_b, count(*) AS children FROM c{d} GROUP BY host, template, labelled),
+x{d} AS (SELECT host, template, seg, labelled, c.ofs, c.l, c.b, every, all_l, all_b, children, freedom, sum(k.n * k.n / (c.ofs * pool / every)) AS ratio
+ FROM k{d} k JOIN c{d} c USING (host, template, seg) JOIN n{d} USING (host, template, labelled) JOIN f{d} USING (host, template, labelled) JOIN o{d} USING (host, template, labelled, below) GROUP BY ALL),
+a{d} AS (SELECT host, template, seg, labelled, ratio - ofs <= CASE WHEN freedom > 0 THEN freedom * pow(1 - 2 / (9 * freedom) + {u.DEVIATE} * sqrt(2 / (9 * freedom)), 3) ELSE 0 END + 1e-6
+ AND pow(b - l * {rate}, 2) <= {u.DEVIATE * u.DEVIATE} * l * {rate} * (1 - {rate}) + 1e-6 AS alike, NOT labelled AND children > 1 AND every < {u.REPEATED} * children AS variable FROM x{d}),
+m{d} AS (SELECT *, min(seg) FILTER (alike) OVER w AS least, count_if(alike) OVER w AS together FROM a{d} WINDOW w AS (PARTITION BY host, template, labelled)),
+t{d + 1} AS (SELECT host, shapes, n, l, b, CASE WHEN s.seg IS NULL THEN template ELSE template || '/' || CASE WHEN m.seg IS NULL THEN s.seg WHEN variable THEN '{{*}}' WHEN alike AND together > 1 THEN least || '~' ELSE s.seg END END AS template
  FROM s{d} s LEFT JOIN m{d} m USING (host, template, seg))""")
-    last = f"t{u.MAX_DEPTH + 1}"
+    last = f"t{levels}"
     parts.append(f"""hp AS (SELECT host, (sum(b) + {u.SMOOTHING} * {u.PRIOR}) / (sum(l) + {u.SMOOTHING}) AS hp FROM t0 GROUP BY host),
 tp AS (SELECT host, template, sum(l) AS l, (sum(b) + {u.SMOOTHING} * any_value(hp)) / (sum(l) + {u.SMOOTHING}) AS purity FROM {last} JOIN hp USING (host) GROUP BY host, template)""")
     return ",\n".join(parts) + f"""

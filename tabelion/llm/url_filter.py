@@ -1,15 +1,16 @@
 """URL filter: rules first, then a path-template tree of each host. DataFrame functions only.
 
-Pages shrink to (host, segment shapes) with counts; the tree is built on those, level by level from the root:
+Pages shrink to (host, segment shapes) with counts; the tree is built on those, level by level from the root, to any depth:
 
 * a segment whose shape is lexically variable (digits, hexadecimal, mixed) becomes a wildcard of that shape;
-* where a node has more than max_children literal children without labels, these become one wildcard {*};
-* literal siblings whose subtrees look alike, that is, whose shares of child shapes and labelled rate fall in the
-  same classes, are merged under the name of the least one, marked ~;
-* paths deeper than max_depth end in {rest}.
+* a node's literal children that hardly repeat (fewer than REPEATED pages a child) become one wildcard {*}, unless labelled;
+* literal children whose counts of child shapes are what one distribution, the siblings' together, may well give (a
+  chi-squared test at 1 %), and, if labelled, whose label rates are too, are merged under the name of the least one,
+  marked ~. Labelled and unlabelled children are tested apart.
 
 A template is rejected if it has at least min_labelled labelled pages and its share of bad ones, smoothed towards
-its host's and that towards prior, reaches threshold.
+its host's and that towards prior, reaches threshold. Segments that begin with a brace or a backslash are written with a backslash before, so that
+none reads like a wildcard.
 
 A null url and one without :// have an empty host and path, and are allowed by the method. Repeated rows each count
 and each get a verdict. Only the named columns are read.
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from tabelion.llm.common import Stages, ascii_lower
 
-MAX_DEPTH, MAX_CHILDREN, MIN_LABELLED, SMOOTHING, PRIOR, THRESHOLD = 4, 8, 5, 2.0, 0.1, 0.9
+REPEATED, MIN_LABELLED, SMOOTHING, PRIOR, THRESHOLD = 2.0, 5, 2.0, 0.1, 0.9
+#: The normal deviate of the 1 % that a test may err by.
+DEVIATE = 2.326
 #: Lexical shapes of variable segments, tried in this order.
 SHAPES = (("{num}", r"^[0-9]+$"), ("{num.ext}", r"^[0-9]+\.[A-Za-z]+$"), ("{hex}", r"^[0-9a-fA-F-]{16,}$"), ("{id}", r"[0-9]"), ("{end}", r"^$"))
 
@@ -46,49 +49,64 @@ def fitting_rule(host: Column, path: Column, rules: dict[str, str]) -> tuple[Col
 
 
 def shape(segment: Column) -> Column:
-    found = segment
+    found = F.when(segment.rlike(r"^[{\\\\]"), F.concat(F.lit("\\"), segment)).otherwise(segment)
     for name, pattern in reversed(SHAPES):
         found = F.when(segment.rlike(pattern), name).otherwise(found)
     return found
 
 
-def shapes(path: Column, max_depth: int = MAX_DEPTH) -> Column:
-    every = F.transform(F.slice(F.split(path, "/"), 2, 1 << 30), shape)
-    return F.when(F.size(every) > max_depth, F.concat(F.slice(every, 1, max_depth), F.array(F.lit("{rest}")))).otherwise(every)
+def shapes(path: Column) -> Column:
+    return F.transform(F.slice(F.split(path, "/"), 2, 1 << 30), shape)
 
 
 def literal(segment: Column) -> Column:
     return ~segment.startswith("{")
 
 
-def templates(leaves: DataFrame, stages: Stages, max_depth: int = MAX_DEPTH, max_children: int = MAX_CHILDREN) -> DataFrame:
+def critical(freedom: Column) -> Column:
+    """What a chi-squared statistic exceeds in 1 % of samples, by Wilson and Hilferty; 0 without freedom."""
+    part = 2 / (9 * F.greatest(freedom, F.lit(1)))
+    return F.when(freedom > 0, freedom * F.pow(1 - part + DEVIATE * F.sqrt(part), F.lit(3))).otherwise(0.0) + 1e-6
+
+
+def branches(level: DataFrame, stages: Stages) -> DataFrame:
+    """host, template, segment and the branch that each literal segment of a level goes to."""
+    node = ["host", "template"]
+    below = F.coalesce(F.get("shapes", F.col("depth") + 1), F.lit("{none}"))
+    kinds = level.where(literal(F.col("segment"))).groupBy(*node, "segment", F.when(literal(below), "{literal}").otherwise(below).alias("below"))
+    kinds = stages.keep(kinds.agg(F.sum("n").alias("n"), F.sum("n_labelled").alias("n_labelled"), F.sum("n_bad").alias("n_bad")), "kinds")
+    children = kinds.groupBy(*node, "segment").agg(F.sum("n").alias("of"), F.sum("n_labelled").alias("l"), F.sum("n_bad").alias("b")).withColumn("labelled", F.col("l") > 0)
+    pooled = kinds.join(children, [*node, "segment"]).groupBy(*node, "labelled", "below").agg(F.sum("n").alias("pool"))
+    freedom = pooled.groupBy(*node, "labelled").agg((F.count("*") - 1).alias("freedom"))
+    totals = children.groupBy(*node, "labelled").agg(F.sum("of").alias("all"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"), F.count("*").alias("children")).join(freedom, [*node, "labelled"])
+    expected = F.col("of") * F.col("pool") / F.col("all")
+    tested = (
+        kinds.select(*node, "segment", "below", "n").join(children, [*node, "segment"]).join(totals, [*node, "labelled"]).join(pooled, [*node, "labelled", "below"])
+        .groupBy(*node, "segment", "labelled", "of", "l", "b", "all", "all_l", "all_b", "children", "freedom").agg(F.sum(F.col("n") * F.col("n") / expected).alias("ratio"))
+    )
+    rate = F.col("all_b") / F.greatest("all_l", F.lit(1))
+    spread = F.col("l") * rate * (1 - rate)
+    alike = (F.col("ratio") - F.col("of") <= critical(F.col("freedom"))) & (F.pow(F.col("b") - F.col("l") * rate, F.lit(2)) <= DEVIATE * DEVIATE * spread + 1e-6)
+    tested = stages.keep(tested.select(*node, "segment", "labelled", alike.alias("alike"), (~F.col("labelled") & (F.col("children") > 1) & (F.col("all") < REPEATED * F.col("children"))).alias("variable")), "children")
+    merged = tested.where("alike").groupBy(*node, "labelled").agg(F.min("segment").alias("least"), F.count("*").alias("together"))
+    branch = F.when(F.col("variable"), "{*}").when(F.col("alike") & (F.col("together") > 1), F.concat("least", F.lit("~"))).otherwise(F.col("segment"))
+    return tested.join(merged, [*node, "labelled"], "left").select(*node, "segment", branch.alias("branch"))
+
+
+def templates(leaves: DataFrame, stages: Stages) -> DataFrame:
     """leaves (host, shapes, n, n_labelled, n_bad) with the template of each. Each level is written, for the next reads it more than once."""
+    depth, done = 0, None
     tree = leaves.withColumn("template", F.lit(""))
-    for depth in range(max_depth + 1):
-        at = F.get(F.col("shapes"), F.lit(depth))
-        below = F.coalesce(F.get(F.col("shapes"), F.lit(depth + 1)), F.lit("{none}"))
-        tree = tree.withColumn("segment", at)
-        profile = (
-            tree.where(F.col("segment").isNotNull() & literal(F.col("segment")))
-            .groupBy("host", "template", "segment", F.when(literal(below), "{literal}").otherwise(below).alias("below"))
-            .agg(F.sum("n").alias("n"), F.sum("n_labelled").alias("n_labelled"), F.sum("n_bad").alias("n_bad"))
-            .groupBy("host", "template", "segment")
-            .agg(F.sum("n").alias("n"), F.sum("n_labelled").alias("n_labelled"), F.sum("n_bad").alias("n_bad"), F.array_sort(F.collect_list(F.struct("below", "n"))).alias("kinds"))
-        )
-        look = F.array_join(F.transform("kinds", lambda k: F.concat(k["below"], F.floor(k["n"] * 4 / F.col("n") + 0.5).cast("string"))), ",")
-        rate = F.when(F.col("n_labelled") == 0, "u").otherwise(F.floor(F.col("n_bad") * 4 / F.greatest(F.col("n_labelled"), F.lit(1)) + 0.5).cast("string"))
-        alike = stages.keep(profile.select("host", "template", "segment", F.concat(look, F.lit("|"), rate).alias("look")), "siblings")
-        merged = alike.groupBy("host", "template", "look").agg(F.min("segment").alias("least"), F.count("*").alias("kids"))
-        nodes = merged.groupBy("host", "template").agg(F.sum(F.when(F.col("look").endswith("|u"), F.col("kids")).otherwise(0)).alias("literals"))
-        branch = (
-            alike.join(merged, ["host", "template", "look"])
-            .join(nodes, ["host", "template"])
-            .select("host", "template", "segment", F.when(F.col("look").endswith("|u") & (F.col("literals") > max_children), "{*}").when(F.col("kids") > 1, F.concat("least", F.lit("~"))).otherwise(F.col("segment")).alias("branch"))
-        )
-        name = F.coalesce("branch", "segment")
-        tree = tree.join(branch, ["host", "template", "segment"], "left").withColumn("template", F.when(name.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), name))).drop("branch", "segment")
-        tree = stages.keep(tree, "tree")
-    return tree
+    while True:
+        ended = tree.where(F.size("shapes") <= depth)
+        done = ended if done is None else done.unionByName(ended)
+        level = tree.where(F.size("shapes") > depth)
+        if not level.limit(1).count():
+            return done
+        level = level.withColumns({"depth": F.lit(depth), "segment": F.get("shapes", F.lit(depth))})
+        named = level.join(branches(level, stages), ["host", "template", "segment"], "left")
+        tree = stages.keep(named.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("branch", "segment"))).drop("branch", "segment", "depth"), "tree")
+        depth += 1
 
 
 def judge(df: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", bad: Column | None = None, threshold: float = THRESHOLD, min_labelled: int = MIN_LABELLED) -> DataFrame:
