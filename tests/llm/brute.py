@@ -96,3 +96,31 @@ def edits(a, b):
             new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
         row = new
     return row[-1]
+
+
+def threads(rows):
+    """(conversation, turn) -> (parent, root, depth, position, linked passages), by comparing every passage with all that was said before.
+
+    rows: (conversation, turn, role, body, passages), passages being (level, text), as parsed.
+    """
+    plain = lambda t: " ".join(t.translate(LOWER).split())
+    cuts = (lambda t: [t], lambda t: re.split(r"\n\s*\n", t), lambda t: t.split("\n"), lambda t: re.split(r"(?<=[.!?])\s+|\n\s*\n", t))
+    parts = lambda t: [(g, plain(p)) for g, cut in enumerate(cuts) for p in cut(t) if plain(p)]
+    found = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
+        said = {r[1]: {p for _, p in parts(r[3])} for r in own}
+        parent, linked = {}, {}
+        for _, turn, _, _, passages in own:
+            best = []
+            for level, passage in passages:
+                hits = [(g, -len(p.encode()), -max(t for t in said if t < turn and p in said[t])) for g, p in parts(passage) if any(t < turn and p in said[t] for t in said)]
+                if hits:
+                    best.append((level, *min(hits)))
+            linked[turn] = len(best)
+            parent[turn] = -min(best)[3] if best else None
+        chain = lambda t: [t] if parent[t] is None else [t, *chain(parent[t])]  # noqa: B023, E731
+        order = sorted(own, key=lambda r: (chain(r[1])[-1], r[1]))
+        for place, r in enumerate(order):
+            found[conv, r[1]] = (parent[r[1]], chain(r[1])[-1], len(chain(r[1])) - 1, place, linked[r[1]])
+    return found

@@ -124,6 +124,15 @@ def test_records_are_fetched_by_the_index(spark, small):
         assert (r["payload_bytes"], r["payload_digest"]) == (len(body), base64.b32encode(hashlib.sha1(body).digest()).decode())
 
 
+def test_archives_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 100_000)
+    monkeypatch.setattr(warc, "READ_FRAMES", 1)
+    monkeypatch.setattr(warc, "FRAME_BYTES", 20_000)
+    df = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 100).alias("html"))
+    read = warc.archive(df)
+    assert read.rdd.getNumPartitions() > 5 and read.count() == 400
+
+
 def test_jaccard_join(spark):
     rng = np.random.default_rng(7)
     words = [f"w{i}" for i in range(400)]
@@ -158,6 +167,18 @@ def test_jaccard_join_goes_on_without_head_pairs(spark, first):
     assert got == brute.components(rows) and got[ids[1]][1] == got[ids[2]][1]
 
 
+def test_jaccard_join_of_different_texts_with_one_id(spark):
+    """The set of least digest stands for an id, whatever the order of rows."""
+    run = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    rows = [(1, run("a", 50)), (1, run("b", 50)), (2, run("a", 50) + " end"), (3, run("b", 50) + " end"), (None, run("a", 50)), (None, None)]
+    seen = set()
+    for order in (rows, rows[::-1]):
+        got = jaccard_join.join(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert len(got) == len(rows) and sorted(r["n_shingles"] for r in got) == [0, 46, 46, 46, 47, 47]
+        seen.add(tuple(sorted((r["doc_id"], r["component_id"]) for r in got if r["doc_id"])))
+    assert len(seen) == 1 and {c for i, c in seen.pop() if i == 1} == {1}
+
+
 @pytest.mark.parametrize("sf", ["sf0.001"])
 def test_language_model(spark, sf):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").collect()] + [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "never seen")]

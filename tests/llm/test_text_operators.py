@@ -127,12 +127,6 @@ def test_decontamination(spark):
     assert decontaminate.find(frame(spark, rows), bench.limit(0)).count() == 0
 
 
-def test_items_are_found_again_with_the_target_recall():
-    rng = random.Random(1)
-    items = decontaminate.Items([(i, " ".join(str(rng.random())[2:7] for _ in range(15 + i))) for i in range(40)])
-    assert 0 < len(items.tables) <= 40 * decontaminate.WALKS
-
-
 def test_recall_of_each_length():
     """Items with as many edits as the tolerance allows, in texts of their own: fresh trials, 10 to 300 words."""
     rng = random.Random(17)
@@ -202,3 +196,53 @@ def test_quotes(spark):
     assert got[1, 1, "Fine."] == (0, 0, 1, 1) and got[1, 2, "Great"] == (1, 0, 2, 2) and got[1, 3, "again"] == (0, 0, 1, 3) and got[1, 4, ""] == (None, 4, 0, 4)
     assert [got[3, t, b][3] for t, b in ((0, "a"), (2, "c"), (1, "b"))] == [0, 1, 2] and quotes.link(df).count() == len(rows)
     assert quotes.link(df.limit(0)).count() == 0
+
+
+def quoting(seed, n):
+    """Conversations whose messages quote earlier ones: whole, some paragraphs with new line breaks, lines, sentences, nested, or nothing that was said."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 6)))
+    sentence = lambda: " ".join(word() for _ in range(r.randint(3, 9))).capitalize() + r.choice(".!?")
+    paragraph = lambda: r.choice((" ", "\n")).join(sentence() for _ in range(r.randint(1, 3)))
+    rows = []
+    for conv in (None, -1, *range(n)):
+        bodies = []
+        for turn in range(r.randint(1, 9)):
+            body, top = "\n\n".join(paragraph() for _ in range(r.randint(1, 3))), ""
+            for _ in range(r.choice((0, 1, 1, 2)) if bodies else 0):
+                source, mark = r.choice(bodies), r.choice(("> ", ">", "> > ", ">>"))
+                cut = r.choice((source, source.upper(), r.choice(source.split("\n\n")).replace("\n", "  "), r.choice(source.split("\n")), r.choice(source.split(". ")), sentence()))
+                top += r.choice(("", "Ann wrote:\n")) + "\n".join(mark + line for line in cut.split("\n")) + "\n"
+            rows.append((conv, turn, "user", top + body))
+            bodies.append(body)
+    return rows
+
+
+@pytest.mark.parametrize("bucket", [2, 1024])
+def test_planted_quotes_are_linked(spark, monkeypatch, bucket):
+    """All links, depths and positions of 60 conversations against all-pairs comparison; short stretches too. Null and -1 are two conversations."""
+    monkeypatch.setattr(quotes, "BUCKET", bucket)
+    rows = quoting(5, 60)
+    want = brute.threads([(c, t, role, *quotes.split(text)) for c, t, role, text in rows])
+    got = {(r["conv_id"], r["turn"]): (r["parent_turn"], r["root_turn"], r["depth"], r["position"], r["n_linked"]) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    assert got == want and sum(p is not None for p, *_ in got.values()) > 100
+
+
+def test_labelled_rows_of_other_words_all_count(spark):
+    texts = [f"shared words and own{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0], texts[0].upper()])], "doc_id long, text string")
+    labels = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    rows = toxicity.sample(docs, labels, "doc_id", "text", "id", 1000, toxicity.Stages(spark, "test")).collect()
+    assert len(rows) == 40
+
+
+def test_long_texts_of_personal_data_end(spark):
+    """A megabyte of each pattern's characters: time in proportion to the length."""
+    import time
+
+    model = pii.fit()
+    for text in ("1" * 10**6, "1." * 500_000, "1 " * 500_000, "+(" * 500_000, "a at " * 200_000, "ab1" * 300_000, "1:" * 500_000):
+        begin = time.perf_counter()
+        pii.find([text], model)
+        assert time.perf_counter() - begin < 30, text[:6]
+    assert pii.base_spans("x " + "7" * 10**6 + ".1.2.3 y 10.0.0.1") == [(10**6 + 11, 1, 10**6 + 19)]
