@@ -27,7 +27,10 @@ def text_of(path: str) -> str:
 def analyse(a: argparse.Namespace) -> None:
     spark = session()
     plain = spark.createDataFrame([(text_of(a.arquivo),)], "t string").select(pseudonyms.pseudonymised(F.col("t")).alias("p")).first()["p"]["texto"]
-    print(document.analyse_text(spark, plain))
+    found = document.analyse_text(spark, plain)
+    if a.svg:
+        Path(a.svg).write_text(document.drawing(found), encoding="utf-8")
+    print(found)
 
 
 def pseudonymise(a: argparse.Namespace) -> None:
@@ -69,6 +72,7 @@ def classify(a: argparse.Namespace) -> None:
     fresh = decisions.reclassified(corpus.documents(True)).persist()
     print(fresh.agg(F.count("*").alias("n"), F.count_if("mudou").alias("changed")).first().asDict())
     corpus.upsert_documents(fresh.drop("mudou"))
+    fresh.unpersist()
 
 
 def sample(a: argparse.Namespace) -> None:
@@ -104,7 +108,7 @@ def parser() -> argparse.ArgumentParser:
             command.add_argument(*flags.split(), **options)
 
     corpus, transport = ("--corpus", {"default": "corpus"}), ("--transporte", {"help": "module:function instead of the network"})
-    add("analisar", analyse, ("arquivo", {}))
+    add("analisar", analyse, ("arquivo", {}), ("--svg", {"help": "file to draw the frequent words in"}))
     add("pseudonimizar", pseudonymise, ("arquivo", {}))
     add("tribunais", list_courts, ("criterios", {"nargs": "*"}))
     add("estimar", estimate, ("recorte", {}), transport)

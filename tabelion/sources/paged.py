@@ -93,7 +93,8 @@ class _Reader(DataSourceReader):
         self.cursors, self.interval = json.loads(options.get("cursors", "{}")), float(options.get("interval", "1"))
 
     def client(self, headers: dict | None = None) -> Client:
-        return Client(_transport(self.transport), headers, self.interval)
+        """Partitions may all run at once: each keeps the interval as often as there are partitions, so that all together keep it."""
+        return Client(_transport(self.transport), headers, self.interval * len(self.partitions()))
 
 
 def _row(court: str, cursor: object, hit: dict, source: dict) -> tuple:

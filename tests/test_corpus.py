@@ -249,3 +249,22 @@ def test_report(spark, tmp_path):
 def test_every_query_runs(spark, small):
     for name in ("rates_by_nation", "consolidated_units", "case_number_check", "rulings_evaluated", "documents_masked"):
         assert registry.queries()[name](spark, small).count() > 0, name
+
+
+def test_charts():
+    """Each kind of chart draws a mark a row, names escaped, and gives an empty drawing for no rows."""
+    crossed = [{"sentenca": "a<b", "recurso": "p", "n": 3}, {"sentenca": "a<b", "recurso": "q", "n": 1}, {"sentenca": "c", "recurso": "p", "n": 2}]
+    assert report.chart("reforma_cruzamento", crossed).count("<title>") == 3 and "a&lt;b" in report.chart("reforma_cruzamento", crossed)
+    assert 'width="285.0"' in report.chart("reforma_cruzamento", crossed)  # three quarters
+    quartiles = [{"grupo": "x", "n": 10, "mediana_dias": 5.0, "q1_dias": 2.0, "q3_dias": 10.0}, {"grupo": "y", "n": 10, "mediana_dias": None, "q1_dias": None, "q3_dias": None}]
+    assert report.chart("duracao_tribunal", quartiles).count("<circle") == 1
+    assert report.chart("taxas_ano", [{"grupo": str(y), "acolhimento": y / 4000} for y in (2019, 2020, 2021)]).count("<circle") == 3
+    assert report.chart("citacoes", [{"citacao": "art. 1", "documentos": 3, "em_acolhidos": 0.5, "em_rejeitados": 0.25}]).count("<rect") == 2
+    assert report.chart("vocabulario_acolhido", [{"palavra": "w", "z": -2.0, "n_acolhidos": 1}]).count("<rect") == 1
+    assert all(f.count("<rect") + f.count("<circle") == 0 for f in (report.bars([], "a", "b"), report.ranges([], "a", "b", "c", "d"), report.stacked([], "a", "b", "c"), report.pairs_of_bars([], "a", "b", "c"), report.line([], "a", "b")))
+
+
+def test_one_analysis_is_drawn(spark):
+    found = document.analyse_text(spark, "Contrato, contrato e cobrança. Ante o exposto, julgo procedente o pedido.")
+    drawn = document.drawing(found)
+    assert drawn.startswith("<svg xmlns") and drawn.count("<rect") >= 2 and "contrato" in drawn

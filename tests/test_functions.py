@@ -90,3 +90,25 @@ def test_pseudonyms(spark):
     assert p["substituicoes"] == {"EMAIL": 1, "CPF": 1, "OAB": 1, "CEP": 1, "ENDERECO": 1, "PESSOA": 3}
     assert value(spark, lambda t: pseudonyms.residue(pseudonyms.masked(t)), DECISION) == []
     assert pseudonyms.without_names("Ana Souza falou", ["Ana Souza", "", "Eu"]) == ("[PESSOA_1] falou", 1)
+
+
+def test_entities_and_letters(spark):
+    """Every named entity and numbers, once; letters composed; accents of all Latin letters."""
+    import unicodedata
+
+    for given, wanted in (
+        ("a &amp;lt; b &lt;x&gt; &copy;", "a &lt; b <x> ©"), ("&eacute;&#233;&#xE9;&#x1F600;", "ééé😀"), ("&nosuch; & &amp", "&nosuch; & &amp"), ("&#0; &#xD800; &#9999999;", "&#0; &#xD800; &#9999999;"),
+        ("&middot;" * 50, "·" * 50), ("", ""), ("no entity", "no entity"),
+    ):
+        assert value(spark, text.unescaped, given) == wanted
+    letters = "".join(unicodedata.normalize("NFD", c) for c in "ação èñüŷẽ São Tomé ǎ")
+    assert value(spark, text.composed, letters) == unicodedata.normalize("NFC", letters)
+    assert value(spark, text.unaccent, "Ação ŷẽǎ Ñ ø") == "Acao yea N ø"
+    assert value(spark, text.html_to_text, "<p>A&ccedil;&atilde;o&nbsp;&#8211; fim</p>") == "Ação – fim\n"
+
+
+def test_a_recogniser_adds_names(spark):
+    """Names of a model count beside those of the patterns; companies stay."""
+    found = lambda texts: [[w for w in ("zeca", "Banco Alfa") if w in t] for t in texts]
+    p = value(spark, lambda t: pseudonyms.pseudonymised(t, recogniser=found), "Autor: Ana Souza. Disse zeca ao Banco Alfa.")
+    assert p["texto"] == "Autor: [PESSOA_1]. Disse [PESSOA_2] ao Banco Alfa." and p["substituicoes"] == {"PESSOA": 2}
