@@ -322,7 +322,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         answers = pairs.where("chunk <> ''").groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "c_h", "rare", "lower")).alias("pairs"))
         found = stages.keep(scored(known.join(answers, "chunk"), parts, d1, d2, tokens, types, of, unseen), "scores")
         stages.drop(words, pairs)
-        stages.forget()
         return found
     finally:
+        stages.forget()
         arrow_limits(spark)
