@@ -142,3 +142,10 @@ SUBJECTS = (('[{"codigo":1,"nome":"A"},{"codigo":2,"nome":"B"}]', "A|B"), ('[[{"
 NUMBERED = (
     ("autos 0000001-78.2020.8.26.0100 em curso", "0000001-78.2020.8.26.0100", "tjsp"), ("00000017820208260100", "0000001-78.2020.8.26.0100", "tjsp"), ("0000001-77.2020.8.26.0100", None, None), ("sem número", None, None),
 )
+#: ruling, its chapters as object/outcome/strength, joined by a bar
+CHAPTERS = (
+    ("Julgo procedente a reconvenção e improcedente o pedido inicial.", "reconvencao/procedente/forte|acao/improcedente/forte"),
+    ("Rejeito os embargos de declaração. Nego provimento ao recurso.", "embargos_declaracao/nao_provido/forte|recurso/nao_provido/forte"),
+    ("Julgo improcedente a denunciação da lide. Condeno o réu a pagar.", "denunciacao/improcedente/forte|acao/procedente/fraca"), ("Julgo procedente o pedido contraposto.", "pedido_contraposto/procedente/forte"),
+    ("Rejeito o incidente e julgo improcedentes os pedidos.", "acao/improcedente/forte"), ("Reformo a sentença para julgar procedente o pedido.", "recurso/provido/fraca|acao/procedente/forte"),
+)

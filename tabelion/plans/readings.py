@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabelion.functions import courts, movements, text
-from tabelion.operators import amounts, citations, consolidate, decisions, measures, pseudonyms
+from tabelion.functions import courts, movements, policy, text
+from tabelion.operators import amounts, citations, consolidate, decisions, measures, pseudonyms, validate
 from tabelion.plans import examples
 from tabelion.plans.registry import query, table
 from tabelion.sources import convert
+from tabelion.sources.corpus import Corpus
 
 
 def sql_value(value: object) -> str:
@@ -289,3 +290,79 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def first_given_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("a", F.when(F.col("event_id") % 2 == 0, "").otherwise(F.col("event_type")))
     return e.select("event_id", text.digits(F.col("props")).alias("digitos"), text.first_given(F.col("a"), F.col("props")).alias("primeiro"), convert.wanted_type(F.col("event_type"), ["Sígn", "ERROR"]).alias("desejado"))
+
+
+# Chapters, samples, instances, sides.
+
+_OBJECTS = ", ".join(f"({k}, {sql_value(objects)})" for k, objects in enumerate(row[1] for row in examples.CHAPTERS))
+
+
+@query(f"SELECT objeto, resultado, forca, count(*) AS n FROM (SELECT split_part(c, '/', 1) AS objeto, split_part(c, '/', 2) AS resultado, split_part(c, '/', 3) AS forca FROM (SELECT unnest(string_split(cs, '|')) AS c FROM orders JOIN (VALUES {_OBJECTS}) e(k, cs) ON o_orderkey % {len(examples.CHAPTERS)} = k)) GROUP BY ALL")
+def chapters_counted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each command is about, in text order, and whether its rule is a strong one."""
+    e = dealt(spark, sf_dir, examples.CHAPTERS).select(decisions.evaluation(F.col("t"), whole=False).alias("e"))
+    return e.select(F.inline("e.capitulos")).groupBy("objeto", "resultado", "forca").agg(F.count("*").alias("n"))
+
+
+_REFERENCES = ", ".join(f"({k}, {sql_value(r)})" for k, (_, r) in enumerate(examples.CITED))
+
+
+@query(f"""WITH d AS (SELECT o_orderkey, o_orderstatus = 'F' AS good, r FROM orders JOIN (VALUES {_REFERENCES}) e(k, r) ON o_orderkey % {len(examples.CITED)} = k), t AS (SELECT count_if(good) AS ga, count_if(NOT good) AS gr FROM d),
+c AS (SELECT good, unnest(list_distinct(list_filter(string_split(r, '|'), lambda x: x <> ''))) AS citacao FROM d)
+SELECT citacao, count(*) AS documentos, round(count_if(good) / any_value(ga), 6) AS em_acolhidos, round(count_if(NOT good) / any_value(gr), 6) AS em_rejeitados FROM c, t GROUP BY 1 HAVING count(*) >= 10 ORDER BY documentos DESC, citacao LIMIT 30""")
+def citations_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "procedente").otherwise("improcedente").alias("resultado"))
+    d = dealt(spark, sf_dir, examples.CITED).withColumn("r", citations.cited(F.col("t"))["referencia"]).join(status, "o_orderkey")
+    return measures.shares_by_side(d, "r", key="o_orderkey").select("citacao", "documentos", *(F.round(c, 6).alias(c) for c in ("em_acolhidos", "em_rejeitados")))
+
+
+_KINDS = ("sentenca", "acordao", "decisao_monocratica", "embargos_declaracao", "outro")
+
+
+@query(f"""SELECT CASE k WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '2' WHEN 4 THEN CASE o_orderstatus WHEN 'F' THEN '1' WHEN 'P' THEN '2' END END AS instancia, count(*) AS n
+FROM (SELECT o_orderkey % {len(_KINDS)} AS k, o_orderstatus FROM orders) GROUP BY 1""")
+def instances_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (F.col("o_orderkey") % len(_KINDS)).cast("int"))
+    outcome = F.when(F.col("o_orderstatus") == "F", "procedente").when(F.col("o_orderstatus") == "P", "nao_provido").otherwise("indeterminado")
+    return o.groupBy(consolidate.instance_of_document(kind, outcome).alias("instancia")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n, round(count_if(manual = automatico) / count(*), 6) AS acuracia FROM (SELECT CASE quality WHEN 1 THEN 'procedente' ELSE 'improcedente' END AS manual, CASE WHEN n_chars > 1000 THEN 'procedente' ELSE 'improcedente' END AS automatico FROM documents JOIN labels USING (doc_id) WHERE doc_id % 3 <> 0)")
+def reviewed_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reviewed sample: labels in any case, with blanks around; rows that nobody labelled (every third) don't count."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id")
+    manual = F.when(F.col("doc_id") % 3 == 0, " ").when(F.col("quality") == 1, " Procedente ").otherwise("IMPROCEDENTE")
+    rows = d.select(manual.alias("resultado_manual"), F.when(F.col("n_chars") > 1000, "procedente").otherwise("improcedente").alias("resultado_automatico"))
+    return validate.accuracy(validate.confusion(validate.labelled(rows))).select("n", F.round("acuracia", 6).alias("acuracia"))
+
+
+@query(f"WITH {_COURTS} SELECT tribunal FROM c WHERE ramo = 'federal' OR tribunal IN ('tjsp', 'stj')")
+def courts_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return courts.dimension(spark).join(spark.createDataFrame([(c,) for c in courts.select(["federal", " TJSP", "stj", "trf1"])], "tribunal string"), "tribunal").select("tribunal")
+
+
+@query("SELECT event_type, count(*) AS n FROM events WHERE NOT (event_type = 'error') GROUP BY 1 HAVING count(*) >= 10")
+def public_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sensitive rows are left out, small groups suppressed."""
+    e = table(spark, sf_dir, "events").withColumn("sensivel", F.col("event_type") == "error")
+    return policy.publishable(Corpus._public(e, False).groupBy("event_type").agg(F.count("*").alias("n")))
+
+
+_HISTORY = ", ".join(f"({k}, {sql_value(r)})" for k, (_, r, _) in enumerate(examples.HISTORIES))
+
+
+@query(f"""WITH d AS (SELECT o_custkey::VARCHAR AS numero, arg_min(CASE o_orderstatus WHEN 'F' THEN 'procedente' WHEN 'P' THEN 'indeterminado' ELSE 'improcedente' END, (o_orderstatus = 'P', o_orderdate::DATE::VARCHAR, o_orderkey::VARCHAR)) AS said FROM orders GROUP BY 1),
+c AS (SELECT c_custkey::VARCHAR AS numero, r AS moved FROM customer JOIN (VALUES {_HISTORY}) e(k, r) ON c_custkey % {len(examples.HISTORIES)} = k)
+SELECT numero, CASE WHEN said <> 'indeterminado' THEN said WHEN moved <> 'indeterminado' THEN moved ELSE 'indeterminado' END AS resultado, CASE WHEN said IS NULL THEN 'movimentos' WHEN moved IS NULL THEN 'texto' ELSE 'ambos' END AS fonte,
+coalesce(said <> 'indeterminado' AND moved <> 'indeterminado' AND said <> moved, false) AS divergente FROM d FULL JOIN c USING (numero)""")
+def texts_and_movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as texts and customers as case records of one number: the first determined text by date, movements where it leaves the outcome open."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    said = F.when(F.col("o_orderstatus") == "F", "procedente").when(F.col("o_orderstatus") == "P", "indeterminado").otherwise("improcedente")
+    none = F.lit(None).cast("string")
+    evaluated = F.struct(F.lit("sentenca").alias("tipo_decisao"), F.lit("alta").alias("confianca"), none.alias("motivo"), none.alias("resultado_acao"), F.array().cast(f"array<{decisions.CHAPTER}>").alias("capitulos"))
+    docs = o.select(F.col("o_orderkey").cast("string").alias("id"), F.lit("x").alias("tribunal"), F.col("o_custkey").cast("string").alias("numero"), F.to_date("o_orderdate").alias("data"), F.lit("c").alias("classe_nome"), said.alias("resultado"), F.lit(False).alias("sensivel"), evaluated.alias("avaliacao"), F.lit(None).cast("struct<repeticao:string>").alias("calculo"))
+    moved = F.get(F.array(*(F.lit(r) for _, r, _ in examples.HISTORIES)), (F.col("c_custkey") % len(examples.HISTORIES)).cast("int"))
+    cases = c.select(F.lit("x").alias("tribunal"), F.col("c_custkey").cast("string").alias("numero"), F.lit("G1").alias("grau"), F.lit("c").alias("classe_nome"), F.array().cast("array<struct<codigo:int,nome:string>>").alias("assuntos"), F.lit(None).cast("date").alias("data_ajuizamento"), F.lit(None).cast("date").alias("data_julgamento"), F.lit(None).cast("int").alias("duracao_dias"), moved.alias("resultado"), F.lit(False).alias("sensivel"))
+    return consolidate.consolidate(cases, docs).select("numero", "resultado", "fonte", F.coalesce("divergente", F.lit(False)).alias("divergente"))
