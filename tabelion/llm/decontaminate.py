@@ -9,9 +9,10 @@ tolerance(n) random edits, put into a text, are found again with the target reca
 items drift apart, so classes of CGK_WORDS words and more, and any for which no choice reaches the recall, have no
 tables: all their windows are compared. Compared windows are verified by an exact alignment.
 
-Windows are as long as the item. A stretch within tolerance(n) edits shares, by the pigeonhole principle, a run of
-floor(n / (tolerance(n) + 1)) words with the item, so windows are laid only where a run of at most GRAM words of
-the item occurs, in line with it: no other window can pass verification.
+Windows are as long as the item. An edit destroys at most q runs of q words, so a stretch within the tolerance has
+n - q + 1 - q tolerance(n) of the item's runs of q = min(GRAM, n / (tolerance(n) + 1)) words, nearly in line. Windows are
+laid where a text has so many, in line with them: no other window can pass verification, and a run that is common to
+many items lays no window by itself.
 
 Words are runs of letters, digits and non-ASCII characters, lower-cased. Null and empty texts and items have no words
 and match nothing; repeated rows are judged each, repeated items are found each. Items are taken in blocks of
@@ -104,13 +105,21 @@ class Items:
         self.places: dict[bytes, int] = {}
         self.items = [np.array([self.places.setdefault(w, len(self.places)) for w in ws], np.int64) for _, ws in split]
         self.allowed = [int(tolerance * len(x)) for x in self.items]
-        self.runs: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        #: Of each run length: the items' runs in order, and of each the places (item, offset) where it occurs.
+        self.runs: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.demanded = np.zeros(len(self.items), np.int64)
+        of: dict[int, list[int]] = defaultdict(list)
         for k, x in enumerate(self.items):
             n = min(GRAM, len(x) // (self.allowed[k] + 1))
-            for o, code in enumerate(self.codes(x, n)):
-                self.runs[n][int(code)].append((k, o))
-        self.runs = {n: dict(r) for n, r in self.runs.items()}
-        self.sorted = {n: np.array(sorted(r), np.int64) for n, r in self.runs.items()}
+            of[n].append(k)
+            self.demanded[k] = max(1, len(x) - n + 1 - n * self.allowed[k])
+        for n, ks in of.items():
+            codes = [self.codes(self.items[k], n) for k in ks]
+            item, offset = np.repeat(ks, [len(c) for c in codes]), np.concatenate([np.arange(len(c)) for c in codes])
+            code = np.concatenate(codes)
+            order = np.argsort(code, kind="stable")
+            every, begin = np.unique(code[order], return_index=True)
+            self.runs[n] = every, np.append(begin, len(order)), item[order], offset[order]
         self.classes = [length_class(len(x)) for x in self.items]
         #: Of each length class: slots sampled, or None where all windows are compared.
         self.tables = {c: self.choose(c, recall) for c in sorted(set(self.classes))}
@@ -190,21 +199,39 @@ class Items:
                     return sampled
         return None
 
-    def candidates(self, x: np.ndarray) -> set[tuple[int, int]]:
-        """(item, window start) in line with the runs that a text shares with items."""
-        found = set()
-        for n, table in self.sorted.items():
+    def candidates(self, x: np.ndarray) -> list[tuple[int, int]]:
+        """(item, window start) in line with runs that a text shares with an item, where enough of them are nearly in line.
+
+        An edit destroys at most n runs of n words, so a stretch within the tolerance keeps demanded runs of the item, in line
+        with starts no further apart than twice the tolerance.
+        """
+        found: list[tuple[int, int]] = []
+        for n, (every, begin, item, offset) in self.runs.items():
             codes = self.codes(x, n)
-            place = np.minimum(np.searchsorted(table, codes), len(table) - 1)
-            for at in np.flatnonzero(table[place] == codes):
-                found.update((k, int(at) - o) for k, o in self.runs[n][int(codes[at])])
-        return found
+            place = np.minimum(np.searchsorted(every, codes), len(every) - 1)
+            at = np.flatnonzero(every[place] == codes)
+            first, many = begin[place[at]], begin[place[at] + 1] - begin[place[at]]
+            flat = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(at) else np.zeros(0, np.int64)
+            k, start = item[flat], np.repeat(at, many) - offset[flat]
+            order = np.lexsort((start, k))
+            k, start = k[order], start[order]
+            apart = np.array(self.allowed, np.int64)[k] * 2
+            # starts of one item lie together: shift items apart, then look how many starts each reaches
+            line = k * (2 * (len(x) + max(map(len, self.items))) + 4 * max(self.allowed) + 4) + start
+            last = np.searchsorted(line, line + apart, side="right")
+            enough = last - np.arange(len(line)) >= self.demanded[k]
+            covered = np.zeros(len(line) + 1, np.int64)
+            np.add.at(covered, np.flatnonzero(enough), 1)
+            np.add.at(covered, last[enough], -1)
+            kept = np.cumsum(covered)[:-1] > 0
+            found += sorted(set(zip(k[kept].tolist(), start[kept].tolist(), strict=True)))
+        return sorted(found)
 
     def leaks(self, texts: list[str | None]) -> list[dict[int, tuple[int, int]]]:
         """Of each text: item -> (distance, start of the verified stretch's window)."""
         known = self.places.get
         numbers = [np.fromiter((known(w, -1) for w in words(t)), np.int64) for t in texts]
-        pairs = [(d, k, s) for d, x in enumerate(numbers) for k, s in sorted(self.candidates(x))] if self.items else []
+        pairs = [(d, k, s) for d, x in enumerate(numbers) for k, s in self.candidates(x)] if self.items else []
         out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         for c, sampled in self.tables.items():
             own = [p for p in pairs if self.classes[p[1]] == c]
