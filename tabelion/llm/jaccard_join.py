@@ -33,14 +33,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabelion.llm.common import ASCII_LOWER, Stages, arrow_limits
+from tabelion.llm.common import ASCII_LOWER, Stages, arrow_limits, sent
 
 #: Bits of a set's parity bitmap.
 BITS = 512
 #: The first product demands one common column for each so many n-grams of a set.
 COMMON_PER = 10
-#: Rows of identifiers that are sent to all tasks; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 #: Words a worker remembers the hashes of.
 REMEMBERED = 1 << 17
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -118,11 +116,6 @@ def incidence(df: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     return df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n long, digest binary, heads array<long>, needed int")
 
 
-def sent(ids: DataFrame) -> DataFrame:
-    """ids, sent to all tasks if they are few."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def whole_sets(df: DataFrame, id_col: str, text_col: str, k: int, wanted: DataFrame) -> DataFrame:
     """node, n, grams and parity bitmap of the wanted (node, digest)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabelion.llm.common import ASCII_LOWER, Stages, arrow_limits
+from tabelion.llm.common import ASCII_LOWER, Stages, arrow_limits, sent
 
 _MARKS = re.compile(r"(?:[ \t]*>)+")
 _ATTRIBUTION = re.compile(r"^(?:on\b.*\bwrote|.*\b(?:schrieb|a écrit|escribió|wrote))\s*:\s*$", re.I)
@@ -101,9 +101,10 @@ def parse(df: DataFrame, conv_col: str, turn_col: str, text_col: str) -> DataFra
 
 def parents(parsed: DataFrame) -> DataFrame:
     """conv_id, turn, parent_turn, n_linked of the messages that have linked passages."""
-    # only what some message of the conversation quotes can be an origin: said hashes shrink by a semi join first
+    # only what some message of the conversation quotes can be an origin: said hashes shrink by semi joins first
     asked = parsed.where("n_quotes > 0 and turn is not null").select(F.struct("conv_id").alias("conv"), "turn", F.explode("quoted").alias("p")).select("conv", "turn", "p.*").distinct()
-    said = parsed.where("turn is not null").select(F.struct("conv_id").alias("conv"), "turn", F.explode("said").alias("hash")).distinct()
+    quoting = sent(asked.select("conv").distinct())
+    said = parsed.where("turn is not null").withColumn("conv", F.struct("conv_id")).join(quoting, "conv", "left_semi").select("conv", "turn", F.explode("said").alias("hash")).distinct()
     said = said.join(asked.select("conv", "hash").distinct(), ["conv", "hash"], "left_semi")
     # as-of join by one pass in turn order: what was said last before a passage is its origin
     both = asked.unionByName(said, allowMissingColumns=True)
