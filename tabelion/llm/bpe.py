@@ -19,7 +19,6 @@ import contextlib
 import hashlib
 import heapq
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +30,7 @@ from tabelion.llm.common import arrow_limits
 #: Unicode's White_Space, which Java's \s doesn't cover.
 SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Pieces and bytes of pieces that each of a worker's two memories holds; bytes of a long piece; pieces of one recursive query, and rows it makes at most.
-MEMORY, REMEMBERED, LONG, BLOCK, BLOCK_ROWS = 120_000, 8 << 20, 512, 10_000, 2_000_000
+MEMORY, REMEMBERED, LONG, BLOCK, BLOCK_ROWS = 150_000, 8 << 20, 512, 20_000, 4_000_000
 
 _CONTRACT = """
 WITH RECURSIVE st(it, w, p, np, id, nid, rk) AS (
@@ -84,12 +83,9 @@ def contract_long(ids: list[int], merges: dict[int, int]) -> list[int]:
     return [t for t in ids if t >= 0]
 
 
-class Piece(NamedTuple):
-    """A piece's ids, the same in decimal, and the bytes that they decode to."""
-
-    ids: np.ndarray
-    decimal: bytes
-    decoded: bytes
+#: A piece's ids, the same in decimal, and the bytes that they decode to: plain tuples, which the garbage collector needn't visit again.
+Piece = tuple[np.ndarray, bytes, bytes]
+IDS, DECIMAL, DECODED = range(3)
 
 
 class Codec:
@@ -140,13 +136,13 @@ class Codec:
         if len(self.young) >= MEMORY or self.bytes > REMEMBERED:
             self.old, self.young, self.bytes = self.young, {}, 0
         self.young[piece] = found
-        self.bytes += len(found.decoded)
+        self.bytes += len(found[DECODED])
         return found
 
     def _contract_long(self, piece: str) -> Piece:
         ids = np.array(contract_long(self.byte_ids[np.frombuffer(piece.encode(), np.uint8)].tolist(), self.merges), np.int32)
         row = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))
-        return Piece(ids, " ".join(map(str, ids.tolist())).encode(), self.decode(row)[0])
+        return ids, " ".join(map(str, ids.tolist())).encode(), self.decode(row)[0]
 
     def _contract(self, pieces: list[str]) -> Iterator[Piece]:
         raw = [p.encode() for p in pieces]
@@ -163,21 +159,22 @@ class Codec:
         values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
         text = list(map(str, values.tolist()))
         for a, b, latin in zip(offsets, offsets[1:], out["latin"].to_pylist(), strict=False):
-            yield Piece(values[a:b].copy(), " ".join(text[a:b]).encode(), latin.encode("latin-1"))
+            yield values[a:b].copy(), " ".join(text[a:b]).encode(), latin.encode("latin-1")
 
     def contracted(self, pieces: list[str]) -> list[Piece]:
         """What these distinct pieces contract to, remembered or made now."""
         found: dict[str, Piece] = {}
-        block, rows = [], 0
+        block, rows, kept = [], 0, []
 
         def make() -> None:
             for piece, made in zip(block, self._contract(block), strict=True):
                 found[piece] = self._remember(piece, made)
 
+        young, old = self.young.get, self.old.get
         for piece in pieces:
-            known = self.young.get(piece)
-            if known is None and (known := self.old.get(piece)) is not None:
-                self._remember(piece, known)
+            known = young(piece)
+            if known is None and (known := old(piece)) is not None:
+                kept.append((piece, known))
             if known is None and (size := len(piece.encode())) > LONG:
                 known = self._contract_long(piece)
             if known is not None:
@@ -190,6 +187,8 @@ class Codec:
             rows += size * size
         if block:
             make()
+        for piece, known in kept:
+            self._remember(piece, known)
         return [found[p] for p in pieces]
 
     def lists(self, pieces: pa.ListArray) -> tuple[list[Piece], np.ndarray]:
@@ -228,7 +227,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         with Codec.of(ranks_path) as codec:
             for batch in batches:
                 at, begin = codec.lists(batch.column(1))
-                rows = [np.concatenate([p.ids for p in at[a:b]]) if b > a else np.empty(0, np.int32) for a, b in zip(begin, begin[1:], strict=False)]
+                rows = [np.concatenate([p[IDS] for p in at[a:b]]) if b > a else np.empty(0, np.int32) for a, b in zip(begin, begin[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
     source = pieces(df, text_col, pattern, id_col)
@@ -258,8 +257,8 @@ def encode_checked(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "
                 at, begin = codec.lists(batch.column(2))
                 rows, digests = [], []
                 for text, a, b in zip(batch.column(1).to_pylist(), begin, begin[1:], strict=False):
-                    rows.append(np.concatenate([p.ids for p in at[a:b]]) if b > a else np.empty(0, np.int32))
-                    decoded = b"".join([p.decoded for p in at[a:b]])
+                    rows.append(np.concatenate([p[IDS] for p in at[a:b]]) if b > a else np.empty(0, np.int32))
+                    decoded = b"".join([p[DECODED] for p in at[a:b]])
                     if decoded != (text or "").encode():
                         raise ValueError("a text is not what its ids decode to")
                     digests.append(hashlib.sha256(decoded).hexdigest())
@@ -284,10 +283,10 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
                 n, ids, decoded = [], [], []
                 for a, b in zip(begin, begin[1:], strict=False):
                     row = at[a:b]
-                    joined = b" ".join([p.decimal for p in row])
+                    joined = b" ".join([p[DECIMAL] for p in row])
                     n.append(joined.count(b" ") + 1 if row else 0)
                     ids.append(hashlib.sha256(joined).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([p.decoded for p in row])).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join([p[DECODED] for p in row])).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = pieces(df, text_col, pattern, id_col)

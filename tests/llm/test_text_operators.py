@@ -47,7 +47,7 @@ def test_contraction(encoding_text):
     if encoding_text:
         with bpe.Codec.of(RANKS) as codec:
             made = codec.contracted([encoding_text])[0]
-        assert list(made.ids) == enc.encode_ordinary(encoding_text) and made.decoded == encoding_text.encode()
+        assert list(made[bpe.IDS]) == enc.encode_ordinary(encoding_text) and made[bpe.DECODED] == encoding_text.encode()
 
 
 def test_long_pieces_take_their_time_in_proportion():
@@ -59,8 +59,8 @@ def test_long_pieces_take_their_time_in_proportion():
     with bpe.Codec.of(RANKS) as codec:
         made = codec.contracted(list(dict.fromkeys(texts)))
     for text, piece in zip(dict.fromkeys(texts), made, strict=True):
-        assert piece.decoded == text.encode()
-        assert list(piece.ids) == enc._core_bpe.encode_single_piece(text.encode())
+        assert piece[bpe.DECODED] == text.encode()
+        assert list(piece[bpe.IDS]) == enc._core_bpe.encode_single_piece(text.encode())
     assert not codec.young and not codec.old
 
 
