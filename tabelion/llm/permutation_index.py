@@ -70,9 +70,8 @@ class Index:
     def __init__(self, df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", n_pivots: int = N_PIVOTS, length: int = LENGTH, block_rows: int = BLOCK_ROWS):
         self.stages = Stages(df.sparkSession, "permutation-index")
         vectors = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-        most = F.array_max(F.transform("v", F.abs))
-        norm = most * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
-        sizes = vectors.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.percentile_approx(norm, F.lit(1 - LONGER), F.lit(10_000)).alias("common")).orderBy(F.desc("n"), "dim").limit(1).collect()
+        norm = F.col("most") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most"))))
+        sizes = vectors.withColumn("most", F.array_max(F.transform("v", F.abs))).groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.percentile_approx(norm, F.lit(1 - LONGER), F.lit(10_000)).alias("common")).orderBy(F.desc("n"), "dim").limit(1).collect()
         self.dim, self.common = (sizes[0]["dim"], sizes[0]["common"]) if sizes else (0, 1.0)
         vectors = vectors.where(F.size("v") == self.dim)
         chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n_pivots).collect()
