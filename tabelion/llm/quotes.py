@@ -131,7 +131,7 @@ def link(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_
     stages = Stages(df.sparkSession, "quotes")
     parsed = stages.keep(parse(df, conv_col, turn_col, text_col), "parsed")
     links = stages.keep(parents(parsed), "parents")
-    found = links.join(roots(links, stages), ["conv", "turn"])
+    found = sent(links.join(roots(links, stages), ["conv", "turn"]))  # messages that reply, often few
     rows = parsed.select("conv_id", "turn", "role", "body", "n_quotes", F.struct("conv_id").alias("conv")).join(found, ["conv", "turn"], "left")
     rows = rows.withColumns({"root_turn": F.coalesce("root_turn", "turn"), "depth": F.coalesce("depth", F.lit(0)), "n_linked": F.coalesce("n_linked", F.lit(0))})
     # positions: rows of earlier stretches of roots, of earlier roots in the stretch, of earlier stretches of the thread, and in that;
