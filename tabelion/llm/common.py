@@ -21,15 +21,25 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Of each application without spark.checkpoint.dir in local mode: its own folder.
+_own: dict[str, str] = {}
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme and authority that Spark reads it by, so that readers beside Spark find the same files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a folder of our own where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="tabelion-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+        app = spark.sparkContext.applicationId
+        at = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tabelion-"))
+    return qualified(spark, at.rstrip("/"))
 
 
 class Stages:
@@ -69,6 +79,11 @@ class Stages:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def close(self) -> None:
+        """Deletes all that was kept, where nothing lazy reads it any more."""
+        self.forget()
+        self.delete(self.root)
+
     def path(self, label: str) -> str:
         self.n += 1
         return f"{self.root}/{self.n}-{label}"
