@@ -28,7 +28,8 @@ def _segments(keys: pa.Array) -> np.ndarray:
 
 
 def numbered(stages: Stages, df: DataFrame, key: str, order: Sequence[str], sums: Sequence[str] = (), at: str = "at", label: str = "ordered") -> DataFrame:
-    """df with the place of each row in its key (from 0, nulls first) and each long column of sums as its running sum, modulo 2**64, this row's included.
+    """df with the place of each row in its key (from 0, nulls first) and, for each long column s of sums, s as its running sum with this row
+    and before_s without it, both modulo 2**64.
 
     Rows that are equal in key and order may come in any order, so order should tell all rows apart that differ.
     """
@@ -38,6 +39,7 @@ def numbered(stages: Stages, df: DataFrame, key: str, order: Sequence[str], sums
     dealt = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(parts, key, *order, "__tie").sortWithinPartitions(key, *order, "__tie").drop("__tie")
     names = df.columns
     places = [names.index(s) for s in sums]
+    told = [*names, at, *(f"before_{s}" for s in sums)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, first, last, carry = TaskContext.get().partitionId(), 0, True, None, np.zeros(1 + len(sums), np.uint64)
@@ -64,13 +66,14 @@ def numbered(stages: Stages, df: DataFrame, key: str, order: Sequence[str], sums
             last, first = keys[-1].as_py(), first and len(begins) == 1
             carry = np.array([x[-1] for x in out], np.uint64)
             fresh = {i: pa.array(x.view(np.int64)) for i, x in zip(places, out[1:], strict=True)}
+            earlier = [pa.array((x - own).view(np.int64)) for x, own in zip(out[1:], columns[1:], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*(fresh.get(i, c) for i, c in enumerate(b.columns)), pa.array(out[0].view(np.int64) - 1), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(row + np.arange(b.num_rows)), pa.array(is_first)],
-                names=[*names, at, _PART, _ROW, _FIRST],
+                [*(fresh.get(i, c) for i, c in enumerate(b.columns)), pa.array(out[0].view(np.int64) - 1), *earlier, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(row + np.arange(b.num_rows)), pa.array(is_first)],
+                names=[*told, _PART, _ROW, _FIRST],
             )
             row += b.num_rows
 
-    schema = T.StructType([*df.schema.fields, T.StructField(at, T.LongType()), T.StructField(_PART, T.IntegerType()), T.StructField(_ROW, T.LongType()), T.StructField(_FIRST, T.BooleanType())])
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in told[len(names) :]), T.StructField(_PART, T.IntegerType()), T.StructField(_ROW, T.LongType()), T.StructField(_FIRST, T.BooleanType())])
     table = stages.keep(dealt.mapInArrow(count, schema), label)
     edge = lambda c: F.max_by(c, _ROW)
     edges = table.groupBy(_PART).agg(F.min_by(key, _ROW).alias("a"), edge(key).alias("b"), edge(at).alias("n"), *(edge(s).alias(f"s{i}") for i, s in enumerate(sums))).orderBy(_PART).collect()
@@ -84,19 +87,19 @@ def numbered(stages: Stages, df: DataFrame, key: str, order: Sequence[str], sums
         last, known = e["b"], True
     if not offsets:
         return table.drop(_PART, _ROW, _FIRST)
-    every = [*places, len(names)]
+    every, offset = [len(names), *places, *range(len(names) + 1, len(told))], [*range(1 + len(sums)), *range(1, 1 + len(sums))]
 
     def shift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = list(b.columns[: len(names) + 1])
-            parts, firsts = b.column(len(names) + 1).to_numpy(), b.column(len(names) + 3).to_numpy(zero_copy_only=False)
+            columns = list(b.columns[: len(told)])
+            parts, firsts = b.column(len(told)).to_numpy(), b.column(len(told) + 2).to_numpy(zero_copy_only=False)
             for p in np.unique(parts[firsts]).tolist():
                 if p in offsets:
                     where = (parts == p) & firsts
-                    for i, off in zip(every, [*offsets[p][1:], offsets[p][0]], strict=True):
+                    for i, k in zip(every, offset, strict=True):
                         x = columns[i].to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).copy()
-                        x[where] += np.uint64(off % 2**64)
+                        x[where] += np.uint64(offsets[p][k] % 2**64)
                         columns[i] = pa.array(x.view(np.int64))
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, at])
+            yield pa.RecordBatch.from_arrays(columns, names=told)
 
-    return table.mapInArrow(shift, T.StructType(schema.fields[: len(names) + 1]))
+    return table.mapInArrow(shift, T.StructType(schema.fields[: len(told)]))

@@ -87,8 +87,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabelion.llm import tries
+
+    return tries.trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_permutation_index, op2_byte_bpe, op3_quotation_linking, op4_cgk_decontamination, op5_url_template_tree, op6_ordinal_toxicity, op7_warc_bundles, op8_jaccard_join, op9_katz_backoff, op10_boosted_pii, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_byte_bpe, op3_quotation_linking, op4_cgk_decontamination, op5_url_template_tree, op6_ordinal_toxicity, op7_warc_bundles, op8_jaccard_join, op9_katz_backoff, op10_boosted_pii, op11_merkle_manifest, op12_prefix_trie)}
 
 
 #: op8: sets of five-word shingles, every pair that shares one, and the least id reachable.
