@@ -93,8 +93,16 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tries.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tabelion.llm import token_files
+
+    return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_permutation_index, op2_byte_bpe, op3_quotation_linking, op4_cgk_decontamination, op5_url_template_tree, op6_ordinal_toxicity, op7_warc_bundles, op8_jaccard_join, op9_katz_backoff, op10_boosted_pii, op11_merkle_manifest, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_permutation_index, op2_byte_bpe, op3_quotation_linking, op4_cgk_decontamination, op5_url_template_tree, op6_ordinal_toxicity, op7_warc_bundles, op8_jaccard_join, op9_katz_backoff, op10_boosted_pii, op11_merkle_manifest, op12_prefix_trie, op13_token_files)}
 
 
 #: op8: sets of five-word shingles, every pair that shares one, and the least id reachable.
