@@ -7,7 +7,8 @@ calibration on a held-out part turns scores into probabilities, and the least th
 there selects spans. Chosen spans don't overlap the base's or one another; the likelier goes first.
 
 The trees are fitted here, on texts that make() writes from a seed: contexts of invented words with true spans and
-with lookalikes (versions, dates, order numbers, decimals). No table is sampled.
+with lookalikes (versions, dates, order numbers, decimals, bare digits, identifiers, file names, words with digits). No table is sampled. A
+secret holds letters and digits: runs of digits alone are no secrets, whatever stands before them.
 
 Null texts are empty. Offsets are code points, ends exclusive. Repeated rows are searched each.
 """
@@ -46,7 +47,7 @@ LOOSE = (
     ("phone", re.compile(r"(?<![0-9A-Za-z.+])(?:00[1-9][0-9 .-]{8,20}[0-9]|\(?[0-9]{2,5}\)?(?:[ .\-/][0-9]{2,5}){1,5})(?![0-9A-Za-z])")),
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[ ./_-]{1,3}[0-9]{4}){3}(?:[ ./_-]{1,3}[0-9]{1,3})?(?![0-9A-Za-z])")),
     ("ip", re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)| dot ) ?[0-9]{1,3}){3}(?![0-9A-Za-z])|(?<![0-9A-Za-z:])(?:[0-9a-f]{1,4}:){3,7}:?[0-9a-f]{1,4}(?![0-9A-Za-z:])", re.I)),
-    ("secret", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,128}[0-9])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,128}[0-9])(?=[0-9+/_=-]{0,128}[A-Za-z])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])")),
 )
 _HEX = re.compile(r"[0-9a-fA-F]+")
 #: Where a sentence may end within a match.
@@ -222,6 +223,8 @@ def written(n: int, seed: int) -> Iterator[tuple[str, int, int, bool, str]]:
                 (word(), f"{r.choice((word(), word(), *sorted(PLAIN)))} at {word()}. {word().title()}"), (word(), f"{r.choice(sorted(PLAIN))} at {word()}.{r.choice(('com', 'org', 'net', 'de'))}"),
                 (r.choice(("time", "at", word())), r.choice((f"{num(2)}:{num(2)}:{num(2)}:{num(2)}", f"{num(2)}:{num(2)}:{num(2)}:{num(3)}:{num(2)}"))),
                 (r.choice(("commit", "sha", "checksum", "etag", "hash")), hexa(r.choice((32, 40, 64)))), (r.choice(("id", "uuid", word())), "-".join(map(hexa, (8, 4, 4, 4, 12)))),
+                (r.choice(("id", "no", "isbn", "order", word(), word())), r.choice((num(r.randint(12, 24)), num(16), f"{num(8)}-{num(8)}", f"{num(4)}_{num(6)}_{num(6)}"))),
+                (r.choice(("id", "build", "etag", "doi", word(), word())), r.choice((f"{word()}{num(r.randint(6, 14))}", f"{word()}-{num(4)}-{word()}-{num(3)}", f"{word().title()}{word().title()}{word().title()}{num(3)}", hexa(r.choice((16, 24))), f"{num(2)}.{num(4)}/{word()}.{num(4)}.{num(3)}", f"{word()}_{word()}_{num(8)}.{r.choice(('txt', 'jpg', 'html'))}", f"20{num(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}T{num(2)}:{num(2)}:{num(2)}Z", f"20{num(2)}0{r.randint(1, 9)}{r.randint(10, 28)}T{num(6)}Z"))),
                 (r.choice(("path", word())), r.choice((f"/{word()}/{word()}/{num(4)}/{word()}", f"{word()}-{word()}-{word()}-{num(4)}", f"{word()}_{word()}_{word()}{num(2)}", f"{word()}{word()}{word()}/{word()}-{num(1)}"))),
             ))
         before = " ".join([*(word() for _ in range(r.randint(2, 9))), lead, ""])

@@ -168,5 +168,69 @@ SELECT page_id, host, path, rule, coalesce(action, CASE WHEN tp.purity >= {u.THR
 FROM p JOIN {last} USING (host, shapes) JOIN tp USING (host, template)"""
 
 
+#: Unsigned CRC-32 of a short ASCII text, byte by byte with the usual table of 256 remainders (polynomial 0xEDB88320).
+CRC_TABLE = """crc AS (SELECT list(r ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, x: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS r FROM range(256) x(i)))"""
+
+
+def crc(text: str) -> str:
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ord(x)::BIGINT)), lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1])))"
+
+
+def op11_sql(source_levels: int = 5, top_levels: int = 4) -> str:
+    """The tree level by level: 16 ** source_levels rows of a source, 16 ** top_levels sources."""
+    from tabelion.llm import merkle
+
+    n = merkle.FANOUT
+    told = lambda x: f"CASE WHEN {x} IS NULL THEN '-' ELSE concat(strlen({x}::VARCHAR), ':', {x}) END"
+    h = lambda text: "sha256(concat(" + ", ".join(map(told, ("doc_id", "source", "lang", "n_chars", text))) + "))"
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [f"""WITH {CRC_TABLE}, l AS (SELECT doc_id, source, {h("text")} AS leaf, CASE WHEN {crc("doc_id::VARCHAR")} % 5 = 0 THEN {h(low)} END AS changed FROM documents, crc),
+d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+n0 AS (SELECT source, i, leaf AS h, count(*) OVER (PARTITION BY source) AS c FROM d)"""]
+
+    def rounds(name: str, levels: int) -> None:
+        """A node that is alone goes up as it is; c: nodes of its source."""
+        for k in range(levels):
+            parts.append(f"""{name}{k + 1} AS (SELECT source, i // {n} AS i, CASE WHEN any_value(c) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h, list(h ORDER BY i) AS kids, any_value(c) AS below, ceil(any_value(c) / {n})::BIGINT AS c
+ FROM {name}{k} GROUP BY source, i // {n})""")
+
+    rounds("n", source_levels)
+    parts.append(f"""m0 AS (SELECT 0 AS source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, h, count(*) OVER () AS c, source AS name FROM n{source_levels})""")
+    rounds("m", top_levels)
+    parts.append("p0 AS (SELECT doc_id, leaf, d.source, d.i, '' AS proof, coalesce(changed, leaf) AS f FROM d)")
+
+    def climb(name: str, into: str, levels: int) -> None:
+        for k in range(levels):
+            pos = f"(p.i % {n})"
+            left, right = f"array_to_string(kids[:{pos}], '')", f"array_to_string(kids[{pos} + 2:], '')"
+            parts.append(f"""{into}{k + 1} AS (SELECT p.* EXCLUDE (i, proof, f), p.i // {n} AS i, concat(proof, {left}, {right}) AS proof, CASE WHEN below = 1 THEN f ELSE sha256(concat({left}, f, {right})) END AS f
+ FROM {into}{k} p JOIN {name}{k + 1} x ON x.source IS NOT DISTINCT FROM p.source AND x.i = p.i // {n})""")
+
+    climb("n", "p", source_levels)
+    parts.append(f"q0 AS (SELECT doc_id, leaf, m0.h AS subroot, 0 AS source, m0.i, proof, f FROM p{source_levels} p JOIN m0 ON m0.name IS NOT DISTINCT FROM p.source)")
+    climb("m", "q", top_levels)
+    return ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = h AS verified FROM q{top_levels}, m{top_levels}"""
+
+
+#: op12: sequences of turns as lists, every prefix of each, and all pairs of a node and its prefixes.
+OP12_SQL = rf"""
+WITH {CRC_TABLE},
+turns AS (SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS i FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(x ORDER BY i) AS xs, conv_id - conv_id % 20 AS base, {crc("conv_id::VARCHAR")} % 4 AS h FROM turns, crc GROUP BY conv_id, t),
+every AS (SELECT a.conv_id, list_concat(coalesce(b.xs[:a.h], []), a.xs[a.h + 1:]) AS xs FROM own a LEFT JOIN own b ON b.conv_id = a.base),
+members AS (SELECT conv_id, d, xs[:d] AS p, d = len(xs) AS ends FROM (SELECT *, unnest(range(len(xs) + 1)) AS d FROM every)),
+nodes AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS told,
+  CASE WHEN d > 0 THEN (count(*) - 1) * len(regexp_extract_all(p[d].text, '[^ 	-]+')) ELSE 0 END AS saved FROM members GROUP BY p, d),
+kids AS (SELECT p[:d - 1] AS p, d - 1 AS d, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
+known AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (p, d)),
+above AS (SELECT *, unnest(range(d + 1)) AS up FROM known),
+sums AS (SELECT p[:up] AS p, up AS d, count_if(k = 0)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM above GROUP BY ALL)
+SELECT a.conv_id, a.d AS depth, o.conv_id AS parent_conv_id, a.n AS n_convs, a.k AS n_children, n_leaves, saved_tokens, sha256(a.told) AS ends_sha256
+FROM known a JOIN sums USING (p, d) LEFT JOIN known o ON o.d = a.d - 1 AND o.p = a.p[:a.d - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_template_tree": op5_sql(), "op7_warc_bundles": OP7_SQL, "op8_jaccard_join": OP8_SQL}
+    return {"op5_url_template_tree": op5_sql(), "op7_warc_bundles": OP7_SQL, "op8_jaccard_join": OP8_SQL, "op11_merkle_manifest": op11_sql(), "op12_prefix_trie": OP12_SQL}

@@ -1,5 +1,6 @@
 """Plain versions of the operators, for small inputs."""
 
+import hashlib
 import math
 import re
 import zlib
@@ -124,3 +125,67 @@ def threads(rows):
         for place, r in enumerate(order):
             found[conv, r[1]] = (parent[r[1]], chain(r[1])[-1], len(chain(r[1])) - 1, place, linked[r[1]])
     return found
+
+
+def merkle(rows, fanout=16):
+    """(doc_id, leaf, subroot, root, proof, folded root, verified) of rows (doc_id, source, lang, n_chars, text)."""
+    h = lambda *x: hashlib.sha256("".join(x).encode()).hexdigest()
+    leaf = lambda r: h(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r))
+
+    def tree(nodes):
+        levels = [nodes]
+        while len(levels[-1]) > 1:
+            levels.append([h(*levels[-1][i : i + fanout]) for i in range(0, len(levels[-1]), fanout)])
+        return levels
+
+    def path(levels, i):
+        out = []
+        for level in levels[:-1]:
+            begin = i - i % fanout
+            out.append((level[begin:i], level[i + 1 : begin + fanout]))
+            i //= fanout
+        return out
+
+    by = defaultdict(list)
+    for r in rows:
+        by[r[1]].append(r)
+    names = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    for s in names:
+        by[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(r)))
+    trees = {s: tree([leaf(r) for r in by[s]]) for s in names}
+    top, out = tree([trees[s][-1][0] for s in names]), []
+    for k, s in enumerate(names):
+        for i, r in enumerate(by[s]):
+            proof = path(trees[s], i) + path(top, k)
+            tampered = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0
+            node = leaf((*r[:4], r[4].translate(LOWER) if r[4] is not None else None)) if tampered else leaf(r)
+            for a, b in proof:
+                node = h(*a, node, *b)
+            out.append((r[0], leaf(r), trees[s][-1][0], top[-1][0], h(*(x for a, b in proof for x in a + b)), node, node == top[-1][0]))
+    return out
+
+
+def trie(rows, block=20, borrow=3):
+    """(conv_id, depth, parent, members, children, leaves, saved, ends) of each node, from rows (conv_id, turn, role, text)."""
+    own = defaultdict(list)
+    for c, t, r, x in rows:
+        if c is not None:
+            own[c].append((t, r or "", x or ""))
+    order = lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(f"{len(r[1].encode())}:{r[1]}{r[2]}".encode()).hexdigest())
+    own = {c: [x[1:] for x in sorted(v, key=order)] for c, v in own.items()}
+    full, members, kids = {}, defaultdict(list), defaultdict(list)
+    for c, v in own.items():
+        h = zlib.crc32(str(c).encode()) % (borrow + 1)
+        full[c] = tuple(own.get(c - int(math.fmod(c, block)), [])[:h] + v[h:])
+        for d in range(len(full[c]) + 1):
+            members[full[c][:d]].append(c)
+    for n in members:
+        if n:
+            kids[n[:-1]].append(n)
+    leaves, saved = {}, {}
+    for n in sorted(members, key=len, reverse=True):
+        words = len(WORD.findall(n[-1][1])) if n else 0
+        leaves[n] = sum(leaves[k] for k in kids[n]) or 1
+        saved[n] = (len(members[n]) - 1) * words + sum(saved[k] for k in kids[n])
+    told = lambda n: hashlib.sha256(",".join(map(str, sorted(c for c in members[n] if len(full[c]) == len(n)))).encode()).hexdigest()
+    return [(min(m), len(n), min(members[n[:-1]]) if n else None, len(m), len(kids[n]), leaves[n], saved[n], told(n)) for n, m in members.items()]
