@@ -53,7 +53,7 @@ class Stages:
         """df written as Parquet and read again; its lineage ends here."""
         self.n += 1
         path = f"{self.root}/{self.n}-{label}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         gc.collect()  # plans of earlier stages go, and with them, at the JVM's next collection, their shuffle files
         self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)

@@ -27,10 +27,12 @@ from __future__ import annotations
 import math
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,9 +41,8 @@ from tabelion.llm.common import Stages, arrow_limits
 from tabelion.llm.ordered import numbered
 
 MAGIC, BLOCK, FILE_IDS, END = b"TIDSVB01", 1 << 16, 64 << 20, 2
-#: Ids that one reading task decodes; words that a worker remembers, and the longest of these.
+#: Ids that one reading task decodes; words of a worker's memory in each of two generations, and the longest of these.
 READ_IDS, MEMORY, LONGEST = 8 << 20, 400_000, 64
-SPECIAL = "<|endoftext|>"
 
 # -- coding ------------------------------------------------------------------------------------------------------------
 
@@ -104,38 +105,72 @@ class Encoder:
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.last[i] = bool(suffix) and token.endswith(suffix)
-        self.memory: dict[str, bytes] = {"": b""}
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        """Words of letters are encoded together: each is at least one unit, so if there are as many last tokens as words, each is one. Others go one by one."""
-        plain = [w for w in words if w.isalpha()]
-        if plain:
-            found = self.ids(" ".join(plain))
-            ends = np.flatnonzero(self.last[found]) + 1
-            if len(ends) == len(plain):
-                raw, begin = found.tobytes(), 0
-                for w, end in zip(plain, (4 * ends).tolist(), strict=True):
-                    self.memory[w] = raw[begin:end]
-                    begin = end
-        rest = [w for w in words if w not in self.memory]
+        self.width, self.code = ("<u4", "I") if len(self.last) > 1 << 16 else ("<u2", "H")
+        # two generations: words that are met again go over to the young one, the others are forgotten with the old one
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        #: Signs that are units of their own after a word of letters.
+        self.signs = {c: self.ids(c) for c in ".,;:!?"}
+
+    def packed(self, ids: list[int]) -> bytes:
+        """Little-endian numbers of self.width (as all machines that Spark runs on count)."""
+        return array(self.code, ids).tobytes()
+
+    def ids(self, text: str) -> bytes:
+        return self.packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _learn(self, words: set[str]) -> None:
+        """Of words of letters, with or without a sign after them, the letters are encoded, capitals as small ones where they are ASCII's."""
+        young, old, parts, rest = self.young, self.old, {}, []
+        for w in words:
+            if (x := old.get(w)) is not None:
+                young[w] = x
+                continue
+            letters, sign = (w[:-1], w[-1]) if w[-1:] in self.signs else (w, "")
+            if letters.lower().isalpha():  # a capital may become a letter and a mark, which would join the sign
+                parts[w] = letters.lower() if letters.isascii() else letters, sign
+            else:
+                rest.append(w)
+        found = {x: young.get(x) or old.get(x) for x in {x for x, _ in parts.values()}}
+        self._encode_letters([x for x, ids in found.items() if ids is None], found)
+        for w, (letters, sign) in parts.items():
+            young[w] = found[letters] + self.signs[sign] if sign else found[letters]
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
-            self.memory[w] = np.array(e.ids, np.uint32).tobytes()
+            young[w] = self.packed(e.ids)
+
+    def _encode_letters(self, words: list[str], found: dict[str, bytes]) -> None:
+        """ASCII's small letters are what the normaliser and the byte mapping leave as they are, so the model reads them at once. Others are encoded
+        together: each is at least one unit, so if there are as many last tokens as words, each is one; else they go one by one."""
+        tokens, packed = self.tokenizer.model.tokenize, self.packed
+        others = []
+        for w in words:
+            if w.isascii():
+                found[w] = packed([t.id for t in tokens(w)])
+            else:
+                others.append(w)
+        if others:
+            raw = self.ids(" ".join(others))
+            ends = (np.flatnonzero(self.last[np.frombuffer(raw, self.width)]) + 1) * np.dtype(self.width).itemsize
+            if len(ends) == len(others):
+                found.update(zip(others, map(raw.__getitem__, map(slice, [0, *ends.tolist()], ends.tolist())), strict=True))
+            else:
+                found.update((w, self.ids(w)) for w in others)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
+        """Ids of each text as little-endian numbers of self.width."""
         if not self.by_words:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(self.young) > MEMORY:
+            self.old, self.young = self.young, {}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = {w for words in split for w in words if w not in self.memory and len(w) <= LONGEST}
-        if len(self.memory) + len(fresh) > MEMORY:
-            self.memory = {"": b""}
-            fresh = {w for words in split for w in words if w and len(w) <= LONGEST}
-        self._learn(sorted(fresh))
-        known = self.memory.get
-        return [b"".join([self.ids(w).tobytes() if (x := known(w)) is None else x for w in words]) for words in split]
+        fresh = set().union(*split).difference(self.young)
+        long = {w for w in fresh if len(w) > LONGEST}
+        self._learn(fresh - long)
+        self.young.update((w, self.ids(w)) for w in long)
+        found = [b"".join(map(self.young.__getitem__, words)) for words in split]
+        for w in long:
+            del self.young[w]
+        return found
 
 
 def encoded(rows: DataFrame, path: str, end: int) -> DataFrame:
@@ -146,13 +181,14 @@ def encoded(rows: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         counts = np.zeros(max(len(encoder.last), end + 1), np.int64)
-        tail, width = np.array([end], "<u4").tobytes(), "<u4" if len(counts) > 1 << 16 else "<u2"
+        tail = np.array([end], encoder.width).tobytes()
         for b in batches:
-            ids = [np.frombuffer(x + tail, "<u4") for x in encoder.encode(b.column(3).to_pylist())]
-            for x in ids:
-                counts += np.bincount(x, minlength=len(counts))
-            n = pa.array([len(x) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.astype(width).tobytes() for x in ids], pa.binary()), n, n, pa.nulls(b.num_rows, pa.binary())], names=names)
+            ids = pa.array([x + tail for x in encoder.encode(b.column(3).to_pylist())], pa.binary())
+            n = pc.divide(pc.cast(pc.binary_length(ids), pa.int64()), len(tail))
+            # the values of a binary array lie one after the other
+            first, last = (np.frombuffer(ids.buffers()[1], np.int32)[i] for i in (0, b.num_rows))
+            counts += np.bincount(np.frombuffer(ids.buffers()[2], np.uint8)[first:last].view(encoder.width), minlength=len(counts))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids, n, n, pa.nulls(b.num_rows, pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((0, None, None, 0, 0, counts.tobytes()), types, strict=True)], names=names)
 
     return rows.select("every", "id", "tie", "text").mapInArrow(run, form)
