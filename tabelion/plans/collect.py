@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,12 +18,6 @@ from tabelion.sources.corpus import Corpus
 PAGES, DAYS = 20, 7
 
 
-def _options(job: Job, query: object, transport: str | None, courts: list[str], cursors: dict) -> dict[str, str]:
-    plain = {k: v.isoformat() if hasattr(v, "isoformat") else v for k, v in asdict(query).items() if v is not None}
-    found = {"courts": ",".join(courts), "query": json.dumps(plain), "cursors": json.dumps(cursors)}
-    return found | ({"transport": transport, "interval": "0"} if transport else {})
-
-
 def _open(corpus: Corpus, source: str, job: Job) -> tuple[list[str], dict]:
     """Courts that aren't done, and where to go on."""
     state = corpus.cursors(source, job.nome)
@@ -46,7 +39,7 @@ def cases(spark: SparkSession, job: Job, corpus: Corpus, transport: str | None =
         courts, cursors = _open(corpus, "datajud", job)
         if not courts:
             break
-        raw = spark.read.format("court_cases").options(**_options(job, job.datajud, transport, courts, cursors), pages=str(pages)).load().persist()
+        raw = spark.read.format("court_cases").options(**paged.options(job.datajud, courts, cursors, transport), pages=str(pages)).load().persist()
         try:
             corpus.upsert_cases(convert.cases(raw, job.datajud).withColumn("__arrived", F.col("proveniencia.coletado_em")).drop("cursor"))
             at = F.from_json("cursor", "page int, seen long")
@@ -72,7 +65,7 @@ def notices(spark: SparkSession, job: Job, corpus: Corpus, transport: str | None
         if not courts:
             break
         ahead = {c: [d.isoformat() for d in paged.days(job.djen, date.fromisoformat(cursors[c]["day"]) if c in cursors else None)] for c in courts}
-        raw = spark.read.format("court_notices").options(**_options(job, job.djen, transport, courts, {c: d[:days] for c, d in ahead.items()})).load()
+        raw = spark.read.format("court_notices").options(**paged.options(job.djen, courts, {c: d[:days] for c, d in ahead.items()}, transport)).load()
         rows = convert.notices(raw, job.djen)
         rows = rows if job.incluir_sensiveis else rows.where(~F.col("sensivel"))
         accepted = {c: cursors.get(c, {}).get("accepted", 0) for c in courts}
