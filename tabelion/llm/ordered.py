@@ -27,25 +27,26 @@ def _segments(keys: pa.Array) -> np.ndarray:
     return np.flatnonzero(np.diff(codes.to_numpy(zero_copy_only=False), prepend=-1))
 
 
-def numbered(stages: Stages, df: DataFrame, key: str, order: Sequence[str], sums: Sequence[str] = (), at: str = "at", label: str = "ordered", via: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def numbered(stages: Stages, df: DataFrame, key: str, order: Sequence[str], sums: Sequence[str] = (), at: str = "at", label: str = "ordered", via: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str] | None = None) -> DataFrame:
     """df with the place of each row in its key (from 0, nulls first) and, for each long column s of sums, s as its running sum with this row
     and before_s without it, both modulo 2**64.
 
-    via works on the sorted rows of each task before they are counted; it keeps their order and the key.
+    via, a function and the schema of what it gives, works on the sorted batches of each task before they are counted; it keeps the rows' order and the key.
     Rows that are equal in key and order may come in any order, so order should tell all rows apart that differ.
     """
     spark, sums = df.sparkSession, list(sums)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     # a row number settles ties, so that equal rows are shared out too
     dealt = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(parts, key, *order, "__tie").sortWithinPartitions(key, *order, "__tie").drop("__tie")
-    dealt = via(dealt) if via else dealt
-    names = dealt.columns
+    prepare, form = via or (None, dealt.schema)
+    form = T._parse_datatype_string(form) if isinstance(form, str) else form
+    names = form.names
     places = [names.index(s) for s in sums]
     told = [*names, at, *(f"before_{s}" for s in sums)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, first, last, carry = TaskContext.get().partitionId(), 0, True, None, np.zeros(1 + len(sums), np.uint64)
-        for b in batches:
+        for b in prepare(batches) if prepare else batches:
             if not b.num_rows:
                 continue
             keys = b.column(names.index(key))
@@ -75,7 +76,7 @@ def numbered(stages: Stages, df: DataFrame, key: str, order: Sequence[str], sums
             )
             row += b.num_rows
 
-    schema = T.StructType([*dealt.schema.fields, *(T.StructField(c, T.LongType()) for c in told[len(names) :]), T.StructField(_PART, T.IntegerType()), T.StructField(_ROW, T.LongType()), T.StructField(_FIRST, T.BooleanType())])
+    schema = T.StructType([*form.fields, *(T.StructField(c, T.LongType()) for c in told[len(names) :]), T.StructField(_PART, T.IntegerType()), T.StructField(_ROW, T.LongType()), T.StructField(_FIRST, T.BooleanType())])
     table = stages.keep(dealt.mapInArrow(count, schema), label)
     edge = lambda c: F.max_by(c, _ROW)
     edges = table.groupBy(_PART).agg(F.min_by(key, _ROW).alias("a"), edge(key).alias("b"), edge(at).alias("n"), *(edge(s).alias(f"s{i}") for i, s in enumerate(sums))).orderBy(_PART).collect()

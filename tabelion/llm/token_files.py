@@ -25,10 +25,12 @@ Null texts are empty: one id, the end. Repeated rows are documents each. An empt
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabelion.llm.common import Stages, arrow_limits
+from tabelion.llm.common import ASCII_LOWER, Stages, arrow_limits
 from tabelion.llm.ordered import numbered
 
 MAGIC, BLOCK, FILE_IDS, END = b"TIDSVB01", 1 << 16, 64 << 20, 2
@@ -74,6 +76,19 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 # -- tokens ------------------------------------------------------------------------------------------------------------
 
 
+#: Units of small ASCII letters, digits and other signs without blanks, but for apostrophes.
+_UNITS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+_BLANKS = frozenset(chr(c) for c in range(33)) | {"\x7f"}
+
+
+def small(text: str) -> str:
+    """A text with ASCII's capitals as small letters, as the normaliser would write it; others, which marks or special strings might change, as they are."""
+    if "<|" in text or not unicodedata.is_normalized("NFC", text):
+        return text
+    lower = text.encode().translate(ASCII_LOWER).decode()
+    return lower if unicodedata.is_normalized("NFC", lower) else text
+
+
 class Encoder:
     """The library's tokenizer and a memory of the words that it has encoded.
 
@@ -95,7 +110,7 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         told = json.loads(self.tokenizer.to_str())
@@ -109,8 +124,9 @@ class Encoder:
         # two generations: words that are met again go over to the young one, the others are forgotten with the old one
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        #: Signs that are units of their own after a word of letters.
-        self.signs = {c: self.ids(c) for c in ".,;:!?"}
+        #: Latin small letters as the byte mapping writes them.
+        mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.latin = {c: mapped(chr(c))[0][0] for c in range(0x80, 0x250) if chr(c).isalpha() and chr(c).lower() == chr(c)}
 
     def packed(self, ids: list[int]) -> bytes:
         """Little-endian numbers of self.width (as all machines that Spark runs on count)."""
@@ -119,42 +135,47 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         return self.packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
+    def _unit(self, unit: str) -> bytes:
+        """Ids of a run that the pre-tokenizer keeps whole, written as the byte mapping writes it."""
+        return self.packed([t.id for t in self.tokenizer.model.tokenize(unit)])
+
     def _learn(self, words: set[str]) -> None:
-        """Of words of letters, with or without a sign after them, the letters are encoded, capitals as small ones where they are ASCII's."""
-        young, old, parts, rest = self.young, self.old, {}, []
+        """Ids of new words. Runs of letters, single digits and runs of other signs are the units of ASCII; runs of small Latin letters are units
+        too. The model reads units at once. Words of other letters are encoded together: each is at least one unit, so if there are as many last tokens
+        as words, each is one. All others, those with apostrophes, marks or special strings, go through the whole tokenizer one by one."""
+        young, old, unit = self.young, self.old, self._unit
+        letters, rest = [], []
         for w in words:
             if (x := old.get(w)) is not None:
                 young[w] = x
-                continue
-            letters, sign = (w[:-1], w[-1]) if w[-1:] in self.signs else (w, "")
-            if letters.lower().isalpha():  # a capital may become a letter and a mark, which would join the sign
-                parts[w] = letters.lower() if letters.isascii() else letters, sign
+            elif w.isascii():
+                if w.isalpha():
+                    young[w] = unit(w.lower())
+                elif "'" in w or "<|" in w or not _BLANKS.isdisjoint(w):
+                    rest.append(w)
+                else:
+                    found = []
+                    for u in _UNITS.findall(w.lower()):
+                        if (x := young.get(u) or old.get(u)) is None:
+                            x = young[u] = unit(u)
+                        found.append(x)
+                    young[w] = b"".join(found)
+            elif w.isalpha():
+                if max(w) < "\u0250" and w.islower() and w == w.lower():
+                    young[w] = unit(w.translate(self.latin))
+                else:
+                    letters.append(w)
             else:
                 rest.append(w)
-        found = {x: young.get(x) or old.get(x) for x in {x for x, _ in parts.values()}}
-        self._encode_letters([x for x, ids in found.items() if ids is None], found)
-        for w, (letters, sign) in parts.items():
-            young[w] = found[letters] + self.signs[sign] if sign else found[letters]
-        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
-            young[w] = self.packed(e.ids)
-
-    def _encode_letters(self, words: list[str], found: dict[str, bytes]) -> None:
-        """ASCII's small letters are what the normaliser and the byte mapping leave as they are, so the model reads them at once. Others are encoded
-        together: each is at least one unit, so if there are as many last tokens as words, each is one; else they go one by one."""
-        tokens, packed = self.tokenizer.model.tokenize, self.packed
-        others = []
-        for w in words:
-            if w.isascii():
-                found[w] = packed([t.id for t in tokens(w)])
-            else:
-                others.append(w)
-        if others:
-            raw = self.ids(" ".join(others))
+        if letters:
+            raw = self.ids(" ".join(letters))
             ends = (np.flatnonzero(self.last[np.frombuffer(raw, self.width)]) + 1) * np.dtype(self.width).itemsize
-            if len(ends) == len(others):
-                found.update(zip(others, map(raw.__getitem__, map(slice, [0, *ends.tolist()], ends.tolist())), strict=True))
+            if len(ends) == len(letters):
+                young.update(zip(letters, map(raw.__getitem__, map(slice, [0, *ends.tolist()], ends.tolist())), strict=True))
             else:
-                found.update((w, self.ids(w)) for w in others)
+                rest += letters
+        for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
+            young[w] = self.packed(e.ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian numbers of self.width."""
@@ -162,7 +183,7 @@ class Encoder:
             return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.young) > MEMORY:
             self.old, self.young = self.young, {}
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [small(t).replace("\n", " ").split(" ") for t in texts]
         fresh = set().union(*split).difference(self.young)
         long = {w for w in fresh if len(w) > LONGEST}
         self._learn(fresh - long)
@@ -173,10 +194,12 @@ class Encoder:
         return found
 
 
-def encoded(rows: DataFrame, path: str, end: int) -> DataFrame:
-    """Of rows (every, id, tie, text), in their order: ids in place of text and their number twice, and at each task's end the counts of all ids."""
-    form = "every int, id long, ids binary, n long, ends long, counts binary"
-    names, types = [c.split()[0] for c in form.split(", ")], [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
+_ENCODED = "every int, id long, ids binary, n long, ends long, counts binary"
+
+
+def encoded(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows (every, id, tie, text), in their order: ids in place of text and their number twice, and at each task's end the counts of all ids."""
+    names, types = [c.split()[0] for c in _ENCODED.split(", ")], [pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
@@ -191,7 +214,7 @@ def encoded(rows: DataFrame, path: str, end: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), ids, n, n, pa.nulls(b.num_rows, pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((0, None, None, 0, 0, counts.tobytes()), types, strict=True)], names=names)
 
-    return rows.select("every", "id", "tie", "text").mapInArrow(run, form)
+    return run
 
 
 def id_counts(counts: DataFrame) -> DataFrame:
@@ -359,7 +382,7 @@ def files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     arrow_limits(spark)
     stages = Stages(spark, "token-files")
     rows = df.select(F.lit(0).alias("every"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kept = numbered(stages, rows, "every", ["id", "tie"], ["ends"], label="encoded", via=lambda x: encoded(x, path, end))
+    kept = numbered(stages, rows, "every", ["id", "tie"], ["ends"], label="encoded", via=(encoded(path, end), _ENCODED))
     ranked = id_counts(kept.where("counts IS NOT NULL").select("counts")).orderBy(F.desc("n"), "id").collect()  # at most the vocabulary
     by_rank = np.array([r["id"] for r in ranked], "<u4")
     root = stages.path("files")
