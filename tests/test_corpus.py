@@ -164,19 +164,6 @@ def test_collection_goes_on_where_it_died(spark, tmp_path):
     ASKED.unlink()
 
 
-def test_upserts_write_their_own_rows_only(spark, tmp_path):
-    corpus = Corpus(spark, f"file://{tmp_path}/corpus")
-    rows = lambda *r: spark.createDataFrame(r, "id string, n int, __arrived string")
-    corpus.upsert("documentos", rows(*((str(i), 0, "1") for i in range(50))))
-    for k in range(1, 40):
-        corpus.upsert("documentos", rows((str(k), k, "1"), (str(k), -1, "0"), (f"new{k}", k, "1")))
-    found = {r["id"]: r["n"] for r in corpus.read("documentos").collect()}
-    assert found == {str(i): i if i < 40 else 0 for i in range(50)} | {f"new{k}": k for k in range(1, 40)}
-    versions = corpus._versions("documentos")
-    assert versions[0].endswith("-base") and len(versions) <= 17
-    assert spark.read.parquet(versions[-1]).count() == 2
-
-
 def test_paging_and_query():
     q = config.CaseQuery(assuntos_nomes=["x"], graus=["G1", "JE"], tamanho_pagina=2, limite_por_tribunal=3)
     sizes = [len(h) for h, _, _ in paged.case_pages(Client(transport, interval=0), "tjsp", q)]
