@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabelion.session import shared_dir
+
 #: A word of the contracts: anything but space and the ASCII control blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,27 +22,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-#: Of each application without spark.checkpoint.dir in local mode: its own folder.
-_own: dict[str, str] = {}
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """path with the scheme and authority that Spark reads it by, so that readers beside Spark find the same files."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a folder of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        app = spark.sparkContext.applicationId
-        at = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tabelion-"))
-    return qualified(spark, at.rstrip("/"))
-
-
 class Stages:
     """Tables written in the shared folder, so that lost executors cost only the stage they ran in."""
 

@@ -1,6 +1,9 @@
 """Operators 11 to 13 against plain versions: Merkle manifest, prefix trie, token-id files."""
 
+import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -9,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tabelion.llm import merkle, ordered, token_files, tries
 from tabelion.llm import queries as Q
-from tabelion.llm.common import Stages, shared_dir
+from tabelion.llm.common import Stages
+from tabelion.session import shared_dir
 from tests.llm import brute
 
 as_text = lambda rows: sorted(tuple(map(str, r)) for r in rows)
@@ -109,3 +113,10 @@ def test_running_sums_over_tasks(spark):
 
 def test_shared_folder_has_a_scheme(spark):
     assert shared_dir(spark).startswith("file:/")
+
+
+def test_a_session_without_defaults(tmp_path):
+    """Without spark.checkpoint.dir, local mode takes a folder of its own and queries run."""
+    code = "from pyspark.sql import SparkSession\nfrom tabelion.llm import queries as Q\ns = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\nassert s.conf.get('spark.checkpoint.dir', None) is None\nassert Q.op7_warc_bundles(s, '/root/testdata/sf0.001').count() > 0\n"
+    done = subprocess.run([sys.executable, "-c", code], env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
