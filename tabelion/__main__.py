@@ -26,7 +26,7 @@ def text_of(path: str) -> str:
 
 def analyse(a: argparse.Namespace) -> None:
     spark = session()
-    plain = spark.createDataFrame([(text_of(a.arquivo),)], "t string").select(pseudonyms.pseudonymised(F.col("t")).alias("p")).first()["p"]["texto"]
+    plain = pseudonyms.pseudonymised(spark.createDataFrame([(text_of(a.arquivo),)], "t string"), "t").first()["p"]["texto"]
     found = document.analyse_text(spark, plain)
     if a.svg:
         Path(a.svg).write_text(document.drawing(found), encoding="utf-8")
@@ -34,7 +34,7 @@ def analyse(a: argparse.Namespace) -> None:
 
 
 def pseudonymise(a: argparse.Namespace) -> None:
-    p = session().createDataFrame([(text_of(a.arquivo),)], "t string").select(pseudonyms.pseudonymised(F.col("t")).alias("p")).first()["p"]
+    p = pseudonyms.pseudonymised(session().createDataFrame([(text_of(a.arquivo),)], "t string"), "t").first()["p"]
     print(p["texto"])
     print(json.dumps(p["substituicoes"], ensure_ascii=False), file=sys.stderr)
 
@@ -69,10 +69,9 @@ def probe(a: argparse.Namespace) -> None:
 
 def classify(a: argparse.Namespace) -> None:
     corpus = Corpus(session(), a.corpus)
-    fresh = decisions.reclassified(corpus.documents(True)).persist()
-    print(fresh.agg(F.count("*").alias("n"), F.count_if("mudou").alias("changed")).first().asDict())
-    corpus.upsert_documents(fresh.drop("mudou"))
-    fresh.unpersist()
+    fresh = decisions.reclassified(corpus.documents(True))
+    # counted as the rows are written
+    print(corpus.upsert("documentos", fresh, counters={"mudaram": F.count_if("mudou")}, without=["mudou"]))
 
 
 def sample(a: argparse.Namespace) -> None:

@@ -1,11 +1,14 @@
 """Registered queries of the operators that read texts, movements and source records, each over a whole table.
 
 The given tables hold no court decisions, so each order is dealt one of the invented texts in examples.py, which say what
-must be read in it; the SQL deals the expected values alike.
+must be read in it; the SQL deals the expected values alike. Each text stands between lines with the order's own number, date and page, so
+no order's text is another's and nothing is read once for many.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +28,36 @@ def sql_value(value: object) -> str:
     return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-def dealt(spark: SparkSession, sf_dir: str, rows: tuple, at: int | None = 0) -> DataFrame:
-    """k and t of every order: its example's number and its text (or the whole example, at=None)."""
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows shared out before work that takes long for each row: a table of few row groups would leave it to few tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+#: What is written before and after the examples, so that no order's text is another's.
+BEFORE, AFTER = "Autos {key} de {date}, folha {page}.\n", "\nProtocolo {key}."
+
+
+def framed(text: str, sql: bool = False) -> str:
+    """SQL of a text (an expression) between BEFORE and AFTER."""
+    fill = {"key": "o_orderkey", "date": "CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10))" if sql else "CAST(to_date(o_orderdate) AS STRING)", "page": "o_custkey"}
+    part = lambda t: " || ".join(fill[x] if i % 2 else "'" + x.replace("\n", "' || chr(10) || '") + "'" for i, x in enumerate(re.split(r"[{}]", t)))
+    return f"{part(BEFORE)} || {text} || {part(AFTER)}"
+
+
+def unframed(text: Column) -> Column:
+    """text without what framed() put around it; anything that was changed in there stays and shows."""
+    pattern = lambda t: re.sub(r"\\{\w+\\}", r"[0-9-]+", re.escape(t))
+    return F.regexp_replace(text, f"^{pattern(BEFORE)}|{pattern(AFTER)}$", "")
+
+
+def dealt(spark: SparkSession, sf_dir: str, rows: tuple, at: int | None = 0, frame: bool = True) -> DataFrame:
+    """k and t of every order: its example's number and its text, framed (or the whole example, at=None)."""
     k = (F.col("o_orderkey") % len(rows)).cast("int")
     of = lambda i: F.array(*(F.lit(row[i]) for row in rows))
     found = F.get(of(at), k) if at is not None else F.struct(*(F.get(of(i), k).alias(f"c{i}") for i in range(len(rows[0]))))
-    return table(spark, sf_dir, "orders").select("o_orderkey", k.alias("k"), found.alias("t"))
+    given = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_custkey"), "o_orderkey").withColumn("t", found)
+    return given.select("o_orderkey", k.alias("k"), F.expr(framed("t")).alias("t") if frame and at is not None else F.col("t"))
 
 
 def expected(rows: tuple, **columns: tuple[int, str]) -> str:
@@ -64,13 +91,13 @@ def dismissal_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(expected(examples.DECISIONS, relatorio=(1, "VARCHAR"), fundamentacao=(2, "VARCHAR")))
 def decision_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = dealt(spark, sf_dir, examples.DECISIONS).withColumn("s", decisions.sections(F.col("t")))
-    return counted(s, relatorio=F.col("s.relatorio"), fundamentacao=F.col("s.fundamentacao"))
+    return counted(s, relatorio=unframed(F.col("s.relatorio")), fundamentacao=unframed(F.col("s.fundamentacao")))
 
 
 @query(expected(examples.DECISIONS, dispositivo=(3, "VARCHAR"), localizado=(4, "BOOLEAN"), resultado=(5, "VARCHAR"), unanimidade=(6, "BOOLEAN")))
 def decisions_evaluated(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = dealt(spark, sf_dir, examples.DECISIONS).withColumn("e", decisions.evaluation(F.col("t")))
-    return counted(e, dispositivo=F.col("e.dispositivo"), localizado=F.col("e.dispositivo_localizado"), resultado=F.col("e.resultado"), unanimidade=F.col("e.unanimidade"))
+    return counted(e, dispositivo=unframed(F.col("e.dispositivo")), localizado=F.col("e.dispositivo_localizado"), resultado=F.col("e.resultado"), unanimidade=F.col("e.unanimidade"))
 
 
 _OUTCOMES = ", ".join(f"({k}, '{row[5]}')" for k, row in enumerate(examples.DECISIONS))
@@ -125,14 +152,41 @@ def calculation_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(expected(examples.PERSONAL, texto=(1, "VARCHAR"), substituicoes=(2, "VARCHAR")))
 def people_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = dealt(spark, sf_dir, examples.PERSONAL).withColumn("p", pseudonyms.pseudonymised(F.col("t")))
+    p = pseudonyms.pseudonymised(dealt(spark, sf_dir, examples.PERSONAL), "t")
     pairs = F.array_sort(F.transform(F.map_entries("p.substituicoes"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
-    return counted(p, texto=F.col("p.texto"), substituicoes=barred(pairs))
+    return counted(p, texto=unframed(F.col("p.texto")), substituicoes=barred(pairs))
+
+
+#: Six people of each order, from long to short, whose last names are dealt by the order's keys; where they stand reaches all finders: a role, a
+#: qualification, a line above a role, beside bar numbers, and two signatures side by side.
+PEOPLE = ("Maximiliano Albuquerque", "Bernardina Cavalcante", "Guilhermina Fonseca", "Felisberto Moreira", "Clotilde Barros", "Otávio Prado")
+LAST_NAMES = ("Lima", "Reis", "Melo", "Cruz", "Dias", "Pena", "Vale", "Leal")
+LETTER = "Autor: {1}. {3}, brasileira, casada, pede com {1}.|{2}|Advogada|OAB/SP 123.456 - {4}|{5}     {6}|OAB/RJ 65.432     OAB/MG 98.765|Protocolo {key}."
+
+
+def letter(people: list[str], sql: bool) -> str:
+    """SQL of LETTER with these expressions for the people."""
+    parts = re.split(r"[{}]", LETTER)
+    quoted = lambda x: "'" + x.replace("|", "' || chr(10) || '") + "'"
+    if sql:  # what stands there afterwards
+        parts = [re.sub(r"OAB/[A-Z]{2} [\d.]+", "[OAB]", x) for x in parts]
+    return " || ".join(quoted(x) if i % 2 == 0 else "CAST(o_orderkey AS VARCHAR(20))" if x == "key" else people[int(x) - 1] for i, x in enumerate(parts))
+
+
+@query(f"SELECT o_orderkey, md5({letter([f"'[PESSOA_{i}]'" for i in range(1, 7)], True)}) AS texto, 'OAB=3|PESSOA=7' AS substituicoes FROM orders")
+def people_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several people and signatures in each text, tagged from the longest name to the shortest."""
+    last = lambda i: f"element_at(array({', '.join(map(repr, LAST_NAMES))}), CAST((o_orderkey + {i} * o_custkey) % {len(LAST_NAMES)} AS INT) + 1)"
+    people = [f"'{name} ' || {last(i)}" for i, name in enumerate(PEOPLE)]
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").withColumn("t", F.expr(letter(people, False)))
+    p = pseudonyms.pseudonymised(o, "t")
+    pairs = F.array_sort(F.transform(F.map_entries("p.substituicoes"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    return p.select("o_orderkey", F.md5("p.texto").alias("texto"), barred(pairs).alias("substituicoes"))
 
 
 @query("SELECT tipo, sum(m)::BIGINT AS n FROM (SELECT split_part(e, '=', 1) AS tipo, split_part(e, '=', 2)::INTEGER AS m FROM (SELECT unnest(string_split(r, '|')) AS e FROM orders JOIN (VALUES " + ", ".join(f"({k}, '{row[2]}')" for k, row in enumerate(examples.PERSONAL)) + f") x(k, r) ON o_orderkey % {len(examples.PERSONAL)} = k) WHERE e <> '') GROUP BY 1")
 def replacements_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = dealt(spark, sf_dir, examples.PERSONAL).select(pseudonyms.pseudonymised(F.col("t"))["substituicoes"].alias("s"))
+    p = pseudonyms.pseudonymised(dealt(spark, sf_dir, examples.PERSONAL), "t").select(F.col("p.substituicoes").alias("s"))
     return p.select(F.explode("s").alias("tipo", "m")).groupBy("tipo").agg(F.sum("m").cast("long").alias("n"))
 
 
@@ -151,35 +205,35 @@ def movements_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(expected(examples.HISTORIES, resultado=(1, "VARCHAR"), data=(2, "VARCHAR")))
 def first_movement(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = lambda x: F.struct(F.split_part(x, F.lit("@"), F.lit(1)).try_cast("int").alias("codigo"), F.lit(None).cast("string").alias("nome"), F.nullif(F.split_part(x, F.lit("@"), F.lit(2)), F.lit("")).alias("dataHora"))
-    m = dealt(spark, sf_dir, examples.HISTORIES).withColumn("j", movements.first_judgement(F.transform(F.split("t", r"\|"), one)))
+    m = dealt(spark, sf_dir, examples.HISTORIES, frame=False).withColumn("j", movements.first_judgement(F.transform(F.split("t", r"\|"), one)))
     return counted(m, resultado=F.col("j.resultado"), data=F.col("j.data"))
 
 
 @query(expected(examples.ARGUED, frases=(1, "VARCHAR")))
 def argumentative_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(dealt(spark, sf_dir, examples.ARGUED), frases=barred(text.arguments(F.col("t"))))
+    return counted(dealt(spark, sf_dir, examples.ARGUED, frame=False), frases=barred(text.arguments(F.col("t"))))
 
 
 @query(expected(examples.TERMED, termos=(1, "VARCHAR")))
 def legal_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = dealt(spark, sf_dir, examples.TERMED).withColumn("m", F.map_entries(text.term_counts(F.col("t"))))
+    t = dealt(spark, sf_dir, examples.TERMED, frame=False).withColumn("m", F.map_entries(text.term_counts(F.col("t"))))
     return counted(t, termos=barred(F.array_sort(F.transform("m", lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))))
 
 
 @query(expected(examples.DATES, data=(1, "VARCHAR")))
 def dates_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(dealt(spark, sf_dir, examples.DATES), data=text.any_date(F.col("t")).cast("string"))
+    return counted(dealt(spark, sf_dir, examples.DATES, frame=False), data=text.any_date(F.col("t")).cast("string"))
 
 
 @query(expected(examples.SUBJECTS, nomes=(1, "VARCHAR")))
 def subjects_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return counted(dealt(spark, sf_dir, examples.SUBJECTS), nomes=barred(convert.subjects(F.col("t"))["nome"]))
+    return counted(dealt(spark, sf_dir, examples.SUBJECTS, frame=False), nomes=barred(convert.subjects(F.col("t"))["nome"]))
 
 
 @query(expected(examples.NUMBERED, numero=(1, "VARCHAR"), tribunal=(2, "VARCHAR")))
 def case_numbers_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.get(courts.case_numbers(F.col("t")), F.lit(0))
-    return counted(dealt(spark, sf_dir, examples.NUMBERED), numero=first, tribunal=courts.court_of_number(first))
+    return counted(dealt(spark, sf_dir, examples.NUMBERED, frame=False), numero=first, tribunal=courts.court_of_number(first))
 
 
 # Courts, branches and degrees.
@@ -241,7 +295,7 @@ def instances_of_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 CASE o_orderstatus WHEN 'F' THEN 'procedente' WHEN 'P' THEN 'parcialmente_procedente' ELSE 'improcedente' END AS resultado, o_orderkey % 5 = 0 AS sensivel FROM orders WHERE o_orderkey % 7 <> 0""")
 def cases_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw hits to the case table: every seventh is secret and dropped, every fifth is of a sensitive class."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     code = F.when(F.col("o_orderstatus") == "F", 219).when(F.col("o_orderstatus") == "P", 221).otherwise(220)
     judged = F.date_add(F.to_date("o_orderdate"), (F.col("o_custkey") % 400).cast("int"))
     source = F.struct(

@@ -65,7 +65,7 @@ def documents(raw: DataFrame, original: str = "bruto", source: str = "arquivo")
     """
     plain = F.when(F.contains(F.col(original), F.lit("<")), text.html_to_text(F.col(original))).otherwise(F.col(original))
     kept = raw.withColumn("plain", plain).where((F.trim(F.coalesce("plain", F.lit(""))) != "") & ~policy.secret(None, F.col("plain")))
-    kept = kept.withColumn("p", pseudonyms.pseudonymised(F.col("plain"), F.col("nomes")))
+    kept = pseudonyms.pseudonymised(kept, "plain", "nomes")
     kept = kept.withColumn("avaliacao", decisions.evaluation(F.col("p.texto")))
     kept = kept.withColumn("calculo", amounts.calculation(F.col("avaliacao.dispositivo")))
     number = F.coalesce(F.get(courts.case_numbers(F.col("numero")), F.lit(0)), F.col("numero"))

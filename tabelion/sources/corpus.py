@@ -17,10 +17,11 @@ import json
 import math
 import os
 import uuid
+from collections.abc import Sequence
 from urllib.parse import unquote, urlparse
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tabelion.operators.consolidate import latest
@@ -125,8 +126,11 @@ class Corpus:
             changed = F.broadcast(changed)
         return base.join(changed, keys, "left_anti").unionByName(fresh, allowMissingColumns=True)
 
-    def upsert(self, table: str, rows: DataFrame) -> int:
-        """Rows replace those of the same key; of rows with one key the last (by __arrived, else by all columns) counts; new columns are added. The number of rows written."""
+    def upsert(self, table: str, rows: DataFrame, counters: dict[str, Column] | None = None, without: Sequence[str] = ()) -> dict[str, int]:
+        """Rows replace those of the same key; of rows with one key the last (by __arrived, else by all columns) counts; new columns are added.
+
+        Gives the number of rows and the counters (aggregates), both observed while the rows are written; columns of without are counted with but not written.
+        """
         keys = KEYS[table]
         if "__arrived" in rows.columns:
             fresh = latest(rows, keys, "__arrived").drop("__arrived")
@@ -134,14 +138,16 @@ class Corpus:
             whole = F.to_json(F.struct(*rows.columns))  # an order that runs agree on
             fresh = latest(rows.withColumn("__arrived", whole), keys, "__arrived").drop("__arrived")
         seen, path = Observation(), f"{self.root}/{table}/d{uuid.uuid4().hex}"
-        fresh.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)  # counted as it is written
-        n = seen.get["rows"]
+        asked = [F.count(F.lit(1)).alias("rows"), *(c.alias(name) for name, c in (counters or {}).items())]
+        fresh.observe(seen, *asked).drop(*without).write.parquet(path)
+        found = {k: v or 0 for k, v in seen.get.items()}
+        n = found["rows"]
         if not n and self._state(table)[0] >= 0:
-            return 0
+            return found
         state = self._change(table, lambda now: now | {"deltas": [*now["deltas"], {"path": path, "rows": n, "seq": now["next"]}], "next": now["next"] + 1})
         if len(state["deltas"]) > self.compact_after:
             self.compact(table)
-        return n
+        return found
 
     def compact(self, table: str) -> None:
         """Merges the deltas of now into a new base. If another writer did so meanwhile, this base counts for nothing."""
@@ -171,11 +177,13 @@ class Corpus:
             self.spark.sql(f"DROP TABLE IF EXISTS tabelion_{old.rsplit('/', 1)[-1]}")
             self._fs(old).delete(self._path(old), True)
 
-    def upsert_cases(self, rows: DataFrame) -> None:
-        self.upsert("processos", rows.withColumn("grau", F.coalesce("grau", F.lit(""))))
+    def upsert_cases(self, rows: DataFrame) -> dict[str, int]:
+        return self.upsert("processos", rows.withColumn("grau", F.coalesce("grau", F.lit(""))))
 
-    def upsert_documents(self, rows: DataFrame) -> None:
-        self.upsert("documentos", rows)
+    def upsert_documents(self, rows: DataFrame) -> dict[str, int]:
+        """Counts what was replaced in the documents, too."""
+        counters = {"substituicoes": F.sum(F.aggregate(F.map_values("substituicoes"), F.lit(0), lambda a, x: a + x))} if "substituicoes" in rows.columns else None
+        return self.upsert("documentos", rows, counters)
 
     def cases(self, with_sensitive: bool = False) -> DataFrame | None:
         return self._public(self.read("processos"), with_sensitive)

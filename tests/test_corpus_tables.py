@@ -20,9 +20,9 @@ def content(corpus):
 def test_upserts_write_their_own_rows_only(spark, tmp_path):
     corpus = Corpus(spark, f"file://{tmp_path}/corpus")
     assert corpus.read("documentos") is None
-    assert corpus.upsert("documentos", rows(spark, *((str(i), 0, "1") for i in range(50)))) == 50
+    assert corpus.upsert("documentos", rows(spark, *((str(i), 0, "1") for i in range(50)))) == {"rows": 50}
     for k in range(1, 25):
-        assert corpus.upsert("documentos", rows(spark, (str(k), k, "1"), (str(k), -1, "0"), (f"new{k}", k, "1"))) == 2
+        assert corpus.upsert("documentos", rows(spark, (str(k), k, "1"), (str(k), -1, "0"), (f"new{k}", k, "1")), {"sum": F.sum("n")}) == {"rows": 2, "sum": 2 * k}
     assert content(corpus) == {str(i): i if i < 25 else 0 for i in range(50)} | {f"new{k}": k for k in range(1, 25)}
     _, state = corpus._state("documentos")
     assert state["base"]["rows"] == 50 + 16 and len(state["deltas"]) == 25 - 17 and spark.read.parquet(state["deltas"][-1]["path"]).count() == 2

@@ -83,7 +83,7 @@ DECISION = "Autor: JOÃO PEDRO DA SILVA, brasileiro, CPF 123.456.789-09, e-mail
 
 
 def test_pseudonyms(spark):
-    p = value(spark, pseudonyms.pseudonymised, DECISION)
+    p = pseudonyms.pseudonymised(spark.createDataFrame([(DECISION,)], "texto string")).first()["p"]
     for gone in ("JOÃO", "João", "123.456", "jp@", "Flores", "MARIA"):
         assert gone not in p["texto"]
     assert "BANCO EXEMPLO S.A." in p["texto"] and p["texto"].count("[PESSOA_1]") == 2
@@ -110,5 +110,5 @@ def test_entities_and_letters(spark):
 def test_a_recogniser_adds_names(spark):
     """Names of a model count beside those of the patterns; companies stay."""
     found = lambda texts: [[w for w in ("zeca", "Banco Alfa") if w in t] for t in texts]
-    p = value(spark, lambda t: pseudonyms.pseudonymised(t, recogniser=found), "Autor: Ana Souza. Disse zeca ao Banco Alfa.")
+    p = pseudonyms.pseudonymised(spark.createDataFrame([("Autor: Ana Souza. Disse zeca ao Banco Alfa.",)], "texto string"), recogniser=found).first()["p"]
     assert p["texto"] == "Autor: [PESSOA_1]. Disse [PESSOA_2] ao Banco Alfa." and p["substituicoes"] == {"PESSOA": 2}
