@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tabelion.session import staged
 
 # Fixed values.
 Z = 1.96
@@ -27,6 +33,33 @@ def quartiles(value: Column) -> Column:
     return F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float], bins: int = 1024) -> DataFrame:
+    """keys, n and the exact quantiles of a value (double), linearly interpolated as in quartiles(), whatever the size of a group; nulls don't count.
+
+    A histogram of values combines before the shuffle. Its rows go into bins, whose edges are quantiles of the distinct values; counts of
+    bins (at most `bins` + 1 a group) say which bin holds a wanted rank, and only these bins are counted through, each in
+    order of values. So no buffer holds a group: a task orders a bin, about 1 / `bins` of all distinct values.
+    """
+    key = F.struct(F.lit(0), *keys).alias("__key")  # structs are equal with nulls in them
+    counted = staged(df.where(F.col(value).isNotNull()).groupBy(key, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n")), "histogram")
+    edges = sorted({e for e in counted.approxQuantile("__v", [i / bins for i in range(1, bins)], 0.5 / bins) if math.isfinite(e)}) or [0.0]
+    binned = Bucketizer(splits=[-math.inf, *edges, math.inf], inputCol="__v", outputCol="__bin", handleInvalid="keep").transform(counted)
+    by_bin = binned.groupBy("__key", "__bin").agg(F.sum("__n").alias("__in"))
+    whole, upto = Window.partitionBy("__key"), Window.partitionBy("__key").orderBy("__bin")
+    placed = by_bin.withColumns({"n": F.sum("__in").over(whole), "__before": F.sum("__in").over(upto) - F.col("__in")})
+    rank = {name: (F.col("n") - 1) * F.lit(float(q)) for name, q in fractions.items()}
+    ends = F.array(*(F.struct(F.lit(name).alias("name"), (h - F.floor(h)).alias("part"), F.lit(high).alias("high"), (F.ceil(h) if high else F.floor(h)).alias("rank")) for name, h in rank.items() for high in (False, True)))
+    wanted = placed.select("__key", "__bin", "n", "__before", "__in", F.inline(ends)).where((F.col("rank") >= F.col("__before")) & (F.col("rank") < F.col("__before") + F.col("__in")))
+    inside = Window.partitionBy("__key", "__bin").orderBy("__v")
+    ranked = binned.join(wanted.select("__key", "__bin", "__before").distinct(), ["__key", "__bin"]).withColumn("__to", F.col("__before") + F.sum("__n").over(inside))
+    found = ranked.drop("__before").join(wanted.select("__key", "__bin", "n", "name", "part", "high", "rank"), ["__key", "__bin"]).where((F.col("rank") < F.col("__to")) & (F.col("rank") >= F.col("__to") - F.col("__n")))
+    of = lambda name, high: F.max(F.when((F.col("name") == name) & (F.col("high") == high), F.col("__v")))
+    part = lambda name: F.max(F.when(F.col("name") == name, F.col("part")))
+    sums = found.groupBy("__key").agg(F.max("n").alias("n"), *(x for name in fractions for x in (of(name, False).alias(f"{name}__a"), of(name, True).alias(f"{name}__b"), part(name).alias(f"{name}__p"))))
+    between = [(F.col(f"{n}__a") + F.when(F.col(f"{n}__p") > 0, F.col(f"{n}__p") * (F.col(f"{n}__b") - F.col(f"{n}__a"))).otherwise(0.0)).alias(n) for n in fractions]
+    return sums.select(*(F.col("__key")[k].alias(k) for k in keys), "n", *between)
+
+
 def log_odds(counts: DataFrame, word: str = "word", a: str = "n_a", b: str = "n_b", prior: float = PRIOR, least: int = LEAST_FREQUENCY) -> DataFrame:
     """z of the log-odds ratio with an informative Dirichlet prior, from (word, n_a, n_b); empty if a side is empty.
 

@@ -59,27 +59,48 @@ def distribution(units: DataFrame, outcome: str = "resultado") -> DataFrame:
 
 def rates(units: DataFrame, grouping: str | Column, least: int = LEAST_PUBLISHED) -> DataFrame:
     """Full grants, grants, and reversals per group, with Wilson's bounds; null where the denominator is below least."""
+    return _published(grouped(units, grouping).groupBy("grupo").agg(*_counts()), least).orderBy(F.desc("total"), "grupo")
+
+
+#: Groupings of which a unit has one value each.
+SINGLE = ("ramo", "tribunal", "grau", "ano", "classe")
+
+
+def rates_of_all(units: DataFrame, groupings: tuple[str, ...] = SINGLE, least: int = LEAST_PUBLISHED) -> DataFrame:
+    """rates() of several groupings at once, by the column agrupamento: units are read and counted in one pass of grouping sets."""
+    keyed = units.select("resultado", *(GROUPINGS[g]().alias(f"__{g}") for g in groupings))
+    names = [f"__{g}" for g in groupings]
+    counts = keyed.groupingSets([[n] for n in names], *names).agg(*_counts(), *(F.grouping(n).alias(f"{n}_out") for n in names))
+    which = F.coalesce(*(F.when(F.col(f"__{g}_out") == 0, g) for g in groupings))
+    named = counts.withColumns({"agrupamento": which, "grupo": F.coalesce(*names)})
+    return _published(named, least, "agrupamento").orderBy("agrupamento", F.desc("total"), "grupo")
+
+
+def _counts() -> list[Column]:
     is_in = lambda labels: F.count_if(F.col("resultado").isin(*labels))
-    counts = grouped(units, grouping).groupBy("grupo").agg(
-        F.count("*").alias("total"), is_in(MERIT).alias("merito"), is_in(APPEAL_MERIT).alias("recursos"),
-        is_in(("procedente",)).alias("full"), is_in(GRANTED).alias("granted"), is_in(REVERSED).alias("reversed"),
-    )
+    return [F.count("*").alias("total"), is_in(MERIT).alias("merito"), is_in(APPEAL_MERIT).alias("recursos"), is_in(("procedente",)).alias("full"), is_in(GRANTED).alias("granted"), is_in(REVERSED).alias("reversed")]
+
+
+def _published(counts: DataFrame, least: int, *keys: str) -> DataFrame:
     columns = {}
     for name, hits, of in (("procedencia", "full", "merito"), ("acolhimento", "granted", "merito"), ("provimento", "reversed", "recursos")):
         for suffix, value in zip(("", "_ic_inf", "_ic_sup"), wilson(F.col(hits), F.col(of)), strict=True):
             columns[name + suffix] = F.when(F.col(of) >= least, value)
     kept = counts.where((F.col("merito") >= least) | (F.col("recursos") >= least))
-    return kept.select("grupo", "total", "merito", "recursos", *(c.alias(n) for n, c in columns.items())).orderBy(F.desc("total"), "grupo")
+    return kept.select(*keys, "grupo", "total", "merito", "recursos", *(c.alias(n) for n, c in columns.items()))
 
 
-def spread(df: DataFrame, grouping: str | Column, value: str, names: tuple[str, str, str], least: int = LEAST_PUBLISHED) -> DataFrame:
-    """n, median and quartiles of a value per group; rows without the value don't count."""
+def spread(df: DataFrame, grouping: str | Column, value: str, names: tuple[str, str, str], least: int = LEAST_PUBLISHED, huge: bool = False) -> DataFrame:
+    """n, median and quartiles of a value per group; rows without the value don't count. huge: groups whose values no buffer should hold."""
+    if huge:
+        found = stats.exact_quantiles(grouped(df, grouping), ["grupo"], value, dict(zip(names, (0.5, 0.25, 0.75), strict=True)))
+        return found.where(F.col("n") >= least).orderBy(F.desc("n"), "grupo")
     out = grouped(df.where(F.col(value).isNotNull()), grouping).groupBy("grupo").agg(F.count("*").alias("n"), quartiles(F.col(value)).alias("q")).where(F.col("n") >= least)
     return out.select("grupo", "n", *(F.get("q", F.lit(i)).alias(names[k]) for k, i in enumerate((1, 0, 2)))).orderBy(F.desc("n"), "grupo")
 
 
-def durations(cases: DataFrame, grouping: str | Column, least: int = LEAST_PUBLISHED) -> DataFrame:
-    return spread(cases, grouping, "duracao_dias", ("mediana_dias", "q1_dias", "q3_dias"), least)
+def durations(cases: DataFrame, grouping: str | Column, least: int = LEAST_PUBLISHED, huge: bool = False) -> DataFrame:
+    return spread(cases, grouping, "duracao_dias", ("mediana_dias", "q1_dias", "q3_dias"), least, huge)
 
 
 def award_amounts(units: DataFrame, category: str = "danos_morais", grouping: str | Column = "tribunal", least: int = LEAST_PUBLISHED) -> DataFrame:

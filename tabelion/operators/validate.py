@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabelion.functions.movements import OUTCOMES, UNDETERMINED
 from tabelion.functions.text import digits
+from tabelion.session import staged
+
+
+def smallest(df: DataFrame, label: str, size: int, order: Column, key: str, merges: int = 16) -> DataFrame:
+    """(label, order, key) of the size rows with the smallest order (then key) of each label: each task keeps so many of each label, a few tasks merge them,
+    so a label that most rows have is shared out. At most labels * merges * size rows meet where the last are taken."""
+    rows = df.select(F.col(label).alias("label"), order.alias("order"), F.col(key).alias("key"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = None
+        for b in batches:
+            every = pa.Table.from_batches([b]) if best is None else pa.concat_tables([best, pa.Table.from_batches([b])])
+            every = every.sort_by([("label", "ascending"), ("order", "ascending"), ("key", "ascending")])
+            codes = every.column("label").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            begins = np.flatnonzero(np.diff(codes, prepend=-1)) if len(codes) else np.zeros(0, int)
+            place = np.arange(len(codes)) - np.repeat(begins, np.diff(np.append(begins, len(codes))))
+            best = every.filter(pa.array(place < size))
+        if best is not None:
+            yield from best.to_batches()
+
+    some = rows.mapInArrow(keep, rows.schema).repartition(merges).mapInArrow(keep, rows.schema)
+    place = F.row_number().over(Window.partitionBy("label").orderBy("order", "key"))
+    return some.withColumn("place", place).where(F.col("place") <= size)
 
 
 def stratified(df: DataFrame, label: str, size: int, key: str, order: Column | None = None, seed: int = 42) -> DataFrame:
-    """size rows: max(1, size / labels) of each label, then any others, by a hash order that runs agree on."""
+    """size rows: max(1, size / labels) of each label, then any others, by a hash order that runs agree on. key tells rows apart."""
     order = F.xxhash64(F.col(key), F.lit(seed)) if order is None else order
-    n_labels = df.select(label).distinct().count()
-    quota = max(1, size // max(1, n_labels))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(order, key))
+    some = staged(smallest(df, label, size, order, key), "smallest")
+    quota = max(1, size // max(1, some.select("label").distinct().count()))
     # within quota first; a limit over an order needs no full sort
-    ranked = df.withColumn("__o", order).withColumn("__r", place)
-    return ranked.orderBy(F.col("__r") > quota, "__o", key).limit(size).drop("__o", "__r")
+    chosen = some.withColumn("late", F.col("place") > quota).orderBy("late", "order", "key").limit(size)
+    names = {c: f"__{c}" for c in chosen.columns}
+    chosen = F.broadcast(chosen.withColumnsRenamed(names))  # at most size rows
+    found = df.join(chosen, F.col(label).eqNullSafe(F.col("__label")) & F.col(key).eqNullSafe(F.col("__key")))
+    return found.orderBy("__late", "__order", "__key").limit(size).drop(*names.values())
 
 
 def confusion(pairs: DataFrame, actual: str = "manual", predicted: str = "automatico") -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Of each application without spark.checkpoint.dir in local mode: its own folder.
 _own: dict[str, str] = {}
@@ -29,3 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         at = _own.get(app) or _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tabelion-"))
     return qualified(spark, at.rstrip("/"))
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again, for what several jobs read: its lineage ends here."""
+    path = f"{shared_dir(df.sparkSession)}/tabelion/{label}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
