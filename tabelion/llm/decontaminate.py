@@ -5,7 +5,7 @@ by default. A walk copies a word sequence into 3n slots: at each slot it writes
 next one if a random bit of (slot, word) says so, which keeps sequences of small edit distance at a small Hamming
 distance. Each table of the LSH samples a few slots of one walk; a window and an item are compared if all sampled
 slots of some of TABLES tables agree. For each class of item lengths, the slots are chosen so that items of that class with
-tolerance(n) random edits, put into a text, are found again with the target recall (lower bound of 95 %). Walks of long
+tolerance(n) random edits, put into a text, are found again with the target recall (lower bound of 95 %), for substitutions, insertions and deletions alone as for all mixed. Walks of long
 items drift apart, so classes of CGK_WORDS words and more, and any for which no choice reaches the recall, have no
 tables: all their windows are compared. Compared windows are verified by an exact alignment.
 
@@ -34,7 +34,9 @@ from tabelion.llm.common import ASCII_LOWER, arrow_limits
 
 TOLERANCE, RECALL, GRAM, SAMPLED, WALKS, BLOCK_BYTES = 0.2, 0.98, 3, 6, 6, 16 << 20
 #: Slots a table samples, the first number that reaches the recall; trials of each length class.
-CHOICES, TABLES, TRIALS, CGK_WORDS = (SAMPLED, 4, 3, 2), 40 * WALKS, 400, 64
+CHOICES, TABLES, TRIALS, CGK_WORDS = (SAMPLED, 4, 3, 2), 40 * WALKS, 800, 64
+#: Edits that trials consist of: mixed, substitutions, insertions, deletions.
+EDITS = ((0, 1, 2), (0,), (1,), (2,))
 #: Symbols embedded at once.
 CELLS = 4 << 20
 _SPLIT = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in ASCII_LOWER)
@@ -168,24 +170,24 @@ class Items:
     def window(self, x: np.ndarray, k: int, start: int) -> np.ndarray:
         return x[max(0, start) : max(0, start + len(self.items[k]))]
 
-    def edited(self, k: int, rng: np.random.Generator) -> np.ndarray:
-        """A text that holds item k after tolerance(n) random edits."""
+    def edited(self, k: int, rng: np.random.Generator, kinds: tuple[int, ...] = (0, 1, 2)) -> np.ndarray:
+        """A text that holds item k after tolerance(n) random edits of these kinds: 0 substitution, 1 insertion, 2 deletion."""
         x = list(self.items[k])
         for _ in range(self.allowed[k]):
-            at, kind = rng.integers(len(x)), rng.integers(3)
+            at, kind = rng.integers(len(x)), kinds[rng.integers(len(kinds))]
             x[at : at + (kind != 1)] = [] if kind == 2 and len(x) > 1 else [-1]
         around = [-1] * len(self.items[k])
         return np.array([*around, *x, *around], np.int64)
 
     def choose(self, length: int, recall: float) -> int | None:
-        """The most slots with which the tables find edited items of this class with this recall; None if none do."""
+        """The most slots with which the tables find edited items of this class with this recall, for each kind of edits and for all mixed; None if none do."""
         if length >= length_class(CGK_WORDS):
             return None
         rng = np.random.default_rng(11)
         trials = rng.choice([k for k, c in enumerate(self.classes) if c == length], TRIALS)
         pairs = []
         for t, k in enumerate(trials):
-            x = self.edited(int(k), rng)
+            x = self.edited(int(k), rng, EDITS[t % len(EDITS)])
             pairs += [(t, self.window(x, j, s), j) for j, s in self.candidates(x) if j == k]
         of = np.array([t for t, *_ in pairs], np.int64)
         for sampled in CHOICES:
@@ -194,8 +196,8 @@ class Items:
                 left = [i for i in range(len(pairs)) if not found[of[i]]]
                 ok = self.agree([pairs[i][1] for i in left], [pairs[i][2] for i in left], range(first, first + 4 * WALKS), sampled)
                 found[of[left][ok]] = True
-                p = found.mean()
-                if p - 1.64 * math.sqrt(p * (1 - p) / len(trials)) >= recall:
+                p = np.array([found[e :: len(EDITS)].mean() for e in range(len(EDITS))])
+                if (p - 1.64 * np.sqrt(p * (1 - p) * len(EDITS) / len(trials)) >= recall).all():
                     return sampled
         return None
 

@@ -47,7 +47,7 @@ LOOSE = (
     ("phone", re.compile(r"(?<![0-9A-Za-z.+])(?:00[1-9][0-9 .-]{8,20}[0-9]|\(?[0-9]{2,5}\)?(?:[ .\-/][0-9]{2,5}){1,5})(?![0-9A-Za-z])")),
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[ ./_-]{1,3}[0-9]{4}){3}(?:[ ./_-]{1,3}[0-9]{1,3})?(?![0-9A-Za-z])")),
     ("ip", re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?: ?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)| dot ) ?[0-9]{1,3}){3}(?![0-9A-Za-z])|(?<![0-9A-Za-z:])(?:[0-9a-f]{1,4}:){3,7}:?[0-9a-f]{1,4}(?![0-9A-Za-z:])", re.I)),
-    ("secret", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,128}[0-9])(?=[0-9+/_=-]{0,128}[A-Za-z])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_=-]{0,128}[0-9])(?=[0-9+/_=-]{0,128}[A-Za-z])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])")),
 )
 _HEX = re.compile(r"[0-9a-fA-F]+")
 #: Where a sentence may end within a match.
@@ -230,7 +230,7 @@ def written(n: int, seed: int) -> Iterator[tuple[str, int, int, bool, str]]:
         before = " ".join([*(word() for _ in range(r.randint(2, 9))), lead, ""])
         stop = [". " + word().title()] if r.random() < 0.3 else []
         after = " ".join(["", *(word() for _ in range(r.randint(0, 9)))])
-        before += quote
+        before = (before[:-1] if kind == "secret" and before[-2] in "=:" and r.random() < 0.5 else before) + quote
         yield before + s + quote + "".join(stop) + after, len(before), len(before) + len(s), yes, kind
 
 

@@ -149,15 +149,15 @@ t0 AS (SELECT host, shapes, count(*) AS n, count(action) AS l, count(*) FILTER (
     for d in range(levels):
         parts.append(f"""s{d} AS (SELECT *, shapes[{d + 1}] AS seg, coalesce(CASE WHEN starts_with(shapes[{d + 2}], '{{') THEN shapes[{d + 2}] WHEN shapes[{d + 2}] IS NULL THEN '{{none}}' ELSE '{{literal}}' END, '{{none}}') AS below FROM t{d}),
 k{d} AS (SELECT host, template, seg, below, sum(n) AS n, sum(l) AS l, sum(b) AS b FROM s{d} WHERE seg IS NOT NULL AND NOT starts_with(seg, '{{') GROUP BY ALL),
-c{d} AS (SELECT host, template, seg, sum(n) AS ofs, sum(l) AS l, sum(b) AS b, sum(l) > 0 AS labelled FROM k{d} GROUP BY host, template, seg),
-o{d} AS (SELECT host, template, labelled, below, sum(n) AS pool FROM k{d} JOIN c{d} USING (host, template, seg) GROUP BY host, template, labelled, below),
-f{d} AS (SELECT host, template, labelled, count(*) - 1 AS freedom FROM o{d} GROUP BY ALL),
-n{d} AS (SELECT host, template, labelled, sum(ofs) AS every, sum(l) AS all_l, sum(b) AS all_b, count(*) AS children FROM c{d} GROUP BY host, template, labelled),
-x{d} AS (SELECT host, template, seg, labelled, c.ofs, c.l, c.b, every, all_l, all_b, children, freedom, sum(k.n * k.n / (c.ofs * pool / every)) AS ratio
- FROM k{d} k JOIN c{d} c USING (host, template, seg) JOIN n{d} USING (host, template, labelled) JOIN f{d} USING (host, template, labelled) JOIN o{d} USING (host, template, labelled, below) GROUP BY ALL),
-a{d} AS (SELECT host, template, seg, labelled, ratio - ofs <= CASE WHEN freedom > 0 THEN freedom * pow(1 - 2 / (9 * freedom) + {u.DEVIATE} * sqrt(2 / (9 * freedom)), 3) ELSE 0 END + 1e-6
- AND pow(b - l * {rate}, 2) <= {u.DEVIATE * u.DEVIATE} * l * {rate} * (1 - {rate}) + 1e-6 AS alike, NOT labelled AND children > 1 AND every < {u.REPEATED} * children AS variable FROM x{d}),
-m{d} AS (SELECT *, min(seg) FILTER (alike) OVER w AS least, count_if(alike) OVER w AS together FROM a{d} WINDOW w AS (PARTITION BY host, template, labelled)),
+c{d} AS (SELECT host, template, seg, sum(n) AS ofs, sum(l) AS l, sum(b) AS b FROM k{d} GROUP BY host, template, seg),
+o{d} AS (SELECT host, template, below, sum(n) AS pool FROM k{d} GROUP BY host, template, below),
+f{d} AS (SELECT host, template, count(*) - 1 AS freedom FROM o{d} GROUP BY ALL),
+n{d} AS (SELECT host, template, sum(ofs) AS every, sum(l) AS all_l, sum(b) AS all_b, count_if(l = 0) AS plain, coalesce(sum(ofs) FILTER (l = 0), 0) AS all_plain FROM c{d} GROUP BY host, template),
+x{d} AS (SELECT host, template, seg, c.ofs, c.l, c.b, every, all_l, all_b, plain, all_plain, freedom, sum(k.n * k.n / (c.ofs * pool / every)) AS ratio
+ FROM k{d} k JOIN c{d} c USING (host, template, seg) JOIN n{d} USING (host, template) JOIN f{d} USING (host, template) JOIN o{d} USING (host, template, below) GROUP BY ALL),
+a{d} AS (SELECT host, template, seg, variable, alike AND NOT variable AS alike FROM (SELECT host, template, seg, ratio - ofs <= CASE WHEN freedom > 0 THEN freedom * pow(1 - 2 / (9 * freedom) + {u.DEVIATE} * sqrt(2 / (9 * freedom)), 3) ELSE 0 END + 1e-6
+ AND pow(b - l * {rate}, 2) <= {u.DEVIATE * u.DEVIATE} * l * {rate} * (1 - {rate}) + 1e-6 AS alike, l = 0 AND plain > 1 AND all_plain < {u.REPEATED} * plain AS variable FROM x{d})),
+m{d} AS (SELECT *, min(seg) FILTER (alike) OVER w AS least, count_if(alike) OVER w AS together FROM a{d} WINDOW w AS (PARTITION BY host, template)),
 t{d + 1} AS (SELECT host, shapes, n, l, b, CASE WHEN s.seg IS NULL THEN template ELSE template || '/' || CASE WHEN m.seg IS NULL THEN s.seg WHEN variable THEN '{{*}}' WHEN alike AND together > 1 THEN least || '~' ELSE s.seg END END AS template
  FROM s{d} s LEFT JOIN m{d} m USING (host, template, seg))""")
     last = f"t{levels}"
@@ -222,7 +222,8 @@ own AS (SELECT conv_id, list(x ORDER BY i) AS xs, conv_id - conv_id % 20 AS base
 every AS (SELECT a.conv_id, list_concat(coalesce(b.xs[:a.h], []), a.xs[a.h + 1:]) AS xs FROM own a LEFT JOIN own b ON b.conv_id = a.base),
 members AS (SELECT conv_id, d, xs[:d] AS p, d = len(xs) AS ends FROM (SELECT *, unnest(range(len(xs) + 1)) AS d FROM every)),
 nodes AS (SELECT p, d, min(conv_id) AS conv_id, count(*) AS n, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '') AS told,
-  CASE WHEN d > 0 THEN (count(*) - 1) * len(regexp_extract_all(p[d].text, '[^ 	-]+')) ELSE 0 END AS saved FROM members GROUP BY p, d),
+  CASE WHEN d > 0 THEN (count(*) - 1) * len(regexp_extract_all(p[d].text, '[^ 	-
+]+')) ELSE 0 END AS saved FROM members GROUP BY p, d),
 kids AS (SELECT p[:d - 1] AS p, d - 1 AS d, count(*) AS k FROM nodes WHERE d > 0 GROUP BY ALL),
 known AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (p, d)),
 above AS (SELECT *, unnest(range(d + 1)) AS up FROM known),

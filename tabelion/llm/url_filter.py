@@ -1,12 +1,15 @@
 """URL filter: rules first, then a path-template tree of each host. DataFrame functions only.
 
-Pages shrink to (host, segment shapes) with counts; the tree is built on those, level by level from the root, to any depth:
+Pages shrink to (host, segment shapes) with counts; the tree is built on those, from the root, to any depth:
 
 * a segment whose shape is lexically variable (digits, hexadecimal, mixed) becomes a wildcard of that shape;
-* a node's literal children that hardly repeat (fewer than REPEATED pages a child) become one wildcard {*}, unless labelled;
+* a node's literal children without labels become one wildcard {*} if they hardly repeat (fewer than REPEATED pages a child);
 * literal children whose counts of child shapes are what one distribution, the siblings' together, may well give (a
-  chi-squared test at 1 %), and, if labelled, whose label rates are too, are merged under the name of the least one,
-  marked ~. Labelled and unlabelled children are tested apart.
+  chi-squared test at 1 %), and, where they are labelled, whose label rates are what the siblings' together may give, are merged under
+  the name of the least one, marked ~. Labelled and unlabelled siblings are compared alike and pool their labels.
+
+A round names the next branching segment of every node; what no branch can change (segments that all paths of a node share, and all of a
+node's only path) is named at once. So rounds are as many as branchings lie on one path, not as segments do.
 
 A template is rejected if it has at least min_labelled labelled pages and its share of bad ones, smoothed towards
 its host's and that towards prior, reaches threshold. Segments that begin with a brace or a backslash are written with a backslash before, so that
@@ -72,41 +75,52 @@ def critical(freedom: Column) -> Column:
 def branches(level: DataFrame, stages: Stages) -> DataFrame:
     """host, template, segment and the branch that each literal segment of a level goes to."""
     node = ["host", "template"]
-    below = F.coalesce(F.get("shapes", F.col("depth") + 1), F.lit("{none}"))
+    below = F.coalesce(F.get("rest", F.lit(1)), F.lit("{none}"))
     kinds = level.where(literal(F.col("segment"))).groupBy(*node, "segment", F.when(literal(below), "{literal}").otherwise(below).alias("below"))
     kinds = stages.keep(kinds.agg(F.sum("n").alias("n"), F.sum("n_labelled").alias("n_labelled"), F.sum("n_bad").alias("n_bad")), "kinds")
-    children = kinds.groupBy(*node, "segment").agg(F.sum("n").alias("of"), F.sum("n_labelled").alias("l"), F.sum("n_bad").alias("b")).withColumn("labelled", F.col("l") > 0)
-    pooled = kinds.join(children, [*node, "segment"]).groupBy(*node, "labelled", "below").agg(F.sum("n").alias("pool"))
-    freedom = pooled.groupBy(*node, "labelled").agg((F.count("*") - 1).alias("freedom"))
-    totals = children.groupBy(*node, "labelled").agg(F.sum("of").alias("all"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"), F.count("*").alias("children")).join(freedom, [*node, "labelled"])
+    children = kinds.groupBy(*node, "segment").agg(F.sum("n").alias("of"), F.sum("n_labelled").alias("l"), F.sum("n_bad").alias("b"))
+    pooled = kinds.groupBy(*node, "below").agg(F.sum("n").alias("pool"))
+    freedom = pooled.groupBy(*node).agg((F.count("*") - 1).alias("freedom"))
+    totals = children.groupBy(*node).agg(F.sum("of").alias("all"), F.sum("l").alias("all_l"), F.sum("b").alias("all_b"), F.count_if(F.col("l") == 0).alias("plain"), F.sum(F.when(F.col("l") == 0, F.col("of"))).alias("all_plain")).join(freedom, node)
     expected = F.col("of") * F.col("pool") / F.col("all")
     tested = (
-        kinds.select(*node, "segment", "below", "n").join(children, [*node, "segment"]).join(totals, [*node, "labelled"]).join(pooled, [*node, "labelled", "below"])
-        .groupBy(*node, "segment", "labelled", "of", "l", "b", "all", "all_l", "all_b", "children", "freedom").agg(F.sum(F.col("n") * F.col("n") / expected).alias("ratio"))
+        kinds.select(*node, "segment", "below", "n").join(children, [*node, "segment"]).join(totals, node).join(pooled, [*node, "below"])
+        .groupBy(*node, "segment", "of", "l", "b", "all", "all_l", "all_b", "plain", "all_plain", "freedom").agg(F.sum(F.col("n") * F.col("n") / expected).alias("ratio"))
     )
     rate = F.col("all_b") / F.greatest("all_l", F.lit(1))
     spread = F.col("l") * rate * (1 - rate)
     alike = (F.col("ratio") - F.col("of") <= critical(F.col("freedom"))) & (F.pow(F.col("b") - F.col("l") * rate, F.lit(2)) <= DEVIATE * DEVIATE * spread + 1e-6)
-    tested = stages.keep(tested.select(*node, "segment", "labelled", alike.alias("alike"), (~F.col("labelled") & (F.col("children") > 1) & (F.col("all") < REPEATED * F.col("children"))).alias("variable")), "children")
-    merged = tested.where("alike").groupBy(*node, "labelled").agg(F.min("segment").alias("least"), F.count("*").alias("together"))
+    variable = (F.col("l") == 0) & (F.col("plain") > 1) & (F.col("all_plain") < REPEATED * F.col("plain"))
+    tested = stages.keep(tested.select(*node, "segment", (alike & ~variable).alias("alike"), variable.alias("variable")), "children")
+    merged = tested.where("alike").groupBy(*node).agg(F.min("segment").alias("least"), F.count("*").alias("together"))
     branch = F.when(F.col("variable"), "{*}").when(F.col("alike") & (F.col("together") > 1), F.concat("least", F.lit("~"))).otherwise(F.col("segment"))
-    return tested.join(merged, [*node, "labelled"], "left").select(*node, "segment", branch.alias("branch"))
+    return tested.join(merged, node, "left").select(*node, "segment", branch.alias("branch"))
+
+
+def named_at_once(tree: DataFrame) -> DataFrame:
+    """Templates as far as no branch can change them: all of a node's only path, else what the rests of the node's paths begin with alike."""
+    same = F.zip_with("least", "most", lambda a, b: a.eqNullSafe(b))
+    common = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size("least"))
+    nodes = tree.groupBy("host", "template").agg(F.count("*").alias("paths"), F.min("rest").alias("least"), F.max("rest").alias("most"))
+    nodes = nodes.select("host", "template", F.when(F.col("paths") > 1, common).alias("alike"))
+    known = tree.join(nodes, ["host", "template"]).withColumn("alike", F.coalesce("alike", F.size("rest")).cast("int"))
+    told = F.array_join(F.transform(F.slice("rest", F.lit(1), F.col("alike")), lambda x: F.concat(F.lit("/"), x)), "")
+    return known.withColumns({"template": F.concat("template", told), "rest": F.slice("rest", F.col("alike") + 1, F.lit(1 << 30))}).drop("alike")
 
 
 def templates(leaves: DataFrame, stages: Stages) -> DataFrame:
-    """leaves (host, shapes, n, n_labelled, n_bad) with the template of each. Each level is written, for the next reads it more than once."""
-    depth, done = 0, None
-    tree = leaves.withColumn("template", F.lit(""))
+    """leaves (host, shapes, n, n_labelled, n_bad) with the template of each. Each round is written, for the next reads it more than once."""
+    tree, done, names = leaves.withColumns({"template": F.lit(""), "rest": F.col("shapes")}), [], leaves.columns
     while True:
-        ended = tree.where(F.size("shapes") <= depth)
-        done = ended if done is None else done.unionByName(ended)
-        level = tree.where(F.size("shapes") > depth)
+        tree = stages.keep(named_at_once(tree), "tree")
+        done.append(stages.path("done"))
+        tree.where(F.size("rest") == 0).select(*names, "template").write.parquet(done[-1])
+        level = tree.where(F.size("rest") > 0)
         if not level.limit(1).count():
-            return done
-        level = level.withColumns({"depth": F.lit(depth), "segment": F.get("shapes", F.lit(depth))})
-        named = level.join(branches(level, stages), ["host", "template", "segment"], "left")
-        tree = stages.keep(named.withColumn("template", F.concat("template", F.lit("/"), F.coalesce("branch", "segment"))).drop("branch", "segment", "depth"), "tree")
-        depth += 1
+            return stages.spark.read.schema(tree.select(*names, "template").schema).parquet(*done)
+        named = level.withColumn("segment", F.get("rest", F.lit(0)))
+        named = named.join(branches(named, stages), ["host", "template", "segment"], "left")
+        tree = named.withColumns({"template": F.concat("template", F.lit("/"), F.coalesce("branch", "segment")), "rest": F.slice("rest", F.lit(2), F.lit(1 << 30))}).drop("branch", "segment")
 
 
 def judge(df: DataFrame, rules: dict[str, str], id_col: str = "page_id", url_col: str = "url", bad: Column | None = None, threshold: float = THRESHOLD, min_labelled: int = MIN_LABELLED) -> DataFrame:

@@ -220,3 +220,28 @@ def test_pipeline(spark, small):
     base = spark.createDataFrame(list(kept.items()), "doc_id long, text string")
     for r in pii.redact(base).collect():
         assert out[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+
+
+def test_the_tree_decides_pages_without_a_rule(spark):
+    """On the given urls: siblings pool their labels, so pages that no rule fits are blocked with their template, others are allowed."""
+    got = Q.op5_url_template_tree(spark, "/root/testdata/sf0.1").select("host", "rule", "verdict", "template").collect()
+    free = [r for r in got if r["rule"] is None]
+    blocked = {(r["host"], r["template"]) for r in free if r["verdict"] == "block"}
+    assert 0 < sum(r["verdict"] == "block" for r in free) < len(free) / 4
+    labels = {}
+    for r in got:
+        if r["rule"] is not None:
+            labels.setdefault((r["host"], r["template"]), []).append(url_filter_action(r["rule"]) == "block")
+    assert all(len(labels[t]) >= url_filter.MIN_LABELLED and sum(labels[t]) >= 0.85 * len(labels[t]) for t in blocked)
+
+
+def url_filter_action(rule):
+    return Q.URL_RULES[rule]
+
+
+def test_rounds_don_t_grow_with_the_path(spark):
+    """Two paths of 2,000 segments that part in the last one, and a short one; empty segments, braces."""
+    long = "http://x.org/" + "/".join(f"s{i}x" for i in range(1999))
+    rows = [(1, long + "/a"), (2, long + "/b"), (3, "http://x.org/a"), (4, "http://x.org//"), (5, "http://y.org/{x}/\\y")]
+    got = {r["page_id"]: r["template"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), {}).collect()}
+    assert got[1].count("/") == got[2].count("/") == 2000 and got[4] == "/{end}/{end}" and "\\{x}" in got[5] and len(got) == 5

@@ -246,3 +246,28 @@ def test_long_texts_of_personal_data_end(spark):
         pii.find([text], model)
         assert time.perf_counter() - begin < 30, text[:6]
     assert pii.base_spans("x " + "7" * 10**6 + ".1.2.3 y 10.0.0.1") == [(10**6 + 11, 1, 10**6 + 19)]
+
+
+@pytest.mark.parametrize("kinds", decontaminate.EDITS)
+def test_each_kind_of_edit_is_found(kinds):
+    """Items of 12 to 60 words after all the edits of a kind that are allowed."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    items = decontaminate.Items([(i, " ".join(f"w{rng.integers(5000)}" for _ in range(n))) for i, n in enumerate([12, 20, 30, 45, 60] * 4)])
+    names = {v: k.decode() for k, v in items.places.items()}
+    trials = [(k, items.edited(k, rng, kinds)) for k in range(len(items.items)) for _ in range(10)]
+    found = items.leaks([" ".join(names.get(w) or f"zz{rng.integers(10**9)}" for w in x.tolist()) for _, x in trials])
+    assert sum(k in f for (k, _), f in zip(trials, found, strict=True)) >= 0.97 * len(trials)
+
+
+def test_bare_digits_are_no_secrets(spark, small):
+    """Runs of digits, identifiers, versions and words stay; keys and tokens go. In the given documents nothing but tokens is added."""
+    model = pii.fit()
+    for text in ("anshon 9870157079875996 athe", "token 98701570798759961234", "see isbn 9780306406157 and 20240512T101112Z", "commit 40d78a45c418324758e099eb7cb89bc0f5fa9f62", "the path some_words_in_a_row2 or img_holiday_20240512.jpg"):
+        assert [s for s in pii.find([text], model)[0][1] if pii.KINDS[s[1]] == "secret"] == [], text
+    for text in ('token = "9c8b45435718dcc700c184a7e303cdc64c6a8f7f"', "api_key=sk-Ab3dEf6hIj9kLm2nOp5qRs8tUv1wXy4z0AbCdEf", "password: ghp_16C7e42F292c6912E7710c838347Ae178B4a"):
+        assert [pii.KINDS[s[1]] for s in pii.find([f"x {text} y"], model)[0][1]] == ["secret"], text
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    added = [t[a - 9 : a].lower() for t, (base, every) in zip(texts, pii.find(texts, model), strict=True) for a, k, b in every if (a, k, b) not in base]
+    assert added and set(added) == {'token = "'}
