@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabelion.functions import courts, movements, policy, stats, text
-from tabelion.operators import consolidate, decisions, measures, pseudonyms, validate
+from tabelion.operators import consolidate, decisions, measures, paging, pseudonyms, validate
 from tabelion.plans.registry import query, table
 from tabelion.sources import corpus
 
@@ -387,18 +387,13 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, ts FROM events WHERE (ts, event_id) > (SELECT (ts, event_id) FROM events ORDER BY ts, event_id LIMIT 1 OFFSET 499) ORDER BY ts, event_id LIMIT 500")
 def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of 500 by the cursor that the first page ends with."""
-    e = table(spark, sf_dir, "events").select("event_id", "ts")
-    cursor = e.orderBy("ts", "event_id").limit(500).agg(F.max(F.struct("ts", "event_id")).alias("c"))
-    after = e.join(F.broadcast(cursor), F.struct("ts", "event_id") > F.col("c"))  # a cursor is one row
-    return after.orderBy("ts", "event_id").limit(500).select("event_id", "ts")
+    e, order = table(spark, sf_dir, "events").select("event_id", "ts"), ["ts", "event_id"]
+    return paging.page(e, order, 500, paging.cursor(paging.page(e, order, 500), order)).select("event_id", "ts")
 
 
 @query("SELECT c_nationkey, c_custkey FROM (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) WHERE k <= 3")
 def per_group_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    best = Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey")
-    return table(spark, sf_dir, "customer").withColumn("k", F.row_number().over(best)).where("k <= 3").select("c_nationkey", "c_custkey")
+    return paging.first_of_each(table(spark, sf_dir, "customer"), "c_nationkey", [F.desc("c_acctbal"), "c_custkey"], 3).select("c_nationkey", "c_custkey")
 
 
 @query("""SELECT o_orderkey, lpad(n, 7, '0') || '-' || lpad(dd::VARCHAR, 2, '0') || '.2020.8.26.0100' AS numero, true AS valido, 'tjsp' AS tribunal FROM (SELECT o_orderkey, (o_orderkey % 10000000)::VARCHAR AS n, 98 - ((o_orderkey % 10000000)::HUGEINT * 10000000000000 + 2020826010000) % 97 AS dd FROM orders)""")

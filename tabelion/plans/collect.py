@@ -7,9 +7,9 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tabelion.functions.courts import select
+from tabelion.operators import paging
 from tabelion.sources import convert, files, paged
 from tabelion.sources.config import Job
 from tabelion.sources.corpus import Corpus
@@ -74,8 +74,7 @@ def notices(spark: SparkSession, job: Job, corpus: Corpus, transport: str | None
             kept, most = rows.withColumn("__arrived", F.col("proveniencia.coletado_em")), job.djen.limite_por_tribunal
             if most is not None:
                 left = F.create_map(*(F.lit(x) for c in courts for x in (c, most - accepted[c])))
-                place = F.row_number().over(Window.partitionBy("tribunal").orderBy("data", "id"))
-                kept = kept.withColumn("__n", place).where(F.col("__n") <= left[F.col("tribunal")]).drop("__n")
+                kept = paging.first_of_each(kept, "tribunal", ["data", "id"], left[F.col("tribunal")])
             corpus.upsert_documents(kept)
             found = {r["tribunal"]: r["n"] for r in rows.groupBy("tribunal").agg(F.count_distinct("id").alias("n")).collect()}
         finally:

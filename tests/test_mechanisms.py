@@ -55,7 +55,7 @@ def test_sql_functions_are_the_library_s(spark):
     df = spark.createDataFrame(rows, "t string")
     df.createOrReplaceTempView("some_texts")
     got = spark.sql("SELECT sem_acentos(t), normalizado(t), so_digitos(t), primeiro_dado(t, 'x') FROM some_texts").collect()
-    want = df.select(text.unaccent("t" and F.col("t")), text.folded(F.col("t")), text.digits(F.col("t")), text.first_given(F.col("t"), F.lit("x"))).collect()
+    want = df.select(text.unaccent(F.col("t")), text.folded(F.col("t")), text.digits(F.col("t")), text.first_given(F.col("t"), F.lit("x"))).collect()
     assert [tuple(x) for x in got] == [tuple(x) for x in want]
     low, high = spark.sql("SELECT wilson_inf(7L, 20L), wilson_sup(7L, 20L)").first()
     _, a, b = spark.range(1).select(*stats.wilson(F.lit(7), F.lit(20))).first()
@@ -75,3 +75,30 @@ def test_filters_on_masks_stay_above_the_steps(spark):
     assert masked.first()["counts"] == {"CPF": 1, "RG": 1}
     plan = masked._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") < 30
+
+
+def test_many_terms_in_one_pass(spark):
+    """Nested, overlapping and self-overlapping terms, other blanks, accents: as term by term."""
+    terms = ("dano", "dano moral", "dano moral coletivo", "danos", "moral", "boa-fé", "fé", "a b a", "de má-fé", "litigância de má-fé", "l.g")
+    words = ["dano", "moral", "coletivo", "danos", "boa-fé", "a", "b", "litigância", "de", "má-fé", "FÉ", "l.g", "lxg", "danosa", "x_dano"]
+    r = random.Random(2)
+    rows = [("".join(r.choice(words) + r.choice([" ", "  ", "\n", "\u00a0", ", ", "-"]) for _ in range(r.randint(0, 30))),) for _ in range(300)] + [("",), (None,)]
+    df = spark.createDataFrame(rows, "t string")
+    one = [F.regexp_count(text.unaccent(F.lower(F.col("t"))), F.lit(text.term_pattern(t))) for t in terms]
+    found = df.select(text.term_counts(F.col("t"), terms).alias("m"), F.array(*one).alias("n"))
+    assert all(x["m"] == ({t: n for t, n in zip(terms, x["n"], strict=True) if n} if x["n"][0] is not None else x["m"]) for x in found.collect())
+    assert sum(len(x["m"] or {}) for x in found.collect()) > 500
+    plan = df.select(text.term_counts(F.col("t")).alias("m"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_count" not in plan
+
+
+def test_pages_follow_each_other(spark):
+    from tabelion.operators import paging
+
+    df = spark.createDataFrame([(i % 7, i) for i in range(100)], "a long, b long").repartition(4)
+    order, seen, after = ["a", "b"], [], None
+    while rows := (now := paging.page(df, order, 30, after)).collect():
+        seen += [(x["a"], x["b"]) for x in rows]
+        after = paging.cursor(now, order)
+    assert seen == sorted((i % 7, i) for i in range(100)) and paging.page(df, order, 5, paging.cursor(df.limit(0), order)).count() == 0
+    assert [x["b"] for x in paging.first_of_each(df, "a", [F.desc("b")], 2).orderBy("a", "b").limit(4).collect()] == [91, 98, 92, 99]
