@@ -15,12 +15,12 @@ def analyse(documents: DataFrame, column: str = "texto", top: int = 20) -> DataF
     """documents with evaluation, numbers, sizes, citations, terms, arguments, words and parameters of each text."""
     d = documents.withColumn("t", text.tidy(F.coalesce(F.col(column), F.lit(""))))
     d = d.withColumns({"secoes": decisions.sections(F.col("t")), "avaliacao": decisions.evaluation(F.col("t"))}).withColumn("calculo", amounts.calculation(F.col("avaliacao.dispositivo")))
-    d = d.withColumns({"refs": citations.cited(F.col("t"))["referencia"], "palavras": text.telling_tokens(F.col("t"))})  # columns, as functions of arrays take no Python functions
-    counted = lambda items: F.map_from_entries(F.transform(F.array_distinct(items), lambda x: F.struct(x, F.size(F.filter(items, lambda y: y == x)))))
-    words = F.col("palavras")
-    ranked = F.slice(F.transform(F.array_sort(F.transform(F.array_distinct(words), lambda x: F.struct((-F.size(F.filter(words, lambda y: y == x))).alias("n"), x.alias("palavra")))), lambda e: F.struct(e["palavra"], (-e["n"]).alias("n"))), 1, top)
+    refs, words = citations.cited(F.col("t"))["referencia"], text.telling_tokens(F.col("t"))
+    d = d.withColumns({"refs": refs, "palavras": words}).withColumns({"refs": F.array_sort("refs"), "palavras": F.array_sort("palavras")})  # columns, as functions of arrays take no Python functions
+    ranked = F.array_sort(F.transform(text.runs(F.col("palavras")), lambda r: F.struct((-r["n"]).alias("n"), r["item"].alias("palavra"))))
+    ranked = F.slice(F.transform(ranked, lambda e: F.struct(e["palavra"], (-e["n"]).alias("n"))), 1, top)
     return d.withColumns({
-        "numeros_processo": courts.case_numbers(F.col("t")), "citacoes": counted(F.col("refs")), "termos_juridicos": text.term_counts(F.col("t")),
+        "numeros_processo": courts.case_numbers(F.col("t")), "citacoes": F.map_from_entries(text.runs(F.col("refs"))), "termos_juridicos": text.term_counts(F.col("t")),
         "argumentos": text.arguments(F.coalesce(F.nullif(F.col("secoes.fundamentacao"), F.lit("")), F.col("t"))), "palavras_frequentes": ranked,
         "tamanho": F.create_map(F.lit("caracteres"), F.length("t"), *(x for n in ("relatorio", "fundamentacao", "dispositivo") for x in (F.lit(n), F.length(f"secoes.{n}")))),
     }).drop("t", "secoes", "refs", "palavras")

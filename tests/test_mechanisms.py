@@ -102,3 +102,25 @@ def test_pages_follow_each_other(spark):
         after = paging.cursor(now, order)
     assert seen == sorted((i % 7, i) for i in range(100)) and paging.page(df, order, 5, paging.cursor(df.limit(0), order)).count() == 0
     assert [x["b"] for x in paging.first_of_each(df, "a", [F.desc("b")], 2).orderBy("a", "b").limit(4).collect()] == [91, 98, 92, 99]
+
+
+def test_runs(spark):
+    rows = [(sorted(random.Random(i).choices("abcde", k=i % 9)),) for i in range(40)] + [([],)]
+    got = spark.createDataFrame(rows, "x array<string>").select("x", text.runs(F.col("x")).alias("r")).collect()
+    assert all({e["item"]: e["n"] for e in g["r"]} == {c: g["x"].count(c) for c in set(g["x"])} for g in got)
+
+
+def test_a_long_document_is_counted_in_one_pass(spark):
+    """20,000 words, 5,000 of them distinct: a word times a word would be a hundred million comparisons."""
+    import json
+    import time
+
+    from tabelion.plans import document
+
+    words = ["".join(chr(97 + (i // 26**k) % 26) for k in range(4)) for i in range(5000)]
+    decision = " ".join(random.Random(1).choices(words, k=20_000)) + ". Ante o exposto, julgo procedente o pedido, na forma do art. 14 do CDC e do art. 14 do CDC."
+    document.analyse_text(spark, "Julgo procedente o pedido.")
+    began = time.time()
+    found = json.loads(document.analyse_text(spark, decision))
+    assert time.time() - began < 20 and found["citacoes"] == {"art. 14 CDC": 2} and len(found["palavras_frequentes"]) == 20
+    assert [x["n"] for x in found["palavras_frequentes"]] == sorted((x["n"] for x in found["palavras_frequentes"]), reverse=True)
