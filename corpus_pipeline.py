@@ -26,8 +26,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """n_chars follows the text."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """n_chars, if there, follows the text."""
+    cut = pii.redact(docs)
+    return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,6 +45,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stages = Stages(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stages.keep(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stages.keep(stage(spark, docs, sf_dir), name)
+        if k:
+            stages.drop(before)  # what a later stage has taken over; the given table stays
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tabelion.operators.decisions import folded
+from tabelion.operators.decisions import folded, once_each
 
 CALCULATION = (
     "valores array<struct<categoria:string,valor:double,trecho:string>>, honorarios_percentual double, honorarios_base string, repeticao string, "
@@ -104,8 +104,7 @@ def calculation(ruling: Column) -> Column:
     @F.pandas_udf(CALCULATION)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [calculate(t or "") for t in batch]
-            yield pd.DataFrame(rows, columns=list(calculate("")))
+            yield pd.DataFrame(once_each(calculate, batch), columns=list(calculate("")))
 
     return run(ruling)
 
