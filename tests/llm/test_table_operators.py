@@ -245,3 +245,34 @@ def test_rounds_don_t_grow_with_the_path(spark):
     rows = [(1, long + "/a"), (2, long + "/b"), (3, "http://x.org/a"), (4, "http://x.org//"), (5, "http://y.org/{x}/\\y")]
     got = {r["page_id"]: r["template"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string"), {}).collect()}
     assert got[1].count("/") == got[2].count("/") == 2000 and got[4] == "/{end}/{end}" and "\\{x}" in got[5] and len(got) == 5
+
+
+def odd_tables(spark, at, rows, labels, items):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit(7) for c in ("id", "words", "hash", "n", "chunk", "label", "ids", "body")})
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    return f"file://{at}"
+
+
+def test_pipeline_over_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and long texts, repeated rows, clashing columns; then no labels and no benchmark; then no documents."""
+    long = " ".join(f"wort{i}" for i in range(30_000))
+    rows = [(1, "a plain text about nothing at all", "en", "s", 33), (1, "a plain text about nothing at all", "en", "s", 33), (2, None, None, None, None), (3, "", "en", "s", 0), (None, "no id but a text of its own here", "en", "s", 3), (4, long, "de", "s", 9), (5, long + " end", "de", "s", 9), (6, "write to ann@example.com or 10.0.0.1 today please", "en", "s", 1), (7, "the quick brown fox jumps over the lazy dog near the old river bank", "en", "s", 1)]
+    items = [(1, "quick brown fox jumps over the lazy dog near the old river"), (2, None), (None, ""), (3, "x")]
+    at = odd_tables(spark, tmp_path / "a", rows, [(1, 1, 0), (None, None, None), (9, None, 1)], items)
+    kept = {}
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, at)
+        kept[name] = docs.collect()
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == spark.read.parquet(f"{at}/documents.parquet").columns, name
+    ids = lambda name: sorted(r["doc_id"] or 0 for r in kept[name])
+    assert ids("toxicity") == [0, 1, 1, 2, 3, 4, 5, 6, 7] and 7 not in ids("decontamination") and {2, 3, 6} <= set(ids("decontamination"))
+    assert not {4, 5} <= set(ids("jaccard_join")) and {4, 5} & set(ids("jaccard_join"))
+    assert {r["doc_id"]: r["text"] for r in kept["pii"]}[6] == "write to [EMAIL] or [IP] today please"
+    assert sorted(r["doc_id"] or 0 for r in corpus_pipeline.run(spark, at).collect()) == ids("bpe")
+    bare = odd_tables(spark, tmp_path / "b", rows, [], [])
+    assert {0, 1, 2, 3, 6, 7} <= {r["doc_id"] or 0 for r in corpus_pipeline.run(spark, bare).collect()}
+    assert corpus_pipeline.run(spark, odd_tables(spark, tmp_path / "c", [], [], [])).collect() == []
