@@ -8,6 +8,7 @@ no order's text is another's and nothing is read once for many.
 from __future__ import annotations
 
 import re
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from tabelion.operators import amounts, citations, consolidate, decisions, measu
 from tabelion.plans import examples
 from tabelion.plans.registry import query, table
 from tabelion.sources import convert
+from tabelion.sources.config import CaseQuery
 from tabelion.sources.corpus import Corpus
 
 
@@ -291,10 +293,8 @@ def instances_of_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Source records.
 
 
-@query("""SELECT o_orderkey::VARCHAR AS numero, o_orderdate::DATE::VARCHAR AS ajuizamento, (o_orderdate::DATE + (o_custkey % 400)::INTEGER)::VARCHAR AS julgamento, (o_custkey % 400)::INTEGER AS dias,
-CASE o_orderstatus WHEN 'F' THEN 'procedente' WHEN 'P' THEN 'parcialmente_procedente' ELSE 'improcedente' END AS resultado, o_orderkey % 5 = 0 AS sensivel FROM orders WHERE o_orderkey % 7 <> 0""")
-def cases_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw hits to the case table: every seventh is secret and dropped, every fifth is of a sensitive class."""
+def raw_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as hits of the case index: every seventh is secret, every fifth is of a sensitive class."""
     o = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     code = F.when(F.col("o_orderstatus") == "F", 219).when(F.col("o_orderstatus") == "P", 221).otherwise(220)
     judged = F.date_add(F.to_date("o_orderdate"), (F.col("o_custkey") % 400).cast("int"))
@@ -303,8 +303,32 @@ def cases_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("G1").alias("grau"), F.date_format("o_orderdate", "yyyyMMdd'000000'").alias("dataAjuizamento"), F.when(F.col("o_orderkey") % 7 == 0, 1).otherwise(0).alias("nivelSigilo"),
         F.array(F.struct(F.lit(26).alias("codigo"), F.lit("Distribuição").alias("nome"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("dataHora")), F.struct(code.alias("codigo"), F.lit("x").alias("nome"), F.date_format(judged, "yyyy-MM-dd").alias("dataHora"))).alias("movimentos"),
     )
-    raw = o.select(F.lit("tjsp").alias("tribunal"), F.lit(None).cast("string").alias("cursor"), F.lit("x").alias("proveniencia"), F.to_json(F.struct(source.alias("_source"))).alias("hit"))
-    return convert.cases(raw).select("numero", F.col("data_ajuizamento").cast("string").alias("ajuizamento"), F.col("data_julgamento").cast("string").alias("julgamento"), F.col("duracao_dias").cast("int").alias("dias"), "resultado", "sensivel")
+    return o.select(F.lit("tjsp").alias("tribunal"), F.lit(None).cast("string").alias("cursor"), F.lit("x").alias("proveniencia"), F.to_json(F.struct(source.alias("_source"))).alias("hit"))
+
+
+CASES_SQL = """SELECT o_orderkey::VARCHAR AS numero, o_orderdate::DATE::VARCHAR AS ajuizamento, (o_orderdate::DATE + (o_custkey % 400)::INTEGER)::VARCHAR AS julgamento, (o_custkey % 400)::INTEGER AS dias,
+CASE o_orderstatus WHEN 'F' THEN 'procedente' WHEN 'P' THEN 'parcialmente_procedente' ELSE 'improcedente' END AS resultado, o_orderkey % 5 = 0 AS sensivel FROM orders WHERE o_orderkey % 7 <> 0"""
+
+
+@query(CASES_SQL)
+def cases_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw hits to the case table: secret ones are dropped, sensitive ones marked."""
+    return _converted(convert.cases(raw_hits(spark, sf_dir)))
+
+
+def _converted(cases: DataFrame) -> DataFrame:
+    return cases.select("numero", F.col("data_ajuizamento").cast("string").alias("ajuizamento"), F.col("data_julgamento").cast("string").alias("julgamento"), F.col("duracao_dias").cast("int").alias("dias"), "resultado", "sensivel")
+
+
+#: A filing period, both ends included.
+SINCE, UNTIL = "1994-03-01", "1997-06-30"
+
+
+@query(f"SELECT * FROM ({CASES_SQL}) WHERE ajuizamento BETWEEN '{SINCE}' AND '{UNTIL}'")
+def cases_in_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only cases filed within the job's period."""
+    q = CaseQuery(ajuizamento_desde=date.fromisoformat(SINCE), ajuizamento_ate=date.fromisoformat(UNTIL))
+    return _converted(convert.cases(raw_hits(spark, sf_dir), q))
 
 
 @query("SELECT 'djen:' || o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'procedente' ELSE 'improcedente' END AS resultado, 'Ante o exposto, julgo ' || CASE o_orderstatus WHEN 'F' THEN 'procedente' ELSE 'improcedente' END || ' o pedido de [PESSOA_1].' AS texto, o_orderdate::DATE::VARCHAR AS data, 1 AS pessoas FROM orders WHERE o_orderkey % 3 = 0")
