@@ -271,3 +271,56 @@ def test_bare_digits_are_no_secrets(spark, small):
     texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
     added = [t[a - 9 : a].lower() for t, (base, every) in zip(texts, pii.find(texts, model), strict=True) for a, k, b in every if (a, k, b) not in base]
     assert added and set(added) == {'token = "'}
+
+
+def test_ordinal_regression_against_its_likelihood():
+    """At what ordinal() returns, the penalised likelihood, written out row by row, has no slope by finite differences, and no step aside is better."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = (rng.random((240, 4)) < 0.4).astype(np.float32)
+    z = x @ np.array([2.0, 1.0, 0.5, -1.0]) + rng.logistic(size=240)
+    grade = (z > 1).astype(int) + (z > 2.5)
+    weights, cuts = toxicity.ordinal(x, grade)
+
+    def loss(w, c):
+        sig = lambda a: 1 / (1 + math.exp(-a))
+        total = 0.0
+        for row, g in zip(x, grade, strict=True):
+            s = [sig(c[0] - float(row @ w)), sig(c[1] - float(row @ w))]
+            total -= math.log([s[0], s[1] - s[0], 1 - s[1]][g])
+        return total / len(x) + 1e-5 * float(w @ w)
+
+    best, h = loss(weights, cuts), 1e-4
+    assert cuts[0] < cuts[1] and (weights >= 0).all() and weights[3] == 0  # the word that speaks against toxicity is held at 0
+    for i in range(4):
+        up, down = weights.copy(), weights.copy()
+        up[i] += h
+        down[i] -= h
+        slope = (loss(up, cuts) - loss(down, cuts)) / (2 * h)
+        assert abs(slope) < 2e-3 if weights[i] > 0 else slope > 0
+    for i in range(2):
+        up, down = cuts.copy(), cuts.copy()
+        up[i] += h
+        down[i] -= h
+        assert abs(loss(weights, up) - loss(weights, down)) / (2 * h) < 2e-3
+    assert all(loss(np.maximum(weights + rng.normal(0, s, 4), 0), np.sort(cuts + rng.normal(0, s, 2))) > best - 1e-5 for s in (0.01, 0.1, 0.5) for _ in range(40))
+
+
+def test_severity_is_the_expected_grade(spark, small):
+    """The query's severities, grades and verdicts, from the fitted weights and cuts by hand."""
+    import math
+    import re
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in Q.op6_ordinal_toxicity(spark, small).collect():
+        low = texts[r["doc_id"]].translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        z = sum(model.weights[i] for w, i in model.places.items() if w.decode() in set(re.findall(r"[a-z0-9\x80-\U0010ffff]+", low)))
+        at_most = [1 / (1 + math.exp(-(c - z))) for c in model.cuts]
+        each = [at_most[0], at_most[1] - at_most[0], 1 - at_most[1]]
+        severity = each[1] + 2 * each[2]
+        assert r["severity"] == pytest.approx(severity, abs=1e-6) and r["toxic"] == (r["severity"] >= model.threshold) and each[r["grade"]] >= max(each) - 1e-9
