@@ -74,7 +74,7 @@ _N = "(props->>'$.k')"
 
 
 @query(f"""WITH p AS (SELECT event_type, {_N}::BIGINT AS n, CASE event_type WHEN 'purchase' THEN 'OBJECT<k: BIGINT>' WHEN 'click' THEN 'OBJECT<k: STRING, via: STRING>' WHEN 'error' THEN 'OBJECT<k: OBJECT<v: BIGINT>>' WHEN 'signup' THEN 'OBJECT<k: ARRAY<BIGINT>>' END AS forma FROM events)
-SELECT event_type, forma, count(*) AS n, sum(CASE WHEN event_type IN ('purchase', 'click') THEN n END)::BIGINT AS k, sum(CASE event_type WHEN 'error' THEN n END)::BIGINT AS dentro, sum(CASE event_type WHEN 'signup' THEN n END)::BIGINT AS primeiro, count_if(event_type = 'click') AS via
+SELECT event_type, forma, count(*) AS n, sum(CASE WHEN event_type IN ('purchase', 'click') THEN n END)::BIGINT AS k, sum(CASE event_type WHEN 'error' THEN n END)::BIGINT AS dentro, sum(CASE event_type WHEN 'signup' THEN n END)::BIGINT AS primeiro, count_if(event_type = 'click')::BIGINT AS via
 FROM p GROUP BY 1, 2""")
 def drifting_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields of one name and many types, read by type from one parsed column, with the shape of each row kept."""
