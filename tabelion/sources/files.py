@@ -62,8 +62,10 @@ def read(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     binary = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     binary = binary.where(F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)).isin(*KINDS))
     read_ = binary.withColumn("t", text_of(F.col("path"), F.col("content")))
-    number = F.get(courts.case_numbers(F.col("t.texto")), F.lit(0))
-    rows = read_.where("t.erro is null").select(
+    # a number that later expressions can't spell out again each time they name it
+    number = F.when(F.monotonically_increasing_id() >= 0, F.get(courts.case_numbers(F.col("t.texto")), F.lit(0)))
+    known, number = read_.where("t.erro is null").withColumn("n", number), F.col("n")
+    rows = known.select(
         F.substring(F.sha2("content", 256), 1, 32).alias("chave"), courts.court_of_number(number).alias("tribunal"), number.alias("numero"), F.lit(None).cast("string").alias("tipo"), F.lit(None).cast("date").alias("data"),
         F.lit(None).cast("string").alias("classe_nome"), F.col("path").alias("url"), F.array().cast("array<string>").alias("nomes"), F.col("t.texto").alias("bruto"),
         F.lit(None).cast("struct<url:string,metodo:string,parametros:string,coletado_em:string,sha256:string>").alias("proveniencia"),
