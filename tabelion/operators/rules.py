@@ -15,6 +15,26 @@ class Rule(NamedTuple):
     strong: bool = True
     reason: str | None = None
     target: str | None = None
+    #: Parts of words of which each match holds at least one.
+    stems: str = ""
+
+
+class Stemmed:
+    """A pattern, looked for only in texts with a stem of which each of its matches holds at least one; these are found much faster."""
+
+    def __init__(self, stems: str, pattern: str) -> None:
+        self.stems, self.pattern = stems.split(), re.compile(pattern)
+
+    def near(self, text: str) -> bool:
+        return any([s in text for s in self.stems])
+
+    def search(self, text: str) -> re.Match | None:
+        return self.pattern.search(text) if self.near(text) else None
+
+
+def lowered(text: str) -> str:
+    """text as stems of patterns that ignore case are looked for: these also take the long s, and i with and without its dot."""
+    return text.replace("\u0130", "i").replace("\u0131", "i").replace("\u017f", "s").lower()
 
 
 # Fixed values from here on: outcomes, the 41 rules in order of priority, objects, reasons and headings.
@@ -24,47 +44,47 @@ WON, PARTLY_WON, LOST, NOT_HEARD = "provido", "parcialmente_provido", "nao_provi
 OPEN = "indeterminado"
 
 RULES = (
-    Rule(PART, ACTION, r"\b(?:parcialmente\s+procedentes?|procedentes?,?\s+(?:em\s+parte|parcialmente)|em\s+parte,?\s+procedentes?|parcial\s+procedencia|procedencia\s+parcial)\b"),
-    Rule(PART, ACTION, r"\bacolh\w*(?:-(?:o|os|a|as|se))?\s+(?:em\s+parte|parcialmente)\b(?!\s+os\s+embargos)"),
-    Rule(PART, ACTION, r"\bacolh\w*(?:-(?:os|se))?\s+(?:em\s+parte|parcialmente)\s+(?:os\s+)?embargos\s+(?:a\s+execucao|do\s+devedor|do\s+executado|de\s+terceiros?)\b"),
-    Rule(FULL, ACTION, r"\bacolh\w*(?:-(?:os|se))?\s+(?:os\s+)?embargos\s+(?:a\s+execucao|do\s+devedor|do\s+executado|de\s+terceiros?)\b"),
-    Rule(DENIED, ACTION, r"\b(?:rejeit|desacolh)\w*(?:-(?:os|se))?\s+(?:os\s+)?embargos\s+(?:a\s+execucao|do\s+devedor|do\s+executado|de\s+terceiros?)\b"),
-    Rule(PART, ACTION, r"\bacolh\w*(?:-(?:os|se))?\s+(?:em\s+parte|parcialmente)\s+(?:os\s+)?embargos\s+(?:monitorios|a\s+(?:acao\s+)?monitoria)\b"),
-    Rule(DENIED, ACTION, r"\bacolh\w*(?:-(?:os|se))?\s+(?:os\s+)?embargos\s+(?:monitorios|a\s+(?:acao\s+)?monitoria)\b"),
-    Rule(FULL, ACTION, r"\b(?:rejeit|desacolh)\w*(?:-(?:os|se))?\s+(?:os\s+)?embargos\s+(?:monitorios|a\s+(?:acao\s+)?monitoria)\b"),
-    Rule(PART, ACTION, r"\bconced\w*(?:-se)?\s+(?:em\s+parte|parcialmente)\s+a\s+seguranca|\bseguranca\s+(?:parcialmente\s+concedida|concedida\s+em\s+parte)"),
-    Rule(FULL, ACTION, r"\bconced\w*(?:-se)?\s+(?:a\s+)?seguranca|\bseguranca\s+concedida"),
-    Rule(DENIED, ACTION, r"\bdeneg\w*(?:-se)?\s+(?:a\s+)?seguranca|\bseguranca\s+denegada"),
-    Rule(DENIED, ACTION, r"\babsolv\w*(?:-(?:o|a|os|as|se))?\b"),
-    Rule(FULL, ACTION, r"\bcondeno-?(?:o|a|os|as)?\s+(?:o\s+|a\s+)?(?:reu|re|acusad[oa]s?|denunciad[oa]s?)?\s*(?:como\s+)?incurs[oa]s?\b"),
-    Rule(DENIED, ACTION, r"(?<!nao )(?<!deixo de )(?<!deixa de )(?<!afasto a )\b(?:pronunci|reconhec|declar|acolh|decret)\w*(?:-se)?\s+(?:de\s+oficio\s+)?(?:a\s+)?(?:ocorrencia\s+da\s+)?(?:prejudicial\s+(?:de\s+merito\s+)?(?:de\s+|da\s+)?)?prescricao", reason="prescrição"),
-    Rule(DENIED, ACTION, r"(?<!nao )(?<!deixo de )(?<!deixa de )(?<!afasto a )\b(?:pronunci|reconhec|declar|acolh|decret)\w*(?:-se)?\s+(?:de\s+oficio\s+)?(?:a\s+)?(?:ocorrencia\s+da\s+)?decadencia", reason="decadência"),
-    Rule(DENIED, ACTION, r"\bart(?:igo)?s?\.?\s*487,?\s*(?:inciso\s+)?ii\b", reason="art. 487, II"),
-    Rule(FULL, ACTION, r"\breconhecimento\s+(?:juridico\s+)?(?:da\s+procedencia\s+)?do\s+pedido|\bart(?:igo)?s?\.?\s*487,?\s*(?:inciso\s+)?iii,?\s*(?:alinea\s+)?\W?a\b", reason="reconhecimento do pedido"),
-    Rule(DENIED, ACTION, r"\brenuncia\s+(?:a\s+pretensao|ao\s+direito)|\bart(?:igo)?s?\.?\s*487,?\s*(?:inciso\s+)?iii,?\s*(?:alinea\s+)?\W?c\b", reason="renúncia à pretensão"),
-    Rule(SETTLED, ACTION, r"\bhomolog\w*(?:-se)?\b[^.;]{0,120}?\b(?:acordo|transacao|composicao|conciliacao|autocomposicao)\b|\bart(?:igo)?s?\.?\s*487,?\s*(?:inciso\s+)?iii,?\s*(?:alinea\s+)?\W?b\b"),
-    Rule(DISMISSED, ACTION, r"\bhomolog\w*(?:-se)?\b[^.;]{0,60}?\bdesistencia\b|\bdesistencia\s+da\s+acao\b", reason="desistência (art. 485, VIII)"),
-    Rule(DISMISSED, ACTION, r"\bsem\s+(?:resolucao|julgamento|exame|apreciacao|analise)\s+d[oe]\s+merito"),
-    Rule(DISMISSED, ACTION, r"\bart(?:igo)?s?\.?\s*485\b"),
-    Rule(DISMISSED, ACTION, r"\bindefiro\s+(?:a\s+)?(?:peticao\s+)?inicial|\bindeferimento\s+da\s+(?:peticao\s+)?inicial", reason="indeferimento da inicial (art. 485, I)"),
-    Rule(DISMISSED, ACTION, r"\b(?:julgo|declaro|decreto|julga-se)\s+extint[oa]\s+(?:o\s+)?(?:processo|feito|acao)\b(?![^.;]{0,80}\bcom\s+(?:resolucao|julgamento|exame)\b)", strong=False),
-    Rule(DENIED, ACTION, r"\bimprocedentes?\b|\bimprocedencia\s+d[oa]s?\s+(?:pedidos?|acao|demanda)\b"),
-    Rule(DENIED, ACTION, r"\b(?:rejeit|desacolh)\w*(?:-(?:o|os|se))?\s+(?:integralmente\s+|totalmente\s+)?(?:o|os)\s+pedidos?\b|\bnao\s+acolh\w*\s+(?:o|os)\s+pedidos?\b"),
-    Rule(FULL, ACTION, r"(?<![\w-])procedentes?\b|\bprocedencia\s+d[oa]s?\s+(?:pedidos?|acao|demanda)\b"),
-    Rule(FULL, ACTION, r"\bacolh\w*(?:-(?:o|os|se))?\s+(?:integralmente\s+|totalmente\s+)?(?:o|os)\s+pedidos?\b"),
-    Rule(FULL, ACTION, r"\bcondeno\s+(?:o|a|os|as)\s+(?:re[ua]?s?|requerid[oa]s?|demandad[oa]s?)\b", strong=False),
-    Rule(PARTLY_WON, APPEAL, r"\bacolh\w*(?:-(?:os|se))?\s+(?:em\s+parte|parcialmente)\s+(?:os\s+)?(?:presentes\s+)?embargos\b", target=MOTION),
-    Rule(WON, APPEAL, r"\bacolh\w*(?:-(?:os|se))?\s+(?:os\s+)?(?:presentes\s+)?embargos\b(?!\s+(?:a\s+execucao|do\s+devedor|do\s+executado|de\s+terceiro|monitorios|a\s+monitoria))", target=MOTION),
-    Rule(LOST, APPEAL, r"\b(?:rejeit|desacolh)\w*(?:-(?:os|se))?\s+(?:os\s+)?(?:presentes\s+)?embargos\b(?!\s+(?:a\s+execucao|do\s+devedor|do\s+executado|de\s+terceiro|monitorios|a\s+monitoria))", target=MOTION),
-    Rule(PARTLY_WON, APPEAL, r"\bd(?:ou|a|ar|ao|eram|emos|ando|e|eu)(?:-(?:se|lhe|lhes))?\s+(?:parcial\s+provimento|provimento\s+parcial|provimento\s+em\s+parte)\b|\bparcialmente\s+provid[oa]s?\b|\bprovid[oa]s?,?\s+(?:em\s+parte|parcialmente)\b|\bprovimento\s+parcial\b|\bparcial\s+provimento\b"),
-    Rule(LOST, APPEAL, r"\bneg(?:o|a|ar|am|aram|amos|ando|ue|ou)(?:-(?:se|lhe|lhes))?\s+(?:integral\s+)?provimento\b|\bnao\s+provid[oa]s?\b|\b(?:des|im)provid[oa]s?\b|\b(?:des|im)provimento\b"),
-    Rule(WON, APPEAL, r"\bd(?:ou|a|ar|ao|eram|emos|ando|e|eu)(?:-(?:se|lhe|lhes))?\s+(?:integral\s+|total\s+)?provimento\b|\bprovid[oa]s?\b"),
-    Rule(WON, APPEAL, r"\b(?:anul|cass|desconstitu)\w*(?:-se)?\s+(?:a\s+|na\s+integra\s+a\s+)?(?:r\.\s*|douta\s+|respeitavel\s+)?sentenca\b", reason="anulação da sentença"),
-    Rule(NOT_HEARD, APPEAL, r"\bnao\s+(?:se\s+)?conhe(?:co|ce|cer|ceram|cemos|cido|cida|ceu)\b(?!\s+(?:de\s+)?(?:parte|em\s+parte|parcialmente))"),
-    Rule(NOT_HEARD, APPEAL, r"\b(?:julg\w*\s+)?prejudicad[oa]s?\s+(?:o\s+|os\s+)?(?:recursos?|apelo|apelac\w+)|\b(?:recursos?|apelo|apelacao)\s+prejudicad[oa]s?\b", reason="recurso prejudicado"),
-    Rule(PARTLY_WON, APPEAL, r"\breform\w*(?:-se)?\s+(?:em\s+parte|parcialmente)\s+(?:a\s+|na\s+integra\s+a\s+)?(?:r\.\s*|douta\s+|respeitavel\s+)?sentenca|\bsentenca\s+(?:parcialmente\s+reformada|reformada\s+em\s+parte)", strong=False),
-    Rule(WON, APPEAL, r"\breform\w*(?:-se)?\s+(?:integralmente\s+)?(?:a\s+|na\s+integra\s+a\s+)?(?:r\.\s*|douta\s+|respeitavel\s+)?sentenca|\bsentenca\s+reformada", strong=False),
-    Rule(LOST, APPEAL, r"\b(?:mantid[oa]|mantenho|mantem-se|mantiveram|manter|confirm\w*)\s+(?:-se\s+)?(?:a\s+|na\s+integra\s+a\s+)?(?:r\.\s*|douta\s+|respeitavel\s+)?sentenca|\bsentenca\s+(?:mantida|confirmada)", strong=False),
+    Rule(PART, ACTION, r"\b(?:parcialmente\s+procedentes?|procedentes?,?\s+(?:em\s+parte|parcialmente)|em\s+parte,?\s+procedentes?|parcial\s+procedencia|procedencia\s+parcial)\b", stems="proceden"),
+    Rule(PART, ACTION, r"\bacolh\w*(?:-(?:o|os|a|as|se))?\s+(?:em\s+parte|parcialmente)\b(?!\s+os\s+embargos)", stems="acolh"),
+    Rule(PART, ACTION, r"\bacolh\w*(?:-(?:os|se))?\s+(?:em\s+parte|parcialmente)\s+(?:os\s+)?embargos\s+(?:a\s+execucao|do\s+devedor|do\s+executado|de\s+terceiros?)\b", stems="embargos"),
+    Rule(FULL, ACTION, r"\bacolh\w*(?:-(?:os|se))?\s+(?:os\s+)?embargos\s+(?:a\s+execucao|do\s+devedor|do\s+executado|de\s+terceiros?)\b", stems="embargos"),
+    Rule(DENIED, ACTION, r"\b(?:rejeit|desacolh)\w*(?:-(?:os|se))?\s+(?:os\s+)?embargos\s+(?:a\s+execucao|do\s+devedor|do\s+executado|de\s+terceiros?)\b", stems="embargos"),
+    Rule(PART, ACTION, r"\bacolh\w*(?:-(?:os|se))?\s+(?:em\s+parte|parcialmente)\s+(?:os\s+)?embargos\s+(?:monitorios|a\s+(?:acao\s+)?monitoria)\b", stems="monitori"),
+    Rule(DENIED, ACTION, r"\bacolh\w*(?:-(?:os|se))?\s+(?:os\s+)?embargos\s+(?:monitorios|a\s+(?:acao\s+)?monitoria)\b", stems="monitori"),
+    Rule(FULL, ACTION, r"\b(?:rejeit|desacolh)\w*(?:-(?:os|se))?\s+(?:os\s+)?embargos\s+(?:monitorios|a\s+(?:acao\s+)?monitoria)\b", stems="monitori"),
+    Rule(PART, ACTION, r"\bconced\w*(?:-se)?\s+(?:em\s+parte|parcialmente)\s+a\s+seguranca|\bseguranca\s+(?:parcialmente\s+concedida|concedida\s+em\s+parte)", stems="seguranca"),
+    Rule(FULL, ACTION, r"\bconced\w*(?:-se)?\s+(?:a\s+)?seguranca|\bseguranca\s+concedida", stems="seguranca"),
+    Rule(DENIED, ACTION, r"\bdeneg\w*(?:-se)?\s+(?:a\s+)?seguranca|\bseguranca\s+denegada", stems="seguranca"),
+    Rule(DENIED, ACTION, r"\babsolv\w*(?:-(?:o|a|os|as|se))?\b", stems="absolv"),
+    Rule(FULL, ACTION, r"\bcondeno-?(?:o|a|os|as)?\s+(?:o\s+|a\s+)?(?:reu|re|acusad[oa]s?|denunciad[oa]s?)?\s*(?:como\s+)?incurs[oa]s?\b", stems="incurs"),
+    Rule(DENIED, ACTION, r"(?<!nao )(?<!deixo de )(?<!deixa de )(?<!afasto a )\b(?:pronunci|reconhec|declar|acolh|decret)\w*(?:-se)?\s+(?:de\s+oficio\s+)?(?:a\s+)?(?:ocorrencia\s+da\s+)?(?:prejudicial\s+(?:de\s+merito\s+)?(?:de\s+|da\s+)?)?prescricao", reason="prescrição", stems="prescricao"),
+    Rule(DENIED, ACTION, r"(?<!nao )(?<!deixo de )(?<!deixa de )(?<!afasto a )\b(?:pronunci|reconhec|declar|acolh|decret)\w*(?:-se)?\s+(?:de\s+oficio\s+)?(?:a\s+)?(?:ocorrencia\s+da\s+)?decadencia", reason="decadência", stems="decadencia"),
+    Rule(DENIED, ACTION, r"\bart(?:igo)?s?\.?\s*487,?\s*(?:inciso\s+)?ii\b", reason="art. 487, II", stems="487"),
+    Rule(FULL, ACTION, r"\breconhecimento\s+(?:juridico\s+)?(?:da\s+procedencia\s+)?do\s+pedido|\bart(?:igo)?s?\.?\s*487,?\s*(?:inciso\s+)?iii,?\s*(?:alinea\s+)?\W?a\b", reason="reconhecimento do pedido", stems="reconhecimento 487"),
+    Rule(DENIED, ACTION, r"\brenuncia\s+(?:a\s+pretensao|ao\s+direito)|\bart(?:igo)?s?\.?\s*487,?\s*(?:inciso\s+)?iii,?\s*(?:alinea\s+)?\W?c\b", reason="renúncia à pretensão", stems="renuncia 487"),
+    Rule(SETTLED, ACTION, r"\bhomolog\w*(?:-se)?\b[^.;]{0,120}?\b(?:acordo|transacao|composicao|conciliacao|autocomposicao)\b|\bart(?:igo)?s?\.?\s*487,?\s*(?:inciso\s+)?iii,?\s*(?:alinea\s+)?\W?b\b", stems="homolog 487"),
+    Rule(DISMISSED, ACTION, r"\bhomolog\w*(?:-se)?\b[^.;]{0,60}?\bdesistencia\b|\bdesistencia\s+da\s+acao\b", reason="desistência (art. 485, VIII)", stems="desistencia"),
+    Rule(DISMISSED, ACTION, r"\bsem\s+(?:resolucao|julgamento|exame|apreciacao|analise)\s+d[oe]\s+merito", stems="merito"),
+    Rule(DISMISSED, ACTION, r"\bart(?:igo)?s?\.?\s*485\b", stems="485"),
+    Rule(DISMISSED, ACTION, r"\bindefiro\s+(?:a\s+)?(?:peticao\s+)?inicial|\bindeferimento\s+da\s+(?:peticao\s+)?inicial", reason="indeferimento da inicial (art. 485, I)", stems="inicial"),
+    Rule(DISMISSED, ACTION, r"\b(?:julgo|declaro|decreto|julga-se)\s+extint[oa]\s+(?:o\s+)?(?:processo|feito|acao)\b(?![^.;]{0,80}\bcom\s+(?:resolucao|julgamento|exame)\b)", strong=False, stems="extint"),
+    Rule(DENIED, ACTION, r"\bimprocedentes?\b|\bimprocedencia\s+d[oa]s?\s+(?:pedidos?|acao|demanda)\b", stems="improceden"),
+    Rule(DENIED, ACTION, r"\b(?:rejeit|desacolh)\w*(?:-(?:o|os|se))?\s+(?:integralmente\s+|totalmente\s+)?(?:o|os)\s+pedidos?\b|\bnao\s+acolh\w*\s+(?:o|os)\s+pedidos?\b", stems="pedido"),
+    Rule(FULL, ACTION, r"(?<![\w-])procedentes?\b|\bprocedencia\s+d[oa]s?\s+(?:pedidos?|acao|demanda)\b", stems="proceden"),
+    Rule(FULL, ACTION, r"\bacolh\w*(?:-(?:o|os|se))?\s+(?:integralmente\s+|totalmente\s+)?(?:o|os)\s+pedidos?\b", stems="pedido"),
+    Rule(FULL, ACTION, r"\bcondeno\s+(?:o|a|os|as)\s+(?:re[ua]?s?|requerid[oa]s?|demandad[oa]s?)\b", strong=False, stems="condeno"),
+    Rule(PARTLY_WON, APPEAL, r"\bacolh\w*(?:-(?:os|se))?\s+(?:em\s+parte|parcialmente)\s+(?:os\s+)?(?:presentes\s+)?embargos\b", target=MOTION, stems="embargos"),
+    Rule(WON, APPEAL, r"\bacolh\w*(?:-(?:os|se))?\s+(?:os\s+)?(?:presentes\s+)?embargos\b(?!\s+(?:a\s+execucao|do\s+devedor|do\s+executado|de\s+terceiro|monitorios|a\s+monitoria))", target=MOTION, stems="embargos"),
+    Rule(LOST, APPEAL, r"\b(?:rejeit|desacolh)\w*(?:-(?:os|se))?\s+(?:os\s+)?(?:presentes\s+)?embargos\b(?!\s+(?:a\s+execucao|do\s+devedor|do\s+executado|de\s+terceiro|monitorios|a\s+monitoria))", target=MOTION, stems="embargos"),
+    Rule(PARTLY_WON, APPEAL, r"\bd(?:ou|a|ar|ao|eram|emos|ando|e|eu)(?:-(?:se|lhe|lhes))?\s+(?:parcial\s+provimento|provimento\s+parcial|provimento\s+em\s+parte)\b|\bparcialmente\s+provid[oa]s?\b|\bprovid[oa]s?,?\s+(?:em\s+parte|parcialmente)\b|\bprovimento\s+parcial\b|\bparcial\s+provimento\b", stems="provi"),
+    Rule(LOST, APPEAL, r"\bneg(?:o|a|ar|am|aram|amos|ando|ue|ou)(?:-(?:se|lhe|lhes))?\s+(?:integral\s+)?provimento\b|\bnao\s+provid[oa]s?\b|\b(?:des|im)provid[oa]s?\b|\b(?:des|im)provimento\b", stems="provi"),
+    Rule(WON, APPEAL, r"\bd(?:ou|a|ar|ao|eram|emos|ando|e|eu)(?:-(?:se|lhe|lhes))?\s+(?:integral\s+|total\s+)?provimento\b|\bprovid[oa]s?\b", stems="provi"),
+    Rule(WON, APPEAL, r"\b(?:anul|cass|desconstitu)\w*(?:-se)?\s+(?:a\s+|na\s+integra\s+a\s+)?(?:r\.\s*|douta\s+|respeitavel\s+)?sentenca\b", reason="anulação da sentença", stems="sentenca"),
+    Rule(NOT_HEARD, APPEAL, r"\bnao\s+(?:se\s+)?conhe(?:co|ce|cer|ceram|cemos|cido|cida|ceu)\b(?!\s+(?:de\s+)?(?:parte|em\s+parte|parcialmente))", stems="conhe"),
+    Rule(NOT_HEARD, APPEAL, r"\b(?:julg\w*\s+)?prejudicad[oa]s?\s+(?:o\s+|os\s+)?(?:recursos?|apelo|apelac\w+)|\b(?:recursos?|apelo|apelacao)\s+prejudicad[oa]s?\b", reason="recurso prejudicado", stems="prejudicad"),
+    Rule(PARTLY_WON, APPEAL, r"\breform\w*(?:-se)?\s+(?:em\s+parte|parcialmente)\s+(?:a\s+|na\s+integra\s+a\s+)?(?:r\.\s*|douta\s+|respeitavel\s+)?sentenca|\bsentenca\s+(?:parcialmente\s+reformada|reformada\s+em\s+parte)", strong=False, stems="sentenca"),
+    Rule(WON, APPEAL, r"\breform\w*(?:-se)?\s+(?:integralmente\s+)?(?:a\s+|na\s+integra\s+a\s+)?(?:r\.\s*|douta\s+|respeitavel\s+)?sentenca|\bsentenca\s+reformada", strong=False, stems="sentenca"),
+    Rule(LOST, APPEAL, r"\b(?:mantid[oa]|mantenho|mantem-se|mantiveram|manter|confirm\w*)\s+(?:-se\s+)?(?:a\s+|na\s+integra\s+a\s+)?(?:r\.\s*|douta\s+|respeitavel\s+)?sentenca|\bsentenca\s+(?:mantida|confirmada)", strong=False, stems="sentenca"),
 )
 
 TARGETS = {
@@ -105,3 +125,5 @@ PANEL = (
 JUDGING = r"(?i)\b(?:julgo|julgamos|acordam|homologo|extingo|dou|nego|negam|d[ãa]o)\b"
 
 COMPILED = tuple(re.compile(r.pattern) for r in RULES)
+STEMS = tuple(dict.fromkeys(s for r in RULES for s in r.stems.split()))
+NEEDED = tuple(frozenset(r.stems.split()) for r in RULES)

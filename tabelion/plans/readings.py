@@ -7,6 +7,7 @@ no order's text is another's and nothing is read once for many.
 
 from __future__ import annotations
 
+import math
 import re
 from datetime import date
 
@@ -30,10 +31,15 @@ def sql_value(value: object) -> str:
     return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
+#: Rows that a task gets, about, where each takes long.
+ROWS_A_TASK = 50_000
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows shared out before work that takes long for each row: a table of few row groups would leave it to few tasks."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    """Rows shared out before work that takes long for each row, to more tasks the more rows there are: by row groups and splits of the
+    table it would be left to few tasks, whose rows grow with the table. Counting reads the footers of the table's files only.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / ROWS_A_TASK)), key)
 
 
 #: What is written before and after the examples, so that no order's text is another's.
@@ -336,7 +342,7 @@ def notices_converted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw notices to the document table: only sentences are wanted, HTML goes, the addressee becomes a pseudonym."""
     from tabelion.sources.config import NoticeQuery
 
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     word = F.when(F.col("o_orderstatus") == "F", "procedente").otherwise("improcedente")
     notice = F.struct(
         F.col("o_orderkey").cast("string").alias("id"), F.concat(F.lit("<p>Ante o exposto,&nbsp;julgo "), word, F.lit(" o pedido de Ana Souza.</p>")).alias("texto"), F.when(F.col("o_orderkey") % 3 == 0, "Sentença").otherwise("Despacho").alias("tipoDocumento"),
