@@ -58,3 +58,9 @@ def test_tasks_grow_with_rows(spark, monkeypatch, tmp_path):
 def test_texts_are_read_once_and_after_they_are_dealt(spark, small, name):
     shown = plan(getattr(readings, name)(spark, small))
     assert len(re.findall(r"run\(", shown)) == 1 and shown.index("run(") < shown.index("RepartitionByExpression")
+
+
+def test_a_text_is_folded_once_for_all_terms(spark):
+    df = spark.createDataFrame([("Dano moral e boa-fé.",)], "t string")
+    shown = plan(df.select(text.term_counts(F.col("t")).alias("m")))
+    assert shown.count("regexp_extract_all(") == 1 and shown.count("translate(") == 1
