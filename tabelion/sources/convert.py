@@ -64,7 +64,8 @@ def documents(raw: DataFrame, original: str = "bruto", source: str = "arquivo")
     HTML to text, secrecy, pseudonyms, evaluation and parameters, in this order. Rows without text and secret ones are dropped.
     """
     plain = F.when(F.contains(F.col(original), F.lit("<")), text.html_to_text(F.col(original))).otherwise(F.col(original))
-    kept = raw.withColumn("plain", plain).where((F.trim(F.coalesce("plain", F.lit(""))) != "") & ~policy.secret(None, F.col("plain")))
+    stays = F.monotonically_increasing_id() >= 0  # a filter that went below this step would spell it out, and read the markup again, for each of its tests
+    kept = raw.withColumn("plain", F.when(stays, plain)).where((F.trim(F.coalesce("plain", F.lit(""))) != "") & ~policy.secret(None, F.col("plain")))
     kept = pseudonyms.pseudonymised(kept, "plain", "nomes")
     kept = kept.withColumn("avaliacao", decisions.evaluation(F.col("p.texto")))
     kept = kept.withColumn("calculo", amounts.calculation(F.col("avaliacao.dispositivo")))

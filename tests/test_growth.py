@@ -64,3 +64,9 @@ def test_a_text_is_folded_once_for_all_terms(spark):
     df = spark.createDataFrame([("Dano moral e boa-fé.",)], "t string")
     shown = plan(df.select(text.term_counts(F.col("t")).alias("m")))
     assert shown.count("regexp_extract_all(") == 1 and shown.count("translate(") == 1
+
+
+def test_markup_is_read_once(spark, small):
+    """Once for the text, not again for each test of it, and after the notices are dealt to tasks."""
+    shown = plan(readings.notices_converted(spark, small))
+    assert shown.count("<[^>]+>") == 1 and shown.index("<[^>]+>") < shown.index("RepartitionByExpression")
