@@ -70,3 +70,22 @@ def test_markup_is_read_once(spark, small):
     """Once for the text, not again for each test of it, and after the notices are dealt to tasks."""
     shown = plan(readings.notices_converted(spark, small))
     assert shown.count("<[^>]+>") == 1 and shown.index("<[^>]+>") < shown.index("RepartitionByExpression")
+
+
+def test_names_are_replaced_without_a_pattern_for_each_text(monkeypatch):
+    """Names within names, other blanks and cases, parts of words: as one pattern of all names would."""
+    names = ["ana maria souza", "maria souza", "joão", "maria"]
+    t = "Ana  Maria\tSouza, MARIA SOUZA e Maria; Joãozinho, JOÃO_1, joão."
+    every = "|".join(r"\s+".join(n.split(" ")) for n in names)
+    tags = {n: f"[PESSOA_{i}]" for i, n in enumerate(names, 1)}
+    want = re.subn(rf"(?<!\w)(?:{every})(?!\w)", lambda m: tags[" ".join(m[0].lower().split())], t, flags=re.I)
+    monkeypatch.setattr(pseudonyms, "names", lambda text, known: names)
+    monkeypatch.setattr(pseudonyms.re, "subn", lambda *a, **k: pytest.fail("a pattern was made"))
+    assert pseudonyms.without_names(t, []) == want and want[1] == 4
+
+
+def test_masks_look_for_what_a_pattern_needs(spark):
+    rows = ["ana@x.br", "12345678/0001-95", "CPF 12345678909", "cpf 123.456.789-09", "r.g. 1234567", "rg: 12.345.678-9", "oab/sp 1234", "SP123456", "cep 01310100", "01310-100", "3333-4444", "AGÊNCIA 1234", "conta corrente 12345", "c/c 123-4", "Al. Santos, 12", "Praça Azul 3", "123", ""]
+    df = spark.createDataFrame([(x,) for x in rows], "t string")
+    found = pseudonyms.mask(df, "t").select("masked", pseudonyms.masked(F.col("t")).alias("want")).collect()
+    assert all(x["masked"] == x["want"] for x in found) and sum(x["masked"].startswith("[") for x in found) >= 12
