@@ -127,6 +127,9 @@ class Encoder:
         #: Latin small letters as the byte mapping writes them.
         mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.latin = {c: mapped(chr(c))[0][0] for c in range(0x80, 0x250) if chr(c).isalpha() and chr(c).lower() == chr(c)}
+        #: What words of these, ASCII's letters, digits and signs are made of, and their units.
+        self.known = frozenset(map(chr, self.latin)) | frozenset(map(chr, range(33, 127)))
+        self.latin_units = re.compile(_UNITS.pattern.replace("a-z", "a-z" + "".join(map(chr, self.latin)))).findall
 
     def packed(self, ids: list[int]) -> bytes:
         """Little-endian numbers of self.width (as all machines that Spark runs on count)."""
@@ -141,7 +144,7 @@ class Encoder:
 
     def _learn(self, words: set[str]) -> None:
         """Ids of new words. Runs of letters, single digits and runs of other signs are the units of ASCII; runs of small Latin letters are units
-        too. The model reads units at once. Words of other letters are encoded together: each is at least one unit, so if there are as many last tokens
+        too, and words of all these are read by units. The model reads units at once. Words of other letters are encoded together: each is at least one unit, so if there are as many last tokens
         as words, each is one. All others, those with apostrophes, marks or special strings, go through the whole tokenizer one by one."""
         young, old, unit = self.young, self.old, self._unit
         letters, rest = [], []
@@ -165,8 +168,15 @@ class Encoder:
                     young[w] = unit(w.translate(self.latin))
                 else:
                     letters.append(w)
-            else:
+            elif "'" in w or "<|" in w or not self.known.issuperset(w):
                 rest.append(w)
+            else:
+                found = []
+                for u in self.latin_units(w.lower()):
+                    if (x := young.get(u) or old.get(u)) is None:
+                        x = young[u] = unit(u.translate(self.latin))
+                    found.append(x)
+                young[w] = b"".join(found)
         if letters:
             raw = self.ids(" ".join(letters))
             ends = (np.flatnonzero(self.last[np.frombuffer(raw, self.width)]) + 1) * np.dtype(self.width).itemsize

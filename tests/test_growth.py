@@ -89,3 +89,14 @@ def test_masks_look_for_what_a_pattern_needs(spark):
     df = spark.createDataFrame([(x,) for x in rows], "t string")
     found = pseudonyms.mask(df, "t").select("masked", pseudonyms.masked(F.col("t")).alias("want")).collect()
     assert all(x["masked"] == x["want"] for x in found) and sum(x["masked"].startswith("[") for x in found) >= 12
+
+
+def test_accented_words_with_signs_are_read_by_units(monkeypatch):
+    import public_tokenizers
+
+    from tabelion.llm.token_files import Encoder
+
+    encoder, words = Encoder(public_tokenizers.path("word_bpe_49k.json")), ["été,", "(mañana)", "größe-12;", "ação.", "l’été"]
+    want = [encoder.ids(w) for w in words]
+    encoder._learn(set(words))
+    assert [encoder.young[w] for w in words] == want and {"été", "mañana", "größe", "ação"} <= set(encoder.young)
