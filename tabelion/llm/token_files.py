@@ -43,8 +43,8 @@ from tabelion.llm.common import ASCII_LOWER, Stages, arrow_limits
 from tabelion.llm.ordered import numbered
 
 MAGIC, BLOCK, FILE_IDS, END = b"TIDSVB01", 1 << 16, 64 << 20, 2
-#: Ids that one reading task decodes; words of a worker's memory in each of two generations, and the longest of these.
-READ_IDS, MEMORY, LONGEST = 8 << 20, 400_000, 64
+#: Ids that one reading task decodes; words of a worker's memory in each of two generations, and the longest of these; units that the model gets at once.
+READ_IDS, MEMORY, LONGEST, UNITS = 8 << 20, 250_000, 64, 4096
 
 # -- coding ------------------------------------------------------------------------------------------------------------
 
@@ -52,16 +52,19 @@ READ_IDS, MEMORY, LONGEST = 8 << 20, 400_000, 64
 LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2) & 3).astype(np.uint8) + 1
 #: Of each length: which bits of four bytes count.
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+#: Of each length less one: a true byte for each of four that is kept.
+KEPT = np.array([0x1, 0x101, 0x10101, 0x1010101], "<u4")
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes."""
     x = ranks.astype("<u4")
-    size = np.searchsorted(MASKS[1:4], x, side="left").astype(np.uint8)  # length less one
-    padded = np.zeros(-(-len(x) // 4) * 4, np.uint8)
-    padded[: len(x)] = size
-    control = (padded.reshape(-1, 4) << np.arange(0, 8, 2, dtype=np.uint8)).sum(1, dtype=np.uint8)
-    return control.tobytes(), x.view(np.uint8).reshape(-1, 4)[np.arange(4) <= size[:, None]].tobytes()
+    size = np.zeros(-(-len(x) // 4) * 4, np.uint8)  # length less one
+    for most in MASKS[1:4]:
+        size[: len(x)] += x > most
+    four = size.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    return control.tobytes(), x.view(np.uint8)[KEPT[size[: len(x)]].view(bool)].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
@@ -69,18 +72,12 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     lengths = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
     begins = np.cumsum(lengths, dtype=np.int64) - lengths
     raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    four = np.lib.stride_tricks.sliding_window_view(raw, 4)[begins] if n else np.zeros((0, 4), np.uint8)
-    return np.ascontiguousarray(four).view("<u4").ravel() & MASKS[lengths]
+    return np.ndarray(len(data), "<u4", raw, strides=(1,))[begins] & MASKS[lengths]
 
 
 # -- tokens ------------------------------------------------------------------------------------------------------------
 
 
-#: Units of small ASCII letters, digits and other signs without blanks, but for apostrophes.
-_UNITS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
-_BLANKS = frozenset(chr(c) for c in range(33)) | {"\x7f"}
-
-
 def small(text: str) -> str:
     """A text with ASCII's capitals as small letters, as the normaliser would write it; others, which marks or special strings might change, as they are."""
     if "<|" in text or not unicodedata.is_normalized("NFC", text):
@@ -124,12 +121,16 @@ class Encoder:
         # two generations: words that are met again go over to the young one, the others are forgotten with the old one
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        #: The model alone, for units between blanks.
+        self.units = Tokenizer(self.tokenizer.model)
+        self.units.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         #: Latin small letters as the byte mapping writes them.
         mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.latin = {c: mapped(chr(c))[0][0] for c in range(0x80, 0x250) if chr(c).isalpha() and chr(c).lower() == chr(c)}
-        #: What words of these, ASCII's letters, digits and signs are made of, and their units.
-        self.known = frozenset(map(chr, self.latin)) | frozenset(map(chr, range(33, 127)))
-        self.latin_units = re.compile(_UNITS.pattern.replace("a-z", "a-z" + "".join(map(chr, self.latin)))).findall
+        letters = "a-z" + "".join(map(chr, self.latin))
+        #: Words of these, ASCII's letters, digits and signs but apostrophes, are read by units: runs of letters, single digits, runs of other signs.
+        self.plain = f"^[{letters}!-&(-~]*$"
+        self.split = re.compile(rf"[{letters}]+|[0-9]|\n|[^{letters}0-9\n]+").findall
 
     def packed(self, ids: list[int]) -> bytes:
         """Little-endian numbers of self.width (as all machines that Spark runs on count)."""
@@ -138,70 +139,82 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         return self.packed(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
 
-    def _unit(self, unit: str) -> bytes:
-        """Ids of a run that the pre-tokenizer keeps whole, written as the byte mapping writes it."""
-        return self.packed([t.id for t in self.tokenizer.model.tokenize(unit)])
+    def _each(self, raw: bytes, n: int) -> list[bytes] | None:
+        """The ids of n words that were encoded one after the other, each told by its last token; None if there are not as many of these."""
+        ends = (np.flatnonzero(self.last[np.frombuffer(raw, self.width)]) + 1) * np.dtype(self.width).itemsize
+        return list(map(raw.__getitem__, map(slice, [0, *ends.tolist()], ends.tolist()))) if len(ends) == n else None
+
+    def _learn_units(self, units: set[str]) -> None:
+        """Ids of units in the young memory, the new ones by the model, many at once."""
+        young, old, fresh = self.young, self.old, []
+        for u in units.difference(young):
+            if (x := old.get(u)) is not None:
+                young[u] = x
+            else:
+                fresh.append(u)
+        encode = lambda texts: [self.packed(e.ids) for e in self.units.encode_batch_fast(texts, add_special_tokens=False)]
+        for i in range(0, len(fresh), UNITS):  # what the library returns takes far more memory than the ids
+            some = fresh[i : i + UNITS]
+            written = [u if u.isascii() else u.translate(self.latin) for u in some]
+            young.update(zip(some, self._each(encode([" ".join(written)])[0], len(some)) or encode(written), strict=True))
 
     def _learn(self, words: set[str]) -> None:
-        """Ids of new words. Runs of letters, single digits and runs of other signs are the units of ASCII; runs of small Latin letters are units
-        too, and words of all these are read by units. The model reads units at once. Words of other letters are encoded together: each is at least one unit, so if there are as many last tokens
-        as words, each is one. All others, those with apostrophes, marks or special strings, go through the whole tokenizer one by one."""
-        young, old, unit = self.young, self.old, self._unit
-        letters, rest = [], []
+        """Ids of new words. Words of Latin letters, digits and signs are read by their units, each unit once. Words of other letters are encoded
+        together: each is at least one unit, so if there are as many last tokens as words, each is one. All others, those with apostrophes, marks or
+        special strings, go through the whole tokenizer one by one."""
+        young, old, fresh = self.young, self.old, []
         for w in words:
             if (x := old.get(w)) is not None:
                 young[w] = x
-            elif w.isascii():
-                if w.isalpha():
-                    young[w] = unit(w.lower())
-                elif "'" in w or "<|" in w or not _BLANKS.isdisjoint(w):
-                    rest.append(w)
-                else:
-                    found = []
-                    for u in _UNITS.findall(w.lower()):
-                        if (x := young.get(u) or old.get(u)) is None:
-                            x = young[u] = unit(u)
-                        found.append(x)
-                    young[w] = b"".join(found)
-            elif w.isalpha():
-                if max(w) < "\u0250" and w.islower() and w == w.lower():
-                    young[w] = unit(w.translate(self.latin))
-                else:
-                    letters.append(w)
-            elif "'" in w or "<|" in w or not self.known.issuperset(w):
-                rest.append(w)
             else:
-                found = []
-                for u in self.latin_units(w.lower()):
-                    if (x := young.get(u) or old.get(u)) is None:
-                        x = young[u] = unit(u.translate(self.latin))
-                    found.append(x)
-                young[w] = b"".join(found)
+                fresh.append(w)
+        told = pa.array(fresh, pa.string())
+        plain = pc.and_not(pc.match_substring_regex(told, self.plain, ignore_case=False), pc.match_substring(told, "<|")).to_numpy(zero_copy_only=False)
+        whole, letters, rest = [], [], []
+        for w, is_plain in zip(fresh, plain.tolist(), strict=True):
+            (whole if is_plain else letters if w.isalpha() and not w.isascii() else rest).append(w)
+        if whole:
+            units = self.split("\n".join(whole).encode().translate(ASCII_LOWER).decode())
+            self._learn_units(set(units) - {"\n"})
+            parts = []
+            at = iter(whole)
+            ids = young.__getitem__
+            for u in units:
+                if u == "\n":
+                    young[next(at)] = parts[0] if len(parts) == 1 else b"".join(parts)
+                    parts = []
+                else:
+                    parts.append(ids(u))
+            young[next(at)] = b"".join(parts)
         if letters:
-            raw = self.ids(" ".join(letters))
-            ends = (np.flatnonzero(self.last[np.frombuffer(raw, self.width)]) + 1) * np.dtype(self.width).itemsize
-            if len(ends) == len(letters):
-                young.update(zip(letters, map(raw.__getitem__, map(slice, [0, *ends.tolist()], ends.tolist())), strict=True))
-            else:
-                rest += letters
+            found = self._each(self.ids(" ".join(letters)), len(letters))
+            young.update(zip(letters, found, strict=True)) if found else rest.extend(letters)
         for w, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else [], strict=True):
             young[w] = self.packed(e.ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian numbers of self.width."""
+    def encode(self, texts: list[str], tail: bytes = b"") -> pa.Array:
+        """Ids of each text and the tail, as little-endian numbers of self.width in a binary array.
+
+        The words of all texts are told apart by Arrow, each distinct one is looked up once, and their ids are laid in the texts' order.
+        """
         if not self.by_words:
-            return [self.packed(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return pa.array([self.packed(e.ids) + tail for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)], pa.binary())
         if len(self.young) > MEMORY:
             self.old, self.young = self.young, {}
-        split = [small(t).replace("\n", " ").split(" ") for t in texts]
-        fresh = set().union(*split).difference(self.young)
+        split = pc.split_pattern(pa.array([small(t).replace("\n", " ") for t in texts], pa.string()), " ")
+        coded, ends = split.values.dictionary_encode(), split.offsets.to_numpy()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist makes a scalar of each
+        fresh = set(words).difference(self.young)
         long = {w for w in fresh if len(w) > LONGEST}
         self._learn(fresh - long)
         self.young.update((w, self.ids(w)) for w in long)
-        found = [b"".join(map(self.young.__getitem__, words)) for words in split]
+        known = pa.array([*map(self.young.__getitem__, words), tail], pa.binary())
         for w in long:
             del self.young[w]
-        return found
+        laid = known.take(pa.array(np.insert(coded.indices.to_numpy(), ends[1:], len(words))))
+        bounds = np.frombuffer(laid.buffers()[1], np.int32)[laid.offset : laid.offset + len(laid) + 1]
+        bounds = bounds[ends + np.arange(len(ends), dtype=np.int32)]
+        return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(bounds)), laid.buffers()[2]])
 
 
 _ENCODED = "every int, id long, ids binary, n long, ends long, counts binary"
@@ -216,7 +229,7 @@ def encoded(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         counts = np.zeros(max(len(encoder.last), end + 1), np.int64)
         tail = np.array([end], encoder.width).tobytes()
         for b in batches:
-            ids = pa.array([x + tail for x in encoder.encode(b.column(3).to_pylist())], pa.binary())
+            ids = encoder.encode(b.column(3).to_numpy(zero_copy_only=False).tolist(), tail)
             n = pc.divide(pc.cast(pc.binary_length(ids), pa.int64()), len(tail))
             # the values of a binary array lie one after the other
             first, last = (np.frombuffer(ids.buffers()[1], np.int32)[i] for i in (0, b.num_rows))
@@ -389,7 +402,7 @@ def read(index: DataFrame, root: str, id_col: str = "doc_id", with_ids: bool = F
 def files(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = END) -> tuple[DataFrame, str]:
     """Writes df's texts, and returns the index of the files and their folder. path: a tokenizer of the tokenizers library."""
     spark = df.sparkSession
-    arrow_limits(spark)
+    arrow_limits(spark, 1024)  # the more texts at once, the more words are the same
     stages = Stages(spark, "token-files")
     rows = df.select(F.lit(0).alias("every"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tie"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kept = numbered(stages, rows, "every", ["id", "tie"], ["ends"], label="encoded", via=(encoded(path, end), _ENCODED))

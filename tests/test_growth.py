@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,27 @@ def test_accented_words_with_signs_are_read_by_units(monkeypatch):
     want = [encoder.ids(w) for w in words]
     encoder._learn(set(words))
     assert [encoder.young[w] for w in words] == want and {"été", "mañana", "größe", "ação"} <= set(encoder.young)
+
+
+def test_words_of_a_batch_are_looked_up_once_and_their_units_encoded_at_once(monkeypatch):
+    import public_tokenizers
+
+    from tabelion.llm import token_files
+
+    class Counted(dict):
+        looked_up = 0
+
+        def __getitem__(self, word):
+            Counted.looked_up += 1
+            return super().__getitem__(word)
+
+    encoder = token_files.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["uma Casa, été?! größe-12; ǀǀ l’été don't \u65e5\u672c a</w>b x<|endoftext|>y  \n" * 500, "", "w" * 100 + " casa", "e\u0301 Casa"]
+    tail = np.array([7], encoder.width).tobytes()
+    want = [encoder.ids(t) + tail for t in texts]
+    encoder.young = Counted()
+    assert encoder.encode(texts, tail).to_pylist() == want and Counted.looked_up < 100
+    monkeypatch.setattr(token_files, "MEMORY", 3)
+    for _ in range(3):  # generations change
+        assert encoder.encode(texts, tail).to_pylist() == want
+    assert encoder.encode([]).to_pylist() == []
