@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +47,10 @@ WITH RECURSIVE st(it, w, p, np, id, nid, rk) AS (
 ), done AS (SELECT w, it FROM st GROUP BY w, it HAVING count(rk) = 0)
 SELECT st.w, st.p, st.id FROM st JOIN done USING (w, it)
 """
+#: Places count through all pieces of a block, so one ordered aggregation serves them all; w and size tell where each piece ends.
 _GATHER = """
-SELECT list(t.id ORDER BY t.p) AS ids, string_agg(v.latin, '' ORDER BY t.p) AS latin FROM tokens t JOIN vocabulary v USING (id) GROUP BY t.w ORDER BY t.w
+SELECT list(t.w ORDER BY t.p) AS w, list(t.id ORDER BY t.p) AS ids, list(length(v.latin) ORDER BY t.p) AS size, string_agg(v.latin, '' ORDER BY t.p) AS latin
+FROM tokens t JOIN vocabulary v USING (id)
 """
 _DECODE = "SELECT t.w AS w, string_agg(v.latin, '' ORDER BY t.p) AS latin FROM tokens t JOIN vocabulary v USING (id) GROUP BY t.w"
 
@@ -83,9 +86,23 @@ def contract_long(ids: list[int], merges: dict[int, int]) -> list[int]:
     return [t for t in ids if t >= 0]
 
 
-#: A piece's ids, the same in decimal, and the bytes that they decode to: plain tuples, which the garbage collector needn't visit again.
-Piece = tuple[np.ndarray, bytes, bytes]
-IDS, DECIMAL, DECODED = range(3)
+#: A piece's ids and the bytes that they decode to: plain tuples, which the garbage collector needn't visit again.
+Piece = tuple[np.ndarray, bytes]
+IDS, DECODED = range(2)
+
+
+def laid(x: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    """Offsets and values of a binary array that begins where its buffers do."""
+    if not len(x):
+        return np.zeros(1, np.int32), pa.py_buffer(b"")
+    return np.frombuffer(x.buffers()[1], np.int32)[: len(x) + 1], x.buffers()[2]
+
+
+def each(x: pa.Array) -> Iterator[memoryview]:
+    """The values of a binary array, not copied."""
+    at, values = laid(x)
+    values, at = memoryview(values), at.tolist()
+    return (values[a:b] for a, b in zip(at, at[1:], strict=False))
 
 
 class Codec:
@@ -119,6 +136,8 @@ class Codec:
         self.merges = dict(zip(pairs.tolist(), merged, strict=True))
         self._fill("merges", {"pair": pairs, "rank": np.array(merged, np.int32)})
         self._fill("vocabulary", {"id": np.array(list(ranks.values()), np.int32), "latin": [t.decode("latin-1") for t in ranks]})
+        #: Each id in decimal and a space.
+        self.decimal = pa.array([b"%d " % i for i in range(max(ranks.values()) + 1)], pa.binary())
         self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self._forget()
 
@@ -132,17 +151,16 @@ class Codec:
         self.old: dict[str, Piece] = {}
         self.bytes = 0
 
-    def _remember(self, piece: str, found: Piece) -> Piece:
+    def _remember(self, found: dict[str, Piece]) -> None:
         if len(self.young) >= MEMORY or self.bytes > REMEMBERED:
             self.old, self.young, self.bytes = self.young, {}, 0
-        self.young[piece] = found
-        self.bytes += len(found[DECODED])
-        return found
+        self.young.update(found)
+        self.bytes += sum(len(x[DECODED]) for x in found.values())
 
     def _contract_long(self, piece: str) -> Piece:
         ids = np.array(contract_long(self.byte_ids[np.frombuffer(piece.encode(), np.uint8)].tolist(), self.merges), np.int32)
         row = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), pa.array(ids))
-        return ids, " ".join(map(str, ids.tolist())).encode(), self.decode(row)[0]
+        return ids, self.decode(row)[0]
 
     def _contract(self, pieces: list[str]) -> Iterator[Piece]:
         raw = [p.encode() for p in pieces]
@@ -155,26 +173,29 @@ class Codec:
         out = self.db.sql(_GATHER).to_arrow_table()
         self.db.execute("DROP TABLE tokens")
         self.db.unregister("start")
-        ids = out["ids"].combine_chunks()
-        values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()
-        text = list(map(str, values.tolist()))
-        for a, b, latin in zip(offsets, offsets[1:], out["latin"].to_pylist(), strict=False):
-            yield values[a:b].copy(), " ".join(text[a:b]).encode(), latin.encode("latin-1")
+        w, ids, size = (out[c].combine_chunks().flatten().to_numpy() for c in ("w", "ids", "size"))
+        decoded = out["latin"][0].as_py().encode("latin-1")
+        ends = np.searchsorted(w, np.arange(len(raw)), side="right")
+        text_ends = np.cumsum(size, dtype=np.int64)[ends - 1].tolist()
+        ends = ends.tolist()
+        for a, b, c, d in zip([0, *ends], ends, [0, *text_ends], text_ends, strict=False):
+            yield ids[a:b].copy(), decoded[c:d]
 
     def contracted(self, pieces: list[str]) -> list[Piece]:
         """What these distinct pieces contract to, remembered or made now."""
         found: dict[str, Piece] = {}
-        block, rows, kept = [], 0, []
+        block, rows, kept = [], 0, {}
 
         def make() -> None:
-            for piece, made in zip(block, self._contract(block), strict=True):
-                found[piece] = self._remember(piece, made)
+            made = dict(zip(block, self._contract(block), strict=True))
+            found.update(made)
+            self._remember(made)
 
         young, old = self.young.get, self.old.get
         for piece in pieces:
             known = young(piece)
             if known is None and (known := old(piece)) is not None:
-                kept.append((piece, known))
+                kept[piece] = known
             if known is None and (size := len(piece.encode())) > LONG:
                 known = self._contract_long(piece)
             if known is not None:
@@ -187,16 +208,30 @@ class Codec:
             rows += size * size
         if block:
             make()
-        for piece, known in kept:
-            self._remember(piece, known)
-        return [found[p] for p in pieces]
+        self._remember(kept)
+        return list(map(found.__getitem__, pieces))
 
-    def lists(self, pieces: pa.ListArray) -> tuple[list[Piece], np.ndarray]:
-        """For a batch of piece lists: all pieces in order, and where each row's begin."""
+    def rows(self, pieces: pa.ListArray) -> tuple[pa.ListArray, pa.Array]:
+        """For a batch of piece lists: each row's ids, and the bytes that they decode to. Each distinct piece is looked up once, and what it
+        contracts to is laid in the rows' order by Arrow."""
         first = pieces.offsets[0].as_py()
-        coded = pieces.values.slice(first, pieces.offsets[-1].as_py() - first).dictionary_encode()
-        made = self.contracted(coded.dictionary.to_pylist())
-        return [made[i] for i in coded.indices.to_pylist()], pieces.offsets.to_numpy() - first
+        ends = pieces.offsets.to_numpy() - first
+        coded = pieces.values.slice(first, int(ends[-1])).dictionary_encode()
+        made = self.contracted(coded.dictionary.to_numpy(zero_copy_only=False).tolist())  # to_pylist makes a scalar of each
+        ids = pa.array([x[IDS].tobytes() for x in made], pa.binary()).take(coded.indices)
+        decoded = pa.array([x[DECODED] for x in made], pa.binary()).take(coded.indices)
+        begins, flat = laid(ids)
+        at, text = laid(decoded)
+        rows = pa.ListArray.from_arrays(pa.array(begins[ends] // 4), pa.Array.from_buffers(pa.int32(), int(begins[-1]) // 4, [None, flat]))
+        return rows, pa.Array.from_buffers(pa.binary(), len(pieces), [None, pa.py_buffer(at[ends]), text])
+
+    def decimals(self, ids: pa.ListArray) -> Iterator[memoryview]:
+        """Each row's ids in decimal, joined by spaces."""
+        ends = ids.offsets.to_numpy()
+        at, text = laid(self.decimal.take(ids.values))
+        text = memoryview(text)
+        for a, b in zip(at[ends].tolist(), at[ends[1:]].tolist(), strict=False):
+            yield text[a : max(a, b - 1)]
 
     def decode(self, ids: pa.ListArray) -> list[bytes]:
         """Decodes id lists by ordered aggregation; an id that the vocabulary lacks is an error."""
@@ -226,9 +261,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Codec.of(ranks_path) as codec:
             for batch in batches:
-                at, begin = codec.lists(batch.column(1))
-                rows = [np.concatenate([p[IDS] for p in at[a:b]]) if b > a else np.empty(0, np.int32) for a, b in zip(begin, begin[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=[id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), codec.rows(batch.column(1))[0]], names=[id_col, "ids"])
 
     source = pieces(df, text_col, pattern, id_col)
     return source.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, ids array<int>")
@@ -249,20 +282,16 @@ def decode(df: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str
 
 def encode_checked(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, ids, decoded_sha256; the decoded bytes are compared with the text's, and a difference is an error."""
-    arrow_limits(df.sparkSession)
+    arrow_limits(df.sparkSession, 1024)  # the more texts at once, the more pieces are the same
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Codec.of(ranks_path) as codec:
             for batch in batches:
-                at, begin = codec.lists(batch.column(2))
-                rows, digests = [], []
-                for text, a, b in zip(batch.column(1).to_pylist(), begin, begin[1:], strict=False):
-                    rows.append(np.concatenate([p[IDS] for p in at[a:b]]) if b > a else np.empty(0, np.int32))
-                    decoded = b"".join([p[DECODED] for p in at[a:b]])
-                    if decoded != (text or "").encode():
-                        raise ValueError("a text is not what its ids decode to")
-                    digests.append(hashlib.sha256(decoded).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array(rows, pa.list_(pa.int32())), pa.array(digests)], names=[id_col, "n_tokens", "ids", "decoded_sha256"])
+                ids, decoded = codec.rows(batch.column(2))
+                if not decoded.equals(pc.fill_null(batch.column(1), "").cast(pa.binary())):
+                    raise ValueError("a text is not what its ids decode to")
+                digests = [hashlib.sha256(x).hexdigest() for x in each(decoded)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pc.list_value_length(ids).cast(pa.int64()), ids, pa.array(digests, pa.string())], names=[id_col, "n_tokens", "ids", "decoded_sha256"])
 
     source = pieces(df, text_col, pattern, id_col, text_col)
     return source.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids array<int>, decoded_sha256 string")
@@ -274,20 +303,14 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
     Ids and decoded bytes are those of the same recursive and ordered queries as in encode() and decode();
     as decoding is a homomorphism, each distinct piece is decoded once and the bytes joined in the text's order.
     """
-    arrow_limits(df.sparkSession)
+    arrow_limits(df.sparkSession, 1024)  # the more texts at once, the more pieces are the same
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with Codec.of(ranks_path) as codec:
             for batch in batches:
-                at, begin = codec.lists(batch.column(1))
-                n, ids, decoded = [], [], []
-                for a, b in zip(begin, begin[1:], strict=False):
-                    row = at[a:b]
-                    joined = b" ".join([p[DECIMAL] for p in row])
-                    n.append(joined.count(b" ") + 1 if row else 0)
-                    ids.append(hashlib.sha256(joined).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join([p[DECODED] for p in row])).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                ids, decoded = codec.rows(batch.column(1))
+                digests = [pa.array([hashlib.sha256(x).hexdigest() for x in rows], pa.string()) for rows in (codec.decimals(ids), each(decoded))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pc.list_value_length(ids).cast(pa.int64()), *digests], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = pieces(df, text_col, pattern, id_col)
     return source.mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,7 +3,9 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -50,6 +52,25 @@ def test_contraction(encoding_text):
         assert list(made[bpe.IDS]) == enc.encode_ordinary(encoding_text) and made[bpe.DECODED] == encoding_text.encode()
 
 
+def test_pieces_of_a_batch_are_laid_by_arrow(encoding, monkeypatch):
+    """Rows equal the library's, also of a sliced batch and as memories turn over; each distinct piece is asked for once a batch."""
+    texts = ["", "the cat sat on the mat " * 300, "é日本 \x00\xff 12!!", "x" * (bpe.LONG + 1), "", "the mat"]
+    split = pa.array([[], *([encoding.decode_single_token_bytes(i).decode("latin-1") for i in range(300)],), *(regex.findall(P.PATTERN, t) for t in texts), []], pa.list_(pa.string()))
+    monkeypatch.setattr(bpe, "MEMORY", 4)
+    with bpe.Codec.of(RANKS) as codec:
+        asked, contracted = [], codec.contracted
+        monkeypatch.setattr(codec, "contracted", lambda pieces: asked.append(len(pieces)) or contracted(pieces))
+        for _ in range(3):
+            ids, decoded = codec.rows(split.slice(2, len(texts)))
+            want = [encoding.encode_ordinary(t) for t in texts]
+            assert ids.to_pylist() == want and [bytes(x) for x in bpe.each(decoded)] == decoded.to_pylist() == [t.encode() for t in texts]
+            assert [bytes(x).decode() for x in codec.decimals(ids)] == [" ".join(map(str, x)) for x in want]
+        assert asked == [len({p for t in texts for p in regex.findall(P.PATTERN, t)})] * 3
+        for empty in ([], [[], []]):
+            ids, decoded = codec.rows(pa.array(empty, pa.list_(pa.string())))
+            assert ids.to_pylist() == empty and decoded.to_pylist() == [b""] * len(empty) and [bytes(x) for x in codec.decimals(ids)] == [b""] * len(empty)
+
+
 def test_long_pieces_take_their_time_in_proportion():
     """On both sides of the length from which a queue replaces the recursion; a megabyte without blanks ends."""
     enc = tiktoken.Encoding("own3", pat_str=r"[\s\S]+", mergeable_ranks=ALL, special_tokens={})
